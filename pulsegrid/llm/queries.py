@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import pieces, quality_model, secret_scan, simhash, token_counts
+from pulsegrid.llm import mixing, pieces, quality_model, quality_rules, secret_scan, simhash, token_counts
 from pulsegrid.llm.common import ship, table
 
 
@@ -30,6 +30,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, limit=4096, keep=["doc_id"])
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules.apply_rules(docs).select("doc_id", *columns)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return mixing.mix(docs, mixing.WEIGHTS).drop(mixing.RATE)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs)
@@ -44,7 +55,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op3_quality, op4_token_counts, op7_simhash, op8_secret_scan)
+    f.__name__: f for f in (op1_sentencepiece, op3_quality, op4_token_counts, op5_quality_rules, op6_mixing, op7_simhash, op8_secret_scan)
 }
 
 
@@ -60,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.MIX_SQL}
