@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import mixing, pieces, quality_model, quality_rules, secret_scan, simhash, token_counts
+from pulsegrid.llm import mixing, pieces, pii, quality_model, quality_rules, secret_scan, simhash, token_counts
 from pulsegrid.llm.common import ship, table
 
 
@@ -18,6 +18,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.scan(docs)
+    digest = F.sha2(F.encode(pii.joined(F.col("base")), "UTF-8"), 256)
+    counts = [f"n_{k}" for k in pii.KINDS]
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model.train(docs, table(spark, sf_dir, "labels"))
@@ -55,7 +63,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op3_quality, op4_token_counts, op5_quality_rules, op6_mixing, op7_simhash, op8_secret_scan)
+    f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_quality, op4_token_counts, op5_quality_rules, op6_mixing, op7_simhash, op8_secret_scan)
 }
 
 
