@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import mixing, pieces, pii, quality_model, quality_rules, secret_scan, simhash, token_counts
+from pulsegrid.llm import ann, mixing, pieces, pii, quality_model, quality_rules, secret_scan, simhash, token_counts, warc
 from pulsegrid.llm.common import ship, table
 
 
@@ -62,8 +62,18 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), "spans")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(pages, with_payload=False).drop("payload")
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_quality, op4_token_counts, op5_quality_rules, op6_mixing, op7_simhash, op8_secret_scan)
+    f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_quality, op4_token_counts, op5_quality_rules, op6_mixing, op7_simhash, op8_secret_scan, op9_warc, op10_nearest)
 }
 
 
@@ -79,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.MIX_SQL}
+    return {"op6_mixing": mixing.MIX_SQL, "op9_warc": warc.ROUND_TRIP_SQL}
