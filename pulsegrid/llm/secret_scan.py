@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import map_texts
+from pulsegrid.llm.common import hinted, map_texts, written
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -128,3 +128,27 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int =
     )
     spans = F.when(F.col("n_parts") > 0, F.col("linked")).otherwise(F.col("base_spans"))
     return out.select(id_col, "n_assign", "n_access", "n_hex", "base_spans", spans.alias("spans"))
+
+
+#: Documents with a span whose spans are broadcast; more are joined as any table.
+BROADCAST_DOCS = 200_000
+
+
+def redact(df: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with every span of scan() in its text replaced by the mask; overlapping spans
+    together by one. All rows and columns stay; a text without spans stays as it is."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
+    keyed = df.withColumn("_key", key)
+    found = scan(keyed.select("_key", text), "_key", text).where("spans <> ''").select("_key", "spans")
+    found = hinted(written(found.dropDuplicates(["_key"]), "secret_spans"), BROADCAST_DOCS)
+    spans = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end")))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        gap = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
+        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mask)).alias("out"))
+        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    masked = F.when(F.col("spans").isNull(), F.col(text)).otherwise(done)
+    return keyed.join(found, "_key", "left").withColumn(text, masked).select(*df.columns)
