@@ -1 +1,78 @@
-"""To come."""
+"""Labelled-array queries: `lineitem` as an array over supplier, month and line number."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from pulsegrid.operators import dims as D
+from pulsegrid.plans.registry import query, table
+
+
+def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supp"), month.alias("month"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("order_id"), F.col("l_quantity").alias("v"))
+
+
+CUBE = "c AS (SELECT l_suppkey AS supp, year(l_shipdate) * 12 + month(l_shipdate) AS month, l_linenumber AS line, l_orderkey AS order_id, l_quantity AS v FROM lineitem)"
+
+
+@query(f"""WITH {CUBE} SELECT supp, line, bool_and(v <> 0) AS "all", bool_or(v <> 0) AS "any", arg_min(order_id, (-v, order_id)) AS argmax, arg_min(order_id, (v, order_id)) AS argmin,
+max(v) AS max, min(v) AS min, round(avg(v), 6) AS mean, round(sum(v), 6) AS sum, max(v) - min(v) AS ptp, round(stddev_pop(v), 6) AS std, round(var_pop(v), 6) AS var, count(v) AS n
+FROM c GROUP BY supp, line""")
+def dim_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.reduce(cube(spark, sf_dir), ["supp", "line"], "v", "order_id")
+    return found.withColumns({k: F.round(k, 6) for k in ("mean", "sum", "std", "var")})
+
+
+@query(f"""WITH {CUBE} SELECT supp, CASE WHEN line < 3 THEN 'low' WHEN line < 6 THEN 'mid' ELSE 'high' END AS label, round(avg(v), 6) AS mean FROM c GROUP BY ALL""")
+def bin_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = D.binned(F.col("line"), [(0, 3, "low"), (3, 6, "mid"), (6, 1e9, "high")])
+    return cube(spark, sf_dir).groupBy("supp", label.alias("label")).agg(F.round(F.avg("v"), 6).alias("mean"))
+
+
+@query(f"""WITH {CUBE}, d AS (SELECT month, floor((row_number() OVER (ORDER BY month) - 1) * 6 / count(*) OVER ())::BIGINT AS bin FROM (SELECT DISTINCT month FROM c))
+SELECT line, bin, round(avg(v), 6) AS mean FROM c JOIN d USING (month) GROUP BY ALL""")
+def bin_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six bins of equal counts of months."""
+    return D.equal_bins(cube(spark, sf_dir), "month", 6).groupBy("line", "bin").agg(F.round(F.avg("v"), 6).alias("mean"))
+
+
+@query(f"""WITH {CUBE} SELECT 'a' AS part, supp, order_id, line, v FROM c WHERE month % 2 = 0 UNION ALL SELECT 'b', supp, order_id, line, v FROM c WHERE line > 4""")
+def extend_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cube(spark, sf_dir)
+    one = rows.where("month % 2 = 0").select(F.lit("a").alias("part"), "supp", "order_id", "line", "v")
+    return D.extend(one, rows.where("line > 4").select("v", "line", "order_id", "supp", F.lit("b").alias("part")))
+
+
+@query(f"WITH {CUBE} SELECT supp, order_id, line, v FROM c WHERE supp IN (1, 5, 9) AND ((line > 2) <> (v > 25))")
+def select_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership, and exclusive or of two conditions."""
+    rows = D.select(cube(spark, sf_dir), "supp in (1, 5, 9)", ["supp", "month", "line", "order_id"])
+    return rows.where((F.col("line") > 2) != (F.col("v") > 25)).select("supp", "order_id", "line", "v")
+
+
+@query(f"WITH {CUBE} SELECT supp, freq, count(*) AS n, round(sum(v * freq), 6) AS total FROM c, (SELECT unnest([2, 4, 8]) AS freq) GROUP BY ALL")
+def add_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.add_dim(cube(spark, sf_dir), "freq", [2, 4, 8])
+    return rows.groupBy("supp", "freq").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v") * F.col("freq")), 6).alias("total"))
+
+
+@query(f"""WITH {CUBE} SELECT supp, order_id, line, row_number() OVER (PARTITION BY supp ORDER BY v, order_id, line) - 1 AS place FROM c""")
+def argsort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = W.partitionBy("supp").orderBy("v", "order_id", "line")
+    return cube(spark, sf_dir).select("supp", "order_id", "line", (F.row_number().over(w) - 1).alias("place"))
+
+
+@query(f"""WITH {CUBE} SELECT supp, month, round(sum(v) FILTER (line = 1), 6) AS l1, round(sum(v) FILTER (line = 2), 6) AS l2, round(sum(v) FILTER (line = 3), 6) AS l3 FROM c GROUP BY supp, month""")
+def transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One dimension turned into columns."""
+    wide = cube(spark, sf_dir).groupBy("supp", "month").pivot("line", [1, 2, 3]).agg(F.round(F.sum("v"), 6))
+    return wide.select("supp", "month", F.col("1").alias("l1"), F.col("2").alias("l2"), F.col("3").alias("l3"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity ** 2 + l_tax ** 2), 6) AS radius, round(atan2(l_tax, l_quantity), 6) AS angle, round(degrees(atan2(l_tax, l_quantity)), 6) AS deg FROM lineitem""")
+def polar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    angle = F.atan2("l_tax", "l_quantity")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.hypot("l_quantity", "l_tax"), 6).alias("radius"), F.round(angle, 6).alias("angle"), F.round(F.degrees(angle), 6).alias("deg"))

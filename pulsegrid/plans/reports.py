@@ -1 +1,135 @@
-"""To come."""
+"""Report queries: error logs, averages, merges, importances, rankings, lookups. A part of
+`lineitem` stands for a sample, an order line for a test of it, its flag for the class."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from pulsegrid.plans.registry import query, table
+
+
+def tests_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(F.col("l_partkey").alias("sample"), F.col("l_orderkey").alias("iter"), F.col("l_returnflag").alias("predicted"), F.col("l_linestatus").alias("run"), "l_discount", "l_tax")
+
+
+def error_log(tests: DataFrame, truth: str, *by: str) -> DataFrame:
+    """(by, tested, errors, error_rate, predict): predict is the commonest prediction, of
+    equally common ones the smallest."""
+    votes = tests.groupBy(*by, "predicted").agg(F.count("*").alias("n"))
+    most = F.min_by("predicted", F.struct(-F.col("n"), F.col("predicted")))
+    errors = F.sum(F.when(F.col("predicted") != truth, F.col("n")).otherwise(0))
+    return votes.groupBy(*by).agg(F.sum("n").alias("tested"), errors.alias("errors"), F.round(errors / F.sum("n"), 6).alias("error_rate"), most.alias("predict"))
+
+
+VOTES = "v AS (SELECT l_partkey AS sample, l_returnflag AS predicted, count(*) AS n FROM lineitem GROUP BY ALL)"
+LOG = f"""{VOTES}, log AS (
+  SELECT sample, sum(n)::BIGINT AS tested, coalesce(sum(n) FILTER (predicted <> 'N'), 0)::BIGINT AS errors,
+         round(coalesce(sum(n) FILTER (predicted <> 'N'), 0) / sum(n), 6) AS error_rate FROM v GROUP BY sample),
+best AS (SELECT sample, predicted AS predict FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY n DESC, predicted) AS r FROM v) WHERE r = 1)"""
+
+
+@query(f"WITH {LOG} SELECT sample, tested, errors, error_rate, predict FROM log JOIN best USING (sample)")
+def error_log_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return error_log(tests_of(spark, sf_dir), "N", "sample")
+
+
+@query(f"""WITH {LOG} SELECT sample, error_rate, row_number() OVER (ORDER BY error_rate DESC, sample) AS place FROM log WHERE error_rate > 0.5
+  QUALIFY place <= 100""")
+def top_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred samples of the highest error rate (a number, not its text)."""
+    log = error_log(tests_of(spark, sf_dir), "N", "sample").where("error_rate > 0.5")
+    top = log.orderBy(F.desc("error_rate"), "sample").limit(100)
+    w = W.orderBy(F.desc("error_rate"), "sample")
+    return top.select("sample", "error_rate", F.row_number().over(w).alias("place"))  # a hundred rows
+
+
+@query("""SELECT l_partkey AS sample, coalesce(count(*) FILTER (l_linestatus = 'F' AND l_returnflag <> 'N'), 0)::BIGINT AS errors_f,
+  coalesce(count(*) FILTER (l_linestatus = 'O' AND l_returnflag <> 'N'), 0)::BIGINT AS errors_o, count(*) AS tested FROM lineitem GROUP BY ALL""")
+def error_log_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of errors for each run."""
+    tests = tests_of(spark, sf_dir)
+    wide = tests.groupBy("sample").pivot("run", ["F", "O"]).agg(F.count_if(F.col("predicted") != "N"))
+    sizes = tests.groupBy("sample").agg(F.count("*").alias("tested"))
+    return wide.join(sizes, "sample").select("sample", F.coalesce("F", F.lit(0)).alias("errors_f"), F.coalesce("O", F.lit(0)).alias("errors_o"), "tested")
+
+
+@query("""WITH a AS (SELECT l_returnflag AS kind, avg(l_discount) AS se, avg(l_tax) AS sp, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT kind, n, printf('%.2f%%', se * 100) AS se, printf('%.2f%%', sp * 100) AS sp FROM a""")
+def report_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column means as percentages."""
+    percent = lambda c: F.format_string("%.2f%%", F.avg(c) * 100)
+    return tests_of(spark, sf_dir).groupBy(F.col("predicted").alias("kind")).agg(F.count("*").alias("n"), percent("l_discount").alias("se"), percent("l_tax").alias("sp"))
+
+
+@query("""WITH r AS (SELECT 1 AS file, l_orderkey AS iter, l_linenumber AS line, l_returnflag AS raw FROM lineitem WHERE l_linestatus = 'F'
+  UNION ALL SELECT 2, l_orderkey, l_linenumber, l_quantity::INT::VARCHAR FROM lineitem WHERE l_linestatus = 'O')
+SELECT iter, count(*) AS n, round(avg(coalesce(try_cast(raw AS DOUBLE), 0)), 6) AS mean,
+       round(max(file + line / 100.0), 6) AS latest FROM r GROUP BY iter""")
+def report_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports put together; what is not a number counts as 0."""
+    lines = table(spark, sf_dir, "lineitem")
+    one = lines.where("l_linestatus = 'F'").select(F.lit(1).alias("file"), F.col("l_orderkey").alias("iter"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("raw"))
+    two = lines.where("l_linestatus = 'O'").select(F.lit(2).alias("file"), F.col("l_orderkey").alias("iter"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").cast("string").alias("raw"))
+    value = F.coalesce(F.col("raw").try_cast("double"), F.lit(0.0))
+    return one.unionByName(two).groupBy("iter").agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.max(F.col("file") + F.col("line") / 100), 6).alias("latest"))
+
+
+def importance(rows: DataFrame, label: str, vector: str) -> DataFrame:
+    """(label, feature, coef, place): mean of the rows' unit vectors, by size of the mean."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v))
+    long = rows.withColumn("norm", norm).where("norm > 0").select(label, "norm", F.posexplode(vector).alias("feature", "v"))
+    means = long.groupBy(label, "feature").agg(F.avg(F.col("v").cast("double") / F.col("norm")).alias("coef"))
+    w = W.partitionBy(label).orderBy(F.desc(F.abs("coef")), "feature")
+    return means.select(label, "feature", F.round("coef", 6).alias("coef"), F.row_number().over(w).alias("place"))
+
+
+@query("""WITH n AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS feature, unnest(embedding)::DOUBLE AS v, sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])) AS norm FROM embeddings),
+m AS (SELECT label, feature, avg(v / norm) AS coef FROM n WHERE norm > 0 GROUP BY ALL)
+SELECT label, feature, round(coef, 6) AS coef, row_number() OVER (PARTITION BY label ORDER BY abs(coef) DESC, feature) AS place FROM m""")
+def coef_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance(table(spark, sf_dir, "embeddings"), "label", "embedding")
+
+
+@query("""WITH c AS (SELECT p_partkey, p_retailprice > 1100 AS gone, p_brand FROM part)
+SELECT p_partkey, CASE WHEN gone THEN 1 + row_number() OVER (PARTITION BY p_brand, gone ORDER BY p_partkey DESC) ELSE 1 END AS place FROM c""")
+def elimination_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors rank 1, the last to go 2, and so on."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") > 1100).alias("gone"), "p_brand")
+    w = W.partitionBy("p_brand", "gone").orderBy(F.desc("p_partkey"))
+    return parts.select("p_partkey", F.when(F.col("gone"), F.row_number().over(w) + 1).otherwise(1).alias("place"))
+
+
+HOST = r"^[a-z]+://([^/:?#]+)"
+
+
+@query(f"SELECT regexp_extract(url, '{HOST}', 1) AS venue, count(*) AS n FROM pages GROUP BY 1")
+def venue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", HOST, 1).alias("venue")).agg(F.count("*").alias("n"))
+
+
+def closest(value: Column, names: list[str]) -> Column:
+    """The name at the smallest edit distance; of equally near ones the first in order."""
+    return F.array_min(F.array(*(F.struct(F.levenshtein(value, F.lit(n)).alias("far"), F.lit(n).alias("name")) for n in names)))["name"]
+
+
+COLOURS = ["almond", "azure", "black", "forest", "ivory", "lime", "navy", "rose"]  # a fixed list of venues
+
+
+@query(f"""SELECT p_partkey, (SELECT n FROM (SELECT unnest({COLOURS}) AS n) ORDER BY levenshtein(lower(p_name), n), n LIMIT 1) AS nearest FROM part""")
+def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", closest(F.lower("p_name"), COLOURS).alias("nearest"))
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS state, hash_key FROM (
+  SELECT *, (o_orderkey * 31) % 97 AS hash_key FROM orders) WHERE hash_key < 50""")
+def column_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New values of some columns laid over old rows by key."""
+    from pulsegrid.operators.store import upsert
+
+    orders = table(spark, sf_dir, "orders").withColumn("hash_key", F.col("o_orderkey") * 31 % 97).where("hash_key < 50")
+    old = orders.select("o_orderkey", "o_custkey", F.lit("open").alias("state"), "hash_key")
+    new = orders.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("done").alias("state"))
+    return upsert(old, new, ["o_orderkey"])
