@@ -1 +1,76 @@
-"""To come."""
+"""Queries that join in time. A click stands for a reference beat, a view for a detected
+one; time is in hours."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulsegrid.operators import matching as M
+from pulsegrid.plans.registry import query, table
+
+WINDOW = 2.0
+HOURS = F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9
+H = "epoch_us(ts) / 3.6e9"
+
+
+def beats(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    code = F.when(F.col("value") > 75, "V").otherwise("N")
+    rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
+    return rows.select(F.col("user_id").alias("record"), HOURS.alias("t"), code.alias("code")).dropDuplicates(["record", "t"])
+
+
+CODE = "CASE WHEN value > 75 THEN 'V' ELSE 'N' END"
+NEAREST = f"""a AS (SELECT user_id AS record, {H} AS t, any_value({CODE}) AS ref FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+b AS (SELECT user_id AS record, {H} AS t, any_value({CODE}) AS test FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+j AS (SELECT a.record, ref, test, a.t AS t_ref, b.t AS t_test, row_number() OVER (PARTITION BY a.record, a.t ORDER BY abs(a.t - b.t), b.t) AS x,
+             row_number() OVER (PARTITION BY a.record, b.t ORDER BY abs(a.t - b.t), a.t) AS y
+      FROM a JOIN b ON a.record = b.record AND abs(a.t - b.t) <= {WINDOW})"""
+
+
+@query(f"WITH {NEAREST} SELECT record, ref, test, round(t_ref, 6) AS t_ref, round(t_test, 6) AS t_test FROM j WHERE x = 1 AND y = 1")
+def beat_match_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = M.nearest_beats(beats(spark, sf_dir, "click"), beats(spark, sf_dir, "view"), WINDOW)
+    return pairs.withColumns({c: F.round(c, 6) for c in ("t_ref", "t_test")})
+
+
+@query(f"WITH {NEAREST} SELECT ref, test, count(*) AS n FROM j WHERE x = 1 AND y = 1 GROUP BY ref, test")
+def beat_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.confusion(M.nearest_beats(beats(spark, sf_dir, "click"), beats(spark, sf_dir, "view"), WINDOW))
+
+
+@query()
+def beat_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-to-one pairing in time order, with missed and extra beats."""
+    return M.merge_beats(beats(spark, sf_dir, "click"), beats(spark, sf_dir, "view"), WINDOW)
+
+
+@query()
+def beat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.beat_summary(beat_merge(spark, sf_dir))
+
+
+@query(f"""WITH i AS (SELECT user_id AS record, {H} AS begin_t, {H} + value / 50 AS end_t FROM events WHERE event_type = 'error')
+SELECT event_id FROM events e WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM i WHERE i.record = e.user_id AND {H.replace('ts', 'e.ts')} >= begin_t AND {H.replace('ts', 'e.ts')} <= end_t)""")
+def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beats within an alarm's interval."""
+    rows = table(spark, sf_dir, "events").withColumn("t", HOURS)
+    alarms = rows.where("event_type = 'error'").select(F.col("user_id").alias("record"), F.col("t").alias("begin"), (F.col("t") + F.col("value") / 50).alias("end"))
+    points = rows.where("event_type = 'click'").select(F.col("user_id").alias("record"), "t", "event_id")
+    return M.in_intervals(points, alarms, WINDOW).select("event_id")
+
+
+@query("""WITH s AS (SELECT vec_id // 8 AS src, (vec_id % 8) * 64 + unnest(range(0, 64)) AS t, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE len(embedding) = 64),
+e AS (SELECT event_id, event_id % (SELECT max(vec_id) // 8 + 1 FROM embeddings) AS src, event_id * 37 % 520 AS o FROM events)
+SELECT event_id, count(*) AS n, round(sum(v), 6) AS total, round(arg_min(v, t), 6) AS first, round(arg_max(v, t), 6) AS last
+FROM e JOIN s ON s.src = e.src AND t >= o - 20 AND t < o + 81 GROUP BY event_id HAVING count(*) = 101""")
+def event_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples around events; eight embeddings in a row stand for a source's chunks."""
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    chunks = rows.select(F.floor(F.col("vec_id") / 8).alias("src"), (F.col("vec_id") % 8).alias("chunk"), F.col("embedding").cast("array<double>").alias("samples"))
+    sources = rows.agg((F.floor(F.max("vec_id") / 8) + 1).alias("sources"))
+    events = table(spark, sf_dir, "events").crossJoin(F.broadcast(sources))  # one row
+    events = events.select("event_id", (F.col("event_id") % F.col("sources")).alias("src"), (F.col("event_id") * 37 % 520).alias("eoffset"))
+    found = M.epochs(events, chunks, 20, 81, 64)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v)
+    return found.select("event_id", F.size("samples").cast("long").alias("n"), F.round(total, 6).alias("total"), F.round(F.col("samples")[0], 6).alias("first"), F.round(F.element_at("samples", -1), 6).alias("last"))

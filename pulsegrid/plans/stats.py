@@ -1 +1,109 @@
-"""To come."""
+"""Statistics queries over dimensions of `embeddings`, `lineitem` and `events`."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulsegrid.operators import stats as S
+from pulsegrid.plans.registry import query, table
+from pulsegrid.plans.signal import recordings
+
+# A p value made of a row's numbers, the same in both engines.
+P = "((l_orderkey * 7919 + l_linenumber * 104729) % 100003 + 1) / 100003.0"
+PV = f"p AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS family, {P} AS p FROM lineitem)"
+
+
+def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 100003 + 1) / F.lit(100003.0)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("family"), p.alias("p"))
+
+
+FDR = """SELECT id, line, round(least(1.0, min(q) OVER (PARTITION BY family ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS p_fdr
+FROM (SELECT *, p * m * {factor} / r AS q FROM (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p) AS r FROM p))"""
+
+
+@query(f"WITH {PV} {FDR.format(factor='1.0')}")
+def fdr_bh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.adjusted(p_values(spark, sf_dir), "p", "family").select("id", "line", F.round("p_fdr", 6).alias("p_fdr"))
+
+
+@query(f"WITH {PV} {FDR.format(factor='list_sum([1.0::DOUBLE / k for k in range(1, m + 1)])')}")
+def fdr_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.adjusted(p_values(spark, sf_dir), "p", "family", dependent=True).select("id", "line", F.round("p_fdr", 6).alias("p_fdr"))
+
+
+@query(f"""WITH {PV} SELECT id, line, round(least(1.0, max(q) OVER (PARTITION BY family ORDER BY r)), 6) AS p_holm
+FROM (SELECT *, p * (m - r + 1) AS q FROM (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p) AS r FROM p))""")
+def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.holm(p_values(spark, sf_dir), "p", "family").select("id", "line", F.round("p_holm", 6).alias("p_holm"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, floor(o_totalprice / 100) AS v FROM orders), n AS (SELECT floor(l_extendedprice / 100) AS v FROM lineitem),
+c AS (SELECT v, count(*) AS n FROM n GROUP BY v), s AS (SELECT v, sum(n) OVER (ORDER BY v DESC) AS above FROM c)
+SELECT o_orderkey, round(coalesce((SELECT min_by(above, v) FROM s WHERE s.v >= o.v), 0) / (SELECT count(*) FROM n), 6) AS p FROM o""")
+def pval_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of a null distribution at or above each value."""
+    values = table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 100).alias("v"))
+    null = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_extendedprice") / 100).alias("v"))
+    return S.null_p(values, null, "v", F.floor(F.col("v") / 50)).select("o_orderkey", F.round("p", 6).alias("p"))
+
+
+EVENTS = "e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS v FROM events)"
+
+
+@query(f"""WITH {EVENTS}, o AS (SELECT *, v > 60 AS hot, (v > 60 AND NOT coalesce(lag(v) OVER (PARTITION BY user_id ORDER BY t) > 60, false))::INT AS new FROM e),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS cluster FROM o)
+SELECT user_id, cluster::BIGINT AS cluster, min(t) AS first, max(t) AS last, count(*) AS n, round(sum(v), 6) AS mass FROM r WHERE hot GROUP BY user_id, cluster""")
+def cluster_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = recordings(spark, sf_dir).select("user_id", "t", F.col("value").alias("v"))
+    return S.runs(rows, "t", F.col("v") > 60, "user_id").withColumn("mass", F.round("mass", 6))
+
+
+@query(f"""WITH {EVENTS}, a AS (SELECT user_id, t, v, h, v >= h AS hot FROM e, (SELECT unnest([20.0, 40.0, 60.0, 80.0]) AS h)),
+o AS (SELECT *, (hot AND NOT coalesce(lag(hot) OVER (PARTITION BY user_id, h ORDER BY t), false))::INT AS new FROM a),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id, h ORDER BY t) AS run FROM o),
+x AS (SELECT *, count(*) OVER (PARTITION BY user_id, h, run) AS n FROM r WHERE hot)
+SELECT user_id, t, round(sum(sqrt(n) * h * h * 20), 4) AS tfce FROM x GROUP BY user_id, t""")
+def tfce_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = recordings(spark, sf_dir).select("user_id", "t", F.col("value").alias("v"))
+    return S.enhanced(rows, "t", [20.0, 40.0, 60.0, 80.0], "user_id").withColumn("tfce", F.round("tfce", 4))
+
+
+@query("""WITH d AS (SELECT unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v, label FROM embeddings)
+SELECT dim, round(corr(v, label), 6) AS r, count(*) AS n FROM d GROUP BY dim""")
+def pearson_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
+    return long.groupBy("dim").agg(F.round(F.corr(F.col("v").cast("double"), F.col("label").cast("double")), 6).alias("r"), F.count("*").alias("n"))
+
+
+@query("""WITH d AS (SELECT unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v, label FROM embeddings),
+r AS (SELECT dim, rank() OVER (PARTITION BY dim ORDER BY v) + (count(*) OVER (PARTITION BY dim, v) - 1) / 2 AS a,
+             rank() OVER (PARTITION BY dim ORDER BY label) + (count(*) OVER (PARTITION BY dim, label) - 1) / 2 AS b FROM d)
+SELECT dim, round(corr(a, b), 6) AS rho FROM r GROUP BY dim""")
+def spearman_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
+    ranked = long.select("dim", S.average_rank("v", "dim").alias("a"), S.average_rank("label", "dim").alias("b"))
+    return ranked.groupBy("dim").agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+
+
+@query("""WITH a AS (SELECT l_suppkey AS supp, l_quantity AS v, perm, row_number() OVER (PARTITION BY perm, l_suppkey ORDER BY (l_orderkey * (2 * perm + 1) * 31 + l_linenumber * 17) % 10007, l_orderkey, l_linenumber, l_quantity) AS place
+  FROM lineitem, (SELECT unnest(range(0, 5)) AS perm)),
+s AS (SELECT supp, perm, count(*) FILTER (place % 2 = 0) AS n1, count(*) FILTER (place % 2 = 1) AS n0, avg(v) FILTER (place % 2 = 0) AS m1, avg(v) FILTER (place % 2 = 1) AS m0,
+             var_samp(v) FILTER (place % 2 = 0) AS v1, var_samp(v) FILTER (place % 2 = 1) AS v0 FROM a GROUP BY ALL)
+SELECT supp, perm, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)), 6) AS t FROM s""")
+def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t of two halves of each group under five shuffles within the group."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("v"), "l_orderkey", "l_linenumber")
+    key = F.struct((F.col("l_orderkey") * (2 * F.col("perm") + 1) * 31 + F.col("l_linenumber") * 17) % 10007, "l_orderkey", "l_linenumber", "v")
+    shuffled = S.permuted(rows, key, 5, "supp")
+    return S.unpaired_t(shuffled, F.col("place") % 2 == 0, "v", "supp", "perm").select("supp", F.col("perm").cast("long").alias("perm"), F.round("t", 6).alias("t"))
+
+
+@query("""WITH c AS (SELECT label % 3 AS cluster, label, count(*) AS n FROM embeddings GROUP BY ALL)
+SELECT cluster, label, n, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS place FROM c""")
+def cluster_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    counts = table(spark, sf_dir, "embeddings").groupBy((F.col("label") % 3).alias("cluster"), "label").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("n"), "label")))
