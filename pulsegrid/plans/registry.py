@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegrid.sources.shared import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("rhythm", "evaluation", "reports", "signal", "dims", "stats", "matching", "streams", "models")
+MODULES = ("rhythm", "evaluation", "reports", "signal", "kernels", "dims", "stats", "matching", "streams", "models")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -32,7 +34,16 @@ def load() -> None:
 
 def queries() -> dict[str, Query]:
     load()
-    return dict(QUERIES)
+
+    def shipped(function: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return function(spark, sf_dir)
+
+        run.__module__, run.__doc__ = function.__module__, function.__doc__
+        return run
+
+    return {name: shipped(function) for name, function in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
