@@ -3,21 +3,24 @@ one; time is in hours."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import matching as M
 from pulsegrid.plans.registry import query, table
 
 WINDOW = 2.0
-HOURS = F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9
 H = "epoch_us(ts) / 3.6e9"
 
 
+def hours() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9
+
+
 def beats(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     code = F.when(F.col("value") > 75, "V").otherwise("N")
     rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
-    return rows.select(F.col("user_id").alias("record"), HOURS.alias("t"), code.alias("code")).dropDuplicates(["record", "t"])
+    return rows.select(F.col("user_id").alias("record"), hours().alias("t"), code.alias("code")).dropDuplicates(["record", "t"])
 
 
 CODE = "CASE WHEN value > 75 THEN 'V' ELSE 'N' END"
@@ -54,7 +57,7 @@ def beat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id FROM events e WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM i WHERE i.record = e.user_id AND {H.replace('ts', 'e.ts')} >= begin_t AND {H.replace('ts', 'e.ts')} <= end_t)""")
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beats within an alarm's interval."""
-    rows = table(spark, sf_dir, "events").withColumn("t", HOURS)
+    rows = table(spark, sf_dir, "events").withColumn("t", hours())
     alarms = rows.where("event_type = 'error'").select(F.col("user_id").alias("record"), F.col("t").alias("begin"), (F.col("t") + F.col("value") / 50).alias("end"))
     points = rows.where("event_type = 'click'").select(F.col("user_id").alias("record"), "t", "event_id")
     return M.in_intervals(points, alarms, WINDOW).select("event_id")
