@@ -128,3 +128,27 @@ def apply_rules(df: DataFrame, text: str = "text", most_lost: float = MOST_LOST)
     failed = (w["n_words"] < 50) | (100 * w["n_repeat_words"] > 50 * w["n_words"])
     columns = [w["n_words"], w["word_chars"], line["n_symbols"], line["n_dup_lines"], w["n_repeat_words"], line["n_failed_lines"], share, line["cleaned_text"], failed, ~failed & (share <= most_lost)]
     return df.select("*", *(c.alias(n) for c, n in zip(columns, made, strict=True))).drop("_rules")
+
+
+#: The columns of the registered query in DuckDB, for documents.
+RULES_SQL = rf"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+word AS (SELECT doc_id, list_filter(string_split_regex(t, '[\x09-\x0D ]+'), lambda x: x <> '') AS ws FROM doc),
+gram AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM word)),
+again AS (SELECT doc_id, i + unnest([0, 1, 2]) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM gram) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM again GROUP BY doc_id),
+line AS (SELECT doc_id, line, length(line) AS size, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
+                regexp_matches(line, '[^\x09-\x0D ]') AS has_word FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM doc)),
+judged AS (SELECT *, has_word AND (symbols > {LINE_SYMBOLS} * size OR (line = upper(line) AND line <> lower(line)
+                  AND len(list_filter(string_split_regex(line, '[\x09-\x0D ]+'), lambda x: x <> '')) >= {SHOUTED_WORDS})
+                  OR (size <= 2000 AND regexp_matches(line, '{MENU}'))
+                  OR {" OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)}) AS fails FROM line),
+lines AS (SELECT doc_id, sum(symbols)::BIGINT AS n_symbols, (count(*) FILTER (has_word) - count(DISTINCT line) FILTER (has_word))::BIGINT AS n_dup_lines,
+                 coalesce(sum(size) FILTER (fails), 0) AS lost, coalesce(sum(size) FILTER (has_word), 0) AS size FROM judged GROUP BY doc_id),
+facts AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, n_symbols, n_dup_lines,
+                 coalesce(covered.n, 0)::BIGINT AS n_repeat_words, lost > {MOST_LOST} * size AS loses
+          FROM word JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT loses AS kept
+FROM facts
+"""

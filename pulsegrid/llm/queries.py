@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.MIX_SQL, "op9_warc": warc.ROUND_TRIP_SQL}
+    return {"op5_quality_rules": quality_rules.RULES_SQL, "op6_mixing": mixing.MIX_SQL, "op9_warc": warc.ROUND_TRIP_SQL}
