@@ -181,3 +181,45 @@ def permutation_entropy(x: Column, lag: int = 1) -> Column:
     """Bits of the distribution of ordinal patterns of three samples."""
     share = lambda p, k: F.size(F.filter(p, lambda v: v == k)) / F.size(p)
     return let(ordinal_patterns(x, lag), lambda p: -total(F.transform(F.array_distinct(p), lambda k: let(share(p, k), lambda s: s * F.log2(s)))))
+
+
+def pulses(w: Column, share: float = 0.2) -> Column:
+    """(head, tail, n) of a second of samples: samples before the first rise over a share of
+    its largest, samples from the last fall on (none if it never fell), and rises. Without
+    a rise head and tail are the whole second."""
+
+    def of(limit: Column) -> Column:
+        start = F.struct(F.lit(False).alias("up"), F.lit(0).alias("i"), F.lit(-1).alias("rise"), F.lit(-1).alias("fall"), F.lit(0).alias("n"))
+
+        def step(acc: Column, v: Column) -> Column:
+            up = v > limit
+            rises, falls = up & ~acc["up"], ~up & acc["up"]
+            return F.struct(
+                up.alias("up"), (acc["i"] + 1).alias("i"), F.when(rises & (acc["rise"] < 0), acc["i"]).otherwise(acc["rise"]).alias("rise"),
+                F.when(falls, acc["i"]).otherwise(acc["fall"]).alias("fall"), (acc["n"] + rises.cast("int")).alias("n"),
+            )
+
+        def ends(acc: Column) -> Column:
+            tail = F.when(acc["n"] == 0, acc["i"]).when(acc["fall"] < 0, 0).otherwise(acc["i"] - acc["fall"])
+            return F.struct(F.when(acc["n"] == 0, acc["i"]).otherwise(acc["rise"]).alias("head"), tail.alias("tail"), acc["n"].alias("n"))
+
+        return F.aggregate(w, start, step, ends)
+
+    return let(F.array_max(w) * share, of)
+
+
+def crossing_interval(x: Column, fs: int, share: float = 0.2) -> Column:
+    """Mean over inner seconds of 1000 ms over their pulses, pulses cut by the second's edges
+    counting by the part of the silence that is theirs; 1000 below three seconds."""
+    seconds = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / fs).cast("int") - 1), lambda k: pulses(F.slice(x, k * fs + 1, fs), share))
+    part = lambda a, b: F.coalesce(F.try_divide(a, a + b), F.lit(0.0))
+
+    def interval(s: Column) -> Column:
+        def one(k: Column) -> Column:
+            n = s[k]["n"] - 1 + part(s[k]["head"], s[k - 1]["tail"]) + part(s[k]["tail"], s[k + 1]["head"])
+            return let(n, lambda v: 1000.0 / F.when(v > 0, v).otherwise(1.0))
+
+        inner = F.when(F.size(s) >= 3, F.sequence(F.lit(1), F.size(s) - 2))
+        return F.coalesce(mean(F.transform(inner, one)), F.lit(1000.0))
+
+    return let(seconds, interval)

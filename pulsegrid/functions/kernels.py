@@ -221,3 +221,70 @@ def wavelet_power(x: np.ndarray, freqs: list[float], fs: float, width: int = 5)
         start = (len(w) - 1) // 2
         out.append((np.abs(both[:, start : start + n]) ** 2).mean(1))
     return np.stack(out, axis=1)
+
+
+def approximate_entropy(x: np.ndarray, m: int = 2, share: float = 0.2) -> float:
+    """Difference of the mean log shares of like templates of m and m + 1 samples, each
+    template like itself."""
+    r = share * x.std()
+
+    def phi(k: int) -> float:
+        far = np.zeros((len(x) - k + 1,) * 2)
+        for i in range(k):
+            part = x[i : len(x) - k + 1 + i]
+            far = np.maximum(far, np.abs(part[:, None] - part))
+        return float(np.log((far <= r).mean(1)).mean())
+
+    return phi(m) - phi(m + 1)
+
+
+def lyapunov(x: np.ndarray, lag: int, dim: int, fs: float, apart: int) -> float:
+    """Slope of the mean log distance of nearest neighbours (over `apart` samples from one
+    another) as both move on."""
+    rows = np.stack([x[i * lag : len(x) - (dim - 1 - i) * lag] for i in range(dim)], axis=1)
+    n = len(rows)
+    far = np.sqrt(((rows[:, None] - rows) ** 2).sum(2))
+    far[np.abs(np.subtract.outer(np.arange(n), np.arange(n))) <= apart] = np.inf
+    near = far.argmin(1)
+    logs = []
+    for k in range(1, n // 2):
+        i = np.flatnonzero((np.arange(n) + k < n) & (near + k < n))
+        d = np.sqrt(((rows[i + k] - rows[near[i] + k]) ** 2).sum(1))
+        if (d > 0).any():
+            logs.append((k / fs, np.log(d[d > 0]).mean()))
+    return float(np.polyfit(*zip(*logs), 1)[0]) if len(logs) > 1 else 0.0
+
+
+def resonance(x: np.ndarray) -> np.ndarray:
+    """Rows through the 14.6 Hz resonator of the beat counts, at 250 samples a second."""
+    y = np.zeros(x.shape)
+    for t in range(2, x.shape[1]):
+        y[:, t] = (14 * y[:, t - 1] - 7 * y[:, t - 2] + (x[:, t] - x[:, t - 2]) / 2) / 8
+    return y
+
+
+def resonance_counts(x: np.ndarray, fs: int, kind: int) -> np.ndarray:
+    """Samples of the resonator's output, second by second, over half the largest (1), over
+    the mean (2), or within the mean deviation of the mean (3)."""
+    y = resonance(resample(x, x.shape[1] * 250 // fs) if fs != 250 else x)
+    total = np.zeros(len(y))
+    for start in range(0, y.shape[1], 250):
+        part = y[:, start : start + 250]
+        mid = part.mean(1, keepdims=True)
+        dev = np.abs(part - mid).mean(1, keepdims=True)
+        on = {1: part >= 0.5 * part.max(1, keepdims=True), 2: part >= mid, 3: (part >= mid - dev) & (part <= mid + dev)}[kind]
+        total += on.sum(1)
+    return total
+
+
+def decimate(x: np.ndarray, step: int, fs: float) -> np.ndarray:
+    """Every step-th sample of the rows after a low pass."""
+    return zero_phase(*butterworth(8, 0.8 * fs / 2 / step, fs), x)[:, ::step]
+
+
+def band_envelope(x: np.ndarray, low: float, high: float, fs: float) -> np.ndarray:
+    """Mean power of the analytic signal of each row within a band of frequencies."""
+    n = x.shape[1]
+    f = np.fft.fftfreq(n, 1 / fs)
+    pair = np.fft.ifft(np.fft.fft(x, axis=1) * np.where((f >= low) & (f < high), 2.0, 0.0), axis=1)
+    return (np.abs(pair) ** 2).mean(1)

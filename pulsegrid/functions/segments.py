@@ -24,23 +24,26 @@ def prepared(x: np.ndarray, fs: float, cutoff: float = 30.0) -> np.ndarray:
     return K.zero_phase(*K.butterworth(5, cutoff, fs), x) if cutoff < fs / 2 else x
 
 
-def with_features(df: DataFrame, samples: str, features: dict[str, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+def with_features(df: DataFrame, samples: str, features: dict[str | tuple[str, ...], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
     """Append a double per feature; each takes rows of equal length and gives one number a
-    row. Segments of null, of no samples or with a null sample have null features."""
+    row, or a row of numbers for a tuple of names. Segments of null, of no samples or with a null sample have null features."""
     kept = [c for c in df.columns if c != samples]
-    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in features)])
+    names = [n for key in features for n in ((key,) if isinstance(key, str) else key)]
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
                 rows = [None if r is None or not len(r) or None in r else np.asarray(r, float) for r in batch.column(samples).to_pylist()]
-                values = {n: np.full(len(rows), np.nan) for n in features}
+                values = {n: np.full(len(rows), np.nan) for n in names}
                 for size in {len(r) for r in rows if r is not None}:
                     at = [i for i, r in enumerate(rows) if r is not None and len(r) == size]
                     x = np.stack([rows[i] for i in at])
-                    for n, f in features.items():
-                        values[n][at] = f(x)
+                    for key, f in features.items():
+                        found = f(x)
+                        for k, n in enumerate((key,) if isinstance(key, str) else key):
+                            values[n][at] = found if isinstance(key, str) else found[:, k]
                 columns = [batch.column(c) for c in kept] + [pa.array(v, pa.float64(), from_pandas=True) for v in values.values()]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

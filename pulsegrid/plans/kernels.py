@@ -42,7 +42,7 @@ def wavelet_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean Morlet power by label and frequency."""
     freqs = [1.0, 2.0, 4.0]
     rows = segments(spark, sf_dir)
-    powers = with_features(rows, "x", {f"p{int(f)}": lambda x, f=f: K.wavelet_power(x, [f], FS)[:, 0] for f in freqs})
+    powers = with_features(rows, "x", {tuple(f"p{int(f)}" for f in freqs): lambda x: K.wavelet_power(x, freqs, FS)})
     return powers.agg(*(F.avg(f"p{int(f)}").alias(f"p{int(f)}") for f in freqs), F.count("*").alias("n"))
 
 
@@ -68,3 +68,49 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = lambda x: (x**2).mean(1) - (keep(x) ** 2).mean(1)
     features = {"rms": rms, "rms_resampled": lambda x: np.sqrt((K.resample(keep(x), 2 * x.shape[1]) ** 2).mean(1) + gone(x))}
     return with_features(segments(spark, sf_dir), "x", features).select("vec_id", F.round("rms", 6).alias("rms"), F.round("rms_resampled", 6).alias("rms_resampled"))
+
+
+@query(f"""WITH {_S}, lim AS (SELECT vec_id, t // {FS} AS k, t % {FS} AS i, v > 0.2 * max(v) OVER (PARTITION BY vec_id, t // {FS}) AS up FROM s),
+e AS (SELECT *, up AND NOT coalesce(lag(up) OVER w, false) AS rise, NOT up AND coalesce(lag(up) OVER w, false) AS fall FROM lim WINDOW w AS (PARTITION BY vec_id, k ORDER BY i)),
+p AS (SELECT vec_id, k, count(*) FILTER (rise) AS n, coalesce(min(i) FILTER (rise), {FS}) AS head, CASE WHEN count(*) FILTER (rise) = 0 THEN {FS} WHEN count(*) FILTER (fall) = 0 THEN 0 ELSE {FS} - max(i) FILTER (fall) END AS tail FROM e GROUP BY vec_id, k),
+n AS (SELECT b.vec_id, b.n - 1 + coalesce(b.head / nullif(b.head + a.tail, 0), 0) + coalesce(b.tail / nullif(b.tail + c.head, 0), 0) AS n
+      FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.k = a.k + 1 JOIN p c ON c.vec_id = b.vec_id AND c.k = b.k + 1)
+SELECT vec_id, round(avg(1000.0 / CASE WHEN n > 0 THEN n ELSE 1 END), 6) AS tci FROM n GROUP BY vec_id""")
+def crossing_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.functions.arrays import crossing_interval as tci
+
+    return segments(spark, sf_dir).select("vec_id", F.round(tci(F.col("x"), FS), 6).alias("tci"))
+
+
+@query()
+def mode_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complexity of the first five empirical modes, and waves of the first."""
+    from pulsegrid.functions import modes as D
+
+    names = (*(f"imf{k + 1}_lz" for k in range(5)), "imf1_amplitude", "imf1_hz")
+    return with_features(segments(spark, sf_dir), "x", {names: each(D.mode_features, FS)})
+
+
+@query()
+def chaos_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate entropy, largest Lyapunov exponent, resonator counts and band power."""
+    features = {
+        "apen": each(K.approximate_entropy), "lle": each(K.lyapunov, 1, 4, FS, 4), **{f"count{k}": (lambda x, k=k: K.resonance_counts(x, FS, k)) for k in (1, 2, 3)},
+        "slow": lambda x: K.band_envelope(x, 0.5, 2.0, FS), "fast": lambda x: K.band_envelope(x, 2.0, 6.0, FS),
+    }
+    return with_features(segments(spark, sf_dir), "x", features)
+
+
+@query(f"""WITH {_S}, spec AS (SELECT vec_id, k, ln(sum(v * cos(2 * pi() * k * t / 64)) ** 2 + sum(v * sin(2 * pi() * k * t / 64)) ** 2) / ln(10) AS p FROM s, (SELECT unnest(range(1, 9)) AS k) GROUP BY vec_id, k),
+m AS (SELECT k, avg(p) AS m, stddev_pop(p) AS d FROM spec JOIN embeddings USING (vec_id) WHERE label = 0 GROUP BY k)
+SELECT vec_id, k, round((p - m) / d, 5) AS z FROM spec JOIN m USING (k)""")
+def zscored_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log power of eight frequencies, scaled by the mean and deviation of a baseline class."""
+    from pulsegrid.functions import arrays as A
+    from pulsegrid.plans.registry import table
+
+    rows = segments(spark, sf_dir).select("vec_id", F.posexplode(A.spectrum(F.col("x"), 64)).alias("k", "a")).where("k between 1 and 8")
+    rows = rows.select("vec_id", "k", F.log10(F.col("a") * F.col("a")).alias("p"))
+    base = rows.join(table(spark, sf_dir, "embeddings").where("label = 0").select("vec_id"), "vec_id")
+    base = base.groupBy("k").agg(F.avg("p").alias("m"), F.stddev_pop("p").alias("d"))
+    return rows.join(F.broadcast(base), "k").select("vec_id", "k", F.round((F.col("p") - F.col("m")) / F.col("d"), 5).alias("z"))  # eight rows

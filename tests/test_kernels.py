@@ -74,3 +74,29 @@ def test_lifts_need_a_rise():
     x = np.zeros(400)
     x[[50, 150, 250]] = 1
     assert K.lifted_exponential(x, FS) == pytest.approx(1 / 2)  # a spike is itself the crossing; the next one lifts
+
+
+def test_modes_add_up():
+    from pulsegrid.functions import modes as D
+
+    t = np.linspace(0, 30 * math.pi, 1000)
+    x = np.sin(t) + np.sin(t / 2) + np.sin(t / 4)
+    found = D.decompose(x, 5)
+    assert np.allclose(found.sum(0), x) and len(found) >= 3
+    assert abs(np.corrcoef(found[0][100:-100], np.sin(t)[100:-100])[0, 1]) > 0.9
+    assert D.maxima(np.array([0, 2, 2, 2, 0, 1, 0])).tolist() == [2, 5]
+    assert D.waves(sine(10), FS) == pytest.approx((1, 10), rel=0.02)
+    assert len(D.mode_features(x, 10.0)) == 7
+
+
+def test_chaos():
+    rng = np.random.default_rng(3)
+    noise, wave = rng.standard_normal(300), np.sin(np.arange(300) / 5)
+    assert K.approximate_entropy(noise) > K.approximate_entropy(wave)
+    logistic = [0.3]
+    for _ in range(299):
+        logistic.append(4 * logistic[-1] * (1 - logistic[-1]))
+    assert K.lyapunov(np.array(logistic), 1, 2, 1.0, 5) > K.lyapunov(wave, 1, 2, 1.0, 5)
+    assert K.band_envelope(np.stack([sine(5)]), 4, 6, FS)[0] == pytest.approx(1, rel=0.01)
+    assert np.abs(K.decimate(np.stack([sine(5)]), 4, FS)[0] - sine(5)[::4])[20:-20].max() < 0.05
+    assert K.resonance_counts(np.stack([sine(14.6)]), FS, 2)[0] == pytest.approx(500, abs=30)
