@@ -94,14 +94,18 @@ def epochs(events: DataFrame, chunks: DataFrame, before: int, after: int, size:
 
 
 def aligned(pulses: DataFrame, other: DataFrame, tolerance: float) -> DataFrame:
-    """(slope, intercept, n) of the line from one clock to another: pulses (t) of both are
-    matched where their intervals to the next pulse agree within the tolerance and are
-    unlike any other interval of the other series."""
-    gap = lambda df, name: df.select(F.col("t").alias(name), (F.lead("t").over(W.orderBy("t")) - F.col("t")).alias(f"gap_{name}"))
-    a, b = gap(pulses, "a").where("gap_a is not null"), gap(other, "b").where("gap_b is not null")
-    cell = lambda c, d=0: F.floor(F.col(c) / tolerance) + d
-    both = a.withColumn("cell", F.explode(F.array(cell("gap_a", -1), cell("gap_a"), cell("gap_a", 1)))).join(b.withColumn("cell", cell("gap_b")), "cell")
-    both = both.where(F.abs(F.col("gap_a") - F.col("gap_b")) <= tolerance)
-    alone = both.withColumn("n", F.count("*").over(W.partitionBy("a"))).withColumn("m", F.count("*").over(W.partitionBy("b"))).where("n = 1 and m = 1")
-    return alone.agg(F.regr_slope("b", "a").alias("slope"), F.regr_intercept("b", "a").alias("intercept"), F.count("*").alias("n"))
+    """(record, slope, intercept, n) of the line from one clock of a record to its other:
+    pulses (record, t) of both are matched where their intervals to the next pulse agree
+    within the tolerance, and no other interval of the record agrees with either."""
+    w = W.partitionBy("record").orderBy("t")
+
+    def gaps(df: DataFrame, name: str) -> DataFrame:
+        found = df.select("record", F.col("t").alias(name), (F.lead("t").over(w) - F.col("t")).alias(f"gap_{name}"))
+        return found.where(f"gap_{name} is not null")
 
+    cell = lambda c, d=0: F.floor(F.col(c) / tolerance) + d
+    a = gaps(pulses, "a").withColumn("cell", F.explode(F.array(cell("gap_a", -1), cell("gap_a"), cell("gap_a", 1))))
+    both = a.join(gaps(other, "b").withColumn("cell", cell("gap_b")), ["record", "cell"]).where(F.abs(F.col("gap_a") - F.col("gap_b")) <= tolerance)
+    alone = both.withColumn("n", F.count("*").over(W.partitionBy("record", "a"))).withColumn("m", F.count("*").over(W.partitionBy("record", "b")))
+    alone = alone.where("n = 1 and m = 1")
+    return alone.groupBy("record").agg(F.regr_slope("b", "a").alias("slope"), F.regr_intercept("b", "a").alias("intercept"), F.count("*").alias("n"))

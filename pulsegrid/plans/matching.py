@@ -77,3 +77,20 @@ def event_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = M.epochs(events, chunks, 20, 81, 64)
     total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v)
     return found.select("event_id", F.size("samples").cast("long").alias("n"), F.round(total, 6).alias("total"), F.round(F.col("samples")[0], 6).alias("first"), F.round(F.element_at("samples", -1), 6).alias("last"))
+
+
+PULSES = f"""a AS (SELECT DISTINCT user_id AS record, round({H} - 473352, 6) AS t FROM events WHERE event_type IN ('purchase', 'click')),
+b AS (SELECT record, round(1.0001 * t + 3, 6) AS t FROM a WHERE round(t * 100) % 5 <> 0),
+ga AS (SELECT record, t AS a, lead(t) OVER (PARTITION BY record ORDER BY t) - t AS gap FROM a),
+gb AS (SELECT record, t AS b, lead(t) OVER (PARTITION BY record ORDER BY t) - t AS gap FROM b),
+j AS (SELECT ga.record, a, b, count(*) OVER (PARTITION BY ga.record, a) AS n, count(*) OVER (PARTITION BY ga.record, b) AS m
+      FROM ga JOIN gb ON ga.record = gb.record AND abs(ga.gap - gb.gap) <= 0.05)"""
+
+
+@query(f"WITH {PULSES} SELECT record, round(regr_slope(b, a), 4) AS slope, count(*) AS n FROM j WHERE n = 1 AND m = 1 GROUP BY record")
+def clock_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two clocks of a record, of which one missed some pulses."""
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "click"))
+    a = events.select(F.col("user_id").alias("record"), F.round(hours() - 473352, 6).alias("t")).distinct()
+    b = a.where(F.round(F.col("t") * 100) % 5 != 0).select("record", F.round(1.0001 * F.col("t") + 3, 6).alias("t"))
+    return M.aligned(a, b, 0.05).select("record", F.round("slope", 4).alias("slope"), "n")

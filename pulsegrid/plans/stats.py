@@ -107,3 +107,16 @@ def cluster_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = table(spark, sf_dir, "embeddings").groupBy((F.col("label") % 3).alias("cluster"), "label").agg(F.count("*").alias("n"))
     return counts.withColumn("place", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("n"), "label")))
+
+
+@query(f"""WITH {EVENTS}, o AS (SELECT *, v > 60 AS hot, (v > 60 AND NOT coalesce(lag(v) OVER (PARTITION BY user_id ORDER BY t) > 60, false))::INT AS new FROM e),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS run FROM o)
+SELECT user_id * 1000000 + t AS node, user_id * 1000000 + min(t) OVER (PARTITION BY user_id, run) AS cluster FROM r WHERE hot""")
+def graph_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected places over a threshold, from an edge table of neighbours in time."""
+    from pulsegrid.operators import graph
+
+    rows = recordings(spark, sf_dir).select((F.col("user_id") * 1_000_000 + F.col("t")).alias("node"), F.col("value").alias("v"))
+    nodes = rows.where("v > 60").select("node")
+    edges = rows.select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst"))
+    return graph.clusters(nodes, edges)
