@@ -223,3 +223,34 @@ def crossing_interval(x: Column, fs: int, share: float = 0.2) -> Column:
         return F.coalesce(mean(F.transform(inner, one)), F.lit(1000.0))
 
     return let(seconds, interval)
+
+
+def converted(x: Column, n: int, to: int) -> Column:
+    """n samples to `to`, by straight lines between neighbours, ends kept."""
+
+    def at(k: Column) -> Column:
+        place = k * ((n - 1) / (to - 1))
+        i = F.least(F.floor(place), F.lit(n - 2)).cast("int")
+        return x[i] + (x[i + 1] - x[i]) * (place - i)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(to - 1)), at)
+
+
+def first_match(x: Column, needle: Column, most: float) -> Column:
+    """First place from which the series exceeds the needle by less than `most` all along;
+    null if there is none. Only an excess counts, and the very last place is not tried."""
+    size = F.size(needle)
+    places = F.sequence(F.lit(0), F.size(x) - size - 1)
+    excess = lambda i: F.array_max(F.zip_with(F.slice(x, i + 1, size), needle, lambda a, b: a - b))
+    return F.get(F.filter(places, lambda i: excess(i) < most), F.lit(0))
+
+
+#: Haar filters of the stationary transform (fixed values).
+LOW, HIGH = (0.5**0.5, 0.5**0.5), (0.5**0.5, -(0.5**0.5))
+
+
+def stationary_level(x: Column, n: int, level: int, taps: tuple[float, ...]) -> Column:
+    """One level of the undecimated wavelet transform: the filter with 2^level - 1 gaps,
+    wrapped around the ends."""
+    step = 1 << level
+    return F.transform(x, lambda v, i: sum((F.lit(h) * x[(i + k * step) % n] for k, h in enumerate(taps)), F.lit(0.0)))

@@ -57,3 +57,16 @@ def correct(segments: DataFrame, corrections: DataFrame, shockable_to_excluded:
 
 def keep_rhythms(df: DataFrame, excluded: list[str]) -> DataFrame:
     return df.where(~F.col("rhythm").isin("X", *excluded))
+
+
+def label(rhythm: Column, method: str, amplitude: Column | None = None, rate: Column | None = None) -> Column:
+    """Class of a rhythm by one of the methods aha, 0, 1, 2 (widening sets of shocked
+    rhythms) and 3 (fibrillation, tachycardia or flutter, others). Under aha flutter is
+    shocked whatever its rate, and tachycardia without a rate is not."""
+    if method == "aha":
+        vt = F.when(rate >= RAPID_BPM, 1).when(rate > 0, 2).otherwise(0)
+        return F.when(rhythm == "(VF", F.when(amplitude > COARSE_MV, 1).otherwise(2)).when(rhythm == "(VT", vt).when(rhythm == "(VFL", 1).otherwise(0)
+    if method == "3":
+        return F.when(rhythm == "(VF", 1).when(rhythm.isin("(VT", "(VFL"), 2).otherwise(0)
+    shocked = {"0": ["(VF"], "1": ["(VF", "(VFL"], "2": ["(VF", "(VFL", "(VT"]}[method]
+    return rhythm.isin(*shocked).cast("int")

@@ -83,3 +83,16 @@ def univariate(df: DataFrame, features: list[str], label: str) -> DataFrame:
         model = RandomForestRegressor(featuresCol="one", labelCol=label, numTrees=10, maxDepth=4, seed=1).fit(made.where("is_test = 0"))
         scores.append((f, float(RegressionEvaluator(labelCol=label, metricName="r2").evaluate(model.transform(made.where("is_test = 1"))))))
     return df.sparkSession.createDataFrame(scores, "feature string, r2 double")
+
+
+def whitened(df: DataFrame, features: list[str], k: int) -> DataFrame:
+    """Append white: the k first principal components, centred and of unit variance."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    stages = [
+        VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="even"),
+        PCA(k=k, inputCol="even", outputCol="parts"), StandardScaler(withMean=True, inputCol="parts", outputCol="unit"),
+    ]
+    made = Pipeline(stages=stages).fit(df).transform(df)
+    return made.withColumn("white", vector_to_array("unit")).drop("raw", "even", "parts", "unit")

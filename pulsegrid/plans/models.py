@@ -48,3 +48,10 @@ def kmeans_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def univariate_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the label each feature alone explains on held-out rows."""
     return M.univariate(rows(spark, sf_dir), FEATURES[:3], "y")
+
+
+@query()
+def pca_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Principal components of unit variance: mean and deviation of each over all rows."""
+    white = M.whitened(rows(spark, sf_dir), FEATURES, 3)
+    return white.agg(*(F.round(f(F.get("white", F.lit(k))), 6).alias(f"{n}{k}") for k in range(3) for n, f in (("mean", F.avg), ("std", F.stddev_samp))))

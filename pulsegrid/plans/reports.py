@@ -133,3 +133,33 @@ def column_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = orders.select("o_orderkey", "o_custkey", F.lit("open").alias("state"), "hash_key")
     new = orders.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("done").alias("state"))
     return upsert(old, new, ["o_orderkey"])
+
+
+@query("""WITH a AS (SELECT l_partkey AS sample, count(*) AS n, count(*) FILTER (l_returnflag <> 'N') AS e FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL),
+b AS (SELECT l_partkey AS sample, count(*) AS n, count(*) FILTER (l_returnflag <> 'N') AS e FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL)
+SELECT sample, coalesce(a.n, 0) + coalesce(b.n, 0) AS tested, coalesce(a.e, 0) + coalesce(b.e, 0) AS errors,
+       round((coalesce(a.e, 0) + coalesce(b.e, 0)) / (coalesce(a.n, 0) + coalesce(b.n, 0)), 6) AS error_rate FROM a FULL JOIN b USING (sample)""")
+def error_log_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of several runs put together by sample, not by place in the file."""
+    tests = tests_of(spark, sf_dir)
+    logs = [error_log(tests.where(F.col("run") == run), "N", "sample") for run in ("F", "O")]
+    both = logs[0].unionByName(logs[1]).groupBy("sample").agg(F.sum("tested").alias("tested"), F.sum("errors").alias("errors"))
+    return both.withColumn("error_rate", F.round(F.col("errors") / F.col("tested"), 6))
+
+
+@query("""SELECT l_partkey AS sample, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') AND (starts_with(l_shipdate::VARCHAR, '1995') OR starts_with(l_shipdate::VARCHAR, '1996'))
+AND try_cast(l_tax::VARCHAR AS DOUBLE) > 0.04 GROUP BY 1""")
+def error_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, prefix and rate filters; a rate that is no number drops its row."""
+    rows = table(spark, sf_dir, "lineitem")
+    day = F.col("l_shipdate").cast("string")
+    kept = rows.where(F.col("l_returnflag").isin("A", "R") & (day.startswith("1995") | day.startswith("1996")) & (F.col("l_tax").cast("string").try_cast("double") > 0.04))
+    return kept.groupBy(F.col("l_partkey").alias("sample")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH v AS (SELECT regexp_extract(url, '{HOST}', 1) AS venue, page_id FROM pages), c AS (SELECT venue, count(*) AS freq FROM v GROUP BY venue)
+SELECT DISTINCT page_id, venue, freq FROM v JOIN c USING (venue)""")
+def venue_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with what a dimension says of them, each once."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", HOST, 1).alias("venue"))
+    return pages.join(pages.groupBy("venue").agg(F.count("*").alias("freq")), "venue").select("page_id", "venue", "freq").distinct()

@@ -181,3 +181,23 @@ def note_rhythms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rhythm named by a free-text note, and alias normalisation."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.coalesce(L.monitored_rhythm(F.col("text")), F.lit("(N")).alias("rhythm"), L.canonical(F.col("lang")).alias("canonical"))
+
+
+@query(f"""WITH {FACTS} SELECT record, begin_t,
+  CASE WHEN rhythm = '(VF' THEN CASE WHEN amplitude > {L.COARSE_MV} THEN 1 ELSE 2 END WHEN rhythm = '(VT' THEN CASE WHEN n_beats / {SIZE / RATE} * 60 >= {L.RAPID_BPM} THEN 1 ELSE 2 END ELSE 0 END AS aha,
+  (rhythm = '(VF')::INT AS vf, (rhythm IN ('(VF', '(VFL'))::INT AS vf_vfl, (rhythm IN ('(VF', '(VFL', '(VT'))::INT AS vf_vfl_vt,
+  CASE rhythm WHEN '(VF' THEN 1 WHEN '(VT' THEN 2 ELSE 0 END AS kind FROM facts""")
+def label_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelling method side by side."""
+    r, rate = F.col("rhythm"), S.heart_rate(F.col("n_beats"), F.lit(SIZE), RATE)
+    methods = {"aha": L.label(r, "aha", F.col("amplitude"), rate), "vf": L.label(r, "0"), "vf_vfl": L.label(r, "1"), "vf_vfl_vt": L.label(r, "2"), "kind": L.label(r, "3")}
+    return facts(spark, sf_dir).select("record", F.col("begin").alias("begin_t"), *(v.alias(k) for k, v in methods.items()))
+
+
+@query(f"""WITH {FACTS}, {CORRECTIONS}, c AS (SELECT f.*, label FROM facts f LEFT JOIN corrections USING (record, begin_t))
+SELECT record, begin_t, CASE WHEN label IN ('(VF', '(VT') THEN 'X' WHEN label IS NOT NULL AND label <> 'C' THEN label ELSE rhythm END AS rhythm FROM c
+WHERE coalesce(label, 'C') NOT IN ('X', '(VF', '(VT')""")
+def corrections_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections after which shockable rhythms of unknown amplitude or rate are left out."""
+    fixed = L.correct(facts(spark, sf_dir), corrections(spark, sf_dir), shockable_to_excluded=True)
+    return L.keep_rhythms(fixed, []).select("record", F.col("begin").alias("begin_t"), "rhythm")

@@ -171,3 +171,33 @@ def window_integration(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("user_id").orderBy("t")
     energy = F.sum(F.col("value") * F.col("value")).over(w.rowsBetween(-15, 0))
     return recordings(spark, sf_dir).select("event_id", F.round(F.col("value") - F.lag("value").over(w), 6).alias("slope"), F.round(energy, 4).alias("energy"))
+
+
+@query(f"""WITH {S}, k AS (SELECT unnest(range(0, 100)) AS k), p AS (SELECT k, k * {(N - 1) / 99} AS place, least(floor(k * {(N - 1) / 99}), {N - 2})::INT AS i FROM k)
+SELECT a.vec_id, k, round(a.v + (b.v - a.v) * (place - i), 6) AS v FROM p JOIN s a ON a.t = i JOIN s b ON b.vec_id = a.vec_id AND b.t = i + 1""")
+def rate_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred samples from 64, by straight lines."""
+    rows = segments(spark, sf_dir).select("vec_id", F.posexplode(A.converted(F.col("x"), N, 100)).alias("k", "v"))
+    return rows.select("vec_id", "k", F.round("v", 6).alias("v"))
+
+
+@query(f"""WITH {S}, m AS (SELECT a.vec_id, a.t - n.t AS i, max(a.v - n.v) AS far FROM s a JOIN s n ON n.vec_id = a.vec_id - a.vec_id % 10 AND n.t < 4 AND a.t >= n.t AND a.t - n.t < {N - 4} GROUP BY ALL)
+SELECT vec_id, min(i) AS place FROM m WHERE far < 0.05 GROUP BY vec_id""")
+def subsequence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each series first matches the beginning of the first one of its ten."""
+    rows = segments(spark, sf_dir)
+    needles = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("first"), F.slice("x", 1, 4).alias("needle"))
+    both = rows.join(needles, rows["vec_id"] - rows["vec_id"] % 10 == needles["first"])
+    return both.select("vec_id", A.first_match(F.col("x"), F.col("needle"), 0.05).alias("place")).where("place is not null")
+
+
+@query(f"""WITH {S}, a1 AS (SELECT a.vec_id, a.t, (a.v + b.v) * sqrt(0.5) AS a, (a.v - b.v) * sqrt(0.5) AS d FROM s a JOIN s b ON a.vec_id = b.vec_id AND b.t = (a.t + 1) % {N}),
+a2 AS (SELECT a.vec_id, a.t, (a.a + b.a) * sqrt(0.5) AS a, (a.a - b.a) * sqrt(0.5) AS d FROM a1 a JOIN a1 b ON a.vec_id = b.vec_id AND b.t = (a.t + 2) % {N})
+SELECT a1.vec_id, round(sum(a1.d ** 2), 6) AS detail1, round(sum(a2.d ** 2), 6) AS detail2, round(sum(a2.a ** 2), 6) AS rest FROM a1 JOIN a2 USING (vec_id, t) GROUP BY a1.vec_id""")
+def stationary_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy of two levels of the undecimated Haar transform."""
+    x = F.col
+    rows = once(segments(spark, sf_dir), "a1", A.stationary_level(x("x"), N, 0, A.LOW))
+    rows = once(rows, "a2", A.stationary_level(x("a1"), N, 1, A.LOW))
+    energy = {"detail1": A.stationary_level(x("x"), N, 0, A.HIGH), "detail2": A.stationary_level(x("a1"), N, 1, A.HIGH), "rest": x("a2")}
+    return rows.select("vec_id", *(F.round(A.squares(v), 6).alias(k) for k, v in energy.items()))
