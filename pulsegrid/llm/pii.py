@@ -145,16 +145,24 @@ def disclosing(documents: DataFrame, near: DataFrame, disclosure: float = DISCLO
     df_entity = entities.groupBy("entity").agg(F.count("*").alias("df_entity")).where(F.col("df_entity") >= least)
     pairs = F.transform("context", lambda c: F.transform(c["terms"], lambda t: F.struct(c["entity"].alias("entity"), t.alias("term"))))
     side = near.select(F.explode(F.array_distinct(F.flatten(pairs))).alias("p")).select("p.entity", "p.term")
-    joint = written(side.groupBy("entity", "term").agg(F.count("*").alias("joint")).where(F.col("joint") >= least), "pii_joint")
+    joint = side.groupBy("entity", "term").agg(F.count("*").alias("joint")).where(F.col("joint") >= least)
+    n = documents.agg(F.count("*").alias("n"))
+
+    def told(df_term: str) -> Column:
+        whole = F.log2(F.col("n") / F.col("df_entity"))
+        return F.when(whole > 0, F.log2(F.col("n") * F.col("joint") / (F.col(df_term) * F.col("df_entity"))) / whole)
+
+    # A term is in at least as many documents as it is in contexts. A pair that would tell
+    # too little even if it were in no others is out before the corpus is searched for it.
+    contexts = near.select(F.explode(F.array_distinct(F.flatten(F.transform("context", lambda c: c["terms"])))).alias("term"))
+    contexts = contexts.groupBy("term").agg(F.count("*").alias("df_context"))
+    joint = joint.join(df_entity, "entity").join(contexts, "term").crossJoin(F.broadcast(n))  # n: one row
+    joint = written(joint.where(told("df_context") >= disclosure).drop("df_context"), "pii_joint")
     candidates = hinted(written(joint.select("term").distinct(), "pii_terms"), BROADCAST_TERMS)
     holding = documents.select("key", F.explode(terms_of(F.col("body"))).alias("term")).join(candidates, "term")
     holding = written(holding, "pii_holding")
     df_term = holding.groupBy("term").agg(F.count("*").alias("df_term"))
-    n = documents.agg(F.count("*").alias("n"))
-    both = joint.join(df_entity, "entity").join(df_term, "term").crossJoin(F.broadcast(n))  # n: one row
-    told = F.log2(F.col("n") * F.col("joint") / (F.col("df_term") * F.col("df_entity")))
-    whole = F.log2(F.col("n") / F.col("df_entity"))
-    shares = both.groupBy("term").agg(F.max(F.when(whole > 0, told / whole)).alias("told"))
+    shares = joint.join(df_term, "term").groupBy("term").agg(F.max(told("df_term")).alias("told"))
     terms = written(shares.where(F.col("told") >= disclosure), "pii_disclosing")
     held = holding.join(hinted(terms, BROADCAST_TERMS), "term").groupBy("key")
     return terms, written(held.agg(F.collect_set(F.struct("term", "told")).alias("terms")), "pii_held")
