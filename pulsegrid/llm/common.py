@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.sources.shared import shared_dir, ship
+
+__all__ = ["hinted", "map_texts", "shared_dir", "ship", "slices", "table", "written"]
+
 #: Bytes of text that a Python worker holds as separate strings at one time.
 TEXT_BYTES = 2 << 20
 
@@ -22,27 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_pulsegrid_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/pulsegrid_{uuid.uuid4().hex[:8]}", "zip", root, "pulsegrid")
-    sc.addPyFile(archive)
-    sc._pulsegrid_shipped = True
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a
-    temporary folder of this machine where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pulsegrid/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -51,14 +30,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, most_rows: int) -> bool:
-    """Whether df (a written table, so that counting is cheap) has at most most_rows rows."""
-    return df.count() <= most_rows
+#: Bytes that a broadcast side may have, by the lengths of its values.
+BROADCAST_BYTES = 64 << 20
+
+
+def bytes_of(df: DataFrame) -> Column:
+    """Bytes of a row: eight for a number, the length of strings, binaries and of the rest as JSON."""
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType | T.BinaryType):
+            size += F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+            size += F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size += 8
+    return size
 
 
 def hinted(df: DataFrame, most_rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted size is within the bound, else as it is."""
-    return F.broadcast(df) if small_enough(df, most_rows) else df
+    """df (a written table, so that measuring it is cheap) with a broadcast hint if its rows
+    and its bytes are counted to be within the bounds, else as it is."""
+    rows, size = df.agg(F.count("*"), F.sum(bytes_of(df))).first()
+    return F.broadcast(df) if rows <= most_rows and (size or 0) <= BROADCAST_BYTES else df
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:

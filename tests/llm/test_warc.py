@@ -78,3 +78,15 @@ def test_damage_is_found():
 def test_keys_sort_by_reversed_host():
     assert warc.surt("https://www.Sub.Example.com:81/A?b#c") == "com,example,sub:81)/a?b"
     assert warc.line_key("http://a.b/", 2) < warc.line_key("http://a.b/", 10) and warc.line_key("http://a.b/", -1) < warc.line_key("http://a.b/", 0)
+
+
+def test_sql_agrees(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [r for r in ROWS if r[0] is not None]
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    theirs = con.sql(warc.ROUND_TRIP_SQL)
+    mine = warc.round_trip(spark.createDataFrame([(*r, "x", "y") for r in rows], DDL), with_payload=False).collect()
+    assert sorted(theirs.fetchall(), key=str) == sorted((tuple(r[n] for n in theirs.columns) for r in mine), key=str)
