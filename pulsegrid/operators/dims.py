@@ -11,8 +11,8 @@ def reduce(df: DataFrame, keep: list[str], value: str, along: str, ddof: int = 0
     v = F.when(~F.isnan(value), F.col(value))
     var = F.var_pop(v) if ddof == 0 else F.var_samp(v)
     return df.groupBy(*keep).agg(
-        F.bool_and(v != 0).alias("all"), F.bool_or(v != 0).alias("any"), F.min_by(along, F.struct(-v, F.col(along))).alias("argmax"),
-        F.min_by(along, F.struct(v, F.col(along))).alias("argmin"), F.max(v).alias("max"), F.min(v).alias("min"), F.avg(v).alias("mean"),
+        F.bool_and(v != 0).alias("all"), F.bool_or(v != 0).alias("any"), F.min_by(along, F.when(v.isNotNull(), F.struct(-v, F.col(along)))).alias("argmax"),
+        F.min_by(along, F.when(v.isNotNull(), F.struct(v, F.col(along)))).alias("argmin"), F.max(v).alias("max"), F.min(v).alias("min"), F.avg(v).alias("mean"),
         F.sum(v).alias("sum"), (F.max(v) - F.min(v)).alias("ptp"), F.sqrt(var).alias("std"), var.alias("var"), F.count(v).alias("n"),
     )
 
