@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -28,8 +29,6 @@ def binned(dim: Column, edges: list[tuple[float, float, str]]) -> Column:
 def equal_bins(df: DataFrame, dim: str, bins: int) -> DataFrame:
     """Append bin: the dimension's distinct coordinates in order, cut into equal counts. The
     coordinates of a dimension are few; they are numbered apart from the rows."""
-    from pyspark.sql import Window as W
-
     names = df.select(dim).distinct()
     total = names.agg(F.count("*").alias("total"))
     placed = names.withColumn("place", F.row_number().over(W.orderBy(dim)) - 1).crossJoin(F.broadcast(total))
@@ -52,6 +51,7 @@ def add_dim(df: DataFrame, name: str, values: list) -> DataFrame:
 
 
 def select(df: DataFrame, condition: str, dims: list[str]) -> DataFrame:
-    """Rows that a condition on dimensions holds for; ValueError on other columns."""
-    kept = df.select(*dims).where(condition)  # fails on names that are no dimensions
-    return df.where(condition) if kept.columns else df
+    """Rows that a condition on dimensions holds for; an AnalysisException on other columns."""
+    # An empty table of the dimensions alone: the condition has to make sense there.
+    df.sparkSession.createDataFrame([], df.select(*dims).schema).where(condition).columns  # noqa: B018
+    return df.where(condition)
