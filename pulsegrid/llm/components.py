@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import written
+from pulsegrid.llm.common import hinted, written
+
+#: Nodes whose smallest neighbours are broadcast; with more they are joined as any table.
+BROADCAST_NODES = 500_000
+
+
+def _smallest(low: DataFrame) -> DataFrame:
+    """The smallest neighbours, written: a join with them then is a broadcast, or a plain one
+    of which Spark can split the key of a node with very many neighbours."""
+    return hinted(written(low, "smallest"), BROADCAST_NODES)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
+    low = _smallest(low)
     return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
+    low = _smallest(down.groupBy("a").agg(F.min("b").alias("low")))
     moved = down.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.union(low.select("a", F.col("low").alias("b"))).distinct()
 
@@ -32,7 +42,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges = written(_small_star(written(_large_star(edges), "edges")), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -241,4 +241,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     least = reached.join(classes, "fp").groupBy("root").agg(F.min("least").alias("over_all"))
     over = reached.join(least, "root").select("fp", "over_all")
     named = classes.join(over, "fp", "left").select("fp", F.coalesce("over_all", "least").alias("component_id"))
-    return fps.join(named, "fp").select(id_col, "fp", "component_id")
+    # Both sides written: their join is then a plain one, of which Spark can split a hot key.
+    return fps.join(written(named, "named"), "fp").select(id_col, "fp", "component_id")
