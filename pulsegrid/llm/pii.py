@@ -1,12 +1,13 @@
 """Personal data: base patterns, and sanitisation by what terms disclose.
 
 Base spans (addresses, numbers) are found by patterns. Each distinct base value is a
-protected entity. Terms that stand near an entity are counted over the whole corpus: with
-df documents holding a term, df(e) an entity, and joint both side by side, the pointwise
-mutual information log2(N joint / (df df(e))) says how much the term tells of the entity,
-whose whole information is log2(N / df(e)). A term that tells nearly all of it would give
-the entity away after masking, so its occurrences become spans too: removed when it tells
-everything, generalised otherwise.
+protected entity. The terms of every document that holds an entity, outside its base spans,
+are counted over the whole corpus: with df documents holding a term, df(e) an entity, and
+joint both, the pointwise mutual information log2(N joint / (df df(e))) says how much the
+term tells of the entity, whose whole information is log2(N / df(e)). At low counts joint /
+df is taken with SMOOTHING documents more that hold the term and the entity as often as any
+document does. A term that tells nearly all of it would give the entity away after masking,
+so its occurrences become spans too: removed when it tells everything, generalised otherwise.
 
 DataFrame functions only.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import hinted, written
-from pulsegrid.llm.quality_rules import let, words_of
+from pulsegrid.llm.quality_rules import let
 
 #: Base patterns. They match as the plain ones of the contract do, leftmost and without
 #: overlap: a run is entered at its first character only and never given back, and the
@@ -29,14 +30,10 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})"
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: A term is a run of at least this many letters.
-LETTERS = r"\p{L}{4,}"
-#: Words on either side of a base span that are its context.
-CONTEXT_WORDS = 5
-CONTEXT_CHARS = 80
-#: Documents in which a term and an entity must stand side by side before their counts
-#: are taken for an estimate.
-LEAST_DOCUMENTS = 3
+#: A term is a run of letters.
+LETTERS = r"\p{L}+"
+#: Documents added to a term's, in which the entity is as frequent as in the corpus.
+SMOOTHING = 0.25
 #: Share of an entity's information at which a term discloses it.
 DISCLOSURE = 0.9
 #: Rows of term and document tables that are broadcast; with more they are joined as any.
@@ -116,54 +113,58 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), F.lower))
 
 
-def context(text: Column, spans: Column) -> Column:
-    """Array of (entity, terms): the terms among the words next to each span."""
+def outside(text: Column, spans: Column) -> Column:
+    """The text without its spans, which come sorted by start."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def near(s: Column) -> Column:
-        first = F.greatest(F.lit(0), s["start"] - CONTEXT_CHARS)
-        before = words_of(F.substring(text, first + 1, s["start"] - first))
-        after = words_of(F.substring(text, s["end"] + 1, F.lit(CONTEXT_CHARS)))
-        # A word that the cut may have split is left out.
-        before = F.slice(before, F.when((first > 0) & (F.size(before) > 0), 2).otherwise(1), F.greatest(F.lit(0), F.size(before)))
-        after = F.slice(after, 1, F.when(F.length(text) > s["end"] + CONTEXT_CHARS, F.greatest(F.lit(0), F.size(after) - 1)).otherwise(F.size(after)))
-        before = F.slice(F.reverse(before), 1, CONTEXT_WORDS)
-        words = F.concat_ws(" ", before, F.slice(after, 1, CONTEXT_WORDS))
-        return F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), terms_of(words).alias("terms"))
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.lit(" ")).alias("out"))
 
-    return F.transform(spans, near)
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def disclosing(documents: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
+def disclosing(documents: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
     """(terms that disclose an entity, documents that hold them).
 
-    documents has key (struct) and body (string); near has key and context of the documents
-    with a base span. The first result has term and told, the largest share of an entity's
-    information that it tells; the second key and terms.
+    documents has key (struct) and body (string); near has row (a number of its own for every
+    row), base and terms of the documents with a base span. The first result has term and
+    told, the largest share of an entity's information that it tells; the second key and terms.
     """
     # Counts are of rows; within a row an entity, or a pair, counts once.
-    entities = near.select(F.explode(F.array_distinct(F.transform("context", lambda c: c["entity"]))).alias("entity"))
-    df_entity = entities.groupBy("entity").agg(F.count("*").alias("df_entity")).where(F.col("df_entity") >= least)
-    pairs = F.transform("context", lambda c: F.transform(c["terms"], lambda t: F.struct(c["entity"].alias("entity"), t.alias("term"))))
-    side = near.select(F.explode(F.array_distinct(F.flatten(pairs))).alias("p")).select("p.entity", "p.term")
-    joint = side.groupBy("entity", "term").agg(F.count("*").alias("joint")).where(F.col("joint") >= least)
+    named = F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))
+    rows = near.select("row", F.explode(F.array_distinct(named)).alias("entity"))
+    places = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"places{k}") for k in (1, 2)]
+    entities = rows.groupBy("entity").agg(F.count("*").alias("df_entity"), *places)
+    # What stands in the same rows is told of by the same terms: one stands for all of them.
+    entities = entities.groupBy("df_entity", "places1", "places2").agg(F.min("entity").alias("entity"))
     n = documents.agg(F.count("*").alias("n"))
-
-    def told(df_term: str) -> Column:
-        whole = F.log2(F.col("n") / F.col("df_entity"))
-        return F.when(whole > 0, F.log2(F.col("n") * F.col("joint") / (F.col(df_term) * F.col("df_entity"))) / whole)
-
-    # A term is in at least as many documents as it is in contexts. A pair that would tell
-    # too little even if it were in no others is out before the corpus is searched for it.
-    contexts = near.select(F.explode(F.array_distinct(F.flatten(F.transform("context", lambda c: c["terms"])))).alias("term"))
-    contexts = contexts.groupBy("term").agg(F.count("*").alias("df_context"))
-    joint = joint.join(df_entity, "entity").join(contexts, "term").crossJoin(F.broadcast(n))  # n: one row
-    joint = written(joint.where(told("df_context") >= disclosure).drop("df_context"), "pii_joint")
+    entities = written(entities.select("entity", "df_entity").crossJoin(F.broadcast(n)), "pii_entities")  # n: one row
+
+    def share(joint: Column, df_term: Column, smoothing: float = 0.0) -> Column:
+        often = F.col("df_entity") / F.col("n")
+        seen = joint * F.col("n") / (df_term * F.col("df_entity"))
+        if smoothing:
+            seen = (joint + smoothing * often) / ((df_term + smoothing) * often)
+        return F.when(often < 1, F.log2(seen) / F.log2(1 / often))
+
+    # A term is in at least as many documents as it is in contexts, and beside an entity in at
+    # most as many as either. What would tell too little even so is out before pairs are made.
+    # Not smoothed the bound only grows with df_entity: the largest one's holds for all.
+    loose, bound = (share(F.least("df_entity", "df_context"), F.col("df_context"), a) >= disclosure for a in (0.0, SMOOTHING))
+    side = near.select("row", F.explode("terms").alias("term"))
+    most = entities.where("df_entity < n").agg(F.max("df_entity").alias("df_entity"), F.max("n").alias("n"))
+    contexts = side.groupBy("term").agg(F.count("*").alias("df_context")).crossJoin(F.broadcast(most)).where(loose)  # most: one row
+    contexts = hinted(written(contexts.select("term", "df_context"), "pii_contexts"), BROADCAST_TERMS)
+    pairs = side.join(contexts, "term").join(rows.join(hinted(entities, BROADCAST_TERMS), "entity"), "row").where(bound)
+    joint = pairs.groupBy("entity", "term", "df_entity", "df_context", "n").agg(F.count("*").alias("joint"))
+    joint = written(joint.where(share(F.col("joint"), F.col("df_context"), SMOOTHING) >= disclosure), "pii_joint")
     candidates = hinted(written(joint.select("term").distinct(), "pii_terms"), BROADCAST_TERMS)
     holding = documents.select("key", F.explode(terms_of(F.col("body"))).alias("term")).join(candidates, "term")
     holding = written(holding, "pii_holding")
     df_term = holding.groupBy("term").agg(F.count("*").alias("df_term"))
-    shares = joint.join(df_term, "term").groupBy("term").agg(F.max(told("df_term")).alias("told"))
-    terms = written(shares.where(F.col("told") >= disclosure), "pii_disclosing")
+    tell = joint.join(df_term, "term").where(share(F.col("joint"), F.col("df_term"), SMOOTHING) >= disclosure)
+    terms = written(tell.groupBy("term").agg(F.max(share(F.col("joint"), F.col("df_term"))).alias("told")), "pii_disclosing")
     held = holding.join(hinted(terms, BROADCAST_TERMS), "term").groupBy("key")
     return terms, written(held.agg(F.collect_set(F.struct("term", "told")).alias("terms")), "pii_held")
 
@@ -182,9 +183,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: b
     documents = df.select(key.alias("key"), body.alias("body"))
     # explode of one element: what reads the spans cannot be merged with their making.
     based = documents.withColumn("base", F.explode(F.array(base_spans(F.col("body")))))
-    found = based.select("key", "base", F.when(F.size("base") > 0, context(F.col("body"), F.col("base"))).alias("context"))
-    found = written(found, "pii_base")
-    _, held = disclosing(documents, found.where("context is not null"), **limits)
+    terms = F.when(F.size("base") > 0, terms_of(outside(F.col("body"), F.col("base"))))
+    found = written(based.select("key", "base", terms.alias("terms"), F.monotonically_increasing_id().alias("row")), "pii_base")
+    _, held = disclosing(documents, found.where("terms is not null"), **limits)
+    found = found.drop("terms", "row")
 
     terms = F.transform("terms", lambda t: t["term"])
     placed = located(F.col("body"), LETTERS, lambda v: F.array_contains("names", F.lower(v)))

@@ -82,6 +82,19 @@ def test_disclosing_terms(spark):
     assert pii.scan(df.limit(0)).count() == 0
 
 
+def test_entities_of_one_and_two_documents(spark):
+    far = " ".join(["common"] * 40)
+    rows = [(i, story(i, "ordinary", f"m{i}@example.com")) for i in range(40)] + [(i, story(i, "nobody", "nothing")) for i in range(40, 100)]
+    rows += [(200, f"Quetzal {far} {story(3, 'nobody', 'one@single.org')}")]
+    rows += [(201 + k, f"{story(4 + k, 'nobody', 'two@double.org')} {far} Wu") for k in range(2)]
+    rows = [(i, t + " hot@all.org" * (i % 2 == 0)) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.scan(df, with_text=True).collect():
+        terms = {s.value for s in r.spans if s.kind == pii.TERM}
+        assert terms == {200: {"Quetzal"}, 201: {"Wu"}, 202: {"Wu"}}.get(r.doc_id, set()), r.doc_id
+        assert "Quetzal" not in r.sanitised and "Wu" not in r.sanitised
+
+
 def test_no_python_on_the_executors(spark):
     df = spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string")
     plan = pii.scan(df)._jdf.queryExecution().executedPlan().toString()
