@@ -6,9 +6,11 @@ meet at the node (a join of the edges with the vectors), every pair of them that
 together before is compared, and each node keeps its nearest. Rounds end when few edges
 change. A query starts at its own node and walks the graph: its best unexpanded candidates
 are joined with the graph, their neighbours are scored, and so on until the best of them
-are all expanded. The survivors are scored exactly, in double precision.
+are all expanded. All survivors are scored exactly, in double precision.
 
-The graph and the walk work on vectors rounded to bytes; every row is a node of the graph.
+The graph and the walk work on unit vectors of single precision; every row is a node of the graph.
+`sim` is the negated squared distance of two unit vectors, which orders as the cosine does and
+keeps its digits where near copies have cosines close to one.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Ite
     def out() -> dict[str, np.ndarray]:
         table = pa.Table.from_batches(held)
         return {
-            n: np.frombuffer(b"".join(table[n].to_pylist()), np.int8).reshape(table.num_rows, -1) if n == "q" else table[n].to_numpy()
+            n: np.frombuffer(b"".join(table[n].to_pylist()), np.float32).reshape(table.num_rows, -1) if n == "q" else table[n].to_numpy()
             for n in table.column_names
         }
 
@@ -100,25 +102,29 @@ def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: i
         yield edges_out(*(np.concatenate(x) for x in zip(*held)))
 
 
-def quantised(nodes: DataFrame) -> tuple[DataFrame, float]:
-    """(id, q): unit vectors as bytes, and the factor from their products to cosines."""
+def units(nodes: DataFrame) -> DataFrame:
+    """(id, q): unit vectors as bytes of single precision."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
-    unit = F.transform("vector", lambda x: x / norm)
-    units = nodes.select(F.col("node").alias("id"), unit.alias("unit"))
-    top = units.agg(F.max(F.array_max(F.transform("unit", F.abs)))).first()[0] or 1.0
+    made = nodes.select(F.col("node").alias("id"), "vector", norm.alias("norm"))
+    made = made.select("id", F.transform("vector", lambda x: x / F.col("norm")).alias("unit"))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("q", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit = batch.column("unit")
             flat = unit.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1))
-            q = np.rint(flat * (127 / top)).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in q], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in flat.astype(np.float32)], pa.binary())], names=schema.names)
 
-    return units.mapInArrow(run, schema), (top / 127) ** 2
+    return made.mapInArrow(run, schema)
 
 
-def first_graph(vectors: DataFrame, n: int, dim: int, factor: float) -> DataFrame:
+def closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The negated squared distance of every row of a to every row of b, in double precision."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    return 2 * (a @ b.T) - (a * a).sum(axis=1)[:, None] - (b * b).sum(axis=1)
+
+
+def first_graph(vectors: DataFrame, n: int, dim: int) -> DataFrame:
     """Edges from random hyperplane leaves: a leaf's nodes are compared with one another."""
     planes = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
     normals = np.random.default_rng(SEED).standard_normal((TREES, dim, planes)).astype(np.float32)
@@ -128,7 +134,7 @@ def first_graph(vectors: DataFrame, n: int, dim: int, factor: float) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            q = np.frombuffer(b"".join(batch.column("q").to_pylist()), np.int8).reshape(batch.num_rows, -1).astype(np.float32)
+            q = np.frombuffer(b"".join(batch.column("q").to_pylist()), np.float32).reshape(batch.num_rows, -1)
             for tree in range(TREES):
                 bits = (q @ normals[tree] > 0).astype(np.int64)
                 leaf = bits @ (1 << np.arange(planes, dtype=np.int64)) * TREES + tree
@@ -137,16 +143,16 @@ def first_graph(vectors: DataFrame, n: int, dim: int, factor: float) -> DataFram
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
             for g in sorted_groups(batches, "leaf", BLOCK):
-                q, ids = g["q"].astype(np.float32), g["id"]
+                q, ids = g["q"], g["id"]
                 k = min(LEAF_NEAREST, len(ids) - 1)
                 if k < 1:
                     continue
                 for start in range(0, len(ids), 512):
-                    sims = q[start : start + 512] @ q.T
+                    sims = closeness(q[start : start + 512], q)
                     at = np.arange(len(sims))
                     sims[at, start + at] = -np.inf
                     best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                    yield np.repeat(ids[start + at], k), ids[best].ravel(), (np.take_along_axis(sims, best, 1) * factor).ravel()
+                    yield np.repeat(ids[start + at], k), ids[best].ravel(), np.take_along_axis(sims, best, 1).ravel()
 
         return gathered(parts())
 
@@ -161,7 +167,7 @@ def nearest(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
     return once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= degree).drop("n")
 
 
-def descend(graph: DataFrame, vectors: DataFrame, factor: float) -> DataFrame:
+def descend(graph: DataFrame, vectors: DataFrame) -> DataFrame:
     """One round: candidate edges from the meetings at every node."""
     both = graph.select(F.col("u").alias("at"), F.col("v").alias("id"), "fresh")
     both = both.union(graph.select(F.col("v").alias("at"), F.col("u").alias("id"), "fresh"))
@@ -169,15 +175,15 @@ def descend(graph: DataFrame, vectors: DataFrame, factor: float) -> DataFrame:
     members = both.groupBy("at", "id").agg(F.max("fresh").alias("fresh"))
     members = members.withColumn("n", F.row_number().over(w)).where(F.col("n") <= MEETING).drop("n")
     worst = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("held"))
-    least = F.when(F.col("held") >= DEGREE, F.col("worst")).otherwise(F.lit(-2.0)).cast("float")
-    known = vectors.join(worst, vectors["id"] == worst["u"], "left").select("id", "q", F.coalesce(least, F.lit(-2.0).cast("float")).alias("worst"))
+    least = F.when(F.col("held") >= DEGREE, F.col("worst")).otherwise(F.lit(-5.0)).cast("float")
+    known = vectors.join(worst, vectors["id"] == worst["u"], "left").select("id", "q", F.coalesce(least, F.lit(-5.0).cast("float")).alias("worst"))
     met = members.join(known, "id").repartition("at").sortWithinPartitions("at")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
             for g in sorted_groups(batches, "at", MEETING):
-                q, ids, fresh = g["q"].astype(np.float32), g["id"], g["fresh"].astype(bool)
-                sims = q @ q.T * factor
+                q, ids, fresh = g["q"], g["id"], g["fresh"].astype(bool)
+                sims = closeness(q, q)
                 better = (sims > g["worst"][:, None]) & (fresh[:, None] | fresh)
                 np.fill_diagonal(better, False)
                 i, j = np.nonzero(better)
@@ -189,11 +195,11 @@ def descend(graph: DataFrame, vectors: DataFrame, factor: float) -> DataFrame:
     return met.select("at", "id", "fresh", "q", "worst").mapInArrow(meet, EDGE)
 
 
-def build(vectors: DataFrame, n: int, dim: int, factor: float) -> DataFrame:
+def build(vectors: DataFrame, n: int, dim: int) -> DataFrame:
     """The neighbour graph (u, v, sim, fresh) of all vectors."""
-    graph = written(nearest(first_graph(vectors, n, dim, factor).withColumn("fresh", F.lit(True))), "graph")
+    graph = written(nearest(first_graph(vectors, n, dim).withColumn("fresh", F.lit(True))), "graph")
     for _ in range(ROUNDS):
-        found = descend(graph, vectors, factor).withColumn("fresh", F.lit(True))
+        found = descend(graph, vectors).withColumn("fresh", F.lit(True))
         graph = written(nearest(graph.withColumn("fresh", F.lit(False)).unionByName(found)), "graph")
         total, fresh = graph.agg(F.count("*"), F.count_if("fresh")).first()
         if fresh <= SETTLED * total:
@@ -201,21 +207,21 @@ def build(vectors: DataFrame, n: int, dim: int, factor: float) -> DataFrame:
     return graph
 
 
-def cosines(rows: DataFrame, factor: float) -> DataFrame:
-    """(s, node, sim) from rows (s, node, a, b): the cosines of two columns of bytes."""
+def scored(rows: DataFrame) -> DataFrame:
+    """(s, node, sim) from rows (s, node, a, b): the closeness of two columns of vectors."""
     schema = T.StructType([T.StructField("s", T.LongType()), T.StructField("node", T.LongType()), T.StructField("sim", T.FloatType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int8).reshape(batch.num_rows, -1).astype(np.float32) for c in "ab")
-                sim = np.einsum("ij,ij->i", a, b) * factor
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(np.float64) for c in "ab")
+                sim = -((a - b) ** 2).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("node"), pa.array(sim, pa.float32())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def walk(starts: DataFrame, graph: DataFrame, vectors: DataFrame, factor: float) -> DataFrame:
+def walk(starts: DataFrame, graph: DataFrame, vectors: DataFrame) -> DataFrame:
     """(s, node, sim): the best candidates of each start node s, by greedy search."""
     # Reverse edges too, of each node its nearest: a node may be near one that has nearer ones.
     near = W.partitionBy("u").orderBy(F.desc("sim"), "v")
@@ -223,7 +229,7 @@ def walk(starts: DataFrame, graph: DataFrame, vectors: DataFrame, factor: float)
     edges = written(graph.select("u", "v").union(back.select("u", "v")).distinct(), "walked")
     a = starts.join(vectors, starts["s"] == vectors["id"]).select("s", F.col("q").alias("a"))
     a = written(a, "starts")
-    pool = a.select("s", F.col("s").alias("node"), F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("done"))
+    pool = a.select("s", F.col("s").alias("node"), F.lit(0.0).cast("float").alias("sim"), F.lit(False).alias("done"))
     by = W.partitionBy("s").orderBy(F.desc("sim"), "node")
     ahead = W.partitionBy("s", "done").orderBy(F.desc("sim"), "node")
     for _ in range(HOPS):
@@ -235,7 +241,7 @@ def walk(starts: DataFrame, graph: DataFrame, vectors: DataFrame, factor: float)
         reached = go.join(edges, go["node"] == edges["u"]).select("s", F.col("v").alias("node")).distinct()
         reached = reached.join(pool.select("s", "node"), ["s", "node"], "left_anti")
         rows = reached.join(vectors, reached["node"] == vectors["id"]).select("s", "node", F.col("q").alias("b")).join(a, "s")
-        new = cosines(rows.select("s", "node", "a", "b"), factor).withColumn("done", F.lit(False))
+        new = scored(rows.select("s", "node", "a", "b")).withColumn("done", F.lit(False))
         old = pool.select("s", "node", "sim", (F.col("done") | F.col("go")).alias("done"))
         pool = old.unionByName(new).withColumn("n", F.row_number().over(by)).where(F.col("n") <= BEAM).drop("n")
     return pool.select("s", "node", "sim")
@@ -268,17 +274,14 @@ def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", v
     members = ranked.groupBy("vector").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     members = written(members, "nodes")
     n = members.count()
-    vectors, factor = quantised(members)
-    vectors = written(vectors, "bytes")
-    graph = build(vectors, n, dim, factor)
+    vectors = written(units(members), "units")
+    graph = build(vectors, n, dim)
     asking = rows.where("asks").join(members, "vector").select(F.col("vec_id").alias("query_id"), "node")
     asking = written(asking, "asking")
-    found = walk(asking.select(F.col("node").alias("s")).distinct(), graph, vectors, factor)
-    # The best by bytes, with room for their rounding, are scored exactly.
-    best = found.withColumn("n", F.row_number().over(W.partitionBy("s").orderBy(F.desc("sim"), "node"))).where(F.col("n") <= 6 * k)
+    found = walk(asking.select(F.col("node").alias("s")).distinct(), graph, vectors)
     mine = members.select(F.col("node").alias("s"), F.col("vector").alias("a"))
     theirs = members.select("node", F.col("vector").alias("b"), "ids")
-    exact = best.join(theirs, "node").join(mine, "s").select("s", cosine(F.col("a"), F.col("b")).alias("score"), F.explode("ids").alias("vec_id"))
+    exact = found.join(theirs, "node").join(mine, "s").select("s", cosine(F.col("a"), F.col("b")).alias("score"), F.explode("ids").alias("vec_id"))
     top = exact.withColumn("n", F.row_number().over(W.partitionBy("s").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).drop("n")
     answers = asking.join(written(top, "answers"), asking["node"] == F.col("s")).where("query_id <> vec_id")
     by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

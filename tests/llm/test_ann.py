@@ -62,6 +62,15 @@ def test_small_and_odd_tables_are_exact(spark):
             assert sorted(i for i, _ in got[q]) == sorted(i for i, _ in truth[q]) or got[q][0][1] > 0.999999999999
 
 
+def test_recall_among_near_copies(spark):
+    rng = np.random.default_rng(5)
+    tight = rng.standard_normal(24) + 0.02 * rng.standard_normal((2000, 24))
+    rows = list(enumerate(np.concatenate([tight, rng.standard_normal((4000, 24)), [[9.0] + [0.0] * 23]]).tolist()))
+    truth, got = brute(rows), answers(spark, rows)
+    hits = [len({i for i, _ in truth[q]} & {i for i, _ in got[q]}) for q in truth if q < 2000]
+    assert sum(hits) / (5 * len(hits)) >= 0.95
+
+
 def test_few_rows(spark):
     assert answers(spark, []) == {}
     assert answers(spark, [(0, [1.0, 0.0])]) == {}
