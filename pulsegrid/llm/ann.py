@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy search over it.
 
-Distinct vectors are the nodes. A first graph comes from random hyperplane leaves, compared
-within themselves. Then rounds of NN-descent: each node's neighbours and reverse neighbours
+Distinct vectors are the nodes. A first graph comes from trees of random planes that halve
+a sample at its medians, so tight groups are spread over many leaves; leaves are compared
+within themselves, one over BLOCK in slabs along a direction of the tree's own. Then rounds of NN-descent: each node's neighbours and reverse neighbours
 meet at the node (a join of the edges with the vectors), every pair of them that was not
 together before is compared, and each node keeps its nearest. Rounds end when few edges
 change. A query starts at its own node and walks the graph: its best unexpanded candidates
@@ -31,6 +32,8 @@ DEGREE = 24
 TREES = 8
 #: Nodes that a hyperplane leaf aims at, and the most that are compared with one another.
 LEAF, BLOCK = 1500, 4096
+#: Bytes of the sample that the trees are cut by, and its rows in a leaf at least.
+SAMPLE_BYTES, LEAF_SAMPLE = 16 << 20, 16
 #: Neighbours that a leaf hands on for a node.
 LEAF_NEAREST = 12
 #: Members of a node's meeting: those new to it first, in a hashed order.
@@ -124,11 +127,38 @@ def closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2 * (a @ b.T) - (a * a).sum(axis=1)[:, None] - (b * b).sum(axis=1)
 
 
+def halved(sample: np.ndarray, normals: np.ndarray) -> list[np.ndarray]:
+    """By level of a tree, the medians of the sample's projections in each of its parts."""
+    leaf, cuts = np.zeros(len(sample), np.int64), []
+    for level in range(normals.shape[1]):
+        along = sample @ normals[:, level]
+        order = np.lexsort((along, leaf))
+        ends = np.searchsorted(leaf[order], np.arange((1 << level) + 1))
+        cut = np.zeros(1 << level, np.float32)
+        full = np.flatnonzero(ends[1:] > ends[:-1])
+        cut[full] = along[order[(ends[full] + ends[full + 1]) // 2]]
+        leaf = leaf * 2 + (along > cut[leaf])
+        cuts.append(cut)
+    return cuts
+
+
+def leaf_of(q: np.ndarray, normals: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    leaf = np.zeros(len(q), np.int64)
+    for level, cut in enumerate(cuts):
+        leaf = leaf * 2 + (q @ normals[:, level] > cut[leaf])
+    return leaf
+
+
 def first_graph(vectors: DataFrame, n: int, dim: int) -> DataFrame:
-    """Edges from random hyperplane leaves: a leaf's nodes are compared with one another."""
+    """Edges from the leaves of random trees: a leaf's nodes are compared with one another."""
+    part = max(1, int(np.ceil(n * 4 * dim / SAMPLE_BYTES)))
+    taken = vectors.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(part)) == 0).select("q").toArrow()["q"].to_pylist()
+    sample = np.frombuffer(b"".join(taken), np.float32).reshape(len(taken), dim)
     planes = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
-    normals = np.random.default_rng(SEED).standard_normal((TREES, dim, planes)).astype(np.float32)
-    dealt = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("id", T.LongType()), T.StructField("q", T.BinaryType())])
+    planes = min(planes, int(np.log2(max(len(sample) / LEAF_SAMPLE, 1))))
+    normals = np.random.default_rng(SEED).standard_normal((TREES, dim, planes + 1)).astype(np.float32)
+    cuts = [halved(sample, normals[tree, :, :planes]) for tree in range(TREES)]
+    dealt = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("along", T.FloatType()), T.StructField("id", T.LongType()), T.StructField("q", T.BinaryType())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,9 +166,9 @@ def first_graph(vectors: DataFrame, n: int, dim: int) -> DataFrame:
                 continue
             q = np.frombuffer(b"".join(batch.column("q").to_pylist()), np.float32).reshape(batch.num_rows, -1)
             for tree in range(TREES):
-                bits = (q @ normals[tree] > 0).astype(np.int64)
-                leaf = bits @ (1 << np.arange(planes, dtype=np.int64)) * TREES + tree
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("id"), batch.column("q")], names=dealt.names)
+                leaf = leaf_of(q, normals[tree], cuts[tree]) * TREES + tree
+                along = pa.array(q @ normals[tree, :, planes], pa.float32())
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), along, batch.column("id"), batch.column("q")], names=dealt.names)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
@@ -156,7 +186,7 @@ def first_graph(vectors: DataFrame, n: int, dim: int) -> DataFrame:
 
         return gathered(parts())
 
-    leaves = vectors.mapInArrow(deal, dealt).repartition("leaf").sortWithinPartitions("leaf", F.xxhash64("id"))
+    leaves = vectors.mapInArrow(deal, dealt).repartition("leaf").sortWithinPartitions("leaf", "along", "id")
     return leaves.mapInArrow(near, EDGE)
 
 

@@ -71,6 +71,22 @@ def test_recall_among_near_copies(spark):
     assert sum(hits) / (5 * len(hits)) >= 0.95
 
 
+def test_leaves_of_a_tight_group_are_bounded(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal(16) + 0.02 * rng.standard_normal((10000, 16)), rng.standard_normal((20000, 16))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, q binary")
+    near = {}
+    for r in ann.first_graph(df, len(x), 16).where("u < 10000 and u % 50 = 0").collect():
+        near.setdefault(r.u, set()).add(r.v)
+    hits = 0
+    for u, found in near.items():
+        far = ((x.astype(float) - x[u]) ** 2).sum(axis=1)
+        far[u] = np.inf
+        hits += len(set(np.argsort(far)[:5].tolist()) & found)
+    assert len(near) == 200 and hits / 1000 >= 0.8, hits
+
+
 def test_few_rows(spark):
     assert answers(spark, []) == {}
     assert answers(spark, [(0, [1.0, 0.0])]) == {}
