@@ -29,6 +29,9 @@ LINE_SYMBOLS = 0.06
 SHOUTED_WORDS = 3
 #: A line of separators between at most this many words each is a menu.
 MENU = r"^[^|»›·\n]{1,40}([|»›·][^|»›·\n]{1,40}){2,}$"
+#: Lines of at most these characters and words that no punctuation ends, this many in a row,
+#: are a menu. (RULES_SQL knows only menus of one line of up to 2000 characters.)
+ENTRY_CHARS, ENTRY_WORDS, SERIES = 40, 3, 4
 #: A document is rejected when failing lines hold over this share of its characters.
 MOST_LOST = 0.5
 
@@ -65,7 +68,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def judged(line: Column) -> Column:
-    """Struct of a line, its length, its symbols, whether it has a word, and whether it fails."""
+    """Struct of a line, its length, its symbols, whether it has a word, fails, and is short and unfinished."""
 
     def verdict(sized: Column) -> Column:
         line, length, n_symbols = sized["line"], sized["length"], sized["n_symbols"]
@@ -75,16 +78,38 @@ def judged(line: Column) -> Column:
             phrase = phrase | F.contains(lower, F.lit(stock))
         symbols = n_symbols > F.lit(LINE_SYMBOLS) * length
         shouting = (line == upper) & (line != lower) & (F.size(words_of(line)) >= SHOUTED_WORDS)
-        menu = F.rlike(F.substring(line, 1, 2000), F.lit(MENU)) & (length <= 2000)
+        menu = let(F.split(line, "[|»›·]", -1), lambda p: (F.size(p) >= 3) & F.forall(p, lambda x: F.length(x).between(1, 40)))
+        short = (length <= ENTRY_CHARS) & (F.size(words_of(line)) <= ENTRY_WORDS) & ~F.rlike(line, F.lit(r"[.!?:;,…。！？][\"'”’)\]]*[ \t-\r]*$"))
         has_word = F.rlike(line, F.lit(r"[^ \t-\r]"))
         return F.struct(
             line.alias("line"), length.alias("length"), n_symbols.alias("n_symbols"), has_word.alias("has_word"),
-            (has_word & (symbols | shouting | menu | phrase)).alias("fails"),
+            (has_word & (symbols | shouting | menu | phrase)).alias("fails"), (has_word & short).alias("short"),
         )
 
     return let(F.struct(line.alias("line"), F.length(line).alias("length"), F.regexp_count(line, F.lit(SYMBOLS)).alias("n_symbols")), verdict)
 
 
+def navigation(lines: Column) -> Column:
+    """The judged lines; of SERIES short unfinished ones in a row, where lines without a word
+    may stand one between each, all fail."""
+
+    def span(x: Column, i: Column, first: int, step: int) -> Column:
+        at = lambda k: F.get(lines, i + k)
+        found = F.lit(True)
+        for k in range(first, first + (SERIES - 1) * step + 1):
+            found = found & F.coalesce(at(k)["short"] if (k - first) % step == 0 else ~at(k)["has_word"], F.lit(False))
+        return found
+
+    def verdict(x: Column, i: Column) -> Column:
+        series = F.lit(False)
+        for step in (1, 2):
+            for back in range(SERIES):
+                series = series | span(x, i, -back * step, step)
+        return x.withField("fails", x["fails"] | (x["short"] & series))
+
+    return F.transform(lines, verdict)
+
+
 def apply_rules(df: DataFrame, text: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
     """Append n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines
     (long), lost_share (double), cleaned_text (string), base_failed and kept (boolean) to df.
@@ -118,7 +143,7 @@ def apply_rules(df: DataFrame, text: str = "text", most_lost: float = MOST_LOST)
         )
 
     words = let(words_of(body), by_words)
-    lines = let(F.transform(F.split(body, "\n"), judged), by_lines)
+    lines = let(let(F.transform(F.split(body, "\n"), judged), navigation), by_lines)
     # Each struct comes out of an explode of one element, which no later projection can be
     # merged into: its fields are then read, not computed again.
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "lost_share", "cleaned_text", "base_failed", "kept")

@@ -60,6 +60,17 @@ def test_against_brute_force(spark):
     assert rules.apply_rules(df.limit(0)).count() == 0
 
 
+def test_menus_of_many_lines_and_long_ones(spark):
+    entries = [f"Entry {i}" for i in range(40)]
+    menus = ["\n".join(entries), "\n\n".join(entries), " » ".join(f"Go{i} to{i} page{i}" for i in range(200))]
+    plain = " ".join(f"word{i}" for i in range(60)) + "."
+    rows = [*enumerate(menus), (3, "\n".join(["A title", "", plain, "Two words", "three", plain.replace("word", "term")])), (4, menus[0] + "\n" + plain)]
+    by = {r.doc_id: r for r in rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(by[i].base_failed or by[i].kept or by[i].cleaned_text.strip() for i in range(3))
+    assert by[3].kept and by[3].n_failed_lines == 0
+    assert by[4].n_failed_lines == 40 and by[4].cleaned_text == plain
+
+
 def test_no_python_on_the_executors(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = rules.apply_rules(df)._jdf.queryExecution().executedPlan().toString()
