@@ -21,11 +21,12 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import hinted, shared_dir, written
+from pulsegrid.llm.common import hinted, shared_dir, slices, written
 
 #: Payloads shorter than this are stored again each time.
 LEAST_BYTES = 1000
@@ -33,11 +34,17 @@ LEAST_BYTES = 1000
 ARCHIVE_BYTES = 1 << 28
 LEVEL = 4
 #: Lines of an index block: this, or more where the directory would pass MOST_BLOCKS.
-BLOCK_LINES, MOST_BLOCKS = 1000, 500_000
+BLOCK_LINES, MOST_BLOCKS = 1000, 200_000
+#: Characters of a key that the directory holds: with MOST_BLOCKS the bound of its size.
+DIRECTORY_CHARS = 128
+#: Wanted keys of one block that are searched at once.
+ASKED = 10_000
 #: Duplicate digests that are broadcast; more are joined as any table.
 BROADCAST_DIGESTS = 200_000
 #: Bytes of an archive that one reading task takes.
-READ_BYTES = 16 << 20
+READ_BYTES = 4 << 20
+#: Records that a reading task holds at one time.
+PAGES = 256
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:pulsegrid:page:"
@@ -54,6 +61,7 @@ CAPTURE = T.StructType(
 )
 BLOCK = T.StructType(
     [
+        T.StructField("block", T.LongType()),
         T.StructField("first", T.StringType()),
         T.StructField("last", T.StringType()),
         T.StructField("n", T.LongType()),
@@ -164,7 +172,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
         system, root = file_system(folder)
         system.create_dir(root, recursive=True)
         out, path, at = None, "", 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "payload")):
             found = []
             for row in batch.to_pylist():
                 if out is None or at >= ARCHIVE_BYTES:
@@ -186,56 +194,64 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
 
 
 def index(captures: DataFrame) -> DataFrame:
-    """Blocks (first, last, n, data) of the captures sorted by key: compressed lines of key,
-    file, offset and length. Holds one block's lines at a time."""
+    """Blocks (block, first, last, n, data) of the captures sorted by key: compressed lines of
+    key, file, offset and length. Holds one block's lines at a time. block is a number of the
+    block's own: the lines of a key that many captures have may fill several blocks."""
     size = max(BLOCK_LINES, -(-captures.count() // MOST_BLOCKS))
 
-    def block(lines: list[str]) -> tuple:
-        return lines[0].split("\t", 1)[0], lines[-1].split("\t", 1)[0], len(lines), zlib.compress("\n".join(lines).encode(), 6)
+    def made(block: int, lines: list[str]) -> pa.RecordBatch:
+        first, last = (lines[i].split("\t", 1)[0] for i in (0, -1))
+        data = zlib.compress("\n".join(lines).encode(), 6)
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block, first, last, len(lines), data), kinds, strict=True)], names=BLOCK.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(blocks: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*blocks), (pa.string(), pa.string(), pa.int64(), pa.binary()))], names=BLOCK.names)
-
-        lines: list[str] = []
+        block, lines = TaskContext.get().partitionId() << 32, []
         for batch in batches:
             for row in batch.to_pylist():
                 lines.append(f"{row['key']}\t{row['file']}\t{row['offset']}\t{row['length']}")
                 if len(lines) == size:
-                    yield out([block(lines)])
-                    lines = []
+                    yield made(block, lines)
+                    block, lines = block + 1, []
         if lines:
-            yield out([block(lines)])
+            yield made(block, lines)
 
     order = ["key", "file", "offset"]
     parts = max(1, captures.rdd.getNumPartitions())
     return written(captures.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, BLOCK), "blocks")
 
 
-def directory(blocks: DataFrame) -> list[tuple[str, str]]:
-    """The sparse directory: (first, last) of every block in order, MOST_BLOCKS and one per
-    partition at most."""
-    return sorted((r["first"], r["last"]) for r in blocks.select("first", "last").collect())
+def directory(blocks: DataFrame) -> list[tuple[bytes, bytes, int]]:
+    """The sparse directory: (first, last, block) of every block in order, keys cut to
+    DIRECTORY_CHARS; of MOST_BLOCKS and one per partition at most."""
+    ends = (F.substring(c, 1, DIRECTORY_CHARS).alias(c) for c in ("first", "last"))
+    # Keys are ASCII but for characters of the URL: compared as UTF-8, as Spark sorts them.
+    return sorted((r["first"].encode(), r["last"].encode(), r["block"]) for r in blocks.select(*ends, "block").collect())
 
 
 def lookup(keys: DataFrame, blocks: DataFrame) -> DataFrame:
     """Captures (key, file, offset, length) of the wanted line keys (column key).
 
-    Keys that no line has give no row; a key that several lines have gives them all.
+    Keys that no line has give no row; a key that several lines have gives each of them once,
+    however many blocks they fill and however often the key is asked for.
     """
     spark = keys.sparkSession
     table = spark.sparkContext.broadcast(directory(blocks))
-    wanted = T.StructType([T.StructField("first", T.StringType()), T.StructField("last", T.StringType()), T.StructField("key", T.StringType())])
+    wanted = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(T.StringType()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, lasts = [f for f, _ in table.value], [last for _, last in table.value]
+        """Blocks that may hold each key. Keys come sorted, so those of a block together."""
+        firsts, lasts, numbers = zip(*table.value) if table.value else ((), (), ())
         for batch in batches:
-            found = []
+            asked: dict[int, list[str]] = {}
             for key in batch.column("key").to_pylist():
-                start, end = bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)
-                found += [(*table.value[i], key) for i in range(start, end)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*found)], names=wanted.names)
+                cut = key[:DIRECTORY_CHARS].encode()
+                for i in range(bisect.bisect_left(lasts, cut), bisect.bisect_right(firsts, cut)):
+                    asked.setdefault(numbers[i], []).append(key)
+            pairs = [(k, v[i : i + ASKED]) for k, v in asked.items() for i in range(0, len(v), ASKED)]
+            if pairs:
+                block, names = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(list(block), pa.int64()), pa.array(list(names), pa.list_(pa.string()))], names=wanted.names)
 
     lines = T.StructType([f for f in CAPTURE.fields if f.name != "page_id"])
 
@@ -243,25 +259,31 @@ def lookup(keys: DataFrame, blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 held = [x.split("\t") for x in zlib.decompress(row["data"]).decode().split("\n")]
-                names = [x[0] for x in held]
+                names = [x[0].encode() for x in held]
                 found = []
-                for key in row["keys"]:
+                for key in map(str.encode, row["keys"]):
                     found += held[bisect.bisect_left(names, key) : bisect.bisect_right(names, key)]
                 if found:
                     key, file, offset, length = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(list(key)), pa.array(list(file)), pa.array(list(map(int, offset))), pa.array(list(map(int, length)))], names=lines.names)
 
-    asked = keys.select("key").distinct().mapInArrow(find, wanted).groupBy("first", "last").agg(F.collect_list("key").alias("keys"))
-    return asked.join(blocks, ["first", "last"]).select("data", "keys").mapInArrow(search, lines)
+    sorted_keys = written(keys.select("key").distinct(), "asked").repartitionByRange("key").sortWithinPartitions("key")
+    asked = sorted_keys.mapInArrow(find, wanted)
+    return asked.join(blocks.select("block", "data"), "block").select("data", "keys").mapInArrow(search, lines)
 
 
 def fetch(captures: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """Read the records at (file, offset, length) by range, checked against their digests."""
+    """Read the records at (file, offset, length) by range, checked against their digests.
+
+    The captures are small whatever their records weigh, so their partitions are numbered by
+    the bytes of the records: adaptive execution would put them all into one task."""
+    captures = written(captures, "wanted")
+    parts = max(captures.sparkSession.sparkContext.defaultParallelism, (captures.agg(F.sum("length")).first()[0] or 0) // READ_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(folder)
         name, source = None, None
-        for batch in batches:
+        for batch in (whole.slice(i, PAGES) for whole in batches for i in range(0, whole.num_rows, PAGES)):
             found = []
             for row in batch.to_pylist():
                 if row["file"] != name:
@@ -278,7 +300,7 @@ def fetch(captures: DataFrame, folder: str, with_payload: bool = True) -> DataFr
             source.close()
 
     piece = F.floor(F.col("offset") / READ_BYTES)
-    return captures.withColumn("piece", piece).repartition("file", "piece").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, RECORD)
+    return captures.withColumn("piece", piece).repartition(parts, "file", "piece").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, RECORD)
 
 
 def keys_of(pages: DataFrame) -> DataFrame:
@@ -313,7 +335,6 @@ def round_trip(pages: DataFrame, least: int = LEAST_BYTES, with_payload: bool =
     return fetch(lookup(keys_of(pages), blocks), folder, with_payload)
 
 
-
 #: The same rows in DuckDB, for pages.
 ROUND_TRIP_SQL = f"""
 WITH page AS (

@@ -57,6 +57,15 @@ def test_small_blocks_and_lookups(spark, monkeypatch, lines):
     assert sorted(r.page_id for r in warc.fetch(written(found, "found"), folder).collect()) == [1, 8, 8, 9]
 
 
+@pytest.mark.parametrize("url,page_id", [("https://a.example.com/same", 5), (None, None), ("https://a.example.com/" + "long" * 80, 6)])
+def test_a_key_that_fills_many_blocks(spark, monkeypatch, url, page_id):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    monkeypatch.setattr(warc, "ASKED", 3)
+    rows = [(page_id, url, "short")] * 23 + [(i, f"{url}/{i}", LONG) for i in range(10, 19)] + ROWS
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], DDL).repartition(5)
+    assert sorted((tuple(r) for r in warc.round_trip(df).collect()), key=str) == brute(rows)
+
+
 def test_archives_are_plain_warc(spark):
     df = spark.createDataFrame([(*r, "x", "y") for r in ROWS], DDL).coalesce(1)
     folder, _ = warc.archive(df)
