@@ -11,9 +11,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, of this machine."""
+    """A new folder under spark.checkpoint.dir. Where that is unset a session of one machine
+    (master local) gets a temporary folder; on a cluster, whose machines do not share such a
+    folder, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/pulsegrid/{name}-{uuid.uuid4().hex}"
