@@ -23,7 +23,8 @@ from pulsegrid.llm.quality_rules import let
 #: Base patterns. They match as the plain ones of the contract do, leftmost and without
 #: overlap: a run is entered at its first character only and never given back, and the
 #: parts of a card are bounded, so no text makes them slow or deep.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+LOCAL = "A-Za-z0-9._%+-"
+EMAIL = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
@@ -38,6 +39,11 @@ SMOOTHING = 0.25
 DISCLOSURE = 0.9
 #: Rows of term and document tables that are broadcast; with more they are joined as any.
 BROADCAST_TERMS = 200_000
+#: Share of the documents from which a term is common. With d distinct terms in a document on
+#: average there are d / FREQUENT common terms at most, whatever the size of the corpus.
+FREQUENT = 0.001
+#: Matches whose places are summed up in one go.
+CHUNK = 128
 
 
 def digits(value: Column) -> Column:
@@ -62,26 +68,38 @@ def located(text: Column, pattern: str, keep, limit_to: Column | None = None) ->
     """Array of (start, end, value) of a pattern's matches that keep() holds for.
 
     The text between matches comes from a split and the matches from an extraction; their
-    lengths add up to the places. Only kept matches are gathered.
+    lengths add up to the places. The sums run over CHUNK matches at a time and then over the
+    chunks, since a sum that grows an array copies it at each step.
     """
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    kind = "array<struct<start:int,end:int,value:string>>"
+    none = F.array().cast(kind)
 
-    def fold(both: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), empty.alias("found"))
+    def summed(chunk: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
-        def step(acc: Column, value: Column) -> Column:
-            begin = acc["at"] + F.length(F.get(both["gaps"], acc["k"]))
-            end = begin + F.length(value)
-            span = F.array(F.struct(begin.alias("start"), end.alias("end"), value.alias("value")))
-            found = F.when(keep(value), F.concat(acc["found"], span)).otherwise(acc["found"])
-            return F.struct(end.alias("at"), (acc["k"] + 1).alias("k"), found.alias("found"))
+        def step(acc: Column, piece: Column) -> Column:
+            begin = acc["at"] + piece["gap"]
+            end = begin + F.length(piece["value"])
+            span = F.array(F.struct(begin.alias("start"), end.alias("end"), piece["value"].alias("value")))
+            return F.struct(end.alias("at"), F.when(keep(piece["value"]), F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
-        return F.aggregate(both["matches"], start, step, lambda acc: acc["found"])
+        return F.aggregate(chunk, start, step)
+
+    def shifted(chunks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        ends = lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+        moved = lambda s, at: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value"))
+        starts = F.aggregate(chunks, start, ends, lambda acc: acc["starts"])
+        return F.flatten(F.zip_with(chunks, starts, lambda c, at: F.transform(c["found"], lambda s: moved(s, at))))
+
+    def placed(both: Column) -> Column:
+        pieces = F.zip_with(both["gaps"], both["matches"], lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
+        chunks = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1, F.lit(CHUNK)), lambda i: summed(F.slice(p, i, F.least(F.lit(CHUNK), F.size(p) - i))))
+        return F.when(F.size(both["matches"]) == 0, none).otherwise(let(let(pieces, chunks), shifted))
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"), matches.alias("matches"))
-    found = let(both, fold)
-    return found if limit_to is None else F.when(limit_to, found).otherwise(empty)
+    found = let(F.struct(F.split(text, pattern, -1).alias("gaps"), matches.alias("matches")), placed)
+    return found if limit_to is None else F.when(limit_to, found).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -113,33 +131,30 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), F.lower))
 
 
-def outside(text: Column, spans: Column) -> Column:
-    """The text without its spans, which come sorted by start."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.lit(" ")).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-
-
 def disclosing(documents: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
     """(terms that disclose an entity, documents that hold them).
 
     documents has key (struct) and body (string); near has row (a number of its own for every
     row), base and terms of the documents with a base span. The first result has term and
     told, the largest share of an entity's information that it tells; the second key and terms.
+
+    Terms are split by FREQUENT into common ones, of which any corpus has few, so that they are
+    broadcast, and the rest, which few documents hold: only their rows are shuffled.
     """
     # Counts are of rows; within a row an entity, or a pair, counts once.
-    named = F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))
-    rows = near.select("row", F.explode(F.array_distinct(named)).alias("entity"))
+    n = documents.agg(F.count("*").alias("n"))
+    each = documents.select("key", F.explode(terms_of(F.col("body"))).alias("term"))
+    counts = written(each.groupBy("term").agg(F.count("*").alias("df_term")).crossJoin(F.broadcast(n)), "pii_counts")  # n: one row
+    common = F.col("df_term") >= FREQUENT * F.col("n")
+    often_used = hinted(written(counts.where(common), "pii_common"), BROADCAST_TERMS)
+    rare = counts.where(~common)
+
+    named = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    rows = near.select("row", F.explode(named).alias("entity"), "terms")
     places = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"places{k}") for k in (1, 2)]
     entities = rows.groupBy("entity").agg(F.count("*").alias("df_entity"), *places)
     # What stands in the same rows is told of by the same terms: one stands for all of them.
-    entities = entities.groupBy("df_entity", "places1", "places2").agg(F.min("entity").alias("entity"))
-    n = documents.agg(F.count("*").alias("n"))
-    entities = written(entities.select("entity", "df_entity").crossJoin(F.broadcast(n)), "pii_entities")  # n: one row
+    entities = written(entities.groupBy("df_entity", "places1", "places2").agg(F.min("entity").alias("entity")).select("entity", "df_entity"), "pii_entities")
 
     def share(joint: Column, df_term: Column, smoothing: float = 0.0) -> Column:
         often = F.col("df_entity") / F.col("n")
@@ -148,25 +163,27 @@ def disclosing(documents: DataFrame, near: DataFrame, disclosure: float = DISCLO
             seen = (joint + smoothing * often) / ((df_term + smoothing) * often)
         return F.when(often < 1, F.log2(seen) / F.log2(1 / often))
 
-    # A term is in at least as many documents as it is in contexts, and beside an entity in at
-    # most as many as either. What would tell too little even so is out before pairs are made.
-    # Not smoothed the bound only grows with df_entity: the largest one's holds for all.
-    loose, bound = (share(F.least("df_entity", "df_context"), F.col("df_context"), a) >= disclosure for a in (0.0, SMOOTHING))
-    side = near.select("row", F.explode("terms").alias("term"))
-    most = entities.where("df_entity < n").agg(F.max("df_entity").alias("df_entity"), F.max("n").alias("n"))
-    contexts = side.groupBy("term").agg(F.count("*").alias("df_context")).crossJoin(F.broadcast(most)).where(loose)  # most: one row
-    contexts = hinted(written(contexts.select("term", "df_context"), "pii_contexts"), BROADCAST_TERMS)
-    pairs = side.join(contexts, "term").join(rows.join(hinted(entities, BROADCAST_TERMS), "entity"), "row").where(bound)
-    joint = pairs.groupBy("entity", "term", "df_entity", "df_context", "n").agg(F.count("*").alias("joint"))
-    joint = written(joint.where(share(F.col("joint"), F.col("df_context"), SMOOTHING) >= disclosure), "pii_joint")
-    candidates = hinted(written(joint.select("term").distinct(), "pii_terms"), BROADCAST_TERMS)
-    holding = documents.select("key", F.explode(terms_of(F.col("body"))).alias("term")).join(candidates, "term")
-    holding = written(holding, "pii_holding")
-    df_term = holding.groupBy("term").agg(F.count("*").alias("df_term"))
-    tell = joint.join(df_term, "term").where(share(F.col("joint"), F.col("df_term"), SMOOTHING) >= disclosure)
-    terms = written(tell.groupBy("term").agg(F.max(share(F.col("joint"), F.col("df_term"))).alias("told")), "pii_disclosing")
-    held = holding.join(hinted(terms, BROADCAST_TERMS), "term").groupBy("key")
-    return terms, written(held.agg(F.collect_set(F.struct("term", "told")).alias("terms")), "pii_held")
+    # An entity and a term stand together in at most as many rows as either. A pair that tells
+    # too little even so is out before it is counted.
+    term = F.col("df_term")
+    possible = share(F.least("df_entity", term), term, SMOOTHING) >= disclosure
+    pair = ("entity", "term", "df_entity", "df_term", "n")
+    # Common terms: they can only tell of entities that are about as common.
+    least = FREQUENT * F.col("n")
+    wide = entities.crossJoin(F.broadcast(n)).where((F.col("df_entity") >= least) | (share(F.col("df_entity"), least) >= disclosure))
+    wide = hinted(written(wide.drop("n"), "pii_wide"), BROADCAST_TERMS)
+    among = rows.join(wide, "entity").select("entity", "df_entity", F.explode("terms").alias("term")).join(often_used, "term").select(*pair)
+    # The rest: each row of a term meets the row's entities.
+    side = near.select("row", F.explode("terms").alias("term")).join(often_used.select("term"), "term", "left_anti").join(rare, "term")
+    side = side.join(rows.select("row", "entity").join(hinted(entities, BROADCAST_TERMS), "entity"), "row").select(*pair)
+    joint = among.where(possible).union(side.where(possible)).groupBy(*pair).agg(F.count("*").alias("joint"))
+    tell = joint.where(share(F.col("joint"), term, SMOOTHING) >= disclosure).withColumn("told", share(F.col("joint"), term))
+    terms = written(tell.groupBy("term", common.alias("common")).agg(F.max("told").alias("told")), "pii_disclosing")
+
+    holding = each.join(often_used.select("term"), "term", "left_anti").join(hinted(terms.where("not common"), BROADCAST_TERMS), "term")
+    if terms.where("common").head(1):
+        holding = holding.union(each.join(F.broadcast(terms.where("common")), "term"))
+    return terms, written(holding.groupBy("key").agg(F.collect_set(F.struct("term", "told")).alias("terms")), "pii_held")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False, **limits) -> DataFrame:
@@ -183,20 +200,23 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: b
     documents = df.select(key.alias("key"), body.alias("body"))
     # explode of one element: what reads the spans cannot be merged with their making.
     based = documents.withColumn("base", F.explode(F.array(base_spans(F.col("body")))))
-    terms = F.when(F.size("base") > 0, terms_of(outside(F.col("body"), F.col("base"))))
+    # Of the base spans only addresses hold letters.
+    terms = F.when(F.size("base") > 0, terms_of(F.regexp_replace("body", EMAIL, " ")))
     found = written(based.select("key", "base", terms.alias("terms"), F.monotonically_increasing_id().alias("row")), "pii_base")
     _, held = disclosing(documents, found.where("terms is not null"), **limits)
     found = found.drop("terms", "row")
 
     terms = F.transform("terms", lambda t: t["term"])
-    placed = located(F.col("body"), LETTERS, lambda v: F.array_contains("names", F.lower(v)))
+    # Addresses are matched as well and not kept, so terms inside them are passed over.
+    placed = located(F.col("body"), f"(?:{EMAIL})|{LETTERS}", lambda v: F.array_contains("names", F.lower(v)))
     marked = documents.distinct() if with_text else documents
     marked = marked.join(hinted(held.withColumn("names", terms).drop("terms"), BROADCAST_TERMS), "key")
-    marked = marked.select("key", placed.alias("placed")).dropDuplicates(["key"])
+    marked = marked.select("key", placed.alias("placed"), F.rlike("body", F.lit(f"[^\\x00-\\x7F][{LOCAL}]*+@")).alias("adjoins")).dropDuplicates(["key"])
     out = found.join(marked, "key", "left")
 
     def free(s: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        # Only where a letter of another alphabet adjoins an address can a term reach into it.
+        return ~F.col("adjoins") | ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
     extra = F.transform(
         F.filter(F.coalesce("placed", F.array().cast("array<struct<start:int,end:int,value:string>>")), free),

@@ -1,5 +1,10 @@
+import random
 import re
+from collections import Counter
+from math import log2
 
+import pytest
+import regex
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import pii
@@ -95,6 +100,62 @@ def test_entities_of_one_and_two_documents(spark):
         assert "Quetzal" not in r.sanitised and "Wu" not in r.sanitised
 
 
+def brute_terms(rows):
+    """For each row the term spans, from counts over all rows."""
+    kinds = pii.KINDS
+    texts = [t or "" for _, t in rows]
+    base = [brute(t) for t in texts]
+    terms = lambda t: {w.lower() for w in regex.findall(r"\p{L}+", t)}
+    n, df_term, df_entity, joint = len(rows), Counter(), Counter(), Counter()
+    for t, spans in zip(texts, base):
+        df_term.update(terms(t))
+        entities = {f"{kinds[k]}:{t[a:b].lower()}" for a, k, b in spans}
+        rest = t
+        for a, _, b in spans:
+            rest = rest[:a] + " " * (b - a) + rest[b:]
+        df_entity.update(entities)
+        joint.update((e, w) for e in entities for w in (terms(rest) if spans else ()))
+    told = set()
+    for (e, w), both in joint.items():
+        often = df_entity[e] / n
+        smooth = (both + pii.SMOOTHING * often) / ((df_term[w] + pii.SMOOTHING) * often)
+        if often < 1 and log2(smooth) / log2(1 / often) >= pii.DISCLOSURE:
+            told.add(w)
+    out = []
+    for t, spans in zip(texts, base):
+        found = [m.span() for m in regex.finditer(r"\p{L}+", t) if m[0].lower() in told]
+        out.append([(a, b) for a, b in found if not any(x < b and a < y for x, _, y in spans)])
+    return out
+
+
+@pytest.mark.parametrize("frequent", [0.001, 0.1, 0.4])
+def test_terms_against_brute_force(spark, monkeypatch, frequent):
+    """Random texts over words of every frequency, split into common and other terms anywhere."""
+    monkeypatch.setattr(pii, "FREQUENT", frequent)
+    rng = random.Random(3)
+    mails = [f"m{i}@x{i % 4}.org" for i in range(12)]
+    rows = []
+    for i in range(120):
+        words = [f"w{chr(97 + int(rng.paretovariate(0.6)) % 26)}{chr(97 + int(rng.paretovariate(0.7)) % 26)}" for _ in range(rng.randint(0, 40))]
+        for k, m in enumerate(mails):
+            if rng.random() < 0.3 / (k + 1):
+                words += [m, *([f"Nick{chr(97 + k)}"] if rng.random() < 0.9 else [])]
+        rng.shuffle(words)
+        rows.append((i % 110, " ".join(words)))
+    rows += [(200, "éab@x.org éab"), (201, None), (202, ""), (203, "one 4111 1111 1111 1111 Übergröße")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, doc_id long, text string")
+    got = {r.k: [(s.start, s.end) for s in r.spans if s.kind == pii.TERM] for r in pii.scan(df, "k").collect()}
+    assert [got[k] for k in range(len(rows))] == brute_terms(rows)
+    assert sum(map(len, got.values())) > 20
+
+
+def test_many_spans_of_a_long_text(spark):
+    """Places are summed in chunks: a text of many matches takes no longer for each."""
+    text = "a@b.co word 10.0.0.1 " * 20_000
+    r = pii.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("n_email", "n_ip", F.expr("base[39999]").alias("last")).first()
+    assert (r.n_email, r.n_ip, r.last.start, r.last.end) == (20_000, 20_000, len(text) - 9, len(text) - 1)
+
+
 def test_no_python_on_the_executors(spark):
     df = spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string")
     plan = pii.scan(df)._jdf.queryExecution().executedPlan().toString()
