@@ -2,23 +2,24 @@
 
 One Arrow pass over whole texts finds the base secrets and the weak parts of a credential:
 access identifiers, secret-like values and endpoints. A weak part alone means little, so it
-is reported only where a complementary part stands in the same scope: the parts of all
-documents are rows of one table, and windows over each document's parts, ordered by
-position, find the nearest identifier, secret and endpoint on either side (an interval join
-that emits one row per part, never a pair per match).
+is reported only where a complementary part stands in the same scope. That is an interval
+join: the parts of all documents are rows of one table, a document is cut into cells as long
+as the scope, a weak part stands in the cells that it touches and a part that may complete it
+in those within the scope, and a semi-join on document and cell keeps the weak parts that
+meet one. A cell holds few parts however long the document, and no pair is put out.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import hinted, map_texts, written
+from pulsegrid.llm.common import hinted, map_texts, slices, written
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -56,30 +57,56 @@ def weak_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], ORDER[s[2]]))
 
 
-def joined(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
+SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
 
 
 def parts(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Append n_assign, n_access, n_hex (long), base_spans (string) and weak (array of
-    start, end, kind) to df."""
-    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())])
+    """Append n_assign, n_access, n_hex (long), base and weak (arrays of start, end, kind) to df."""
+    rows = lambda spans: [{"start": a, "end": b, "kind": k} for a, b, k in spans]
 
     def make():
         def work(texts: list[str]) -> list[list]:
             base = [base_spans(t) for t in texts]
-            weak = [[{"start": a, "end": b, "kind": k} for a, b, k in weak_spans(t)] for t in texts]
             counts = [[sum(s[2] == kind for s in b) for b in base] for kind in BASE]
-            return [*counts, [joined(b) for b in base], weak]
+            return [*counts, list(map(rows, base)), [rows(weak_spans(t)) for t in texts]]
 
         return work
 
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-    fields = [(f"n_{k}", pa.int64(), T.LongType()) for k in BASE]
-    fields += [("base_spans", pa.string(), T.StringType()), ("weak", arrow, T.ArrayType(span))]
+    fields = [(f"n_{k}", pa.int64(), T.LongType()) for k in BASE] + [("base", arrow, SPAN), ("weak", arrow, SPAN)]
     return map_texts(df, make, fields, text, keep)
 
 
+def rank(kind: Column) -> Column:
+    return F.coalesce(*(F.when(kind == k, i) for k, i in ORDER.items()))
+
+
+def as_text(spans: Column) -> Column:
+    """Spans by start and then kind, as one string."""
+    keyed = F.transform(spans, lambda s: F.struct(s["start"], rank(s["kind"]).alias("rank"), s["end"], s["kind"]))
+    return F.array_join(F.transform(F.sort_array(keyed), lambda s: F.format_string("%s:%d:%d", s["kind"], s["start"], s["end"])), ",")
+
+
+def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(row, start, end, kind) of the weak parts that a complementary part completes, from row
+    (a number of each document), base and weak."""
+    every = found.where(F.size("weak") > 0).select("row", F.explode(F.concat("base", "weak")).alias("part")).select("row", "part.*")
+    role = F.when(F.col("kind").isin("access", "ident"), "ident").when(F.col("kind").isin("assign", "hex", "value"), "secret").otherwise(F.col("kind"))
+    every = every.withColumn("role", role).withColumn("is_base", F.col("kind").isin(*BASE))
+    cell = lambda at: F.floor(at / scope)
+    over = lambda pad: F.explode(F.sequence(cell(F.col("start") - pad), cell(F.col("end") + pad))).alias("cell")
+    weak = every.where("not is_base").select("row", "start", "end", "kind", "role", over(0)).alias("w")
+    near = every.select("row", "start", "end", "role", "is_base", over(scope)).alias("p")
+    same = (F.col("w.row") == F.col("p.row")) & (F.col("w.cell") == F.col("p.cell"))
+    within = (F.col("p.start") <= F.col("w.end") + scope) & (F.col("w.start") <= F.col("p.end") + scope)
+    # What a secret completes, and what completes a secret.
+    completes = (F.col("w.role") == "secret") != (F.col("p.role") == "secret")
+    inside = F.col("p.is_base") & (F.col("p.start") < F.col("w.end")) & (F.col("w.start") < F.col("p.end"))
+    met = weak.join(near, same & within & completes, "left_semi").select("row", "start", "end", "kind").distinct()
+    covered = weak.join(near, same & inside, "left_semi").select("row", "start", "end", "kind").distinct()
+    return met.join(covered, ["row", "start", "end", "kind"], "left_anti")
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row per row of df: id_col, n_assign, n_access, n_hex (long), base_spans and spans
     (strings, kind:start:end by start and then kind).
@@ -91,43 +118,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int =
     that overlaps a base span is left to the base span. A null text counts as empty and has
     no spans. Repeated rows are kept apart; an empty table gives an empty one.
     """
-    found = parts(df, text, [id_col]).withColumn("row", F.monotonically_increasing_id())
-    base = F.transform(
-        F.filter(F.split("base_spans", ","), lambda s: s != ""),
-        lambda s: F.struct(
-            F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end"), F.split(s, ":")[0].alias("kind")
-        ),
-    )
-    # Documents without a weak part pass by the windows: their only row has a null part.
-    rows = found.withColumn("part", F.explode_outer(F.when(F.size("weak") > 0, F.concat("weak", base)))).drop("weak")
-    rows = rows.select("*", "part.start", "part.end", "part.kind").drop("part")
-    role = F.when(F.col("kind").isin("access", "ident"), "ident").when(F.col("kind").isin("assign", "hex", "value"), "secret").otherwise(F.col("kind"))
-    rows = rows.withColumn("role", role).withColumn("is_base", F.col("kind").isin(*BASE))
-    before = W.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(1, W.unboundedFollowing)
-    for part in ("ident", "secret", "endpoint"):
-        near = F.max(F.when(F.col("role") == part, F.col("end"))).over(before) >= F.col("start") - scope
-        next_to = F.min(F.when(F.col("role") == part, F.col("start"))).over(after) <= F.col("end") + scope
-        rows = rows.withColumn(f"by_{part}", F.coalesce(near, F.lit(False)) | F.coalesce(next_to, F.lit(False)))
-    covered = (F.max(F.when(F.col("is_base"), F.col("end"))).over(before) > F.col("start")) | (
-        F.min(F.when(F.col("is_base"), F.col("start"))).over(after) < F.col("end")
-    )
-    linked = (
-        F.when(F.col("role") == "ident", F.col("by_secret"))
-        .when(F.col("role") == "secret", F.col("by_ident") | F.col("by_endpoint"))
-        .otherwise(F.col("by_secret"))
-    )
-    rows = rows.withColumn("told", F.col("is_base") | (linked & ~F.coalesce(covered, F.lit(False))))
-    rank = F.coalesce(*[F.when(F.col("kind") == k, i) for k, i in ORDER.items()])
-    span = F.struct("start", rank.alias("rank"), F.format_string("%s:%d:%d", "kind", "start", "end").alias("span"))
-    kept = F.sort_array(F.collect_list(F.when(F.col("told"), span)))
-    out = rows.groupBy("row").agg(
-        *[F.first(c).alias(c) for c in (id_col, "n_assign", "n_access", "n_hex", "base_spans")],
-        F.count("kind").alias("n_parts"),
-        F.array_join(F.transform(kept, lambda s: s["span"]), ",").alias("linked"),
-    )
-    spans = F.when(F.col("n_parts") > 0, F.col("linked")).otherwise(F.col("base_spans"))
-    return out.select(id_col, "n_assign", "n_access", "n_hex", "base_spans", spans.alias("spans"))
+    # Written, so that the numbers of the rows stay what they are.
+    found = parts(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", ["id"])
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "secret_parts")
+    extra = linked(found, scope).groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("extra"))
+    out = found.join(hinted(written(extra, "secret_links"), BROADCAST_DOCS), "row", "left")
+    spans = F.when(F.col("extra").isNull(), F.col("base_spans")).otherwise(as_text(F.concat("base", "extra")))
+    out = out.withColumn("base_spans", as_text(F.col("base")))
+    return out.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_spans", spans.alias("spans"))
 
 
 #: Documents with a span whose spans are broadcast; more are joined as any table.
@@ -137,18 +135,33 @@ BROADCAST_DOCS = 200_000
 def redact(df: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """df with every span of scan() in its text replaced by the mask; overlapping spans
     together by one. All rows and columns stay; a text without spans stays as it is."""
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
-    keyed = df.withColumn("_key", key)
-    found = scan(keyed.select("_key", text), "_key", text).where("spans <> ''").select("_key", "spans")
-    found = hinted(written(found.dropDuplicates(["_key"]), "secret_spans"), BROADCAST_DOCS)
-    spans = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mask)).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    masked = F.when(F.col("spans").isNull(), F.col(text)).otherwise(done)
-    return keyed.join(found, "_key", "left").withColumn(text, masked).select(*df.columns)
+    # The columns go by numbers meanwhile: whatever their names, none clashes.
+    names = {name: f"c{i}" for i, name in enumerate(df.columns)}
+    body = names[text]
+    keyed = df.toDF(*names.values()).withColumn("key", F.struct(F.col(names[id_col]).alias("id"), F.xxhash64(body).alias("hash")))
+    found = scan(keyed.select("key", body), "key", body).where("spans <> ''").select("key", "spans")
+    found = hinted(written(found.dropDuplicates(["key"]), "secret_spans"), BROADCAST_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = [*names.values()].index(body)
+        for batch in batches:
+            for part in slices(batch, body):
+                texts = zip(part.column(body).to_pylist(), part.column("spans").to_pylist())
+                columns = [part.column(c) for c in names.values()]
+                columns[at] = pa.array([masked(t, [tuple(map(int, x.split(":")[1:])) for x in s.split(",")], mask) for t, s in texts], pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=[*names.values()])
+
+    schema = T.StructType([T.StructField(names[f.name], f.dataType, f.nullable) for f in df.schema.fields])
+    changed = keyed.join(found, "key").select(*names.values(), "spans").mapInArrow(run, schema)
+    rest = keyed.join(found, "key", "left_anti").select(*names.values())
+    return rest.union(changed).select(*(F.col(number).alias(name) for name, number in names.items()))
+
+
+def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
+    """The text with its spans, sorted by start, replaced; overlapping ones together."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
