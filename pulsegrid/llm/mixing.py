@@ -33,8 +33,11 @@ def rates(df: DataFrame, weights: dict[str, float], source: str = "source", text
     """(mix_source, mix_rate) per source: target share over present share, by code points.
 
     Every document weighs one code point more than its text, so that sources of empty texts
-    have a share. A null source is a source of its own, of weight 1.
+    have a share. A null source is a source of its own, of weight 1. Where all weights are
+    zero no source has a rate; a negative weight is a ValueError.
     """
+    if any(value < 0 for value in weights.values()):
+        raise ValueError(f"weights must not be negative: {weights}")
     size = F.coalesce(F.length(text), F.lit(0)) + 1
     mass = df.groupBy(F.col(source).alias("mix_source")).agg(F.sum(size).cast("double").alias("mass"))
     weight = F.lit(1.0)
@@ -42,7 +45,7 @@ def rates(df: DataFrame, weights: dict[str, float], source: str = "source", text
         weight = F.when(F.col("mix_source") == name, F.lit(float(value))).otherwise(weight)
     mass = written(mass.withColumn("weight", weight), "mix_mass")
     total = mass.agg(F.sum("mass").alias("all_mass"), F.sum("weight").alias("all_weight"))
-    rate = F.col("weight") / F.col("all_weight") * F.col("all_mass") / F.col("mass")
+    rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_mass") / F.col("mass")).otherwise(0.0)
     return mass.crossJoin(F.broadcast(total)).select("mix_source", rate.alias(RATE))  # total: one row
 
 
@@ -70,9 +73,12 @@ def mix(df: DataFrame, weights: dict[str, float], seed: int = SEED, id_col: str
 
     Weights are relative target shares of code points. Rows with equal ids draw alike;
     a null id draws as the text "null". Null texts and sources are kept as they are. An empty
-    table gives an empty one; columns of df named like a new one are replaced.
+    table gives an empty one; columns of df named copy, mix_rate or shuffle_key are replaced.
     """
     df = df.drop(RATE, COPY, ORDER)
+    # The columns go by numbers meanwhile: whatever their names, none clashes.
+    names = {name: f"c{i}" for i, name in enumerate(df.columns)}
+    df, id_col, source, text = df.toDF(*names.values()), names[id_col], names[source], names[text]
     wanted = written(rates(df, weights, source, text), "mix_rates")
     wanted = hinted(wanted, MOST_SOURCES)
     parts = F.greatest(F.lit(1), F.ceil(F.col(RATE) / PART_MEAN).cast("int"))
@@ -89,7 +95,8 @@ def mix(df: DataFrame, weights: dict[str, float], seed: int = SEED, id_col: str
     drawn = drawn.withColumn("mix_count", count).drop("mix_curve", "mix_parts").where("mix_count > 0")
     copies = drawn.withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col("mix_count")))).drop("mix_count")
     copies = copies.withColumn(ORDER, F.md5(F.concat_ws(":", seed_text, F.lit("order"), name, F.col(COPY).cast("string"))))
-    return copies.repartition(ORDER).sortWithinPartitions(ORDER)
+    copies = copies.repartition(ORDER).sortWithinPartitions(ORDER)
+    return copies.select(*(F.col(number).alias(name) for name, number in names.items()), RATE, COPY, ORDER)
 
 
 #: The same in DuckDB, for documents and WEIGHTS. Terms of the curve are written out with

@@ -72,23 +72,24 @@ def encode_chunks(sp, chunks: list[str]) -> list[list[int]]:
 
 
 class ChunkTable:
-    """Distinct chunk -> value, filled by the library in batches and bounded."""
+    """Distinct chunk -> value, filled by the library in batches. It holds the seed, at most
+    TABLE_ENTRIES chunks of at most KEPT_CHARS characters, and the chunks of the last call."""
 
     def __init__(self, sp, value, seed: dict | None = None):
         self.sp, self.value, self.seed = sp, value, seed or {}
-        self.known = dict(self.seed)
+        self.known, self.passing = dict(self.seed), []
 
     def of(self, lists: list[list[str]]) -> dict:
-        """A mapping that has every chunk of these lists."""
-        missing = list(set().union(*lists) - self.known.keys())
-        if not missing:
-            return self.known
-        found = dict(zip(missing, map(self.value, encode_chunks(self.sp, missing)), strict=True))
-        if len(self.known) + len(found) > TABLE_ENTRIES:
-            kept = self.known
-            self.known = self.seed | {k: v for k, v in found.items() if len(k) <= KEPT_CHARS}
-            return kept | found
-        self.known |= found
+        """A mapping that has every chunk of these lists, until the next call."""
+        for chunk in self.passing:
+            del self.known[chunk]
+        wanted = set().union(*lists)
+        missing = list(wanted - self.known.keys())
+        if len(self.known) + len(missing) > TABLE_ENTRIES + len(self.seed):
+            self.known = dict(self.seed)
+            missing = list(wanted - self.known.keys())
+        self.known.update(zip(missing, map(self.value, encode_chunks(self.sp, missing)), strict=True))
+        self.passing = [chunk for chunk in missing if len(chunk) > KEPT_CHARS]
         return self.known
 
 

@@ -1,7 +1,8 @@
 """Quality classifier from supervised subword embeddings.
 
-Every word and its character n-grams hash to buckets, and so does a word that repeats the one
-before it (its bigram's shape); a document is the mean of its buckets' vectors, and a softmax over two outputs says how likely label 1 is. The vectors and outputs
+Every word and its character n-grams hash to buckets, and so does the one word bigram that
+needs no words to be known: a word and itself again. A document is the mean of its buckets'
+vectors, and a softmax over two outputs says how likely label 1 is. The vectors and outputs
 are learned by stochastic gradient descent in numpy on a bounded sample of labelled rows.
 The mean is linear, so for scoring each bucket's vector is first multiplied out to one
 number; a worker sums them once per distinct word of a bounded table, and the whole text of
@@ -16,6 +17,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +28,9 @@ DIM = 16
 GRAMS = (3, 4, 5)
 EPOCHS = 4
 RATE = 0.8
-#: Most labelled rows that the fit reads, in the order of a hash of their id.
-SAMPLE_ROWS = 3000
+#: Most labelled rows that the fit reads, in the order of a hash of their id, and the most
+#: bytes of their texts: the sample ends with the last row that is wholly within both.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 64 << 20
 THRESHOLD = 0.3
 TABLE_ENTRIES = 150_000
 KEPT_CHARS = 48
@@ -45,8 +48,8 @@ def repeats(words: list[str]) -> int:
     return sum(map(str.__eq__, words, words[1:]))
 
 
-#: Buckets of a repeated word, which count as often as a word of usual length has n-grams.
-REPEAT = [zlib.crc32(b"\0repeat%d" % i) % BUCKETS for i in range(8)]
+#: Bucket of the bigram of a word and itself.
+REPEAT = zlib.crc32(b"\0again") % BUCKETS
 
 
 def document(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +60,7 @@ def document(text: str) -> tuple[np.ndarray, np.ndarray]:
         for bucket in features(word):
             counts[bucket] += n
     if again := repeats(words):
-        for bucket in REPEAT:
-            counts[bucket] += again
+        counts[REPEAT] += again
     share = np.fromiter(counts.values(), np.float64, len(counts))
     return np.fromiter(counts.keys(), np.int64, len(counts)), share / max(share.sum(), 1)
 
@@ -98,15 +100,19 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_c
     """Fit on at most `rows` labelled documents outside the held-out fold.
 
     Labels other than 0 and 1 and null ids are left out; of an id labelled twice the smaller
-    label counts. At most `rows` whole texts reach the driver.
+    label counts. At most `rows` whole texts of SAMPLE_BYTES together reach the driver.
     """
     named = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     named = named.groupBy(id_col).agg(F.min(label).alias("_label"))
     order = F.xxhash64(F.lit("fit"), id_col)
-    # Twice the rows wanted, for ids that no document has; the ids alone are broadcast.
-    sample = written(named.orderBy(order, id_col).limit(2 * rows), "label_sample")
-    texts = documents.select(id_col, F.col(text).alias("_text")).join(F.broadcast(sample), id_col)
-    found = texts.orderBy(order, id_col, F.xxhash64("_text")).limit(rows).select("_text", "_label").toPandas()
+    named = named.join(documents.select(id_col), id_col, "left_semi")
+    sample = written(named.orderBy(order, id_col).limit(rows), "label_sample")
+    texts = documents.select(id_col, F.col(text).alias("_text")).join(F.broadcast(sample), id_col)  # `rows` ids
+    by = [order, F.col(id_col), F.xxhash64("_text")]
+    sizes = texts.select(id_col, F.octet_length("_text").alias("size"), "_text", "_label").orderBy(*by).limit(rows)
+    # One task, but over the sample's rows alone.
+    sizes = sizes.withColumn("sum", F.sum(F.coalesce("size", F.lit(0))).over(W.partitionBy(F.lit(0)).orderBy(*by)))
+    found = sizes.where(F.col("sum") <= SAMPLE_BYTES).orderBy(*by).select("_text", "_label").toPandas()
     return fit([t or "" for t in found["_text"]], [int(y) for y in found["_label"]])
 
 
@@ -122,7 +128,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], threshold: float = THR
     def make():
         numbers, offset = shared.value
         known: dict[str, complex] = {}
-        repeat = complex(numbers[REPEAT].sum(), len(REPEAT))
+        repeat = complex(numbers[REPEAT], 1)
 
         def sums(words: list[str]) -> list[complex]:
             """Sum of each word's numbers, and how many there are as the imaginary part."""
@@ -135,15 +141,15 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], threshold: float = THR
         def work(texts: list[str]) -> list[list]:
             nonlocal known
             lists = [t.split() for t in texts]
-            table = known
-            if missing := list(set().union(*lists) - known.keys()):
-                found = dict(zip(missing, sums(missing), strict=True))
-                table = known | found if len(known) + len(found) > TABLE_ENTRIES else known
-                if table is known:
-                    known |= found
-                else:
-                    known = {k: v for k, v in found.items() if len(k) <= KEPT_CHARS}
-            totals = [sum(map(table.__getitem__, words), repeats(words) * repeat) for words in lists]
+            missing = list(set().union(*lists) - known.keys())
+            if len(known) + len(missing) > TABLE_ENTRIES:
+                known, missing = {}, list(set().union(*lists))
+            if missing:
+                known.update(zip(missing, sums(missing), strict=True))
+            totals = [sum(map(known.__getitem__, words), repeats(words) * repeat) for words in lists]
+            for word in missing:  # long words are not kept, so the table is bounded in bytes too
+                if len(word) > KEPT_CHARS:
+                    del known[word]
             odds = [offset + (z.real / z.imag if z.imag else 0.0) for z in totals]
             return [(1 / (1 + np.exp(-np.clip(odds, -500, 500)))).tolist()]
 

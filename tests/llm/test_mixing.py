@@ -82,3 +82,17 @@ def test_sql_agrees(spark):
     theirs = con.sql(mixing.MIX_SQL).df()
     key = lambda f: sorted(zip(f["shuffle_key"], f["copy"].astype(int)))
     assert key(mine) == key(theirs)
+
+
+def test_clashing_names_and_odd_weights(spark):
+    rows = [(i, "t" * i, f"src{i % 2}", 1, 2, 3, 4, 5) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_parts int, mix_curve int, mix_count int, mix_source int, c0 int")
+    out = mixing.mix(df, {"src0": 2.0})
+    assert out.columns == [*df.columns, mixing.RATE, mixing.COPY, mixing.ORDER]
+    wanted = brute([r[:3] for r in rows], {"src0": 2.0}, mixing.SEED)
+    assert sorted((r.doc_id, r.text, r.source) for r in out.collect()) == sorted(w[:3] for w in wanted)
+    assert {tuple(r)[3:8] for r in out.collect()} == {(1, 2, 3, 4, 5)}
+    assert mixing.mix(df, {"src0": 0.0, "src1": 0.0}).count() == 0
+    assert {r.source for r in mixing.mix(df, {"src0": 0.0}).collect()} == {"src1"}
+    with pytest.raises(ValueError):
+        mixing.mix(df, {"src0": -1.0})

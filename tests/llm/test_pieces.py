@@ -39,6 +39,16 @@ def test_table_is_bounded_and_stays_right(sp, monkeypatch):
         assert len(table.known) <= 40 + len(chunks)
 
 
+def test_long_chunks_are_not_kept(sp):
+    table = pieces.ChunkTable(sp, list)
+    for text in ["x" * 20_000, "short " + "y" * 900, "z" * 100_000 + " short"]:
+        chunks = pieces.chunks_of(text)
+        known = table.of([chunks])
+        assert [i for c in chunks for i in known[c]] == sp.encode(text)
+    table.of([["▁a"]])
+    assert max(map(len, table.known)) <= pieces.KEPT_CHARS and "▁short" in table.known
+
+
 def test_encode_decode_frame(spark, sp):
     rows = [(i, t, "clash", 7) for i, t in enumerate(EDGE + made_up(60))]
     rows += rows[:3]
