@@ -27,10 +27,13 @@ BOILERPLATE = (
 LINE_SYMBOLS = 0.06
 #: A line of at least this many words that has no lower-case letter is shouting.
 SHOUTED_WORDS = 3
-#: A line of separators between at most this many words each is a menu.
-MENU = r"^[^|»›·\n]{1,40}([|»›·][^|»›·\n]{1,40}){2,}$"
-#: Lines of at most these characters and words that no punctuation ends, this many in a row,
-#: are a menu. (RULES_SQL knows only menus of one line of up to 2000 characters.)
+#: A line of at least so many parts between separators, each of at most so many characters, is
+#: a menu.
+SEPARATORS, MENU_PARTS, PART_CHARS = "[|»›·]", 3, 40
+#: Punctuation that ends a sentence or clause, closing marks after it.
+ENDED = r"[.!?:;,…。！？][\"'”’)\]]*[ \t-\r]*\z"
+#: Lines of at most these characters and words that no such punctuation ends, this many in a
+#: row, are a menu.
 ENTRY_CHARS, ENTRY_WORDS, SERIES = 40, 3, 4
 #: A document is rejected when failing lines hold over this share of its characters.
 MOST_LOST = 0.5
@@ -78,8 +81,8 @@ def judged(line: Column) -> Column:
             phrase = phrase | F.contains(lower, F.lit(stock))
         symbols = n_symbols > F.lit(LINE_SYMBOLS) * length
         shouting = (line == upper) & (line != lower) & (F.size(words_of(line)) >= SHOUTED_WORDS)
-        menu = let(F.split(line, "[|»›·]", -1), lambda p: (F.size(p) >= 3) & F.forall(p, lambda x: F.length(x).between(1, 40)))
-        short = (length <= ENTRY_CHARS) & (F.size(words_of(line)) <= ENTRY_WORDS) & ~F.rlike(line, F.lit(r"[.!?:;,…。！？][\"'”’)\]]*[ \t-\r]*$"))
+        menu = let(F.split(line, SEPARATORS, -1), lambda p: (F.size(p) >= MENU_PARTS) & F.forall(p, lambda x: F.length(x).between(1, PART_CHARS)))
+        short = (length <= ENTRY_CHARS) & (F.size(words_of(line)) <= ENTRY_WORDS) & ~F.rlike(line, F.lit(ENDED))
         has_word = F.rlike(line, F.lit(r"[^ \t-\r]"))
         return F.struct(
             line.alias("line"), length.alias("length"), n_symbols.alias("n_symbols"), has_word.alias("has_word"),
@@ -162,12 +165,19 @@ word AS (SELECT doc_id, list_filter(string_split_regex(t, '[\x09-\x0D ]+'), lamb
 gram AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM word)),
 again AS (SELECT doc_id, i + unnest([0, 1, 2]) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM gram) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM again GROUP BY doc_id),
-line AS (SELECT doc_id, line, length(line) AS size, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
-                regexp_matches(line, '[^\x09-\x0D ]') AS has_word FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM doc)),
-judged AS (SELECT *, has_word AND (symbols > {LINE_SYMBOLS} * size OR (line = upper(line) AND line <> lower(line)
-                  AND len(list_filter(string_split_regex(line, '[\x09-\x0D ]+'), lambda x: x <> '')) >= {SHOUTED_WORDS})
-                  OR (size <= 2000 AND regexp_matches(line, '{MENU}'))
-                  OR {" OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)}) AS fails FROM line),
+line AS (SELECT doc_id, pos, line, length(line) AS size, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
+                regexp_matches(line, '[^\x09-\x0D ]') AS has_word, string_split_regex(line, '{SEPARATORS}') AS parts,
+                len(list_filter(string_split_regex(line, '[\x09-\x0D ]+'), lambda x: x <> '')) AS words
+         FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM doc))),
+alone AS (SELECT *, has_word AND size <= {ENTRY_CHARS} AND words <= {ENTRY_WORDS} AND NOT regexp_matches(line, '{ENDED.replace("'", "''")}') AS short,
+                 has_word AND (symbols > {LINE_SYMBOLS} * size OR (line = upper(line) AND line <> lower(line) AND words >= {SHOUTED_WORDS})
+                   OR (len(parts) >= {MENU_PARTS} AND len(list_filter(parts, lambda x: length(x) BETWEEN 1 AND {PART_CHARS})) = len(parts))
+                   OR {" OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)}) AS bad FROM line),
+starts AS (SELECT *, {" AND ".join(f"coalesce(lead(short, {k}) OVER doc, false)" for k in range(SERIES))} AS one,
+                  {" AND ".join(f"coalesce(lead({'NOT has_word' if k % 2 else 'short'}, {k}) OVER doc, false)" for k in range(2 * SERIES - 1))} AS two
+           FROM alone WINDOW doc AS (PARTITION BY doc_id ORDER BY pos)),
+judged AS (SELECT *, bad OR (short AND ({" OR ".join(f"coalesce(lag({w}, {k * step}) OVER doc, false)" for step, w in ((1, "one"), (2, "two")) for k in range(SERIES))})) AS fails
+           FROM starts WINDOW doc AS (PARTITION BY doc_id ORDER BY pos)),
 lines AS (SELECT doc_id, sum(symbols)::BIGINT AS n_symbols, (count(*) FILTER (has_word) - count(DISTINCT line) FILTER (has_word))::BIGINT AS n_dup_lines,
                  coalesce(sum(size) FILTER (fails), 0) AS lost, coalesce(sum(size) FILTER (has_word), 0) AS size FROM judged GROUP BY doc_id),
 facts AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, n_symbols, n_dup_lines,
