@@ -140,14 +140,15 @@ def baseline_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recordings(spark, sf_dir).select("event_id", F.round(F.col("value") - base, 6).alias("value"))
 
 
-@query(f"""WITH {EVENTS}, m AS (SELECT user_id, t // 8 AS sec, value, max(value) OVER w AS top, avg(value) OVER w AS mid FROM e WINDOW w AS (PARTITION BY user_id)),
-d AS (SELECT *, avg(abs(value - mid)) OVER (PARTITION BY user_id) AS dev FROM m)
+@query(f"""WITH {EVENTS}, m AS (SELECT user_id, t // 8 AS sec, value, max(value) OVER w AS top, avg(value) OVER w AS mid FROM e WINDOW w AS (PARTITION BY user_id, t // 8)),
+d AS (SELECT *, avg(abs(value - mid)) OVER (PARTITION BY user_id, sec) AS dev FROM m)
 SELECT user_id, sec, count_if(value >= 0.5 * top)::BIGINT AS count1, count_if(value >= mid)::BIGINT AS count2, count_if(value >= mid - dev AND value <= mid + dev)::BIGINT AS count3
 FROM d GROUP BY user_id, sec""")
 def per_second_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples a second over half the largest, over the mean, and near the mean."""
-    w = W.partitionBy("user_id")
-    rows = recordings(spark, sf_dir).select("user_id", F.floor(F.col("t") / 8).alias("sec"), "value", F.max("value").over(w).alias("top"), F.avg("value").over(w).alias("mid"))
+    """Samples a second over half the second's largest, over its mean, and near its mean."""
+    w = W.partitionBy("user_id", "sec")
+    rows = recordings(spark, sf_dir).select("user_id", F.floor(F.col("t") / 8).alias("sec"), "value")
+    rows = rows.select("*", F.max("value").over(w).alias("top"), F.avg("value").over(w).alias("mid"))
     rows = rows.withColumn("dev", F.avg(F.abs(F.col("value") - F.col("mid"))).over(w))
     v = F.col("value")
     return rows.groupBy("user_id", "sec").agg(
