@@ -14,7 +14,7 @@ def reduce(df: DataFrame, keep: list[str], value: str, along: str, ddof: int = 0
     return df.groupBy(*keep).agg(
         F.bool_and(v != 0).alias("all"), F.bool_or(v != 0).alias("any"), F.min_by(along, F.when(v.isNotNull(), F.struct(-v, F.col(along)))).alias("argmax"),
         F.min_by(along, F.when(v.isNotNull(), F.struct(v, F.col(along)))).alias("argmin"), F.max(v).alias("max"), F.min(v).alias("min"), F.avg(v).alias("mean"),
-        F.sum(v).alias("sum"), (F.max(v) - F.min(v)).alias("ptp"), F.sqrt(var).alias("std"), var.alias("var"), F.count(v).alias("n"),
+        F.sum(v).alias("sum"), F.product(v).alias("prod"), (F.max(v) - F.min(v)).alias("ptp"), F.sqrt(var).alias("std"), var.alias("var"), F.count(v).alias("n"),
     )
 
 
@@ -26,16 +26,32 @@ def binned(dim: Column, edges: list[tuple[float, float, str]]) -> Column:
     return out
 
 
+def numbered(df: DataFrame, dim: str, name: str = "place") -> DataFrame:
+    """(dim, place, total): the distinct coordinates of a dimension in order, numbered from 0.
+
+    Coordinates are dealt out by range and numbered within each part; the parts' sizes, of
+    which there are as many as partitions, give where each part starts."""
+    names = df.select(dim).distinct().repartitionByRange(dim).sortWithinPartitions(dim)
+    local = names.select(dim, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_part", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(W.partitionBy()).alias("total"))
+    placed = local.join(F.broadcast(starts), "_part")  # one row per partition
+    return placed.select(dim, (F.col("_start") + F.col("_id") - F.col("_low")).alias(name), "total")
+
+
 def equal_bins(df: DataFrame, dim: str, bins: int) -> DataFrame:
-    """Append bin: the dimension's distinct coordinates in order, cut into equal counts. The
-    coordinates of a dimension are few; they are numbered apart from the rows."""
-    names = df.select(dim).distinct()
-    total = names.agg(F.count("*").alias("total"))
-    placed = names.withColumn("place", F.row_number().over(W.orderBy(dim)) - 1).crossJoin(F.broadcast(total))
-    placed = placed.select(dim, F.floor(F.col("place") * bins / F.col("total")).alias("bin"))
+    """Append bin: the dimension's distinct coordinates in order, cut into equal counts."""
+    placed = numbered(df, dim).select(dim, F.floor(F.col("place") * bins / F.col("total")).alias("bin"))
     return df.join(placed, dim)
 
 
+def split_bins(df: DataFrame, dim: str, at: list[int]) -> DataFrame:
+    """Append bin: the coordinates in order, cut before each of these places."""
+    bin_of = sum(((F.col("place") >= k).cast("int") for k in at), F.lit(0))
+    return df.join(numbered(df, dim).select(dim, bin_of.alias("bin")), dim)
+
+
 def extend(one: DataFrame, other: DataFrame) -> DataFrame:
     """One after the other along a dimension; ValueError unless they have the same columns."""
     if sorted(one.columns) != sorted(other.columns):
@@ -55,3 +71,72 @@ def select(df: DataFrame, condition: str, dims: list[str]) -> DataFrame:
     # An empty table of the dimensions alone: the condition has to make sense there.
     df.sparkSession.createDataFrame([], df.select(*dims).schema).where(condition).columns  # noqa: B018
     return df.where(condition)
+
+
+def index(df: DataFrame, **chosen: int | slice | list[int]) -> DataFrame:
+    """Rows by places along dimensions, as an array is indexed: a number picks one coordinate
+    and drops the dimension, a slice or a list keeps it. Negative places count from the end.
+    A number or an entry of a list that no coordinate has is an IndexError."""
+    for dim, want in chosen.items():
+        places = numbered(df, dim)
+        total = places.count()
+        if isinstance(want, slice):
+            first, stop, step = want.indices(total)
+            kept = list(range(first, stop, step)) if step < 0 else None
+            inside = F.col("place").isin(kept) if kept is not None else (F.col("place") >= first) & (F.col("place") < stop) & ((F.col("place") - first) % step == 0)
+        else:
+            wanted = [want] if isinstance(want, int) else want
+            if any(not -total <= k < total for k in wanted):
+                raise IndexError(f"{dim} has {total} coordinates: {wanted}")
+            inside = F.col("place").isin([k % total for k in wanted])
+        df = df.join(places.where(inside).select(dim), dim, "left_semi")
+        df = df.drop(dim) if isinstance(want, int) else df
+    return df
+
+
+def new_axis(df: DataFrame) -> DataFrame:
+    """A dimension of one coordinate, named newaxis_0, or the first number that is free."""
+    k = next(k for k in range(len(df.columns) + 1) if f"newaxis_{k}" not in df.columns)
+    return df.withColumn(f"newaxis_{k}", F.lit(0))
+
+
+def assign(df: DataFrame, condition: Column, value: str, to: Column) -> DataFrame:
+    """The values where a condition on the coordinates holds, replaced."""
+    return df.withColumn(value, F.when(condition, to).otherwise(F.col(value)))
+
+
+def add_fields(df: DataFrame, **fields: Column | str) -> DataFrame:
+    """New columns: of given values, or empty ones of a type's name. ValueError for a name that
+    is there already."""
+    if taken := sorted(set(fields) & set(df.columns)):
+        raise ValueError(f"fields exist: {taken}")
+    return df.withColumns({k: F.lit(None).cast(v) if isinstance(v, str) else v for k, v in fields.items()})
+
+
+def remove_fields(df: DataFrame, *names: str) -> DataFrame:
+    if absent := sorted(set(names) - set(df.columns)):
+        raise ValueError(f"no such fields: {absent}")
+    return df.drop(*names)
+
+
+def repeat(df: DataFrame, dim: str, times: int) -> DataFrame:
+    """Every coordinate `times` times; again tells the copies apart."""
+    return df.withColumn("again", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+
+
+def diagonal(df: DataFrame, one: str, other: str) -> DataFrame:
+    """Values at equal places along two dimensions, which become one: diagonal."""
+    a, b = (numbered(df, d, "diagonal").select(d, "diagonal") for d in (one, other))
+    return df.join(a, one).join(b, [other, "diagonal"]).drop(one, other)
+
+
+def squeeze(df: DataFrame) -> DataFrame:
+    """Without the columns that have one value only, but the last (the array's values)."""
+    counts = df.agg(*(F.count_distinct(c).alias(c) for c in df.columns[:-1])).first().asDict()
+    return df.drop(*(c for c, n in counts.items() if n <= 1))
+
+
+def by_bin(df: DataFrame, keep: list[str], value: str, function, kind: str = "double") -> DataFrame:
+    """(keep, value): a function of a group's values (a pandas Series) as its aggregate, where
+    no built-in one says it. Spark hands it one group at a time."""
+    return df.groupBy(*keep).agg(F.pandas_udf(function, kind, F.PandasUDFType.GROUPED_AGG)(value).alias(value))

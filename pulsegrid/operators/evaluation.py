@@ -77,3 +77,25 @@ def stratified_split(df: DataFrame, label: str, key: Column, share: float) -> Da
     within = W.partitionBy("_label", "_cell").orderBy("_key")
     rank = F.col("before") + F.row_number().over(within)
     return placed.withColumn("is_test", (rank <= F.ceil(F.col("size") * share)).cast("int")).drop("_label", "_cell", "_cell2", "_key", "before", "size")
+
+
+def class_scores(df: DataFrame, classes: list[int], shocked: int, *by: str) -> DataFrame:
+    """One row per group from rows (by, truth, predicted): balanced error over the classes
+    that occur, mean F1, F1 of the shocked class, F2 weighted by the classes' sizes, the score
+    for choosing models (F0.5 with two classes, recall of the shocked class with three) and
+    the recall of the shocked class."""
+    each = one_vs_rest(df, classes, *by).withColumn("n", F.col("tp") + F.col("fn")).where("tp + fn + fp > 0")
+    on = lambda c: F.max(F.when(F.col("class") == shocked, c))
+    true = F.col("n") > 0
+    recall = ratio(F.col("tp"), F.col("n"))
+    found = each.groupBy(*by).agg(
+        F.avg(F.when(true, 1 - recall)).alias("ber"), F.avg(f_beta(1)).alias("f1_macro"), on(f_beta(1)).alias("f1_binary"),
+        (F.sum(f_beta(2) * F.col("n")) / F.sum("n")).alias("f_beta"), on(f_beta(0.5)).alias("_half"), on(recall).alias("max_recall"), F.count_if(true).alias("_classes"),
+    )
+    custom = F.when(F.col("_classes") == 2, F.col("_half")).when(F.col("_classes") == 3, F.col("max_recall")).otherwise(0.0)
+    return found.withColumn("custom", custom).drop("_half", "_classes")
+
+
+def without_between(df: DataFrame, between: int = 2) -> DataFrame:
+    """Rows whose truth is not the class between shock and none; predictions of it count as none."""
+    return df.where(F.col("truth") != between).withColumn("predicted", F.when(F.col("predicted") == between, 0).otherwise(F.col("predicted")))

@@ -19,10 +19,11 @@ CUBE = "c AS (SELECT l_suppkey AS supp, year(l_shipdate) * 12 + month(l_shipdate
 
 
 @query(f"""WITH {CUBE} SELECT supp, line, bool_and(v <> 0) AS "all", bool_or(v <> 0) AS "any", arg_min(order_id, (-v, order_id)) AS argmax, arg_min(order_id, (v, order_id)) AS argmin,
-max(v) AS max, min(v) AS min, round(avg(v), 6) AS mean, round(sum(v), 6) AS sum, max(v) - min(v) AS ptp, round(stddev_pop(v), 6) AS std, round(var_pop(v), 6) AS var, count(v) AS n
+max(v) AS max, min(v) AS min, round(avg(v), 6) AS mean, round(sum(v), 6) AS sum, round(log10(product(v)), 4) AS log_prod, max(v) - min(v) AS ptp, round(stddev_pop(v), 6) AS std, round(var_pop(v), 6) AS var, count(v) AS n
 FROM c GROUP BY supp, line""")
 def dim_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = D.reduce(cube(spark, sf_dir), ["supp", "line"], "v", "order_id")
+    found = found.withColumn("log_prod", F.round(F.log10("prod"), 4)).drop("prod")
     return found.withColumns({k: F.round(k, 6) for k in ("mean", "sum", "std", "var")})
 
 
@@ -76,3 +77,65 @@ def transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polar(spark: SparkSession, sf_dir: str) -> DataFrame:
     angle = F.atan2("l_tax", "l_quantity")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.hypot("l_quantity", "l_tax"), 6).alias("radius"), F.round(angle, 6).alias("angle"), F.round(F.degrees(angle), 6).alias("deg"))
+
+
+PLACES = "m AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS place, count(*) OVER () AS total FROM (SELECT DISTINCT month FROM c))"
+
+
+@query(f"""WITH {CUBE}, {PLACES} SELECT 'one' AS part, supp, 0 AS month, order_id, line, v FROM c JOIN m USING (month) WHERE place = 3
+UNION ALL SELECT 'slice', supp, month, order_id, line, v FROM c JOIN m USING (month) WHERE place >= 2 AND place < total - 4 AND place % 5 = 2
+UNION ALL SELECT 'list', supp, month, order_id, line, v FROM c JOIN m USING (month) WHERE place IN (0, 7, total - 1)""")
+def dim_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One month, every fifth of a range of months, and three months, by their places."""
+    rows = cube(spark, sf_dir)
+    parts = {"one": D.index(rows, month=3).withColumn("month", F.lit(0)), "slice": D.index(rows, month=slice(2, -4, 5)), "list": D.index(rows, month=[0, 7, -1])}
+    columns = ["supp", "month", "order_id", "line", "v"]
+    one, *rest = (df.select(F.lit(name).alias("part"), *columns) for name, df in parts.items())
+    for df in rest:
+        one = one.unionByName(df)
+    return one
+
+
+@query(f"""WITH {CUBE} SELECT supp, order_id, line, CASE WHEN supp < 4 AND line = 2 THEN -1.0 WHEN month % 12 = 3 THEN v * 2 ELSE v END AS v FROM c""")
+def dim_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values set where coordinates are chosen."""
+    rows = D.assign(cube(spark, sf_dir), F.col("month") % 12 == 3, "v", F.col("v") * 2)
+    return D.assign(rows, (F.col("supp") < 4) & (F.col("line") == 2), "v", F.lit(-1.0)).select("supp", "order_id", "line", "v")
+
+
+@query("""SELECT event_id, user_id, value * 2 AS twice, true AS no_offset, true AS no_note FROM events""")
+def event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of events added, of values and empty ones, and removed."""
+    rows = D.add_fields(table(spark, sf_dir, "events"), twice=F.col("value") * 2, eoffset="long", note="string")
+    rows = D.remove_fields(rows, "ts", "event_type", "value", "props")
+    return rows.select("event_id", "user_id", "twice", F.isnull("eoffset").alias("no_offset"), F.isnull("note").alias("no_note"))
+
+
+@query(f"""WITH {CUBE}, s AS (SELECT supp, line, sum(v) AS v FROM c GROUP BY ALL),
+a AS (SELECT supp, row_number() OVER (ORDER BY supp) - 1 AS k FROM (SELECT DISTINCT supp FROM s)), b AS (SELECT line, row_number() OVER (ORDER BY line) - 1 AS k FROM (SELECT DISTINCT line FROM s))
+SELECT k AS diagonal, round(v, 6) AS v, round(sum(v) OVER (), 6) AS trace FROM s JOIN a USING (supp) JOIN b USING (line, k)""")
+def dim_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagonal and trace of suppliers against lines."""
+    sums = cube(spark, sf_dir).groupBy("supp", "line").agg(F.sum("v").alias("v"))
+    found = D.diagonal(sums, "supp", "line")
+    total = found.agg(F.sum("v").alias("trace"))
+    return found.crossJoin(F.broadcast(total)).select("diagonal", F.round("v", 6).alias("v"), F.round("trace", 6).alias("trace"))  # one row
+
+
+@query(f"""WITH {CUBE}, {PLACES} SELECT line, (place >= 5)::INT + (place >= 20)::INT AS bin, round(median(v), 6) AS v FROM c JOIN m USING (month) GROUP BY ALL""")
+def bin_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three bins of months split at given places, each reduced by a function of one's own."""
+    import pandas as pd
+
+    def middle(v: pd.Series) -> float:
+        return float(v.median())
+
+    rows = D.split_bins(cube(spark, sf_dir), "month", [5, 20])
+    return D.by_bin(rows, ["line", "bin"], "v", middle).withColumn("v", F.round("v", 6))
+
+
+@query(f"""WITH {CUBE} SELECT supp, line, again, count(*) AS n, round(sum(v), 6) AS v FROM c, (SELECT unnest(range(0, 3)) AS again) WHERE line IN (1, 4) GROUP BY ALL""")
+def dim_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lines taken, everything three times over."""
+    rows = D.repeat(D.index(cube(spark, sf_dir), line=[0, 3]), "line", 3)
+    return rows.groupBy("supp", "line", F.col("again").cast("long").alias("again")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("v"))

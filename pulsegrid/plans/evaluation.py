@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import evaluation as E
+from pulsegrid.operators import labels as L
+from pulsegrid.operators import spans as S
+from pulsegrid.operators.labels import RAPID_BPM
 from pulsegrid.plans.registry import query, table
+from pulsegrid.plans.rhythm import FACTS, RATE, SIZE, facts
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,13 +62,32 @@ def score_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("source", *(F.round(v, 6).alias(k) for k, v in scores.items()))
 
 
-@query(f"""WITH {BASE}, c AS (SELECT lang, {COUNTS} FROM (SELECT * FROM p WHERE source <> 'src1') GROUP BY ROLLUP (lang))
-SELECT coalesce(lang, 'overall') AS lang, tp, fp, tn, fn, {SCORES} FROM c""")
+@query(f"""WITH {FACTS}, p AS (SELECT rhythm, CASE WHEN rhythm = '(VF' THEN CASE WHEN amplitude > 50 THEN 1 ELSE 2 END WHEN rhythm = '(VT' THEN CASE WHEN n_beats / {SIZE / RATE} * 60 >= {RAPID_BPM} THEN 1 ELSE 2 END ELSE 0 END AS truth,
+  (begin_t // {SIZE} + record) % 3 AS predicted FROM facts),
+k AS (SELECT rhythm, truth, CASE WHEN predicted = 2 THEN 0 ELSE predicted END AS predicted FROM p WHERE truth <> 2),
+c AS (SELECT rhythm, {COUNTS} FROM k GROUP BY ROLLUP (rhythm)) SELECT coalesce(rhythm, 'overall') AS rhythm, tp, fp, tn, fn, {SCORES} FROM c""")
 def aha_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores by group with an overall row, after rows of one kind are dropped."""
-    kept = predictions(spark, sf_dir).where("source <> 'src1'")
-    c = kept.rollup("lang").agg(*(v.alias(k) for k, v in E.counts(F.col("truth"), F.col("predicted")).items()))
-    return c.select(F.coalesce("lang", F.lit("overall")).alias("lang"), "tp", "fp", "tn", "fn", *(F.round(v, 6).alias(k) for k, v in E.scores().items()))
+    """Shock or none by rhythm and overall; segments between the two are left out, and
+    predictions of that class count as none. (Coarse is over 50 units of value here.)"""
+    g = facts(spark, sf_dir)
+    rate = S.heart_rate(F.col("n_beats"), F.lit(SIZE), RATE)
+    truth = L.label(F.col("rhythm"), "aha", F.col("amplitude") / 50 * L.COARSE_MV, rate)
+    rows = g.select("rhythm", truth.alias("truth"), ((F.floor(F.col("begin") / SIZE) + F.col("record")) % 3).cast("int").alias("predicted"))
+    c = E.without_between(rows).rollup("rhythm").agg(*(v.alias(k) for k, v in E.counts(F.col("truth"), F.col("predicted")).items()))
+    return c.select(F.coalesce("rhythm", F.lit("overall")).alias("rhythm"), "tp", "fp", "tn", "fn", *(F.round(v, 6).alias(k) for k, v in E.scores().items()))
+
+
+@query(f"""WITH {MULTI}, e AS (SELECT *, tp + fn AS n, CASE WHEN tp = 0 THEN 0.0 ELSE tp / (tp + fn)::DOUBLE END AS recall,
+  CASE WHEN tp = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fn + fp)::DOUBLE END AS f1, CASE WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (1.25 * tp + 0.25 * fn + fp)::DOUBLE END AS fh,
+  CASE WHEN tp = 0 THEN 0.0 ELSE 5 * tp / (5 * tp + 4 * fn + fp)::DOUBLE END AS f2 FROM c WHERE tp + fn + fp > 0),
+g AS (SELECT lang, avg(1 - recall) FILTER (n > 0) AS ber, avg(f1) AS f1_macro, max(f1) FILTER (class = 1) AS f1_binary, sum(f2 * n) / sum(n) AS f_beta,
+  CASE count(*) FILTER (n > 0) WHEN 2 THEN max(fh) FILTER (class = 1) WHEN 3 THEN max(recall) FILTER (class = 1) ELSE 0 END AS custom, max(recall) FILTER (class = 1) AS max_recall FROM e GROUP BY lang)
+SELECT lang, round(ber, 6) AS ber, round(f1_macro, 6) AS f1_macro, round(f1_binary, 6) AS f1_binary, round(f_beta, 6) AS f_beta, round(custom, 6) AS custom, round(max_recall, 6) AS max_recall FROM g""")
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every score that models are chosen by, of three classes."""
+    p = predictions(spark, sf_dir).select("lang", (F.col("truth") + F.col("predicted")).alias("truth"), (F.col("doc_id") % 3).cast("int").alias("predicted"))
+    names = ("ber", "f1_macro", "f1_binary", "f_beta", "custom", "max_recall")
+    return E.class_scores(p, [0, 1, 2], 1, "lang").select("lang", *(F.round(n, 6).alias(n) for n in names))
 
 
 @query(f"WITH {BASE} SELECT doc_id, truth, predicted FROM p WHERE (truth <> 0 AND predicted = 0) OR (truth = 0 AND predicted = 1)")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import matching as M
+from pulsegrid.operators import scoring as Q
 from pulsegrid.plans.registry import query, table
 
 WINDOW = 2.0
@@ -94,3 +95,59 @@ def clock_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = events.select(F.col("user_id").alias("record"), F.round(hours() - 473352, 6).alias("t")).distinct()
     b = a.where(F.round(F.col("t") * 100) % 5 != 0).select("record", F.round(1.0001 * F.col("t") + 3, 6).alias("t"))
     return M.aligned(a, b, 0.05).select("record", F.round("slope", 4).alias("slope"), "n")
+
+
+CODES = "NNNVASFQL/EO"
+CODED = f"""a AS (SELECT user_id AS record, {H} AS t, min(['{"','".join(CODES)}'][event_id % {len(CODES)} + 1]) AS code FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+b AS (SELECT user_id AS record, {H} AS t, min(['{"','".join(CODES)}'][(event_id * 7 + 3) % {len(CODES)} + 1]) AS code FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+j AS (SELECT a.record, a.code AS ref, b.code AS test, a.t AS t_ref, b.t AS t_test, row_number() OVER (PARTITION BY a.record, a.t ORDER BY abs(a.t - b.t), b.t) AS x,
+             row_number() OVER (PARTITION BY a.record, b.t ORDER BY abs(a.t - b.t), a.t) AS y FROM a JOIN b ON a.record = b.record AND abs(a.t - b.t) <= {WINDOW}),
+paired AS (SELECT record, ref, test, t_ref, t_test FROM j WHERE x = 1 AND y = 1),
+every AS (SELECT * FROM paired UNION ALL SELECT record, code, 'O', t, NULL FROM a WHERE NOT EXISTS (SELECT 1 FROM paired p WHERE p.record = a.record AND p.t_ref = a.t)
+  UNION ALL SELECT record, 'O', code, NULL, t FROM b WHERE NOT EXISTS (SELECT 1 FROM paired p WHERE p.record = b.record AND p.t_test = b.t)),
+m AS (SELECT record, t_ref, t_test, {{0}} AS ref, {{1}} AS test FROM every)"""
+MAPPED = "CASE {0} WHEN 'N' THEN 'N' WHEN 'L' THEN 'N' WHEN 'A' THEN 'S' WHEN 'S' THEN 'S' WHEN 'V' THEN 'V' WHEN 'E' THEN 'V' WHEN 'F' THEN 'F' WHEN 'Q' THEN 'Q' WHEN '/' THEN 'Q' ELSE 'O' END"
+CODED = CODED.format(MAPPED.format("ref"), MAPPED.format("test"))
+
+
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks against views as beats of all classes, with the missed and the extra ones."""
+
+    def coded(kind: str, number: Column) -> DataFrame:
+        code = F.element_at(F.array(*map(F.lit, CODES)), (number % len(CODES) + 1).cast("int"))
+        rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
+        return rows.groupBy(F.col("user_id").alias("record"), hours().alias("t")).agg(F.min(code).alias("code"))
+
+    ref, test = coded("click", F.col("event_id")), coded("view", F.col("event_id") * 7 + 3)
+    every = Q.with_missed(M.nearest_beats(ref, test, WINDOW), ref, test)
+    return every.withColumns({c: Q.beat_class(F.col(c)) for c in ("ref", "test")})
+
+
+@query(f"""WITH {CODED} SELECT record, ref, test, count(*) AS n FROM m GROUP BY ALL""")
+def aami_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beats of each class of the reference by class of the detector."""
+    return scored_pairs(spark, sf_dir).groupBy("record", "ref", "test").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CODED} SELECT {", ".join(f"count_if(ref = '{a}' AND test = '{b}')::BIGINT AS {a}{b.lower()}" for a in "NSVFQOX" for b in "NSVFQOX" if a + b != "OO")} FROM m""")
+def aami_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.matrix(scored_pairs(spark, sf_dir))
+
+
+B = "('N', 'S', 'V', 'F', 'Q')"
+
+
+@query(f"""WITH {CODED}, r AS (SELECT record, (t_ref - lag(t_ref) OVER w) - (t_test - lag(t_test) OVER w) AS off FROM m WHERE t_ref IS NOT NULL AND t_test IS NOT NULL WINDOW w AS (PARTITION BY record ORDER BY t_ref)),
+e AS (SELECT record, sqrt(avg(off * off)) AS rms FROM r GROUP BY record),
+c AS (SELECT record, count_if(ref IN {B} AND test IN {B}) AS qtp, count_if(ref IN {B} AND test IN ('O', 'X')) AS qfn, count_if(ref IN ('O', 'X') AND test IN {B}) AS qfp,
+ count_if(ref = 'V' AND test = 'V') AS vtp, count_if(ref = 'V' AND test <> 'V') AS vfn, count_if(test = 'V' AND ref IN ('N', 'S', 'O', 'X')) AS vfp, count_if(ref <> 'V' AND test IN ('N', 'S', 'F', 'Q')) AS vtn,
+ count_if(ref = 'S' AND test = 'S') AS stp, count_if(ref = 'S' AND test <> 'S') AS sfn, count_if(ref IN ('N', 'V', 'F', 'O', 'X') AND test = 'S') AS sfp FROM m GROUP BY record)
+SELECT c.record, round(100 * qtp / nullif(qtp + qfn, 0), 4) AS q_se, round(100 * qtp / nullif(qtp + qfp, 0), 4) AS q_ppv, round(100 * vtp / nullif(vtp + vfn, 0), 4) AS v_se,
+ round(100 * vtp / nullif(vtp + vfp, 0), 4) AS v_ppv, round(100 * vfp / nullif(vtn + vfp, 0), 4) AS v_fpr, round(100 * stp / nullif(stp + sfn, 0), 4) AS s_se,
+ round(100 * stp / nullif(stp + sfp, 0), 4) AS s_ppv, round(rms, 6) AS rms_rr FROM c LEFT JOIN e USING (record)""")
+def aami_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standard's percentages of each record, and the error of its beat intervals."""
+    pairs = scored_pairs(spark, sf_dir)
+    found = Q.summary(pairs, "record").join(Q.rr_error(pairs, "record"), "record", "left")
+    names = ("q_se", "q_ppv", "v_se", "v_ppv", "v_fpr", "s_se", "s_ppv")
+    return found.select("record", *(F.round(n, 4).alias(n) for n in names), F.round("rms_rr", 6).alias("rms_rr"))

@@ -93,13 +93,34 @@ def coef_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance(table(spark, sf_dir, "embeddings"), "label", "embedding")
 
 
-@query("""WITH c AS (SELECT p_partkey, p_retailprice > 1100 AS gone, p_brand FROM part)
-SELECT p_partkey, CASE WHEN gone THEN 1 + row_number() OVER (PARTITION BY p_brand, gone ORDER BY p_partkey DESC) ELSE 1 END AS place FROM c""")
+@query("""WITH d AS (SELECT label, unnest(range(0, 64)) AS feature, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE len(embedding) = 64),
+t AS (SELECT feature, sum(v) AS s, count(*) AS n FROM d GROUP BY feature), c AS (SELECT label, feature, sum(v) AS s, count(*) AS n FROM d GROUP BY label, feature),
+w AS (SELECT label, feature, abs(c.s / c.n - (t.s - c.s) / (t.n - c.n)) AS weight FROM c JOIN t USING (feature) WHERE t.n > c.n),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, feature) AS place FROM w)
+SELECT label, feature, CASE WHEN place <= 16 THEN 1 ELSE place - 15 END AS rank FROM k""")
 def elimination_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survivors rank 1, the last to go 2, and so on."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") > 1100).alias("gone"), "p_brand")
-    w = W.partitionBy("p_brand", "gone").orderBy(F.desc("p_partkey"))
-    return parts.select("p_partkey", F.when(F.col("gone"), F.row_number().over(w) + 1).otherwise(1).alias("place"))
+    """Features go in the order of how little they tell a class from the rest, until sixteen
+    are left: survivors rank 1, the last to go 2, and so on."""
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    long = rows.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("feature", "v"))
+    sums = long.groupBy("label", "feature").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    whole = W.partitionBy("feature")
+    rest = (F.sum("s").over(whole) - F.col("s")) / F.nullif(F.sum("n").over(whole) - F.col("n"), F.lit(0))
+    told = sums.select("label", "feature", F.abs(F.col("s") / F.col("n") - rest).alias("weight")).where("weight is not null")
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.desc("weight"), "feature"))
+    return told.select("label", "feature", F.greatest(F.lit(1), place - 15).alias("rank"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ALL""")
+def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written as tab-separated text with a header, and read again."""
+    from pulsegrid.sources import reports
+    from pulsegrid.sources.shared import shared_dir
+
+    found = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    path = shared_dir(spark, "report")
+    reports.write(found, path)
+    return reports.read(spark, path, found.schema)
 
 
 HOST = r"^[a-z]+://([^/:?#]+)"

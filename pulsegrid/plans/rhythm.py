@@ -3,6 +3,8 @@ sample, its order the sample number, its type the annotation code and `value` th
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,11 +64,14 @@ corrections AS (
   FROM labels GROUP BY ALL)"""
 
 
-def all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = samples(spark, sf_dir)
+def spans_of(marked: DataFrame) -> DataFrame:
     return S.spans(marked, marked.groupBy("record").agg(F.count("*").alias("n")))
 
 
+def all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_of(samples(spark, sf_dir))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record, rhythm, begin, n_beats, amplitude) of every segment."""
     marked = samples(spark, sf_dir)
@@ -174,13 +179,39 @@ def low_amplitude_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("record", F.col("begin").alias("begin_t"), F.lit("(ASYS").alias("label"))
 
 
-@query("""SELECT doc_id, CASE WHEN lower(trim(text)) = 'vt' OR lower(trim(text)) LIKE 'ventricular tac%' THEN '(VT'
-  WHEN lower(trim(text)) = 'vf' OR lower(trim(text)) LIKE 'ventricular fib%' THEN '(VF' ELSE '(N' END AS rhythm,
-  CASE lang WHEN '(VFIB' THEN '(VF' ELSE lang END AS canonical FROM documents""")
+NOTES = ("VT", "Ventricular tachycardia ", " vf", "VENTRICULAR FIBRILLATION?", "sinus rhythm ", "vt?", "(VFIB")
+
+
+@query(f"""WITH n AS (SELECT event_id, {list(NOTES)}[event_id % {len(NOTES)} + 1] || CASE WHEN event_id % 3 = 0 THEN ' ' ELSE '' END AS note FROM events),
+r AS (SELECT *, CASE WHEN lower(trim(note)) = 'vt' OR lower(trim(note)) LIKE 'ventricular tac%' THEN '(VT' WHEN lower(trim(note)) = 'vf' OR lower(trim(note)) LIKE 'ventricular fib%' THEN '(VF' END AS rhythm FROM n)
+SELECT event_id, rhythm, CASE trim(note) WHEN '(VFIB' THEN '(VF' ELSE trim(note) END AS canonical FROM r WHERE rhythm IS NOT NULL OR trim(note) = '(VFIB'""")
 def note_rhythms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rhythm named by a free-text note, and alias normalisation."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.coalesce(L.monitored_rhythm(F.col("text")), F.lit("(N")).alias("rhythm"), L.canonical(F.col("lang")).alias("canonical"))
+    """Rhythms named by free-text notes (here made of the event's number), and aliases; other
+    notes are left out."""
+    notes = F.element_at(F.array(*map(F.lit, NOTES)), (F.col("event_id") % len(NOTES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(notes, F.when(F.col("event_id") % 3 == 0, " ").otherwise("")).alias("note"))
+    named = rows.withColumn("rhythm", L.monitored_rhythm(F.col("note"))).withColumn("canonical", L.canonical(F.trim("note")))
+    return named.where(F.col("rhythm").isNotNull() | (F.col("canonical") != F.trim("note"))).select("event_id", "rhythm", "canonical")
+
+
+#: Records of each source by their remainder, and the rhythms that a source leaves out or alone
+#: takes (fixed values).
+SOURCES = {"mitdb": (0, None, None), "vfdb": (1, ["(VT"], None), "cudb": (2, ["(N"], None), "edb": (3, None, None), "mghdb": (4, None, ["(VT", "(VF"])}
+
+
+@query(f"""WITH {SEGMENTS}, s AS (SELECT ['mitdb', 'vfdb', 'cudb', 'edb', 'mghdb'][record % 5 + 1] AS source, * FROM segments)
+SELECT source, record, rhythm, begin_t FROM s WHERE NOT (source = 'vfdb' AND rhythm = '(VT') AND NOT (source = 'cudb' AND rhythm = '(N') AND (source <> 'mghdb' OR rhythm IN ('(VT', '(VF'))""")
+def federated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of five sources together, each with its own records and rhythms; a source's
+    rule holds on its spans, before they are cut."""
+    rows = samples(spark, sf_dir)
+    parts = []
+    for name, (remainder, left_out, alone) in SOURCES.items():
+        spans = spans_of(rows.where(F.col("record") % 5 == remainder))
+        spans = spans if left_out is None else spans.where(~F.col("rhythm").isin(left_out))
+        spans = spans if alone is None else spans.where(F.col("rhythm").isin(alone))
+        parts.append(S.segments(spans, SIZE).select(F.lit(name).alias("source"), "record", "rhythm", F.col("begin").alias("begin_t")))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query(f"""WITH {FACTS} SELECT record, begin_t,
