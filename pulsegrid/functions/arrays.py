@@ -254,3 +254,40 @@ def stationary_level(x: Column, n: int, level: int, taps: tuple[float, ...]) ->
     wrapped around the ends."""
     step = 1 << level
     return F.transform(x, lambda v, i: sum((F.lit(h) * x[(i + k * step) % n] for k, h in enumerate(taps)), F.lit(0.0)))
+
+
+def word_ranks(x: Column, bits: int) -> Column:
+    """Array by word (rises and falls of `bits` steps, the first step lowest) of its share of
+    the words and its rank by that, from 1; equally frequent words rank by their number."""
+    total = F.size(x) - bits
+    rises = F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: (F.get(x, i + 1) > F.get(x, i)).cast("int"))
+
+    def of_rises(up: Column) -> Column:
+        word = lambda i: sum((F.get(up, i + k) * (1 << k) for k in range(1, bits)), F.get(up, i))
+        words = F.transform(F.sequence(F.lit(0), total - 1), word)
+        return F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda k: F.size(F.filter(w, lambda v: v == k))))[0]
+
+    def ranked(counts: Column) -> Column:
+        ahead = lambda n, k: F.size(F.filter(F.transform(counts, lambda m, j: (m > n) | ((m == n) & (j < k))), lambda b: b))
+        return F.transform(counts, lambda n, k: F.struct((n / total).alias("share"), (ahead(n, k) + 1).alias("rank")))
+
+    counts = F.transform(F.array(rises), of_rises)[0]
+    return F.transform(F.array(counts), ranked)[0]
+
+
+def word_distance(x: Column, y: Column, bits: int) -> Column:
+    """Mean difference of the words' ranks in two series, weighted by their entropies, over the
+    largest rank but one: 0 for series of one ranking."""
+
+    def told(p: Column) -> Column:
+        return F.when(p > 0, -p * F.ln(p)).otherwise(0.0)
+
+    def apart(both: Column) -> Column:
+        sums = F.aggregate(
+            both, F.struct(F.lit(0.0).alias("far"), F.lit(0.0).alias("all")),
+            lambda acc, w: F.struct((acc["far"] + w["far"] * w["weight"]).alias("far"), (acc["all"] + w["weight"]).alias("all")),
+        )
+        return F.transform(F.array(sums), lambda s: F.try_divide(s["far"], s["all"]))[0]
+
+    both = F.zip_with(word_ranks(x, bits), word_ranks(y, bits), lambda a, b: F.struct(F.abs(a["rank"] - b["rank"]).cast("double").alias("far"), (told(a["share"]) + told(b["share"])).alias("weight")))
+    return F.transform(F.array(both), apart)[0] / ((1 << bits) - 1)

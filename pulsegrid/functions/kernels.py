@@ -11,17 +11,27 @@ import math
 import numpy as np
 
 
-def butterworth(order: int, cutoff: float, fs: float, kind: str = "low") -> tuple[np.ndarray, np.ndarray]:
-    """Numerator and denominator of a Butterworth filter, by the bilinear transform."""
-    warped = 2 * fs * math.tan(math.pi * cutoff / fs)
+def butterworth(order: int, cutoff: float | tuple[float, float], fs: float, kind: str = "low") -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator of a Butterworth filter, by the bilinear transform. kind is
+    low or high, or pass or stop with a pair of cutoffs (of twice the order then)."""
+    edges = [2 * fs * math.tan(math.pi * c / fs) for c in np.atleast_1d(cutoff)]
     poles = np.exp(1j * math.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
-    poles = warped * poles if kind == "low" else warped / poles
-    z = (2 * fs + poles) / (2 * fs - poles)
-    a = np.real(np.poly(z))
-    side = -1.0 if kind == "low" else 1.0
-    b = np.real(np.poly(np.full(order, side)))
-    at = 1.0 if kind == "low" else -1.0
-    return b * np.polyval(a, at) / np.polyval(b, at), a
+    if kind in ("low", "high"):
+        poles = edges[0] * poles if kind == "low" else edges[0] / poles
+        zeros, unit = np.full(order, -1.0 if kind == "low" else 1.0), 1.0 if kind == "low" else -1.0
+    else:
+        # Every pole of the low pass becomes two, about the geometric centre of the band.
+        centre = math.sqrt(edges[0] * edges[1])
+        half = (edges[1] - edges[0]) / 2
+        half = half * poles if kind == "pass" else half / poles
+        split = np.sqrt(half * half - centre * centre)
+        poles = np.r_[half + split, half - split]
+        turn = 2 * math.atan(centre / (2 * fs))
+        zeros = np.r_[np.ones(order), -np.ones(order)] if kind == "pass" else np.exp(1j * turn * np.repeat([1, -1], order))
+        unit = np.exp(1j * turn) if kind == "pass" else 1.0
+    a = np.real(np.poly((2 * fs + poles) / (2 * fs - poles)))
+    b = np.real(np.poly(zeros))
+    return b * abs(np.polyval(a, unit) / np.polyval(b, unit)), a
 
 
 def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -61,12 +71,15 @@ def without_drift(x: np.ndarray, fs: float, cutoff: float = 1.0) -> np.ndarray:
 
 
 def resample(x: np.ndarray, n: int) -> np.ndarray:
-    """Rows to n samples through their Fourier transform."""
-    spectrum = np.fft.rfft(x, axis=1)
-    kept = spectrum[:, : n // 2 + 1].copy()
-    if kept.shape[1] < n // 2 + 1:
-        kept = np.pad(kept, ((0, 0), (0, n // 2 + 1 - kept.shape[1])))
-    return np.fft.irfft(kept, n, axis=1) * (n / x.shape[1])
+    """Rows to n samples through their Fourier transform. The wave of half the lower rate, which
+    has no phase, keeps its values at the samples that both rates share."""
+    old = x.shape[1]
+    least = min(n, old)
+    kept = np.zeros((len(x), n // 2 + 1), complex)
+    kept[:, : least // 2 + 1] = np.fft.rfft(x, axis=1)[:, : least // 2 + 1]
+    if least % 2 == 0 and n != old:
+        kept[:, least // 2] *= 0.5 if n > old else 2
+    return np.fft.irfft(kept, n, axis=1) * (n / old)
 
 
 def lempel_ziv(bits: np.ndarray) -> float:
@@ -208,21 +221,128 @@ def singular_entropy(x: np.ndarray, lag: int, dim: int) -> tuple[float, float]:
     return float(-(s * np.log(s + 1e-300)).sum()), float((np.diff(s) ** 2 / (s[:-1] + 1e-300)).sum())
 
 
-def wavelet_power(x: np.ndarray, freqs: list[float], fs: float, width: int = 5) -> np.ndarray:
-    """Mean power of each row at each frequency, by Morlet wavelets of unit energy."""
+def morlet(f: float, fs: float, width: int = 5) -> np.ndarray:
+    """A Morlet wavelet of unit energy, three and a half deviations to either side."""
+    s = width / (2 * math.pi * f)
+    t = np.arange(-math.ceil(3.5 * s * fs), math.ceil(3.5 * s * fs) + 1) / fs
+    w = np.exp(-(t**2) / (2 * s * s)) * np.exp(2j * math.pi * f * t)
+    return w / np.sqrt((np.abs(w) ** 2).sum())
+
+
+def wavelets(x: np.ndarray, freqs: list[float], fs: float, width: int = 5) -> np.ndarray:
+    """(rows, frequencies, samples): the complex transform of each row; its square is power
+    and its angle phase. ValueError where a wavelet is longer than the rows."""
     n, out = x.shape[1], []
     for f in freqs:
-        s = width / (2 * math.pi * f)
-        t = np.arange(-math.ceil(3.5 * s * fs), math.ceil(3.5 * s * fs) + 1) / fs
-        w = np.exp(-(t**2) / (2 * s * s)) * np.exp(2j * math.pi * f * t)
-        w /= np.sqrt((np.abs(w) ** 2).sum())
+        w = morlet(f, fs, width)
+        if len(w) > n:
+            raise ValueError(f"{n} samples are too few for a wavelet of {len(w)} at {f} Hz")
         size = 1 << (n + len(w) - 2).bit_length()
         both = np.fft.ifft(np.fft.fft(x, size, axis=1) * np.fft.fft(w, size), axis=1)
         start = (len(w) - 1) // 2
-        out.append((np.abs(both[:, start : start + n]) ** 2).mean(1))
+        out.append(both[:, start : start + n])
+    return np.stack(out, axis=1)
+
+
+def wavelet_power(x: np.ndarray, freqs: list[float], fs: float, width: int = 5) -> np.ndarray:
+    """Mean power of each row at each frequency; wavelets longer than the rows count too."""
+    n, out = x.shape[1], []
+    for f in freqs:
+        wide = np.pad(x, ((0, 0), (0, max(0, len(morlet(f, fs, width)) - n))))
+        out.append((np.abs(wavelets(wide, [f], fs, width)[:, 0, :n]) ** 2).mean(1))
     return np.stack(out, axis=1)
 
 
+#: Low-pass taps of orthogonal wavelets (fixed values).
+LOW_TAPS = {
+    "haar": (0.7071067811865476, 0.7071067811865476),
+    "db3": (0.3326705529500825, 0.8068915093110924, 0.4598775021184914, -0.1350110200102546, -0.0854412738820267, 0.0352262918857095),
+}
+
+
+def _responses(taps: tuple[float, ...], n: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequency responses of the low and the high pass, spread out for a level."""
+    low = np.zeros(n)
+    high = np.zeros(n)
+    for k, tap in enumerate(taps):
+        low[(k << level) % n] += tap
+        high[(k << level) % n] += (-1) ** k * taps[len(taps) - 1 - k]
+    return np.fft.fft(low), np.fft.fft(high)
+
+
+def stationary(x: np.ndarray, levels: int, wavelet: str = "db3") -> list[np.ndarray]:
+    """Undecimated transform of rows, taken as circular: the details of each level, then what
+    is left. Lengths must be multiples of 2 ** levels."""
+    n = x.shape[1]
+    if n % (1 << levels):
+        raise ValueError(f"{n} samples are no multiple of {1 << levels}")
+    rest, out = np.fft.fft(x, axis=1), []
+    for level in range(levels):
+        low, high = _responses(LOW_TAPS[wavelet], n, level)
+        out.append(np.real(np.fft.ifft(rest * high, axis=1)))
+        rest = rest * low
+    return [*out, np.real(np.fft.ifft(rest, axis=1))]
+
+
+def inverse_stationary(parts: list[np.ndarray], wavelet: str = "db3") -> np.ndarray:
+    """The rows that stationary() took apart."""
+    *details, rest = (np.fft.fft(p, axis=1) for p in parts)
+    for level in reversed(range(len(details))):
+        low, high = _responses(LOW_TAPS[wavelet], rest.shape[1], level)
+        rest = (rest * low.conj() + details[level] * high.conj()) / 2
+    return np.real(np.fft.ifft(rest, axis=1))
+
+
+def without_buffer(x: np.ndarray, fs: float, seconds: float) -> np.ndarray:
+    """Rows less a stretch at either end; ValueError for a negative or too long one."""
+    n = round(seconds * fs)
+    if n < 0 or 2 * n >= x.shape[1]:
+        raise ValueError(f"cannot take {n} samples from both ends of {x.shape[1]}")
+    return x[:, n : x.shape[1] - n]
+
+
+def cepstrum(x: np.ndarray, fs: float, fastest: float = 400.0) -> np.ndarray:
+    """First half of the cepstrum of rows, without periods shorter than `fastest` a minute."""
+    found = np.abs(np.fft.ifft(np.log(np.abs(np.fft.fft(x, axis=1)) + 1e-300), axis=1))[:, : x.shape[1] // 2]
+    found[:, : int(60.0 / fastest * fs)] = 0
+    return found
+
+
+def linear_phase(taps: int, bands: list[tuple[float, float, float, float]], fs: float) -> np.ndarray:
+    """Taps (an odd number) of the symmetric filter whose gain is nearest, by weighted squares,
+    to that of bands (from, to, gain, weight) in Hz."""
+    if taps % 2 == 0:
+        raise ValueError("the number of taps must be odd")
+    grid = [(f, gain, math.sqrt(weight)) for low, high, gain, weight in bands for f in np.linspace(low, high, 16 * taps)]
+    f, gain, weight = map(np.array, zip(*grid))
+    rows = np.cos(2 * math.pi * np.outer(f / fs, np.arange(taps // 2 + 1)))
+    half = np.linalg.lstsq(rows * weight[:, None], gain * weight, rcond=None)[0]
+    return np.r_[half[:0:-1] / 2, half[0], half[1:] / 2]
+
+
+def running_averages(x: np.ndarray, fast: float = 0.5, slow: float = 0.975) -> np.ndarray:
+    """Product over two of fast averages about slow ones, forwards and backwards, of rows."""
+
+    def forward(rows: np.ndarray) -> np.ndarray:
+        quick, steady = np.zeros(len(rows)), rows[:, :10].mean(1)
+        out = np.empty(rows.shape)
+        for t in range(rows.shape[1]):
+            quick = fast * quick + (1 - fast) * (rows[:, t] - steady)
+            steady = slow * steady + (1 - slow) * rows[:, t]
+            out[:, t] = quick
+        return out
+
+    return forward(x) * forward(x[:, ::-1])[:, ::-1] / 2
+
+
+def blinks(x: np.ndarray, reach: int) -> np.ndarray:
+    """Samples of each row within `reach` of one where the running averages exceed their deviation."""
+    size = np.abs(running_averages(x))
+    over = size > size.std(1, keepdims=True)
+    near = np.stack([np.convolve(r, np.ones(2 * reach + 1), "same") > 0 for r in over.astype(float)])
+    return near.sum(1)
+
+
 def approximate_entropy(x: np.ndarray, m: int = 2, share: float = 0.2) -> float:
     """Difference of the mean log shares of like templates of m and m + 1 samples, each
     template like itself."""

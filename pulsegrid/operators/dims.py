@@ -89,7 +89,7 @@ def index(df: DataFrame, **chosen: int | slice | list[int]) -> DataFrame:
             if any(not -total <= k < total for k in wanted):
                 raise IndexError(f"{dim} has {total} coordinates: {wanted}")
             inside = F.col("place").isin([k % total for k in wanted])
-        df = df.join(places.where(inside).select(dim), dim, "left_semi")
+        df = df.join(places.where(inside).select(dim), dim, "left_semi").select(*df.columns)
         df = df.drop(dim) if isinstance(want, int) else df
     return df
 

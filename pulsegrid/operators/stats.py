@@ -113,7 +113,9 @@ def student_p(t: Column, df: Column) -> Column:
         return (total + at(F.lit(0)) + at(F.lit(PANELS))) * step / 3
 
     # Most of the density lies near zero: the part and the rest are integrated apart.
-    part, rest = integral(F.lit(0.0), end), integral(end, F.lit(PI / 2))
+    # Past forty deviations there is nothing left of it.
+    most = F.least(F.lit(PI / 2), 40 / F.sqrt(df))
+    part, rest = integral(F.lit(0.0), F.least(end, most)), integral(F.least(end, most), most)
     return F.when(t == 0, 1.0).otherwise(rest / (part + rest))
 
 

@@ -60,14 +60,38 @@ def sample_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round("entropy", 6).alias("entropy"))
 
 
-@query(f"""WITH {_S} SELECT vec_id, round(sqrt(sum(v * v) / 64), 6) AS rms, round(sqrt(sum(v * v) / 64), 6) AS rms_resampled FROM s GROUP BY vec_id""")
+@query(f"""WITH {_S}, c AS (SELECT vec_id, k, sum(v * cos(2 * pi() * k * t / 64)) AS a, sum(v * sin(2 * pi() * k * t / 64)) AS b FROM s, (SELECT unnest(range(0, 33)) AS k) GROUP BY ALL)
+SELECT vec_id, j, round(sum((CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) * (a * cos(2 * pi() * k * j / 96) + CASE WHEN k = 32 THEN 0 ELSE b * sin(2 * pi() * k * j / 96) END)) / 64, 5) AS v
+FROM c, (SELECT unnest(range(0, 96, 5)) AS j) GROUP BY vec_id, j""")
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twice the rate keeps the energy of a segment (its highest wave left out of the count)."""
-    keep = lambda x: x - np.real(np.fft.ifft(np.where(np.arange(x.shape[1]) == x.shape[1] // 2, np.fft.fft(x, axis=1), 0), axis=1))
-    rms = lambda x: np.sqrt((x**2).mean(1))
-    gone = lambda x: (x**2).mean(1) - (keep(x) ** 2).mean(1)
-    features = {"rms": rms, "rms_resampled": lambda x: np.sqrt((K.resample(keep(x), 2 * x.shape[1]) ** 2).mean(1) + gone(x))}
-    return with_features(segments(spark, sf_dir), "x", features).select("vec_id", F.round("rms", 6).alias("rms"), F.round("rms_resampled", 6).alias("rms_resampled"))
+    """Every fifth of 96 samples made of 64 through the Fourier transform."""
+    names = tuple(f"at{j}" for j in range(0, 96, 5))
+    wide = with_features(segments(spark, sf_dir), "x", {names: lambda x: K.resample(x, 96)[:, ::5]})
+    found = F.explode(F.array(*(F.struct(F.lit(5 * i).cast("long").alias("j"), F.round(n, 5).alias("v")) for i, n in enumerate(names))))
+    return wide.select("vec_id", found.alias("f")).select("vec_id", "f.j", "f.v")
+
+
+@query(f"""WITH RECURSIVE {_S}, two AS (SELECT vec_id, 0 AS back, t, v FROM s UNION ALL SELECT vec_id, 1, 63 - t, v FROM s),
+m AS (SELECT vec_id, back, avg(v) FILTER (t < 10) AS slow FROM two GROUP BY ALL),
+r AS (SELECT vec_id, back, -1::BIGINT AS t, 0.0::DOUBLE AS fast, slow FROM m
+  UNION ALL SELECT r.vec_id, r.back, r.t + 1, 0.5 * r.fast + 0.5 * (b.v - r.slow), 0.975 * r.slow + 0.025 * b.v FROM r JOIN two b ON b.vec_id = r.vec_id AND b.back = r.back AND b.t = r.t + 1),
+p AS (SELECT f.vec_id, f.t, abs(f.fast * g.fast / 2) AS size FROM r f JOIN r g ON f.vec_id = g.vec_id AND f.back = 0 AND g.back = 1 AND g.t = 63 - f.t WHERE f.t >= 0),
+o AS (SELECT *, (size > stddev_pop(size) OVER (PARTITION BY vec_id))::INT AS over FROM p),
+n AS (SELECT vec_id, max(over) OVER (PARTITION BY vec_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM o)
+SELECT vec_id, sum(near)::DOUBLE AS artefacts FROM n GROUP BY vec_id""")
+def blink_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples near which fast averages about slow ones stand out both ways in time."""
+    return with_features(segments(spark, sf_dir), "x", {"artefacts": lambda x: K.blinks(x, 3)}).select("vec_id", "artefacts")
+
+
+@query()
+def band_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy within a band, without it, and of the transform's levels with six taps."""
+    both = {k: (lambda x, k=k: (K.zero_phase(*K.butterworth(2, (2.0, 4.0), FS, k), x) ** 2).mean(1)) for k in ("pass", "stop")}
+    names = ("detail1", "detail2", "detail3", "rest")
+    levels = {names: lambda x: np.stack([(p**2).mean(1) for p in K.stationary(x, 3)], axis=1)}
+    period = {"period": lambda x: K.cepstrum(x, FS).argmax(1) / FS}
+    return with_features(segments(spark, sf_dir), "x", {**both, **levels, **period})
 
 
 @query(f"""WITH {_S}, lim AS (SELECT vec_id, t // {FS} AS k, t % {FS} AS i, v > 0.2 * max(v) OVER (PARTITION BY vec_id, t // {FS}) AS up FROM s),

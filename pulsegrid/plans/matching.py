@@ -4,8 +4,11 @@ one; time is in hours."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import arrays as A
+from pulsegrid.operators import detection as D
 from pulsegrid.operators import matching as M
 from pulsegrid.operators import scoring as Q
 from pulsegrid.plans.registry import query, table
@@ -151,3 +154,46 @@ def aami_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = Q.summary(pairs, "record").join(Q.rr_error(pairs, "record"), "record", "left")
     names = ("q_se", "q_ppv", "v_se", "v_ppv", "v_fpr", "s_se", "s_ppv")
     return found.select("record", *(F.round(n, 4).alias(n) for n in names), F.round("rms_rr", 6).alias("rms_rr"))
+
+
+SAMPLES = "s AS (SELECT user_id AS record, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, floor(value * 100)::BIGINT AS value, event_type = 'purchase' AS beat FROM events)"
+
+
+def whole_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    place = (F.row_number().over(w) - 1).cast("long").alias("t")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("record"), place, F.floor(F.col("value") * 100).alias("value"), (F.col("event_type") == "purchase").alias("beat"))
+
+
+@query(f"""WITH {SAMPLES}, a AS (SELECT *, sum(value) OVER (PARTITION BY record ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s5 FROM s),
+l AS (SELECT *, trunc(sum(s5) OVER (PARTITION BY record ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)::DOUBLE / 25)::BIGINT AS low FROM a),
+h AS (SELECT *, coalesce(lag(low, 12) OVER w, 0) - trunc(sum(low) OVER (PARTITION BY record ORDER BY t ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)::DOUBLE / 25)::BIGINT AS high FROM l WINDOW w AS (PARTITION BY record ORDER BY t)),
+d AS (SELECT *, abs(high - coalesce(lag(high, 2) OVER (PARTITION BY record ORDER BY t), 0)) AS d FROM h)
+SELECT record, t, low, high, least(32000, trunc(sum(d) OVER (PARTITION BY record ORDER BY t ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)::DOUBLE / 16)::BIGINT) AS energy FROM d""")
+def qrs_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector's filter chain over every record."""
+    return D.qrs_energy(whole_samples(spark, sf_dir).drop("beat")).select("record", "t", "low", "high", "energy")
+
+
+@query(f"""WITH {SAMPLES}, b AS (SELECT record, t, t - 1 AS stop, greatest(lag(t) OVER (PARTITION BY record ORDER BY t) + 1, t - 1 - 12) AS start FROM s WHERE beat),
+g AS (SELECT * FROM b WHERE start < stop AND (SELECT count(*) FROM s WHERE s.record = b.record AND s.beat AND s.t < b.t) > 0)
+SELECT g.record, g.t, round(10 * (max(value) - min(value)) / count(*)::DOUBLE, 6) AS noise FROM g JOIN s ON s.record = g.record AND s.t >= g.start AND s.t < g.stop GROUP BY g.record, g.t""")
+def beat_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unrest between a beat and the one before."""
+    rows = whole_samples(spark, sf_dir)
+    found = D.noise(rows.drop("beat"), rows.where("beat").select("record", "t"), 1, 1, 12)
+    return found.select("record", "t", F.round("noise", 6).alias("noise"))
+
+
+@query("""WITH x AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64),
+b AS (SELECT vec_id, i, list_sum([((embedding[i + k + 1] > embedding[i + k])::INT) << k for k in range(0, 4)])::BIGINT AS word FROM x, (SELECT unnest(range(1, 61)) AS i)),
+c AS (SELECT vec_id, w.word, count(b.word) AS n FROM (SELECT vec_id, unnest(range(0, 16))::BIGINT AS word FROM x) w LEFT JOIN b USING (vec_id, word) GROUP BY ALL),
+r AS (SELECT *, n / 60.0::DOUBLE AS p, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, word) AS rank FROM c),
+f AS (SELECT a.vec_id, abs(a.rank - b.rank) AS far, (CASE WHEN a.p > 0 THEN -a.p * ln(a.p) ELSE 0 END) + (CASE WHEN b.p > 0 THEN -b.p * ln(b.p) ELSE 0 END) AS weight
+      FROM r a JOIN r b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0 AND b.word = a.word)
+SELECT vec_id, round(sum(far * weight) / nullif(sum(weight), 0) / 15, 6) AS far FROM f GROUP BY vec_id""")
+def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of two series by the ranks of their four-step words of rises and falls."""
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", "embedding")
+    pairs = rows.where("vec_id % 2 = 0").join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    return pairs.select("vec_id", F.round(A.word_distance(F.col("embedding"), F.col("other"), 4), 6).alias("far"))

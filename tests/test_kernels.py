@@ -100,3 +100,75 @@ def test_chaos():
     assert K.band_envelope(np.stack([sine(5)]), 4, 6, FS)[0] == pytest.approx(1, rel=0.01)
     assert np.abs(K.decimate(np.stack([sine(5)]), 4, FS)[0] - sine(5)[::4])[20:-20].max() < 0.05
     assert K.resonance_counts(np.stack([sine(14.6)]), FS, 2)[0] == pytest.approx(500, abs=30)
+
+
+def gain_of(b, a, f, fs=FS):
+    z = np.exp(2j * math.pi * f / fs)
+    return abs(np.polyval(b, z) / np.polyval(a, z))
+
+
+def test_band_pass_and_stop():
+    for order in (2, 4):
+        b, a = K.butterworth(order, (10.0, 20.0), FS, "pass")
+        assert [gain_of(b, a, f) for f in (10, 20)] == pytest.approx([math.sqrt(0.5)] * 2, abs=1e-6) and gain_of(b, a, 14.2) > 0.99
+        assert gain_of(b, a, 1) < 0.01 and gain_of(b, a, 80) < 0.01
+        b, a = K.butterworth(order, (10.0, 20.0), FS, "stop")
+        assert [gain_of(b, a, f) for f in (10, 20)] == pytest.approx([math.sqrt(0.5)] * 2, abs=1e-6) and gain_of(b, a, 14.2) < 0.01
+        assert gain_of(b, a, 0) == pytest.approx(1) and gain_of(b, a, 99) > 0.99
+    b, a = K.butterworth(4, (8.0, 20.0), FS, "stop")
+    out = K.zero_phase(b, a, np.stack([sine(12), sine(5)]))
+    assert np.abs(out[0][200:-200]).max() < 0.02 and np.abs(out[1] - sine(5))[200:-200].max() < 0.2
+
+
+def test_resample_keeps_shared_samples():
+    x = np.random.default_rng(2).standard_normal((3, 64))
+    assert np.allclose(K.resample(x, 128)[:, ::2], x) and np.allclose(K.resample(x, 64), x)
+
+
+def test_buffers():
+    x = np.stack([sine(10), sine(5)])
+    assert K.without_buffer(x, FS, 1).shape == (2, 2 * FS) and np.array_equal(K.without_buffer(x, FS, 1), x[:, FS:-FS])
+    assert K.without_buffer(x, FS, 0).shape == x.shape
+    for bad in (-1, 2):
+        with pytest.raises(ValueError):
+            K.without_buffer(x, FS, bad)
+
+
+@pytest.mark.parametrize("wavelet", ["haar", "db3"])
+def test_stationary_transform_comes_back(wavelet):
+    x = np.random.default_rng(3).standard_normal((4, 128))
+    parts = K.stationary(x, 4, wavelet)
+    assert len(parts) == 5 and np.allclose(K.inverse_stationary(parts, wavelet), x)
+    flat = K.stationary(np.ones((1, 16)), 2, wavelet)
+    assert np.allclose(flat[0], 0) and np.allclose(flat[2], 2)
+    with pytest.raises(ValueError):
+        K.stationary(x[:, :100], 4)
+
+
+def test_wavelet_phase_and_power():
+    ramp = np.tile(np.arange(1000.0), (2, 1))
+    found = K.wavelets(ramp, [10.0, 60.0], 100)
+    assert found.shape == (2, 2, 1000) and np.allclose(found[0], found[1])
+    x = np.stack([sine(10), np.cos(2 * math.pi * 10 * T)])
+    mid = np.angle(K.wavelets(x, [10.0], FS)[:, 0, 300:500])
+    assert np.allclose(np.angle(np.exp(1j * (mid[1] - mid[0]))), math.pi / 2, atol=1e-3)
+    assert len(K.morlet(5.0, FS)) > len(K.morlet(10.0, FS)) and len(K.morlet(5.0, FS, 7)) > len(K.morlet(5.0, FS, 5))
+    with pytest.raises(ValueError):
+        K.wavelets(x[:, :20], [1.0], FS)
+
+
+def test_linear_phase_filter_and_cepstrum():
+    taps = K.linear_phase(61, [(0, 20, 1, 1), (30, 100, 0, 10)], FS)
+    assert np.allclose(taps, taps[::-1]) and len(taps) == 61
+    assert gain_of(taps, [1], 10) == pytest.approx(1, abs=0.02) and gain_of(taps, [1], 50) < 0.02
+    beat = np.zeros((1, 800))
+    beat[0, ::160] = 1.0
+    smooth = K.zero_phase(*K.butterworth(2, 30.0, FS), beat) + 0.01 * np.random.default_rng(1).standard_normal(beat.shape)
+    assert K.cepstrum(smooth, FS)[0, :30].max() == 0 and abs(K.cepstrum(smooth, FS)[0].argmax() - 160) <= 2
+
+
+def test_running_averages_find_a_blink():
+    x = np.zeros((1, 200))
+    x[0, 100:104] = 5
+    found = np.abs(K.running_averages(x))[0]
+    assert 98 <= found.argmax() <= 106 and 4 <= K.blinks(x, 2)[0] < 30

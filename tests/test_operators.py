@@ -76,3 +76,52 @@ def test_constant_and_short_series(spark):
     df = frame(spark, [([1.0] * 16,), ([0.0] * 16,)], "x array<double>")
     row = df.select(A.phase_space(F.col("x"), 2), A.mean_absolute_value(F.col("x"), 4), A.petrosian(F.col("x")), A.hjorth(F.col("x")), A.permutation_entropy(F.col("x")))
     assert len(row.collect()) == 2
+
+
+def test_student_p_and_z(spark):
+    """Against numbers from tables."""
+    from statistics import NormalDist
+
+    from pulsegrid.operators import stats
+
+    rows = [(12.706205, 1, 0.05), (2.228139, 10, 0.05), (-2.228139, 10, 0.05), (1.959966, 10**6, 0.05), (0.0, 5, 1.0), (3.169273, 10, 0.01), (1.281552, 10**6, 0.2)]
+    df = spark.createDataFrame(rows, "t double, df long, p double")
+    for r in df.select("t", "p", stats.student_p(df.t, df.df).alias("mine"), stats.t_to_z(df.t, df.df).alias("z")).collect():
+        assert abs(r.mine - r.p) < 2e-6
+        assert r.t == 0 or abs(abs(r.z) - NormalDist().inv_cdf(1 - r.p / 2)) < 1e-5 and (r.z > 0) == (r.t > 0)
+    for q in (1e-6, 0.01, 0.3, 0.5, 0.8, 0.999):
+        assert abs(spark.range(1).select(stats.normal_quantile(F.lit(q)).alias("z")).first().z - NormalDist().inv_cdf(q)) < 1e-6
+
+
+def test_labelled_array_places_and_fields(spark):
+    from pulsegrid.operators import dims
+
+    rows = [(a, b, 10.0 * a + b) for a in (1, 3, 5, 7) for b in (2, 4, 6)]
+    df = spark.createDataFrame(rows, "a int, b int, v double").repartition(3)
+    got = lambda d: sorted(map(tuple, d.collect()))
+    assert got(dims.index(df, a=1)) == [(2, 32.0), (4, 34.0), (6, 36.0)]
+    assert got(dims.index(df, a=-1, b=0)) == [(72.0,)]
+    assert got(dims.index(df, a=slice(None, None, -2), b=[2])) == [(3, 6, 36.0), (7, 6, 76.0)]
+    for bad in (4, -5, [0, 9]):
+        with pytest.raises(IndexError):
+            dims.index(df, a=bad)
+    assert got(dims.diagonal(df, "a", "b").select("diagonal", "v")) == [(0, 12.0), (1, 34.0), (2, 56.0)]
+    assert dims.new_axis(dims.new_axis(df)).columns[-2:] == ["newaxis_0", "newaxis_1"]
+    assert dims.squeeze(df.where("a = 3")).columns == ["b", "v"]
+    assert {r.bin for r in dims.split_bins(df, "a", [1, 3]).collect()} == {0, 1, 2}
+    with pytest.raises(ValueError):
+        dims.add_fields(df, v="int")
+    with pytest.raises(ValueError):
+        dims.remove_fields(df, "w")
+    assert dims.reduce(df, ["a"], "v", "b").where("a = 1").first()["prod"] == 12.0 * 14 * 16
+
+
+def test_text_reports_and_pulse_logs(spark, tmp_path):
+    from pulsegrid.sources import reports
+
+    df = spark.createDataFrame([("x", 1, 0.5), ("y, z", None, 2.0)], "name string, n long, share double")
+    reports.write(df, f"{tmp_path}/out")
+    reports.write(df.where("n = 1"), f"{tmp_path}/out", append=True)
+    assert sorted(map(str, reports.read(spark, f"{tmp_path}/out", df.schema).collect())) == sorted(map(str, [*df.collect(), *df.where("n = 1").collect()]))
+    (tmp_path / "log.txt").write_text("100\t1\tUP\nbad\t1\tUP\n250\t2\tDOWN\n300\t1\tUP\n")
+    assert sorted((r.t for r in reports.pulses(spark, f"{tmp_path}/log.txt", "UP").collect()), key=str) == [100, 300, None]
