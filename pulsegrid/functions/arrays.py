@@ -109,16 +109,6 @@ def petrosian(x: Column) -> Column:
     return F.log10(n) / (F.log10(n) + F.log10(1 + 0.4 * sign_changes(x)))
 
 
-def spectrum(x: Column, n: int) -> Column:
-    """Amplitudes of the lower half of the discrete Fourier transform of n samples."""
-
-    def amplitude(k: Column) -> Column:
-        part = lambda f: F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda acc, t: acc + x[t] * f(k * t * (2 * math.pi / n)))
-        return let(F.struct(part(F.cos).alias("re"), part(F.sin).alias("im")), lambda z: F.sqrt(z["re"] * z["re"] + z["im"] * z["im"]))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(math.ceil(n / 2) - 1)), amplitude)
-
-
 def weighted_index(a: Column) -> Column:
     """Sum of index times value."""
     return total(F.transform(a, lambda v, i: v * i))

@@ -88,8 +88,8 @@ def lempel_ziv(bits: np.ndarray) -> float:
     text = np.asarray(bits, np.uint8).tobytes()
     n, words, start = len(text), 0, 0
     while start < n:
-        length = 1
-        while start + length <= n and text.find(text[start : start + length], 0, start + length - 1) >= 0:
+        length, at = 1, 0  # a longer word is not met before where its beginning is first met
+        while start + length <= n and (at := text.find(text[start : start + length], at, start + length - 1)) >= 0:
             length += 1
         words, start = words + (start + length <= n), start + length
     return words * math.log2(n) / n if n > 1 else 0.0

@@ -23,15 +23,26 @@ def spline(knots: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.interp(at, knots, values)
     h = np.diff(knots).astype(float)
     slope = np.diff(values) / h
-    system = np.diag(np.r_[1, 2 * (h[:-1] + h[1:]), 1])
-    inner = np.arange(1, len(knots) - 1)
-    system[inner, inner - 1], system[inner, inner + 1] = h[:-1], h[1:]
-    bend = np.linalg.solve(system, np.r_[0, 6 * np.diff(slope), 0])
+    bend = np.r_[0.0, bends(h, 6 * np.diff(slope)), 0.0]
     k = np.clip(np.searchsorted(knots, at, side="right") - 1, 0, len(h) - 1)
     d, u = at - knots[k], knots[k + 1] - at
     return (bend[k] * u**3 + bend[k + 1] * d**3) / (6 * h[k]) + (values[k] / h[k] - bend[k] * h[k] / 6) * u + (values[k + 1] / h[k] - bend[k + 1] * h[k] / 6) * d
 
 
+def bends(h: np.ndarray, right: np.ndarray) -> list[float]:
+    """Second derivatives at the inner knots: a system of three diagonals, eliminated downwards
+    and solved upwards."""
+    diagonal, side, right = (2 * (h[:-1] + h[1:])).tolist(), h.tolist(), right.tolist()
+    for k in range(1, len(right)):
+        share = side[k] / diagonal[k - 1]
+        diagonal[k] -= share * side[k]
+        right[k] -= share * right[k - 1]
+    out = [right[-1] / diagonal[-1]]
+    for k in range(len(right) - 2, -1, -1):
+        out.append((right[k] - side[k + 1] * out[-1]) / diagonal[k])
+    return out[::-1]
+
+
 def envelope(x: np.ndarray) -> np.ndarray:
     """Through the maxima, two of them mirrored beyond either end."""
     top = maxima(x)

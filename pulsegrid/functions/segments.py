@@ -24,12 +24,21 @@ def prepared(x: np.ndarray, fs: float, cutoff: float = 30.0) -> np.ndarray:
     return K.zero_phase(*K.butterworth(5, cutoff, fs), x) if cutoff < fs / 2 else x
 
 
-def with_features(df: DataFrame, samples: str, features: dict[str | tuple[str, ...], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
-    """Append a double per feature; each takes rows of equal length and gives one number a
-    row, or a row of numbers for a tuple of names. Segments of null, of no samples or with a null sample have null features."""
-    kept = [c for c in df.columns if c != samples]
+Kernel = Callable[[np.ndarray], np.ndarray]
+
+
+def with_features(
+    df: DataFrame, samples: str, features: dict[str | tuple[str, ...], Kernel], prepare: Kernel | None = None, arrays: dict[str, Kernel] | None = None
+) -> DataFrame:
+    """Append a double per feature, and an array of doubles per name of arrays, in place of
+    samples. Each kernel takes rows of equal length and gives one number a row, a row of
+    numbers for a tuple of names, or a row for an array. prepare runs once, before all of
+    them. Segments of null, of no samples or with a null sample have null features."""
+    arrays = arrays or {}
+    kept = [c for c in df.columns if c != samples and c not in arrays]
     names = [n for key in features for n in ((key,) if isinstance(key, str) else key)]
-    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in names)])
+    fields = [*(T.StructField(n, T.DoubleType()) for n in names), *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in arrays)]
+    schema = T.StructType([*(df.schema[c] for c in kept), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -37,18 +46,34 @@ def with_features(df: DataFrame, samples: str, features: dict[str | tuple[str, .
                 batch = whole.slice(start, ROWS)
                 rows = [None if r is None or not len(r) or None in r else np.asarray(r, float) for r in batch.column(samples).to_pylist()]
                 values = {n: np.full(len(rows), np.nan) for n in names}
+                lists: dict[str, list] = {n: [None] * len(rows) for n in arrays}
                 for size in {len(r) for r in rows if r is not None}:
                     at = [i for i, r in enumerate(rows) if r is not None and len(r) == size]
                     x = np.stack([rows[i] for i in at])
+                    x = x if prepare is None else prepare(x)
                     for key, f in features.items():
                         found = f(x)
                         for k, n in enumerate((key,) if isinstance(key, str) else key):
                             values[n][at] = found if isinstance(key, str) else found[:, k]
+                    for n, f in arrays.items():
+                        for i, row in zip(at, f(x)):
+                            lists[n][i] = row
                 columns = [batch.column(c) for c in kept] + [pa.array(v, pa.float64(), from_pandas=True) for v in values.values()]
+                columns += [pa.array(v, pa.list_(pa.float64())) for v in lists.values()]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def amplitudes(x: np.ndarray) -> np.ndarray:
+    """Of the lower half of each row's Fourier transform."""
+    return np.abs(np.fft.rfft(x, axis=1))[:, : (x.shape[1] + 1) // 2]
+
+
+def with_spectrum(df: DataFrame, samples: str, name: str) -> DataFrame:
+    """Append the amplitudes as an array column; the samples stay."""
+    return with_features(df, samples, {}, arrays={samples: lambda x: x, name: amplitudes})
+
+
 def each(kernel: Callable[..., float], *args) -> Callable[[np.ndarray], np.ndarray]:
     return lambda x: np.array([kernel(r, *args) for r in x])

@@ -7,24 +7,64 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import arrays as A
 from pulsegrid.functions import kernels as K
-from pulsegrid.functions.segments import each, prepared, with_features
-from pulsegrid.plans.registry import query
+from pulsegrid.functions.segments import amplitudes, each, prepared, with_features, with_spectrum
+from pulsegrid.operators import labels as L
+from pulsegrid.plans.registry import query, table
 from pulsegrid.plans.signal import FS, segments
 
 
 @query()
 def shock_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time-domain and complexity features of prepared segments."""
+    """Time-domain and complexity features of segments prepared once."""
+    rows = with_features(segments(spark, sf_dir), "x", {"amplitude": each(K.peak_amplitude, FS)}, arrays={"x": lambda x: x})
+    return with_features(rows, "x", time_features(FS), prepare=lambda x: prepared(x, FS, 6.0))
 
-    def on(kernel):
-        return lambda x: kernel(prepared(x, FS, 6.0))
 
-    features = {
-        "tcsc": on(each(K.threshold_crossings, FS)), "mea": on(each(K.lifted_exponential, FS)), "hilb": on(K.hilbert_cells),
-        "lz": on(each(lambda r: K.lempel_ziv(K.binarised(r)))), "spen": on(each(K.sample_entropy)), "amplitude": each(K.peak_amplitude, FS),
+def time_features(fs: int) -> dict:
+    """Kernels of prepared segments; entropy of samples over their last five seconds."""
+    return {
+        "tcsc": each(K.threshold_crossings, fs), "mea": each(K.lifted_exponential, fs), "hilb": K.hilbert_cells,
+        "lz": each(lambda r: K.lempel_ziv(K.binarised(r))), "spen": lambda x: each(K.sample_entropy)(x[:, -5 * fs :]),
     }
-    return with_features(segments(spark, sf_dir), "x", features)
+
+
+#: Rate and length of the job's segments; eight embeddings in a row are a segment at 64 a second.
+JOB_RATE, JOB_SECONDS, CHUNKS = 250, 8, 8
+
+
+def job_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(segment, label, x): eight whole embeddings after one another, labelled as the first."""
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    place = F.struct((F.col("vec_id") % CHUNKS).alias("place"), F.col("embedding").cast("array<double>").alias("x"), "label")
+    held = rows.groupBy(F.floor(F.col("vec_id") / CHUNKS).alias("segment")).agg(F.sort_array(F.collect_list(place)).alias("parts"))  # eight
+    # Features cost far more than their few bytes say: a fixed number of tasks, not coalesced.
+    held = held.where(F.size("parts") == CHUNKS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "segment")
+    return held.select("segment", F.col("parts")[0]["label"].alias("label"), F.flatten(F.transform("parts", lambda p: p["x"])).alias("x"))
+
+
+@query()
+def feature_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole feature table: segments brought to 250 samples a second, prepared once, every
+    feature, and the risk class of the segment's rhythm."""
+    from pulsegrid.functions import modes as D
+
+    n = JOB_RATE * JOB_SECONDS
+    raw = {"amplitude": each(K.peak_amplitude, JOB_RATE), **{f"count{k}": (lambda x, k=k: K.resonance_counts(x, JOB_RATE, k)) for k in (1, 2, 3)}}
+    rows = with_features(job_segments(spark, sf_dir), "x", raw, prepare=lambda x: K.resample(x, n), arrays={"x": lambda x: x})
+    modes = {tuple(f"imf{k + 1}_lz" for k in range(5)): lambda x: np.array([D.mode_features(r, JOB_RATE)[:5] for r in x])}
+    rows = with_features(rows, "x", {**time_features(JOB_RATE), **modes}, prepare=lambda x: prepared(x, JOB_RATE), arrays={"x": lambda x: x, "a": amplitudes})
+    x, a = F.col("x"), F.col("a")
+    rows = rows.withColumn("s", F.explode(F.array(A.spectral_shape(a, n, JOB_RATE))))
+    columns = {
+        "tci": A.crossing_interval(x, JOB_RATE), "ste": A.exponential_crossings(x, JOB_RATE), "psr": A.phase_space(x, JOB_RATE // 2),
+        "mav": A.mean_absolute_value(x, JOB_RATE), "vf": A.half_period_leak(x, a, n), "m": F.col("s.moment"), "a2": F.col("s.a2"), "fm": A.central_frequency(a, n, JOB_RATE),
+    }
+    rhythm = F.element_at(F.array(*map(F.lit, ("(N", "(VF", "(VT", "(VFL"))), (F.col("label") % 4 + 1).cast("int"))
+    kept = [c for c in rows.columns if c not in ("x", "a", "s")]
+    out = rows.select(*kept, *(v.alias(k) for k, v in columns.items()), rhythm.alias("rhythm"))
+    return out.withColumn("risk", L.risk_class(F.col("rhythm"), F.col("amplitude"), F.lit(0)))
 
 
 @query()
@@ -101,9 +141,7 @@ n AS (SELECT b.vec_id, b.n - 1 + coalesce(b.head / nullif(b.head + a.tail, 0), 0
       FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.k = a.k + 1 JOIN p c ON c.vec_id = b.vec_id AND c.k = b.k + 1)
 SELECT vec_id, round(avg(1000.0 / CASE WHEN n > 0 THEN n ELSE 1 END), 6) AS tci FROM n GROUP BY vec_id""")
 def crossing_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pulsegrid.functions.arrays import crossing_interval as tci
-
-    return segments(spark, sf_dir).select("vec_id", F.round(tci(F.col("x"), FS), 6).alias("tci"))
+    return segments(spark, sf_dir).select("vec_id", F.round(A.crossing_interval(F.col("x"), FS), 6).alias("tci"))
 
 
 @query()
@@ -130,10 +168,7 @@ m AS (SELECT k, avg(p) AS m, stddev_pop(p) AS d FROM spec JOIN embeddings USING
 SELECT vec_id, k, round((p - m) / d, 5) AS z FROM spec JOIN m USING (k)""")
 def zscored_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log power of eight frequencies, scaled by the mean and deviation of a baseline class."""
-    from pulsegrid.functions import arrays as A
-    from pulsegrid.plans.registry import table
-
-    rows = segments(spark, sf_dir).select("vec_id", F.posexplode(A.spectrum(F.col("x"), 64)).alias("k", "a")).where("k between 1 and 8")
+    rows = with_spectrum(segments(spark, sf_dir), "x", "s").select("vec_id", F.posexplode("s").alias("k", "a")).where("k between 1 and 8")
     rows = rows.select("vec_id", "k", F.log10(F.col("a") * F.col("a")).alias("p"))
     base = rows.join(table(spark, sf_dir, "embeddings").where("label = 0").select("vec_id"), "vec_id")
     base = base.groupBy("k").agg(F.avg("p").alias("m"), F.stddev_pop("p").alias("d"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays as A
+from pulsegrid.functions.segments import with_spectrum
 from pulsegrid.plans.registry import query, table
 
 N, FS = 64, 16
@@ -74,7 +75,7 @@ def petrosian(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SPECTRUM} SELECT vec_id, k, round(a * a, 6) AS power FROM spec")
 def dft_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segments(spark, sf_dir).select("vec_id", F.posexplode(A.spectrum(F.col("x"), N)).alias("k", "a"))
+    rows = with_spectrum(segments(spark, sf_dir), "x", "s").select("vec_id", F.posexplode("s").alias("k", "a"))
     return rows.select("vec_id", "k", F.round(F.col("a") * F.col("a"), 6).alias("power"))
 
 
@@ -85,7 +86,7 @@ m AS (SELECT vec_id, round(sum(k * a) / sum(a) / any_value(pk), 6) AS moment,
              round(sum(CASE WHEN k > 0.7 * pk AND k < 1.4 * pk THEN a ELSE 0 END) / sum(a), 6) AS a2 FROM kept GROUP BY vec_id)
 SELECT vec_id, moment, a2, fm FROM m JOIN f USING (vec_id)""")
 def spectral_moment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = once(segments(spark, sf_dir), "a", A.spectrum(F.col("x"), N))
+    rows = with_spectrum(segments(spark, sf_dir), "x", "a")
     rows = once(rows, "s", A.spectral_shape(F.col("a"), N, FS))
     return rows.select("vec_id", F.round("s.moment", 6).alias("moment"), F.round("s.a2", 6).alias("a2"), F.round(A.central_frequency(F.col("a"), N, FS), 6).alias("fm"))
 
@@ -99,7 +100,7 @@ SELECT vec_id, round(sum(p), 6) AS power, round(max(CASE WHEN band = 0 THEN r EN
        round(-sum(CASE WHEN band < {len(CUTS) - 2} THEN r * ln(r) END) / ln({len(CUTS) - 1}), 6) AS entropy FROM r GROUP BY vec_id""")
 def band_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power of bands, the first one's share, and spectral entropy."""
-    rows = once(segments(spark, sf_dir), "p", A.band_powers(A.spectrum(F.col("x"), N), BANDS, N, FS))
+    rows = once(with_spectrum(segments(spark, sf_dir), "x", "a"), "p", A.band_powers(F.col("a"), BANDS, N, FS))
     p = F.col("p")
     return rows.select("vec_id", F.round(A.total(p), 6).alias("power"), F.round(p[0] / A.total(p), 6).alias("first_ratio"), F.round(A.spectral_entropy(p, len(BANDS) - 1), 6).alias("entropy"))
 
@@ -108,7 +109,7 @@ def band_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.vec_id, round(sum(abs(a.v + b.v)) / sum(abs(a.v) + abs(b.v)), 6) AS leak
 FROM s a JOIN p USING (vec_id) JOIN s b ON b.vec_id = a.vec_id AND b.t = a.t + p.h GROUP BY a.vec_id""")
 def vf_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = once(segments(spark, sf_dir), "a", A.spectrum(F.col("x"), N))
+    rows = with_spectrum(segments(spark, sf_dir), "x", "a")
     return rows.select("vec_id", F.round(A.half_period_leak(F.col("x"), F.col("a"), N), 6).alias("leak"))
 
 
