@@ -25,6 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -81,6 +82,7 @@ def map_texts(
     to one list of values per field. Columns of df that share a name with a field give way
     to it; keep limits the columns carried through.
     """
+    ship(df.sparkSession)
     new = {name.lower() for name, _, _ in fields}
     carried = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     df = df.select(*dict.fromkeys([*carried, text]))
