@@ -77,6 +77,17 @@ def decompose(x: np.ndarray, most: int = 5) -> np.ndarray:
     return np.stack([*modes, rest])
 
 
+def ensemble(x: np.ndarray, times: int = 20, noise: float = 0.2, most: int = 5, seed: int = 0) -> np.ndarray:
+    """Mean modes, and mean rest, of copies of the signal with white noise of `noise` of its
+    deviation added; copies of fewer modes count as having empty ones."""
+    rng, total = np.random.default_rng(seed), np.zeros((most + 1, len(x)))
+    for _ in range(times):
+        found = decompose(x + rng.standard_normal(len(x)) * noise * x.std(), most)
+        total[: len(found) - 1] += found[:-1]
+        total[most] += found[-1]
+    return total / times
+
+
 def waves(x: np.ndarray, fs: float) -> tuple[float, float]:
     """Mean amplitude and mean frequency (Hz) of the analytic signal."""
     n = len(x)

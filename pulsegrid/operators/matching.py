@@ -109,3 +109,12 @@ def aligned(pulses: DataFrame, other: DataFrame, tolerance: float) -> DataFrame:
     alone = both.withColumn("n", F.count("*").over(W.partitionBy("record", "a"))).withColumn("m", F.count("*").over(W.partitionBy("record", "b")))
     alone = alone.where("n = 1 and m = 1")
     return alone.groupBy("record").agg(F.regr_slope("b", "a").alias("slope"), F.regr_intercept("b", "a").alias("intercept"), F.count("*").alias("n"))
+
+
+def on_source(events: DataFrame, lines: DataFrame, rate: float, lengths: DataFrame) -> DataFrame:
+    """events (record, t, ...) with eoffset, their place in samples on the record's other clock,
+    by the lines of aligned(). Events off the source (lengths: record, n samples) are left out,
+    and those of a record without a line."""
+    known = lines.select("record", "slope", "intercept").join(lengths, "record")
+    placed = events.join(known, "record").withColumn("eoffset", (F.col("slope") * F.col("t") + F.col("intercept")) * rate)
+    return placed.where("eoffset >= 0 and eoffset < n").drop("slope", "intercept", "n")

@@ -94,10 +94,25 @@ j AS (SELECT ga.record, a, b, count(*) OVER (PARTITION BY ga.record, a) AS n, co
 @query(f"WITH {PULSES} SELECT record, round(regr_slope(b, a), 4) AS slope, count(*) AS n FROM j WHERE n = 1 AND m = 1 GROUP BY record")
 def clock_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two clocks of a record, of which one missed some pulses."""
+    return clocks(spark, sf_dir).select("record", F.round("slope", 4).alias("slope"), "n")
+
+
+def clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "click"))
     a = events.select(F.col("user_id").alias("record"), F.round(hours() - 473352, 6).alias("t")).distinct()
     b = a.where(F.round(F.col("t") * 100) % 5 != 0).select("record", F.round(1.0001 * F.col("t") + 3, 6).alias("t"))
-    return M.aligned(a, b, 0.05).select("record", F.round("slope", 4).alias("slope"), "n")
+    return M.aligned(a, b, 0.05)
+
+
+@query(f"""WITH {PULSES}, line AS (SELECT record, regr_slope(b, a) AS slope, regr_intercept(b, a) AS intercept FROM j WHERE n = 1 AND m = 1 GROUP BY record),
+w AS (SELECT event_id, user_id AS record, {H} - 473352 AS t FROM events WHERE event_type = 'view')
+SELECT event_id, round((slope * t + intercept) * 10, 3) AS eoffset FROM w JOIN line USING (record) WHERE (slope * t + intercept) * 10 >= 0 AND (slope * t + intercept) * 10 < 5000""")
+def events_on_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one clock placed on the other, in samples of a tenth of an hour."""
+    lines = clocks(spark, sf_dir)
+    views = table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", F.col("user_id").alias("record"), (hours() - 473352).alias("t"))
+    found = M.on_source(views, lines, 10.0, lines.select("record", F.lit(5000).alias("n")))
+    return found.select("event_id", F.round("eoffset", 3).alias("eoffset"))
 
 
 CODES = "NNNVASFQL/EO"

@@ -172,3 +172,12 @@ def test_running_averages_find_a_blink():
     x[0, 100:104] = 5
     found = np.abs(K.running_averages(x))[0]
     assert 98 <= found.argmax() <= 106 and 4 <= K.blinks(x, 2)[0] < 30
+
+
+def test_ensemble_modes_average_the_noise_away():
+    from pulsegrid.functions import modes
+
+    x = sine(3) + 0.5 * sine(20)
+    found = modes.ensemble(x, times=30, noise=0.1)
+    assert found.shape == (6, len(x)) and np.abs(found.sum(0) - x).max() < 0.12 * x.std()
+    assert np.array_equal(found, modes.ensemble(x, times=30, noise=0.1))
