@@ -86,8 +86,8 @@ class ChunkTable:
         wanted = set().union(*lists)
         missing = list(wanted - self.known.keys())
         if len(self.known) + len(missing) > TABLE_ENTRIES + len(self.seed):
-            self.known = dict(self.seed)
-            missing = list(wanted - self.known.keys())
+            # Start anew with what is wanted now.
+            self.known = self.seed | {chunk: self.known[chunk] for chunk in wanted & self.known.keys()}
         self.known.update(zip(missing, map(self.value, encode_chunks(self.sp, missing)), strict=True))
         self.passing = [chunk for chunk in missing if len(chunk) > KEPT_CHARS]
         return self.known

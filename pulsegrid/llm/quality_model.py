@@ -141,9 +141,10 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], threshold: float = THR
         def work(texts: list[str]) -> list[list]:
             nonlocal known
             lists = [t.split() for t in texts]
-            missing = list(set().union(*lists) - known.keys())
-            if len(known) + len(missing) > TABLE_ENTRIES:
-                known, missing = {}, list(set().union(*lists))
+            wanted = set().union(*lists)
+            missing = list(wanted - known.keys())
+            if len(known) + len(missing) > TABLE_ENTRIES:  # start anew with what is wanted now
+                known = {word: known[word] for word in wanted & known.keys()}
             if missing:
                 known.update(zip(missing, sums(missing), strict=True))
             totals = [sum(map(known.__getitem__, words), repeats(words) * repeat) for words in lists]
