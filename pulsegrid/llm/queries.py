@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import ann, mixing, pieces, pii, quality_model, quality_rules, secret_scan, simhash, token_counts, warc
+from pulsegrid.llm import ann, mixing, periods, pieces, pii, quality_model, quality_rules, secret_scan, simhash, token_counts, warc
 from pulsegrid.llm.common import ship, table
 
 
@@ -72,8 +72,24 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periods.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periods.periodic_runs(docs, keep=["doc_id"])
+    best = periods.longest(F.col("runs"))
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    milli = F.floor(1000 * best["length"] / best["period"]).cast("long")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        milli.alias("exponent_milli"), digest(periods.listed(F.col("runs"))).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_quality, op4_token_counts, op5_quality_rules, op6_mixing, op7_simhash, op8_secret_scan, op9_warc, op10_nearest)
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_pii, op3_quality, op4_token_counts, op5_quality_rules, op6_mixing, op7_simhash, op8_secret_scan, op9_warc,
+        op10_nearest, op11_periodic_runs,
+    )
 }
 
 
