@@ -223,16 +223,24 @@ def planted(id_col: Column, text: Column) -> Column:
     """The text, in one document of ten with all words from some word on replaced by copies of
     the first few of them, which makes runs of long periods certain to occur. A null id plants
     nothing."""
+    def let(value: Column, then) -> Column:
+        """then(value), with the value worked out once for all the places that name it."""
+        return F.element_at(F.transform(F.array(value), then), 1)
+
     h = F.crc32(id_col.cast("string").cast("binary"))
     g = F.floor(h / PLANTED).cast("long")
-    words = F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    n = F.size(words).cast("long")
 
-    def copied(words: Column) -> Column:
+    def drawn(words: Column) -> Column:
+        n = F.size(words).cast("long")
         a = g % n
-        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-        source = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
-        return F.transform(words, lambda _, i: F.element_at(words, (source(i.cast("long")) + 1).cast("int")))
+        return F.struct(words.alias("words"), a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8)).cast("long")).alias("p"))
+
+    def copied(d: Column) -> Column:
+        source = lambda i: F.when(i < d["a"], i).otherwise(d["a"] + (i - d["a"]) % d["p"])
+        return F.array_join(F.transform(d["words"], lambda _, i: F.element_at(d["words"], (source(i.cast("long")) + 1).cast("int"))), " ")
 
-    chosen = (h % PLANTED == 0) & text.isNotNull()
-    return F.when(chosen & (n > 0), F.array_join(copied(words), " ")).otherwise(text)
+    def repeated(words: Column) -> Column:
+        return F.when(F.size(words) > 0, let(drawn(words), copied)).otherwise("")
+
+    words = F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    return F.when((h % PLANTED == 0) & text.isNotNull(), let(words, repeated)).otherwise(text)
