@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import ann, mixing, periods, pieces, pii, quality_model, quality_rules, secret_scan, simhash, token_counts, variants, warc
+from pulsegrid.llm import ann, language_model, mixing, periods, pieces, pii, quality_model, quality_rules, secret_scan, simhash, token_counts, variants, warc
 from pulsegrid.llm.common import ship, table
 
 
@@ -84,6 +84,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = language_model.score(docs, language_model.train(docs), keep=["doc_id"])
+    return scored.select("doc_id", language_model.held_out(F.col("doc_id")).alias("held_out"), *language_model.SCORES)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return variants.variant_groups(variants.count_words(docs, damage=variants.DAMAGE))
@@ -93,7 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_pii, op3_quality, op4_token_counts, op5_quality_rules, op6_mixing, op7_simhash, op8_secret_scan, op9_warc,
-        op10_nearest, op11_periodic_runs, op13_spelling_variants,
+        op10_nearest, op11_periodic_runs, op12_language_model, op13_spelling_variants,
     )
 }
 
