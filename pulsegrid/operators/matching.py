@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PAIR = "record long, ref string, test string, t_ref double, t_test double"
-
-
 def nearest_beats(ref: DataFrame, test: DataFrame, window: float) -> DataFrame:
     """Pairs of beats that are each other's nearest within the window: (record, t_ref,
     t_test), from (record, t, code). Cells of the window's width make it an equality join,
@@ -23,43 +19,13 @@ def nearest_beats(ref: DataFrame, test: DataFrame, window: float) -> DataFrame:
     return both.where("a = 1 and b = 1").select("record", "ref", "test", "t_ref", "t_test")
 
 
-def merge_beats(ref: DataFrame, test: DataFrame, window: float) -> DataFrame:
-    """Pair two beat streams in time order, one to one, missing beats with X or O.
-
-    The next beats of both are paired when they lie within the window and neither has a
-    nearer one following; else the earlier stands alone. Rows are dealt by record.
-    """
-
-    def merged(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(["t", "code"]), b.sort_values(["t", "code"])
-        record = (a if len(a) else b)["record"].iloc[0]
-        ta, ca, tb, cb = a.t.tolist(), a.code.tolist(), b.t.tolist(), b.code.tolist()
-        out, i, j = [], 0, 0
-        while i < len(ta) or j < len(tb):
-            apart = abs(ta[i] - tb[j]) if i < len(ta) and j < len(tb) else None
-            nearer_a = apart is not None and i + 1 < len(ta) and abs(ta[i + 1] - tb[j]) < apart
-            nearer_b = apart is not None and j + 1 < len(tb) and abs(ta[i] - tb[j + 1]) < apart
-            if apart is not None and apart <= window and not nearer_a and not nearer_b:
-                out.append((record, ca[i], cb[j], ta[i], tb[j]))
-                i, j = i + 1, j + 1
-            elif j >= len(tb) or i < len(ta) and (ta[i] <= tb[j]):
-                out.append((record, ca[i], "O", ta[i], None))
-                i += 1
-            else:
-                out.append((record, "X", cb[j], None, tb[j]))
-                j += 1
-        return pd.DataFrame(out, columns=["record", "ref", "test", "t_ref", "t_test"])
-
-    return ref.groupBy("record").cogroup(test.groupBy("record")).applyInPandas(merged, PAIR)
-
-
 def confusion(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("ref", "test").agg(F.count("*").alias("n"))
 
 
 def beat_summary(pairs: DataFrame) -> DataFrame:
     """Sensitivity and positive predictivity of beats and of ventricular beats."""
-    real, found = ~F.col("ref").isin("X"), ~F.col("test").isin("O")
+    real, found = ~F.col("ref").isin("O", "X"), ~F.col("test").isin("O", "X")
     v_ref, v_test = F.col("ref") == "V", F.col("test") == "V"
     part = lambda a, b: F.try_divide(F.count_if(a & b), F.count_if(b))
     return pairs.groupBy("record").agg(

@@ -11,6 +11,7 @@ from pulsegrid.functions import arrays as A
 from pulsegrid.operators import detection as D
 from pulsegrid.operators import matching as M
 from pulsegrid.operators import scoring as Q
+from pulsegrid.operators.beat_merge import merge_beats, with_pauses
 from pulsegrid.plans.registry import query, table
 
 WINDOW = 2.0
@@ -46,15 +47,66 @@ def beat_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.confusion(M.nearest_beats(beats(spark, sf_dir, "click"), beats(spark, sf_dir, "view"), WINDOW))
 
 
-@query()
+FAR = "1e300::DOUBLE"
+MERGED = f"""a AS (SELECT user_id AS record, {H} AS t, min({CODE}) AS code FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+b AS (SELECT user_id AS record, {H} AS t, min({CODE}) AS code FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+la AS (SELECT record, list(t ORDER BY t) AS ta, list(code ORDER BY t) AS ca FROM a GROUP BY record),
+lb AS (SELECT record, list(t ORDER BY t) AS tb, list(code ORDER BY t) AS cb FROM b GROUP BY record),
+recs AS (SELECT record, coalesce(ta, []) AS ta, ca, coalesce(tb, []) AS tb, cb FROM la FULL JOIN lb USING (record)),
+walk(record, i, j, ref, test, t_ref, t_test) AS (
+  SELECT record, 1::BIGINT, 1::BIGINT, '', '', NULL::DOUBLE, NULL::DOUBLE FROM recs
+  UNION ALL
+  SELECT record, i + x::INT, j + y::INT, CASE WHEN x THEN ca ELSE 'O' END, CASE WHEN y THEN cb ELSE 'O' END, CASE WHEN x THEN a END, CASE WHEN y THEN b END
+  FROM (SELECT *, near OR a <= b AS x, near OR b < a AS y FROM (
+    SELECT *, CASE WHEN b < a THEN a - b <= {WINDOW} AND a - b < abs(a - b2) ELSE b - a <= {WINDOW} AND b - a < abs(b - a2) END AS near FROM (
+      SELECT w.record, w.i, w.j, coalesce(ta[w.i], {FAR}) AS a, coalesce(ta[w.i + 1], {FAR}) AS a2, coalesce(tb[w.j], {FAR}) AS b, coalesce(tb[w.j + 1], {FAR}) AS b2, ca[w.i] AS ca, cb[w.j] AS cb
+      FROM walk w JOIN recs r ON r.record = w.record WHERE w.i <= len(ta) OR w.j <= len(tb))))),
+merged AS (SELECT record, ref, test, t_ref, t_test FROM walk WHERE ref <> '')"""
+
+
+def one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def coded(kind: str) -> DataFrame:
+        rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("record"), hours().alias("t"))
+        return rows.agg(F.min(F.when(F.col("value") > 75, "V").otherwise("N")).alias("code"))
+
+    return merge_beats(coded("click"), coded("view"), WINDOW, chunk=8)
+
+
+@query(f"WITH RECURSIVE {MERGED} SELECT record, ref, test, round(t_ref, 6) AS t_ref, round(t_test, 6) AS t_test FROM merged")
 def beat_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one pairing in time order, with missed and extra beats."""
-    return M.merge_beats(beats(spark, sf_dir, "click"), beats(spark, sf_dir, "view"), WINDOW)
+    """One-to-one pairing in time order, with missed and extra beats; chunks of 16 hours."""
+    return one_to_one(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("t_ref", "t_test")})
+
+
+NONE = "('O', 'X')"
 
 
-@query()
+@query(f"""WITH RECURSIVE {MERGED} SELECT record, round(count_if(ref NOT IN {NONE} AND test NOT IN {NONE}) / nullif(count_if(ref NOT IN {NONE}), 0), 6) AS se,
+round(count_if(ref NOT IN {NONE} AND test NOT IN {NONE}) / nullif(count_if(test NOT IN {NONE}), 0), 6) AS ppv, round(count_if(ref = 'V' AND test = 'V') / nullif(count_if(ref = 'V'), 0), 6) AS v_se,
+round(count_if(ref = 'V' AND test = 'V') / nullif(count_if(test = 'V'), 0), 6) AS v_ppv FROM merged GROUP BY record""")
 def beat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.beat_summary(beat_merge(spark, sf_dir))
+    found = M.beat_summary(one_to_one(spark, sf_dir))
+    return found.select("record", *(F.round(c, 6).alias(c) for c in ("se", "ppv", "v_se", "v_ppv")))
+
+
+def pauses(kind: str) -> str:
+    return f"SELECT user_id AS record, {H} AS begin_t, {H} + value / 20 AS end_t FROM events WHERE event_type = '{kind}'"
+
+
+def during(t: str, name: str) -> str:
+    return f"EXISTS (SELECT 1 FROM {name} p WHERE p.record = m.record AND p.begin_t <= m.{t} AND p.end_t >= m.{t})"
+
+
+@query(f"""WITH RECURSIVE {MERGED}, ref_off AS ({pauses("signup")}), test_off AS ({pauses("error")}), flutter AS ({pauses("purchase")})
+SELECT record, CASE WHEN t_ref IS NULL AND {during("t_test", "ref_off")} THEN 'X' ELSE ref END AS ref, CASE WHEN t_test IS NULL AND {during("t_ref", "test_off")} THEN 'X' ELSE test END AS test,
+round(t_ref, 6) AS t_ref, round(t_test, 6) AS t_test FROM merged m WHERE NOT (t_ref IS NULL AND {during("t_test", "flutter")})""")
+def beat_merge_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with shut-down detectors (X) and the reference's flutter, during which extra
+    beats do not count; some hours behind a signup, an error and a purchase."""
+    rows = table(spark, sf_dir, "events")
+    off = lambda kind: rows.where(F.col("event_type") == kind).select(F.col("user_id").alias("record"), hours().alias("begin"), (hours() + F.col("value") / 20).alias("end"))
+    found = with_pauses(one_to_one(spark, sf_dir), 8 * WINDOW, off("signup"), off("error"), off("purchase"))
+    return found.withColumns({c: F.round(c, 6) for c in ("t_ref", "t_test")})
 
 
 @query(f"""WITH i AS (SELECT user_id AS record, {H} AS begin_t, {H} + value / 50 AS end_t FROM events WHERE event_type = 'error')

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays as A
 from pulsegrid.operators import dims, evaluation, graph, matching, stats, store
+from pulsegrid.operators.beat_merge import merge_beats
 
 
 def frame(spark, rows, ddl):
@@ -16,11 +17,11 @@ def test_merge_is_one_to_one_and_in_window(spark):
     ref = [(r, round(rng.uniform(0, 100), 2), rng.choice("NV")) for r in (1, 2) for _ in range(60)]
     test = [(r, t + rng.uniform(-0.5, 0.5), c) for r, t, c in ref if rng.random() < 0.8] + [(3, 5.0, "N")]
     a, b = frame(spark, ref, "record long, t double, code string"), frame(spark, test, "record long, t double, code string")
-    pairs = matching.merge_beats(a, b, 0.4).collect()
+    pairs = merge_beats(a, b, 0.4).collect()
     assert sorted((p.record, p.t_ref) for p in pairs if p.t_ref is not None) == sorted((r, t) for r, t, _ in ref)
     assert sorted((p.record, p.t_test) for p in pairs if p.t_test is not None) == sorted((r, t) for r, t, _ in test)
     assert all(abs(p.t_ref - p.t_test) <= 0.4 for p in pairs if p.t_ref is not None and p.t_test is not None)
-    assert all((p.ref == "X") == (p.t_ref is None) and (p.test == "O") == (p.t_test is None) for p in pairs)
+    assert all((p.ref == "O") == (p.t_ref is None) and (p.test == "O") == (p.t_test is None) for p in pairs)
     near = matching.nearest_beats(a, b, 0.4).collect()
     for p in near:
         assert abs(p.t_ref - p.t_test) == min(abs(t - p.t_ref) for r, t, _ in test if r == p.record)
