@@ -21,8 +21,8 @@ CLASSES = HEAD // CLASS_WORDS
 BANDS = 24
 RARE = HEAD + BANDS
 INPUTS = HEAD + BANDS + 1
-#: Count that stands for a place without a word.
-NOTHING = 1e-20
+#: Count that stands for a place without a word; logits are cut at the most, shares at the least.
+NOTHING, MOST_LOGIT, LEAST_SHARE = 1e-20, 60.0, 1e-30
 #: Texts read side by side in training, and words that a gradient goes back.
 LANES, WINDOW = 128, 16
 RATE = 0.08
@@ -79,75 +79,88 @@ def step(p: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray):
     return new + keep * (h - new), (keep, reset, bare, new)
 
 
+def odds_of(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, their sums by row)."""
+    odds = np.exp(np.minimum(logits, MOST_LOGIT, out=logits))
+    return odds, odds @ np.ones(odds.shape[1], odds.dtype)
+
+
 def log_shares(states: np.ndarray, ids: np.ndarray, p: dict[str, np.ndarray], learn: bool = False):
     """Natural log of each token's probability, for bands and the rare that of the class alone;
     with `learn` also the gradients of minus their sum by output and by state."""
     kind = class_of(ids)
-    logits = states @ p["classes"][:-1] + p["classes"][-1]
-    logits -= logits.max(axis=1, keepdims=True)
-    odds = np.exp(logits)
-    total = odds.sum(axis=1)
+    odds, total = odds_of(states @ p["classes"][:-1] + p["classes"][-1])
     rows = np.arange(len(ids))
-    logs = logits[rows, kind] - np.log(total)
+    logs = np.log(odds[rows, kind] / total + LEAST_SHARE)
     grads = {}
     if learn:
         odds /= total[:, None]
         odds[rows, kind] -= 1
-        grads["classes"] = np.concatenate([states.T @ odds, odds.sum(axis=0, keepdims=True)])
-        back = odds @ p["classes"][:-1].T
+        grads["classes"] = np.concatenate([states.T @ odds, np.ones((1, len(ids)), odds.dtype) @ odds])
         grads["words"] = np.zeros_like(p["words"])
+    # Head words in the order of their classes.
     order = np.argsort(kind, kind="stable")
     ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    order = order[: ends[-1]]
+    head, word = states[order], ids[order] % CLASS_WORDS
+    in_class, back_head = np.empty(len(order), states.dtype), np.empty_like(head)
     for k in range(CLASSES):
-        at = order[ends[k] : ends[k + 1]]
-        if not len(at):
+        span = slice(ends[k], ends[k + 1])
+        h, w = head[span], word[span]
+        if not len(h):
             continue
-        h, word = states[at], ids[at] - k * CLASS_WORDS
-        logits = h @ p["words"][k, :-1] + p["words"][k, -1]
-        logits -= logits.max(axis=1, keepdims=True)
-        odds = np.exp(logits)
-        total = odds.sum(axis=1)
-        rows = np.arange(len(at))
-        logs[at] += logits[rows, word] - np.log(total)
+        out = p["words"][k]
+        shares, sums = odds_of(h @ out[:-1] + out[-1])
+        at = rows[: len(h)]
+        in_class[span] = np.log(shares[at, w] / sums + LEAST_SHARE)
         if learn:
-            odds /= total[:, None]
-            odds[rows, word] -= 1
-            grads["words"][k, :-1] = h.T @ odds
-            grads["words"][k, -1] = odds.sum(axis=0)
-            back[at] += odds @ p["words"][k, :-1].T
-    return (logs, grads, back) if learn else logs
+            shares /= sums[:, None]
+            shares[at, w] -= 1
+            grads["words"][k, :-1] = h.T @ shares
+            grads["words"][k, -1] = np.ones(len(h), shares.dtype) @ shares
+            back_head[span] = shares @ out[:-1].T
+    logs[order] += in_class
+    if not learn:
+        return logs
+    back = odds @ p["classes"][:-1].T
+    back[order] += back_head
+    return logs, grads, back
 
 
 def window_gradient(p: dict[str, np.ndarray], ids: np.ndarray, alive: np.ndarray, h: np.ndarray):
     """(minus the log-likelihood, gradients by name, state behind) of a window of tokens
     (steps x lanes); alive is 0 where a text ends, behind which the state begins anew."""
     steps, lanes = ids.shape
-    states, kept = [], []
+    states, keep, reset, bare, new = np.empty((5, steps, lanes, HIDDEN), h.dtype)
+    alive = alive[:, :, None]
     for t in range(steps):
-        states.append(h)
-        h, back = step(p, ids[t], h)
-        h = h * alive[t][:, None]
-        kept.append(back)
-    flat = np.concatenate(states)
+        states[t] = h
+        h, (keep[t], reset[t], bare[t], new[t]) = step(p, ids[t], h)
+        h *= alive[t]
+    flat = states.reshape(-1, HIDDEN)
     logs, grads, from_output = log_shares(flat, ids.ravel(), p, learn=True)
     from_output = from_output.reshape(steps, lanes, HIDDEN)
-    to_inputs, to_states = np.empty((2, steps, lanes, 3 * HIDDEN), flat.dtype)
-    dh = np.zeros_like(h)
+    # How far the gradient of a new state reaches its parts, for all steps at once.
+    by_new, by_keep = (1 - keep) * (1 - new * new), (states - new) * keep * (1 - keep)
+    by_reset = bare * reset * (1 - reset)
+    to_states, to_new = np.empty((steps, lanes, 3 * HIDDEN), h.dtype), np.empty_like(new)
+    dh, back = np.zeros_like(h), np.ascontiguousarray(p["states"].T)
     for t in reversed(range(steps)):
-        keep, reset, bare, new = kept[t]
-        dh = dh * alive[t][:, None]
-        d_new = dh * (1 - keep) * (1 - new * new)
-        d_keep = dh * (states[t] - new) * keep * (1 - keep)
-        d_reset = d_new * bare * reset * (1 - reset)
-        g, s = to_inputs[t], to_states[t]
-        g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :] = d_keep, d_reset, d_new
-        s[:, : 2 * HIDDEN], s[:, 2 * HIDDEN :] = g[:, : 2 * HIDDEN], d_new * reset
-        dh = dh * keep + s @ p["states"].T + from_output[t]
+        dh *= alive[t]
+        d_new = np.multiply(dh, by_new[t], out=to_new[t])
+        s = to_states[t]
+        np.multiply(dh, by_keep[t], out=s[:, :HIDDEN])
+        np.multiply(d_new, by_reset[t], out=s[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(d_new, reset[t], out=s[:, 2 * HIDDEN :])
+        dh *= keep[t]
+        dh += s @ back
+        dh += from_output[t]
     grads["states"] = flat.T @ to_states.reshape(-1, 3 * HIDDEN)
+    to_states[:, :, 2 * HIDDEN :] = to_new  # the inputs reach the gates as the states do, and the new state bare
     order = np.argsort(ids.ravel(), kind="stable")
     names, first = np.unique(ids.ravel()[order], return_index=True)
     grads["inputs"] = np.zeros_like(p["inputs"])
-    grads["inputs"][names] = np.add.reduceat(to_inputs.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    grads["inputs"][names] = np.add.reduceat(to_states.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
     return -float(logs.sum()), grads, h
 
 
