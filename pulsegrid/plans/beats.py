@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import rhythm_states as R
 from pulsegrid.operators import scan
 from pulsegrid.plans.registry import query, table
+from pulsegrid.streaming import runs, templates
 
 #: An interval this long and longer is slow; events lie 100 apart.
 BRADY, APART = 300, 100
@@ -91,3 +92,22 @@ steps(record, i, ty, said, flag) AS (
 def rhythm_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type and class of every beat interval, records cut into chunks of 16."""
     return R.rhythm_states(intervals(spark, sf_dir), BRADY, size=16).select("record", "i", "kind", "class", "bigeminy")
+
+
+def shapes(rows: DataFrame) -> DataFrame:
+    """Embeddings as the samples of beats, dealt over four records, one a second."""
+    record, points = (F.col("vec_id") % 4).alias("record"), F.col("embedding").cast("array<double>").alias("points")
+    return rows.select(record, F.col("vec_id").alias("t"), F.timestamp_seconds(1_704_067_200 + F.col("vec_id")).alias("ts"), points)
+
+
+@query()
+def beat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape of every beat among those that its record has had so far."""
+    return templates.match(shapes(table(spark, sf_dir, "embeddings")))
+
+
+@query()
+def beat_templates_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream; the last ten seconds are not closed yet."""
+    stream = shapes(runs.read(spark, sf_dir, "embeddings")).withWatermark("ts", "10 seconds")
+    return runs.settled(templates.match_stream(stream), "shapes")
