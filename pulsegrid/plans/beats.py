@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import beat_types as B
 from pulsegrid.operators import rhythm_states as R
 from pulsegrid.operators import scan
 from pulsegrid.plans.registry import query, table
@@ -111,3 +112,98 @@ def beat_templates_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a stream; the last ten seconds are not closed yet."""
     stream = shapes(runs.read(spark, sf_dir, "embeddings")).withWatermark("ts", "10 seconds")
     return runs.settled(templates.match_stream(stream), "shapes")
+
+
+#: Beats with the features that typing asks for, made from the events' own values.
+FEATURES = f"""
+f0 AS (SELECT user_id AS record, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * {APART} AS t, event_type, value, json_extract_string(props, '$.k')::INT AS k FROM events),
+f1 AS (SELECT *, row_number() OVER w - 1 AS i, t - lag(t) OVER w AS rr FROM f0 WHERE event_type IN ('view', 'click', 'purchase') WINDOW w AS (PARTITION BY record ORDER BY t)),
+f AS (SELECT record, i, coalesce(rr, 0) AS rr, CASE WHEN k % 33 = 0 THEN NULL WHEN event_type = 'purchase' THEN 1 WHEN k % 10 = 0 THEN 2 ELSE 0 END AS shape,
+  CASE WHEN rr < lag(rr) OVER w THEN 'V' WHEN rr = lag(rr) OVER w THEN 'N' ELSE 'Q' END AS class, 5 + k % 12 AS width, value / 25 AS likeness, k AS muscle, k % 30 AS motion, k * 7 % 150 AS base
+  FROM f1 WINDOW w AS (PARTITION BY record ORDER BY i))"""
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("record"), "ts", "event_id", "event_type", "value", k.alias("k"))
+    rows = scan.placed(rows, "record", "ts", "event_id", name="t").withColumn("t", F.col("t") * APART).where(F.col("event_type").isin("view", "click", "purchase"))
+    there = scan.written(scan.placed(rows, "record", "t"), "features")
+    earlier = lambda n, name: there.select("record", (F.col("i") + n).alias("i"), F.col("t").alias(name))
+    both = there.join(earlier(1, "t1"), ["record", "i"], "left").join(earlier(2, "t2"), ["record", "i"], "left")
+    rr, before, k = F.col("t") - F.col("t1"), F.col("t1") - F.col("t2"), F.col("k")
+    shape = F.when(k % 33 == 0, None).when(F.col("event_type") == "purchase", 1).when(k % 10 == 0, 2).otherwise(0)
+    return both.select(
+        "record", "i", F.coalesce(rr, F.lit(0)).alias("rr"), shape.alias("shape"), F.when(rr < before, "V").when(rr == before, "N").otherwise("Q").alias("class"),
+        (5 + k % 12).alias("width"), (F.col("value") / 25).alias("likeness"), k.alias("muscle"), (k % 30).alias("motion"), (k * 7 % 150).alias("base"),
+    )
+
+
+def commonest(values: str) -> str:
+    return f"(list_sort([[-len([x FOR x IN {values} IF x = v]), v] FOR v IN list_distinct({values})])[1][2])"
+
+
+DOMINANT = f"""{FEATURES},
+d0 AS (SELECT *, CASE WHEN class = 'N' AND width < {B.NORMAL_WIDTH} AND shape = lag(shape) OVER (PARTITION BY record ORDER BY i) THEN shape END AS normal FROM f),
+d1 AS (SELECT *, list(shape) FILTER (shape IS NOT NULL) OVER w AS shapes_, list(normal) FILTER (normal IS NOT NULL) OVER w AS normals_, count(*) FILTER (class = 'Q' AND shape IS NOT NULL) OVER w AS odd_
+  FROM d0 WINDOW w AS (PARTITION BY record ORDER BY i ROWS BETWEEN {B.MONITORED - 1} PRECEDING AND CURRENT ROW)),
+d2 AS (SELECT *, {commonest("normals_")} AS best_, {commonest("shapes_")} AS most_ FROM d1),
+d AS (SELECT * EXCLUDE (normal, shapes_, normals_, odd_, best_, most_), odd_ <= {B.IRREGULAR} AS steady,
+  CASE WHEN best_ IS NULL OR len([x FOR x IN shapes_ IF x = most_]) >= 2 * len([x FOR x IN shapes_ IF x = best_]) OR len([x FOR x IN shapes_ IF x = best_]) >= 2 * len([x FOR x IN normals_ IF x = best_]) THEN most_ ELSE best_ END AS dominant FROM d2)"""
+
+
+@query(f"WITH {DOMINANT} SELECT record, i, coalesce(dominant, -1) AS dominant, steady FROM d")
+def dominant_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dominant shape of the last 180 beats (-1: none yet), and whether their rhythm is steady."""
+    found = B.with_dominant(features(spark, sf_dir), 256)
+    return found.select("record", "i", F.coalesce("dominant", F.lit(-1)).alias("dominant"), "steady")
+
+
+def less(c: str, by: int) -> str:
+    return f"({c} - ({c} >> {by}))"
+
+
+AFTER = f"""{DOMINANT},
+p0 AS (SELECT *, coalesce(shape, -1) AS s FROM d),
+p1 AS (SELECT *, coalesce({", ".join(f"CASE WHEN lag(s, {k}) OVER w = lag(s, {k + 1}) OVER w THEN lag(rr, {k}) OVER w END" for k in range(1, 6))}, 0) AS usual,
+  lag(s) OVER w AS s_before, lead(s) OVER w AS s_next, lead(rr) OVER w AS pause, lead(dominant) OVER w AS dom FROM p0 WINDOW w AS (PARTITION BY record ORDER BY i)),
+p2 AS (SELECT record, i, shape, CASE WHEN s_next = dom AND s_before = dom AND (s <> dom AND {less("usual", 3)} >= rr AND {less("pause", 3)} >= usual OR i > 2 AND likeness > 2.5) THEN 2
+    WHEN s_next = dom AND s_before = dom AND s <> dom AND {less("usual", 4)} > rr AND usual + (usual >> 4) < pause THEN 1 ELSE 0 END AS symbol,
+  CASE WHEN {less("usual", 3)} > rr AND {less("pause", 3)} > usual THEN 'V' WHEN i > 2 THEN class ELSE 'Q' END AS post_rhythm,
+  row_number() OVER (PARTITION BY record, shape ORDER BY i) AS place FROM p1 WHERE shape IS NOT NULL AND i >= 2 AND s_next IS NOT NULL),
+h(record, shape, place, state) AS (
+  SELECT DISTINCT record, shape, 0::BIGINT, 0::BIGINT FROM p2
+  UNION ALL
+  SELECT p2.record, p2.shape, p2.place, ((h.state << 1) & 255) | CASE p2.symbol WHEN 2 THEN 1 WHEN 1 THEN (h.state & 3 = 3 OR bit_count(h.state) >= 6)::BIGINT ELSE 0 END
+  FROM h JOIN p2 ON p2.record = h.record AND p2.shape = h.shape AND p2.place = h.place + 1),
+post AS (SELECT p2.record, i, p2.shape, CASE WHEN state & 1 = 1 THEN 'V' ELSE 'Q' END AS post_class, post_rhythm, CASE WHEN bit_count(state & 15) >= 3 OR bit_count(state) >= 6 THEN 'V' ELSE 'Q' END AS shape_class
+  FROM p2 JOIN h USING (record, shape, place))"""
+
+
+@query(f"WITH RECURSIVE {AFTER} SELECT * FROM post")
+def post_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second thoughts on every beat once the next has come."""
+    return B.second_thoughts(B.with_dominant(features(spark, sf_dir), 256), 64)
+
+
+RULES_SQL = f"""CASE WHEN dominant IS NULL THEN '1Q' WHEN dominant_even AND class = 'V' AND likeness > 1.0 AND steady THEN '2V' WHEN width < 9 THEN '3N' WHEN shape IS NULL AND class <> 'V' THEN '5N'
+WHEN shapes = 8 AND seen = 1 AND class = 'Q' THEN '6N' WHEN likeness < 1.2 AND class = 'N' THEN '7N' WHEN likeness < 1.5 AND post_rhythm = 'N' THEN '8N' WHEN likeness < 2.0 AND class <> 'V' AND dominant_uneven THEN '9N'
+WHEN likeness > 2.5 AND seen >= 3 AND post_rhythm = 'V' AND steady THEN '10V'
+WHEN width >= 11 AND (width - dominant_width >= 4 AND dominant_width < 14 OR width - dominant_width >= 6) AND muscle < 45 AND motion < 14 AND base < 100 AND shape IS NOT NULL AND seen > 1 THEN '11V'
+WHEN class = 'V' AND steady THEN '12V' WHEN class = 'N' AND steady THEN '14N' WHEN width > dominant_width AND likeness > 3.5 AND width >= 10 THEN '15V' WHEN width < 10 THEN '16N'
+WHEN width - dominant_width < 2 THEN '17N' WHEN likeness < 1.5 THEN '18N' WHEN muscle > 75 THEN '19N' ELSE '20V' END"""
+
+
+@query(f"""WITH RECURSIVE {AFTER},
+r0 AS (SELECT d.*, CASE WHEN d.shape IS NOT NULL THEN row_number() OVER (PARTITION BY d.record, d.shape ORDER BY d.i) END AS seen, 3 + d.i % 6 AS shapes, 6 + dominant * 2 AS dominant_width, d.i % 3 = 0 AS dominant_even,
+  d.i % 4 = 1 AS dominant_uneven, p.post_rhythm, p.shape_class FROM d LEFT JOIN post p ON p.record = d.record AND p.i = d.i),
+r AS (SELECT *, {RULES_SQL} AS said FROM r0)
+SELECT record, i, regexp_extract(said, '[0-9]+')::INT AS rule, CASE WHEN shape_class = 'V' THEN 'V' ELSE regexp_extract(said, '[A-Z]') END AS class FROM r""")
+def beat_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every beat: that of its shape if most of the shape's last beats were
+    premature, else by the table of rules."""
+    beats_ = scan.written(B.with_dominant(features(spark, sf_dir), 256), "dominant")
+    after = B.second_thoughts(beats_, 64).select("record", "i", "post_rhythm", "shape_class")
+    shaped = scan.placed(beats_.where("shape is not null").withColumn("series", F.to_json(F.struct("record", "shape"))).select("series", "record", "i"), "series", "i", name="seen")
+    rows = beats_.join(after, ["record", "i"], "left").join(shaped.select("record", "i", (F.col("seen") + 1).alias("seen")), ["record", "i"], "left")
+    rows = rows.withColumns({"shapes": 3 + F.col("i") % 6, "dominant_width": 6 + F.col("dominant") * 2, "dominant_even": F.col("i") % 3 == 0, "dominant_uneven": F.col("i") % 4 == 1})
+    return B.by_rules(rows).select("record", "i", "rule", F.when(F.col("shape_class") == "V", "V").otherwise(F.col("rule_class")).alias("class"))
