@@ -1,28 +1,29 @@
 """Recordings as tables of chunks: WFDB, EDF, BrainVision and raw binary files.
 
-Spark lists and reads the files (binaryFile, so any store that Spark reads will do), a file
-is one row, and Arrow batches decode it into (record, channel, chunk, fs, samples) rows of
-CHUNK samples in physical units. Annotations come as (record, t, code, sub_type, aux).
+Spark lists the files and reads the headers; what they say becomes a table of layouts, from
+which `ranges` plans byte ranges, prunes them and reads (record, channel, chunk, fs, samples)
+rows of CHUNK samples in physical units. Each format has a plan_ function, whose table can be
+filtered like any other before ranges.read, and a read_ function for the usual filters.
+Annotations come as (record, t, code, sub_type, aux).
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK = 1 << 14
-SIGNAL = T.StructType(
-    [
-        T.StructField("record", T.StringType()), T.StructField("channel", T.IntegerType()), T.StructField("chunk", T.LongType()),
-        T.StructField("fs", T.DoubleType()), T.StructField("samples", T.ArrayType(T.DoubleType())),
-    ]
-)
+from pulsegrid.sources import ranges
+from pulsegrid.sources.ranges import CHUNK, LAYOUT, SIGNAL, blocks, frames, samples_in
+from pulsegrid.sources.shared import ship
+
+__all__ = ["CHUNK", "SIGNAL"]
+
 ANNOTATION = T.StructType(
     [
         T.StructField("record", T.StringType()), T.StructField("t", T.LongType()), T.StructField("code", T.StringType()),
@@ -59,11 +60,6 @@ def decoded(df: DataFrame, schema: T.StructType, decode: Callable[[dict], Iterat
     return df.mapInArrow(run, schema)
 
 
-def chunks(record: str, channel: int, fs: float, samples: np.ndarray) -> Iterator[tuple]:
-    for k, start in enumerate(range(0, len(samples), CHUNK)):
-        yield record, channel, k, fs, samples[start : start + CHUNK].tolist()
-
-
 def parse_header(text: str) -> tuple[float, list[dict]]:
     """Sampling rate and signals (file, format, gain, zero) of a WFDB header."""
     lines = [x for x in text.splitlines() if x.strip() and not x.startswith("#")]
@@ -77,37 +73,55 @@ def parse_header(text: str) -> tuple[float, list[dict]]:
     return (float(re.match(r"[0-9.]+", first[2])[0]) if len(first) > 2 else 250.0), signals
 
 
-def unpack(data: bytes, form: int) -> np.ndarray:
-    """Samples of a WFDB signal file of format 16, 80 or 212."""
-    if form == 16:
-        return np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(int)
-    if form == 80:
-        return np.frombuffer(data, np.uint8).astype(int) - 128
-    if form == 212:
-        b = np.frombuffer(data[: len(data) // 3 * 3], np.uint8).reshape(-1, 3).astype(int)
-        pair = np.stack([b[:, 0] | (b[:, 1] & 15) << 8, b[:, 2] | (b[:, 1] >> 4) << 8], axis=1).ravel()
-        return np.where(pair > 2047, pair - 4096, pair)
-    raise ValueError(f"signal format {form} is not read")
-
-
-def read_wfdb(spark: SparkSession, folder: str, channel: int | None = None) -> DataFrame:
-    """Signals of the WFDB records under a folder, each channel by its own gain and zero;
-    only one channel if it is given."""
-    heads = files(spark, folder, "*.hea").select(F.regexp_replace("path", r"/[^/]*$", "").alias("dir"), F.col("path").alias("head"), F.decode("content", "UTF-8").alias("text"))
-    data = files(spark, folder, "*.dat").select(F.regexp_replace("path", r"/[^/]*$", "").alias("dir"), "path", "content")
-    named = heads.withColumn("file", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?m)^(\S+\.dat)\s"), F.lit(1)))))
-    both = data.withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1)).join(named, ["dir", "file"]).select("head", "text", "file", "content")
-
-    def decode(row: dict) -> Iterator[tuple]:
+def sized(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(dir, file, path, size) of files, which are listed and not read."""
+    found = files(spark, folder, pattern).select("path", F.col("length").alias("size"))
+    return found.select(F.regexp_replace("path", r"/[^/]*$", "").alias("dir"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "path", "size")
+
+
+def heads(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(dir, head, text) of header files, read whole: they are small."""
+    text = F.decode("content", "UTF-8")
+    return files(spark, folder, pattern).select(F.regexp_replace("path", r"/[^/]*$", "").alias("dir"), F.col("path").alias("head"), text.alias("text"))
+
+
+def layouts(df: DataFrame, parse: Callable[[dict], Iterator[tuple]]) -> DataFrame:
+    """(record, fs, path, channels, layout, samples) rows of headers; parse() yields (record, fs,
+    layout) for the file of a row, which has path and size."""
+    ship(df.sparkSession)
+
+    def rows(row: dict) -> Iterator[tuple]:
+        for record, fs, layout in parse(row):
+            yield record, fs, row["path"], [s["channel"] for s in layout["signals"]], json.dumps(layout), samples_in(layout, row["size"])
+
+    return decoded(df, T.StructType.fromDDL(LAYOUT), rows)
+
+
+#: Formats of WFDB signal files that are read, and their samples.
+WFDB_TYPES = {16: "<i2", 80: "u1", 212: "212"}
+
+
+def plan_wfdb(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges of the WFDB records under a folder; signals of one file lie together."""
+    named = heads(spark, folder, "*.hea").withColumn("file", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?m)^(\S+\.dat)\s"), F.lit(1)))))
+    both = sized(spark, folder, "*.dat").join(named, ["dir", "file"])
+
+    def parse(row: dict) -> Iterator[tuple]:
         fs, signals = parse_header(row["text"])
         here = [(k, s) for k, s in enumerate(signals) if s["file"] == row["file"]]
-        raw = unpack(row["content"], here[0][1]["format"])
-        raw = raw[: len(raw) // len(here) * len(here)].reshape(-1, len(here))
-        for column, (k, s) in enumerate(here):
-            if channel is None or k == channel:
-                yield from chunks(record_name(row["head"]), k, fs, (raw[:, column] - s["zero"]) / s["gain"])
+        form = here[0][1]["format"]
+        if form not in WFDB_TYPES:
+            raise ValueError(f"signal format {form} is not read")
+        own = [{"channel": k, "at": at, "zero": s["zero"], "scale": 1 / s["gain"]} for at, (k, s) in enumerate(here)]
+        yield record_name(row["head"]), fs, frames(WFDB_TYPES[form], len(own), own)
 
-    return decoded(both, SIGNAL, decode)
+    return ranges.plan(layouts(both, parse))
+
+
+def read_wfdb(spark: SparkSession, folder: str, channel: int | None = None, records: list[str] | None = None, begin: float | None = None, end: float | None = None) -> DataFrame:
+    """Signals of the WFDB records under a folder, each channel by its own gain and zero; only
+    one channel, some records, or chunks that meet the seconds [begin, end)."""
+    return ranges.read(ranges.pruned(plan_wfdb(spark, folder), records), channel, begin, end)
 
 
 def parse_annotations(data: bytes) -> Iterator[tuple[int, str, int, str]]:
@@ -158,59 +172,93 @@ def encode_annotations(rows: list[tuple[int, str, int, str]]) -> bytes:
     return out + b"\0\0"
 
 
-def read_edf(spark: SparkSession, folder: str) -> DataFrame:
-    """Signals of EDF (16-bit) and BDF (24-bit) files."""
+def plan_edf(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges of EDF (16-bit) and BDF (24-bit) files; signals of one rate lie together. Of a
+    file the head is read: 256 bytes, and 256 for each signal."""
+    found = sized(spark, folder, "*.[eEbB][dD][fF]")
 
-    def decode(row: dict) -> Iterator[tuple]:
-        data, wide = row["content"], row["path"].lower().endswith("bdf")
+    def parse(row: dict) -> Iterator[tuple]:
+        with ranges.opened(row["path"]) as file:
+            data = file.read_at(256, 0)
+            data += file.read_at(256 * int(data[252:256]), 256)
+        wide = row["path"].lower().endswith("bdf")
         text = lambda a, n: data[a : a + n].decode("latin-1").strip()
         head, records, seconds, n = int(text(184, 8)), int(text(236, 8)), float(text(244, 8)), int(text(252, 4))
         field = lambda start, size: [text(256 + n * start + k * size, size) for k in range(n)]
         labels, low, high = field(0, 16), list(map(float, field(104, 8))), list(map(float, field(112, 8)))
         dmin, dmax, per = list(map(float, field(120, 8))), list(map(float, field(128, 8))), list(map(int, field(216, 8)))
-        size = 3 if wide else 2
-        records = records if records >= 0 else (len(data) - head) // (size * sum(per))
-        body = np.frombuffer(data, np.uint8, records * sum(per) * size, head).reshape(records, sum(per), size).astype(int)
-        raw = body @ (256 ** np.arange(size))
-        raw = np.where(raw >= 256**size // 2, raw - 256**size, raw)
-        for k, at in enumerate(np.cumsum([0, *per[:-1]])):
-            if "Annotations" not in labels[k]:
-                unit = (high[k] - low[k]) / (dmax[k] - dmin[k])
-                yield from chunks(record_name(row["path"]), k, per[k] / seconds, (raw[:, at : at + per[k]].ravel() - dmin[k]) * unit + low[k])
+        starts = [sum(per[:k]) for k in range(n)]
+        if records >= 0:  # bytes behind the last data record are none of it
+            row["size"] = min(row["size"], head + records * sum(per) * (3 if wide else 2))
+        for rate in sorted(set(per)):
+            own = [k for k in range(n) if per[k] == rate and "Annotations" not in labels[k]]
+            unit = {k: (high[k] - low[k]) / (dmax[k] - dmin[k]) for k in own}
+            signals = [{"channel": k, "at": starts[k], "zero": dmin[k], "scale": unit[k], "base": low[k]} for k in own]
+            if signals:
+                yield record_name(row["path"]), rate / seconds, blocks("i3" if wide else "<i2", sum(per), rate, signals, head)
+
+    return ranges.plan(layouts(found, parse))
 
-    return decoded(files(spark, folder, "*.[eEbB][dD][fF]"), SIGNAL, decode)
 
+def read_edf(spark: SparkSession, folder: str, channel: int | None = None, records: list[str] | None = None, begin: float | None = None, end: float | None = None) -> DataFrame:
+    """Signals of EDF and BDF files, pruned as in read_wfdb."""
+    return ranges.read(ranges.pruned(plan_edf(spark, folder), records), channel, begin, end)
 
-def read_brainvision(spark: SparkSession, folder: str) -> DataFrame:
-    """Signals of BrainVision header and data files of the same name."""
+
+def plan_brainvision(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges of BrainVision data files with headers of the same name. Multiplexed channels lie
+    together; vectorised ones one behind the other."""
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
-    heads = files(spark, folder, "*.vhdr").select(stem.alias("stem"), F.decode("content", "UTF-8").alias("text"))
-    both = files(spark, folder, "*.eeg").select(stem.alias("stem"), "content").join(heads, "stem")
+    named = heads(spark, folder, "*.vhdr").select(F.regexp_replace("head", r"\.[^./]*$", "").alias("stem"), "text")
+    both = sized(spark, folder, "*.eeg").withColumn("stem", stem).join(named, "stem")
 
-    def decode(row: dict) -> Iterator[tuple]:
+    def parse(row: dict) -> Iterator[tuple]:
         field = lambda name: re.search(rf"(?m)^{name}=(.*)$", row["text"])[1].strip()
         n, fs = int(field("NumberOfChannels")), 1e6 / float(field("SamplingInterval"))
         kind = {"INT_16": "<i2", "IEEE_FLOAT_32": "<f4"}[field("BinaryFormat")]
         scales = [float((field(f"Ch{k + 1}").split(",") + ["", "", "1"])[2] or 1) for k in range(n)]
-        raw = np.frombuffer(row["content"], kind)
-        raw = raw[: len(raw) // n * n].astype(float)
-        raw = raw.reshape(-1, n) if field("DataOrientation") == "MULTIPLEXED" else raw.reshape(n, -1).T
-        for k in range(n):
-            yield from chunks(row["stem"].rsplit("/", 1)[-1], k, fs, raw[:, k] * scales[k])
+        record, size = row["stem"].rsplit("/", 1)[-1], row["size"]
+        if field("DataOrientation") == "MULTIPLEXED":
+            yield record, fs, frames(kind, n, [{"channel": k, "at": k, "zero": 0, "scale": s} for k, s in enumerate(scales)])
+        else:
+            each = size // int(ranges.width(kind)) // n * int(ranges.width(kind))
+            for k, s in enumerate(scales):
+                row["size"] = (k + 1) * each
+                yield record, fs, frames(kind, 1, [{"channel": k, "at": 0, "zero": 0, "scale": s}], head=k * each)
+
+    return ranges.plan(layouts(both, parse))
+
+
+def read_brainvision(spark: SparkSession, folder: str, channel: int | None = None, records: list[str] | None = None, begin: float | None = None, end: float | None = None) -> DataFrame:
+    """Signals of BrainVision files, pruned as in read_wfdb."""
+    return ranges.read(ranges.pruned(plan_brainvision(spark, folder), records), channel, begin, end)
 
-    return decoded(both, SIGNAL, decode)
 
+def read_markers(spark: SparkSession, folder: str) -> DataFrame:
+    """(record, t, kind, text, size, channel) of BrainVision marker files: t counts from 0."""
+    pattern = r"(?m)^Mk\d+=([^,\r\n]*),([^,\r\n]*),(\d+),(\d+),(\d+)"
+    rows = heads(spark, folder, "*.vmrk").select(F.regexp_extract("head", r"([^/]+)\.[^./]*$", 1).alias("record"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("line"))
+    part = lambda k: F.regexp_extract("line", pattern, k)
+    return rows.select("record", (part(3).cast("long") - 1).alias("t"), part(1).alias("kind"), part(2).alias("text"), part(4).cast("long").alias("size"), part(5).cast("int").alias("channel"))
 
-def read_raw(spark: SparkSession, folder: str, kind: str = "int16", fs: float = 200.0, gain: float = 1.0) -> DataFrame:
-    """Signals of little-endian files of one channel each, named record.channel."""
+
+def plan_raw(spark: SparkSession, folder: str, kind: str = "int16", fs: float = 200.0, gain: float = 1.0) -> DataFrame:
+    """Ranges of little-endian files of one channel each, named record.channel."""
     form = {"int16": "<i2", "short": "<i2", "single": "<f4", "double": "<f8"}[kind]
 
-    def decode(row: dict) -> Iterator[tuple]:
-        name, channel = row["path"].rsplit("/", 1)[-1].rsplit(".", 1)
-        size = np.dtype(form).itemsize
-        yield from chunks(name, int(channel), fs, np.frombuffer(row["content"][: len(row["content"]) // size * size], form).astype(float) * gain)
+    def parse(row: dict) -> Iterator[tuple]:
+        record, channel = row["file"].rsplit(".", 1)
+        yield record, fs, frames(form, 1, [{"channel": int(channel), "at": 0, "zero": 0, "scale": gain}])
+
+    return ranges.plan(layouts(sized(spark, folder, "*.[0-9]*"), parse))
+
 
-    return decoded(files(spark, folder, "*.[0-9]*"), SIGNAL, decode)
+def read_raw(
+    spark: SparkSession, folder: str, kind: str = "int16", fs: float = 200.0, gain: float = 1.0,
+    channel: int | None = None, records: list[str] | None = None, begin: float | None = None, end: float | None = None,
+) -> DataFrame:
+    """Signals of raw files, pruned as in read_wfdb."""
+    return ranges.read(ranges.pruned(plan_raw(spark, folder, kind, fs, gain), records), channel, begin, end)
 
 
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
