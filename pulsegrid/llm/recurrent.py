@@ -69,14 +69,21 @@ def class_of(ids: np.ndarray) -> np.ndarray:
 
 def step(p: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray):
     """(next state, what the gradient needs) after the tokens `ids`."""
-    given, from_state = p["inputs"][ids], h @ p["states"]
-    gates = np.tanh(0.5 * (given[:, : 2 * HIDDEN] + from_state[:, : 2 * HIDDEN]))
+    given = np.take(p["inputs"], ids, axis=0, mode="clip")
+    from_state = h @ p["states"]
+    gates = given[:, : 2 * HIDDEN] + from_state[:, : 2 * HIDDEN]
+    gates *= 0.5
+    np.tanh(gates, out=gates)
     gates += 1
     gates *= 0.5
-    keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    bare = from_state[:, 2 * HIDDEN :]
-    new = np.tanh(given[:, 2 * HIDDEN :] + reset * bare)
-    return new + keep * (h - new), (keep, reset, bare, new)
+    keep, reset, bare = gates[:, :HIDDEN], gates[:, HIDDEN:], from_state[:, 2 * HIDDEN :]
+    new = reset * bare
+    new += given[:, 2 * HIDDEN :]
+    np.tanh(new, out=new)
+    after = h - new
+    after *= keep
+    after += new
+    return after, (keep, reset, bare, new)
 
 
 def odds_of(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +109,7 @@ def log_shares(states: np.ndarray, ids: np.ndarray, p: dict[str, np.ndarray], le
     order = np.argsort(kind, kind="stable")
     ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
     order = order[: ends[-1]]
-    head, word = states[order], ids[order] % CLASS_WORDS
+    head, word = np.take(states, order, axis=0), ids[order] % CLASS_WORDS
     in_class, back_head = np.empty(len(order), states.dtype), np.empty_like(head)
     for k in range(CLASSES):
         span = slice(ends[k], ends[k + 1])
@@ -160,7 +167,7 @@ def window_gradient(p: dict[str, np.ndarray], ids: np.ndarray, alive: np.ndarray
     order = np.argsort(ids.ravel(), kind="stable")
     names, first = np.unique(ids.ravel()[order], return_index=True)
     grads["inputs"] = np.zeros_like(p["inputs"])
-    grads["inputs"][names] = np.add.reduceat(to_states.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    grads["inputs"][names] = np.add.reduceat(np.take(to_states.reshape(-1, 3 * HIDDEN), order, axis=0), first, axis=0)
     return -float(logs.sum()), grads, h
 
 
