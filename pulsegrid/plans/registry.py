@@ -12,7 +12,7 @@ from pulsegrid.sources.shared import ship
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("rhythm", "evaluation", "reports", "signal", "kernels", "dims", "stats", "matching", "streams", "models", "beats")
+MODULES = ("rhythm", "evaluation", "reports", "signal", "kernels", "dims", "stats", "matching", "streams", "models", "beats", "files")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

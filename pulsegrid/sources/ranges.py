@@ -56,7 +56,8 @@ def samples_in(layout: dict, size: int) -> int:
     """Samples of each channel in a file of `size` bytes."""
     body = size - layout["head"]
     held = body // 3 * 2 if layout["dtype"] == "212" else body // int(width(layout["dtype"]))
-    return max(0, held // layout["n"]) * layout["per"]
+    there = max(0, held // layout["n"]) * layout["per"]
+    return min(there, layout["limit"]) if layout.get("limit") else there
 
 
 def numbers(data: bytes, dtype: str) -> np.ndarray:
