@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import decomposition
 from pulsegrid.operators import stats as S
 from pulsegrid.plans.registry import query, table
 from pulsegrid.plans.signal import recordings
@@ -218,3 +219,34 @@ def stable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = rows.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "v"))
     key = (F.col("vec_id") * 7919 + F.col("boot") * 104729 + 17) % 100003 / F.lit(100003.0)
     return S.bootstrap_ratio(long, "v", key, 10, "dim").select("dim", F.round("mean", 6).alias("mean"), F.round("ratio", 4).alias("ratio"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT a.i::INT AS i, b.i::INT AS j, round(sum(a.v * b.v), 6) AS total FROM x a JOIN x b USING (vec_id) GROUP BY a.i, b.i""")
+def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of products of every two elements of the embeddings."""
+    rows = table(spark, sf_dir, "embeddings")
+    d = rows.agg(F.max(F.size("embedding"))).first()[0]
+    return decomposition.gram(rows, "embedding", d).where(f"i < {d} and j < {d}").select("i", "j", F.round("total", 6).alias("total"))
+
+
+@query("""SELECT unnest(range(0, d))::INT AS component, 0.0 AS mean, 1.0 AS variance FROM (SELECT max(len(embedding)) AS d FROM embeddings)""")
+def whitened_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and variances of the principal components after whitening."""
+    rows = table(spark, sf_dir, "embeddings")
+    d = rows.agg(F.max(F.size("embedding"))).first()[0]
+    white = decomposition.whitened(rows, "embedding", decomposition.components(rows, "embedding", d))
+    long = white.select(F.posexplode("white").alias("component", "v"))
+    tidy = lambda c: F.round(c, 6) + F.lit(0.0)  # noqa: E731  no negative zero
+    return long.groupBy("component").agg(tidy(F.avg("v")).alias("mean"), tidy(F.var_samp("v")).alias("variance"))
+
+
+@query()
+def stable_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of the first singular vectors of the embeddings, with their ratio to the spread over
+    resamples of labels' tenths and the rate of false discoveries."""
+    rows = table(spark, sf_dir, "embeddings")
+    d = rows.agg(F.max(F.size("embedding"))).first()[0]
+    found = decomposition.stable_vectors(rows, "embedding", d, F.pmod(F.xxhash64("vec_id"), F.lit(97)), k=3, boots=20)
+    cells = [(k, i, float(found.vectors[k, i] * found.values[k]), float(found.ratios[k, i]), float(found.q[k, i])) for k in range(len(found.values)) for i in range(d)]
+    return spark.createDataFrame(cells, "vector int, element int, size double, ratio double, q double")
