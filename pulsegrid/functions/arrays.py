@@ -281,3 +281,21 @@ def word_distance(x: Column, y: Column, bits: int) -> Column:
 
     both = F.zip_with(word_ranks(x, bits), word_ranks(y, bits), lambda a, b: F.struct(F.abs(a["rank"] - b["rank"]).cast("double").alias("far"), (told(a["share"]) + told(b["share"])).alias("weight")))
     return F.transform(F.array(both), apart)[0] / ((1 << bits) - 1)
+
+
+def muscle_noise(x: Column, mark: int, average: int = 5) -> Column:
+    """High-frequency noise around a beat, in percent of a quarter of its height: the largest sum of
+    `average` second differences in a row, outside the beat itself. x: whole numbers, a hundred a
+    second; mark: place of the beat, 30 samples or more from either end. Flat beats have 0."""
+    at = lambda i: F.get(x, i)
+    rough = F.transform(F.sequence(F.lit(mark - 28), F.lit(mark + 27)), lambda i: F.abs(at(i) - 2 * at(i - 1) + at(i - 2)))
+
+    def summed(rough: Column) -> Column:
+        sums = F.transform(rough, lambda _, k: F.aggregate(F.slice(rough, F.greatest(F.lit(1), k + 2 - average), F.least(k + 1, F.lit(average))), F.lit(0).cast("long"), lambda s, v: s + v))
+        outside = F.filter(sums, lambda _, k: (k + (mark - 28) < mark - 5) | (k + (mark - 28) > mark + 11))
+        return F.array_max(outside)
+
+    most = F.element_at(F.transform(F.array(rough), summed), 1)
+    beat = F.slice(x, mark - 7 + 1, 15)
+    height = F.greatest(F.array_max(beat), F.lit(0)) - F.least(F.array_min(beat), F.lit(0))
+    return F.when(height >= 4, F.floor(most * (50 // average) / F.shiftright(height.cast("long"), 2))).otherwise(0)

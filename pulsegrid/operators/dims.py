@@ -140,3 +140,45 @@ def by_bin(df: DataFrame, keep: list[str], value: str, function, kind: str = "do
     """(keep, value): a function of a group's values (a pandas Series) as its aggregate, where
     no built-in one says it. Spark hands it one group at a time."""
     return df.groupBy(*keep).agg(F.pandas_udf(function, kind, F.PandasUDFType.GROUPED_AGG)(value).alias(value))
+
+
+def flattened(df: DataFrame, dims: list[str], name: str = "place") -> DataFrame:
+    """df with the place of each value when the dimensions, the last running fastest, are put one
+    behind the other. Places of a dimension are those of its coordinates in order."""
+    out, radix = df, F.lit(1).cast("long")
+    place = F.lit(0).cast("long")
+    for k, dim in reversed(list(enumerate(dims))):
+        out = out.join(numbered(df, dim, f"_p{k}").withColumnRenamed("total", f"_n{k}"), dim)
+        place, radix = place + F.col(f"_p{k}") * radix, radix * F.col(f"_n{k}")
+    return out.withColumn(name, place).drop(*(f"_{c}{k}" for k in range(len(dims)) for c in "pn"))
+
+
+def reshaped(df: DataFrame, dims: list[str], shape: dict[str, int]) -> DataFrame:
+    """df with new dimensions (name: size, numbered from 0) in place of `dims`, values in their
+    order. One size may be -1 and follows from the rest; ValueError unless the sizes fit."""
+    sizes, whole = dict(shape), 1
+    for dim in dims:
+        whole *= df.select(dim).distinct().count()
+    known = 1
+    for size in sizes.values():
+        known *= size if size != -1 else 1
+    free = [k for k, v in sizes.items() if v == -1]
+    if len(free) > 1 or (free and (known == 0 or whole % known)) or (not free and known != whole):
+        raise ValueError(f"{whole} places do not make {shape}")
+    for k in free:
+        sizes[k] = whole // known
+    out, radix = flattened(df, dims, "_flat").drop(*dims), 1
+    for k, size in reversed(sizes.items()):
+        out, radix = out.withColumn(k, F.floor(F.col("_flat") / radix) % size), radix * size
+    return out.drop("_flat")
+
+
+def swapped(df: DataFrame, one: str, other: str) -> DataFrame:
+    """df with two dimensions changed about: what was said of one is said of the other."""
+    return df.select(*(F.col(other if c == one else one if c == other else c).alias(c) for c in df.columns))
+
+
+def compressed(df: DataFrame, dim: str, keep: list[bool]) -> DataFrame:
+    """The values whose coordinate, by its place, is marked; those behind the marks are left out."""
+    places = [k for k, on in enumerate(keep) if on]
+    return df.join(numbered(df, dim).where(F.col("place").isin(*places)).select(dim), dim, "left_semi")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import arrays as A
 from pulsegrid.operators import beat_types as B
 from pulsegrid.operators import rhythm_states as R
 from pulsegrid.operators import scan
@@ -207,3 +208,32 @@ def beat_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = beats_.join(after, ["record", "i"], "left").join(shaped.select("record", "i", (F.col("seen") + 1).alias("seen")), ["record", "i"], "left")
     rows = rows.withColumns({"shapes": 3 + F.col("i") % 6, "dominant_width": 6 + F.col("dominant") * 2, "dominant_even": F.col("i") % 3 == 0, "dominant_uneven": F.col("i") % 4 == 1})
     return B.by_rules(rows).select("record", "i", "rule", F.when(F.col("shape_class") == "V", "V").otherwise(F.col("rule_class")).alias("class"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, floor(unnest(embedding)::DOUBLE * 1000)::BIGINT AS v FROM embeddings WHERE len(embedding) = 64),
+r AS (SELECT vec_id, i, abs(v - 2 * lag(v) OVER w + lag(v, 2) OVER w) AS d FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+s AS (SELECT vec_id, i, sum(d) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s FROM r WHERE i >= 4 AND i < 60),
+m AS (SELECT vec_id, max(s) AS m FROM s WHERE i < 27 OR i > 43 GROUP BY vec_id),
+h AS (SELECT vec_id, greatest(max(v), 0) - least(min(v), 0) AS h FROM x WHERE i >= 25 AND i < 40 GROUP BY vec_id)
+SELECT vec_id, CASE WHEN h >= 4 THEN floor(m * 10 / (h >> 2))::BIGINT ELSE 0 END AS noise FROM m JOIN h USING (vec_id)""")
+def muscle_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """High-frequency noise of embeddings taken as beats of 64 samples."""
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    x = F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000))
+    return rows.select("vec_id", A.muscle_noise(x, 32).cast("long").alias("noise"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+m AS (SELECT vec_id, avg(v) AS m, stddev_pop(v) AS d FROM x GROUP BY vec_id),
+s AS (SELECT x.vec_id, i, v > m + d AS high, abs(v) > 2 * d AS far FROM x JOIN m USING (vec_id))
+SELECT vec_id, count_if(NOT far)::BIGINT AS kept, count_if(high AND far)::BIGINT AS both_, coalesce(min(i) FILTER (high AND NOT far), -1) AS first FROM s GROUP BY vec_id""")
+def sample_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples that are left once the far ones are taken away, and those both high and far."""
+    x = F.col("embedding").cast("array<double>")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"), F.posexplode(x).alias("i", "v"))
+    stats = rows.groupBy("vec_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"), F.first("x").alias("x"))
+    places = lambda test: F.filter(F.sequence(F.lit(0), F.size("x") - 1), lambda i: test(F.get(F.col("x"), i)))
+    sets = stats.select("vec_id", places(lambda v: F.lit(True)).alias("all"), places(lambda v: v > F.col("m") + F.col("d")).alias("high"), places(lambda v: F.abs(v) > 2 * F.col("d")).alias("far"))
+    size = lambda a: F.size(a).cast("long")
+    first = F.coalesce(F.array_min(F.array_except("high", "far")), F.lit(-1)).cast("long")
+    return sets.select("vec_id", size(F.array_except("all", "far")).alias("kept"), size(F.array_intersect("high", "far")).alias("both_"), first.alias("first"))

@@ -66,11 +66,15 @@ def argsort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube(spark, sf_dir).select("supp", "order_id", "line", (F.row_number().over(w) - 1).alias("place"))
 
 
-@query(f"""WITH {CUBE} SELECT supp, month, round(sum(v) FILTER (line = 1), 6) AS l1, round(sum(v) FILTER (line = 2), 6) AS l2, round(sum(v) FILTER (line = 3), 6) AS l3 FROM c GROUP BY supp, month""")
+#: Line numbers of an order.
+LINES = range(1, 8)
+
+
+@query(f"""WITH {CUBE} SELECT supp, month, {", ".join(f"round(sum(v) FILTER (line = {k}), 6) AS l{k}" for k in LINES)} FROM c GROUP BY supp, month""")
 def transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dimension turned into columns."""
-    wide = cube(spark, sf_dir).groupBy("supp", "month").pivot("line", [1, 2, 3]).agg(F.round(F.sum("v"), 6))
-    return wide.select("supp", "month", F.col("1").alias("l1"), F.col("2").alias("l2"), F.col("3").alias("l3"))
+    wide = cube(spark, sf_dir).groupBy("supp", "month").pivot("line", list(LINES)).agg(F.round(F.sum("v"), 6))
+    return wide.select("supp", "month", *(F.col(str(k)).alias(f"l{k}") for k in LINES))
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity ** 2 + l_tax ** 2), 6) AS radius, round(atan2(l_tax, l_quantity), 6) AS angle, round(degrees(atan2(l_tax, l_quantity)), 6) AS deg FROM lineitem""")
@@ -139,3 +143,25 @@ def dim_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lines taken, everything three times over."""
     rows = D.repeat(D.index(cube(spark, sf_dir), line=[0, 3]), "line", 3)
     return rows.groupBy("supp", "line", F.col("again").cast("long").alias("again")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("v"))
+
+
+GRID = "g AS (SELECT vec_id, unnest(range(0, len(embedding))) AS t, unnest(embedding)::DOUBLE AS v, dense_rank() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings)"
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("t", "v"))
+
+
+@query(f"""WITH {GRID}, n AS (SELECT max(t) + 1 AS n FROM g), f AS (SELECT p * n + t AS place, v FROM g, n) SELECT place // 32 AS a, place // 8 % 4 AS b, place % 8 AS c, v FROM f""")
+def reshaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings by element as an array of three dimensions."""
+    return D.reshaped(grid(spark, sf_dir), ["vec_id", "t"], {"a": -1, "b": 4, "c": 8}).select("a", "b", "c", "v")
+
+
+@query(f"""WITH {GRID}, n AS (SELECT max(p) + 1 AS n FROM g) SELECT t * n + p AS place, t AS vec_id, vec_id AS t, v FROM g, n WHERE t % 3 <> 1""")
+def swapped_and_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three elements, dimensions changed about, and their places one behind the other."""
+    rows = grid(spark, sf_dir)
+    width = rows.agg(F.max("t") + 1).first()[0]
+    whole = D.flattened(D.swapped(rows, "vec_id", "t"), ["vec_id", "t"])
+    return D.compressed(whole, "vec_id", [k % 3 != 1 for k in range(width)]).select("place", "vec_id", "t", "v")

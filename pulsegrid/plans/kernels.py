@@ -102,12 +102,12 @@ def sample_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_S}, c AS (SELECT vec_id, k, sum(v * cos(2 * pi() * k * t / 64)) AS a, sum(v * sin(2 * pi() * k * t / 64)) AS b FROM s, (SELECT unnest(range(0, 33)) AS k) GROUP BY ALL)
 SELECT vec_id, j, round(sum((CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) * (a * cos(2 * pi() * k * j / 96) + CASE WHEN k = 32 THEN 0 ELSE b * sin(2 * pi() * k * j / 96) END)) / 64, 5) AS v
-FROM c, (SELECT unnest(range(0, 96, 5)) AS j) GROUP BY vec_id, j""")
+FROM c, (SELECT unnest(range(0, 96)) AS j) GROUP BY vec_id, j""")
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth of 96 samples made of 64 through the Fourier transform."""
-    names = tuple(f"at{j}" for j in range(0, 96, 5))
-    wide = with_features(segments(spark, sf_dir), "x", {names: lambda x: K.resample(x, 96)[:, ::5]})
-    found = F.explode(F.array(*(F.struct(F.lit(5 * i).cast("long").alias("j"), F.round(n, 5).alias("v")) for i, n in enumerate(names))))
+    """96 samples made of 64 through the Fourier transform."""
+    names = tuple(f"at{j}" for j in range(96))
+    wide = with_features(segments(spark, sf_dir), "x", {names: lambda x: K.resample(x, 96)})
+    found = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("j"), F.round(n, 5).alias("v")) for i, n in enumerate(names))))
     return wide.select("vec_id", found.alias("f")).select("vec_id", "f.j", "f.v")
 
 
@@ -163,13 +163,13 @@ def chaos_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_features(segments(spark, sf_dir), "x", features)
 
 
-@query(f"""WITH {_S}, spec AS (SELECT vec_id, k, ln(sum(v * cos(2 * pi() * k * t / 64)) ** 2 + sum(v * sin(2 * pi() * k * t / 64)) ** 2) / ln(10) AS p FROM s, (SELECT unnest(range(1, 9)) AS k) GROUP BY vec_id, k),
+@query(f"""WITH {_S}, spec AS (SELECT vec_id, k, ln(sum(v * cos(2 * pi() * k * t / 64)) ** 2 + sum(v * sin(2 * pi() * k * t / 64)) ** 2) / ln(10) AS p FROM s, (SELECT unnest(range(1, 32)) AS k) GROUP BY vec_id, k),
 m AS (SELECT k, avg(p) AS m, stddev_pop(p) AS d FROM spec JOIN embeddings USING (vec_id) WHERE label = 0 GROUP BY k)
 SELECT vec_id, k, round((p - m) / d, 5) AS z FROM spec JOIN m USING (k)""")
 def zscored_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log power of eight frequencies, scaled by the mean and deviation of a baseline class."""
-    rows = with_spectrum(segments(spark, sf_dir), "x", "s").select("vec_id", F.posexplode("s").alias("k", "a")).where("k between 1 and 8")
+    """Log power of 31 frequencies, scaled by the mean and deviation of a baseline class."""
+    rows = with_spectrum(segments(spark, sf_dir), "x", "s").select("vec_id", F.posexplode("s").alias("k", "a")).where("k between 1 and 31")
     rows = rows.select("vec_id", "k", F.log10(F.col("a") * F.col("a")).alias("p"))
     base = rows.join(table(spark, sf_dir, "embeddings").where("label = 0").select("vec_id"), "vec_id")
     base = base.groupBy("k").agg(F.avg("p").alias("m"), F.stddev_pop("p").alias("d"))
-    return rows.join(F.broadcast(base), "k").select("vec_id", "k", F.round((F.col("p") - F.col("m")) / F.col("d"), 5).alias("z"))  # eight rows
+    return rows.join(F.broadcast(base), "k").select("vec_id", "k", F.round((F.col("p") - F.col("m")) / F.col("d"), 5).alias("z"))  # 31 rows

@@ -126,3 +126,29 @@ def test_text_reports_and_pulse_logs(spark, tmp_path):
     assert sorted(map(str, reports.read(spark, f"{tmp_path}/out", df.schema).collect())) == sorted(map(str, [*df.collect(), *df.where("n = 1").collect()]))
     (tmp_path / "log.txt").write_text("100\t1\tUP\nbad\t1\tUP\n250\t2\tDOWN\n300\t1\tUP\n")
     assert sorted((r.t for r in reports.pulses(spark, f"{tmp_path}/log.txt", "UP").collect()), key=str) == [100, 300, None]
+
+
+def test_shapes_of_arrays(spark):
+    rows = [(f"x{i}", j * 10, float(i * 6 + j)) for i in range(4) for j in range(6)]
+    df = frame(spark, rows, "one string, two long, v double").repartition(5)
+    flat = dims.flattened(df, ["one", "two"]).collect()
+    assert all(r.place == r.v for r in flat)
+    cube = dims.reshaped(df, ["one", "two"], {"a": 2, "b": -1, "c": 4}).collect()
+    assert sorted((r.a, r.b, r.c, r.v) for r in cube) == [(k // 12, k // 4 % 3, k % 4, float(k)) for k in range(24)]
+    for shape in ({"a": 5, "b": 5}, {"a": -1, "b": -1}, {"a": -1, "b": 7}):
+        with pytest.raises(ValueError):
+            dims.reshaped(df, ["one", "two"], shape)
+    swapped = dims.swapped(df, "one", "two")
+    assert {(r.two, r.one, r.v) for r in swapped.collect()} == set(rows) and swapped.columns == df.columns
+    assert sorted({r.two for r in dims.compressed(df, "two", [True, False, True]).collect()}) == [0, 20]
+
+
+def test_muscle_noise_by_hand(spark):
+    x = [0] * 100
+    x[38:43] = [20, 80, 200, 80, 20]
+    x[20], x[60] = 9, -7
+    rough = [abs(x[i] - 2 * x[i - 1] + x[i - 2]) for i in range(12, 68)]
+    sums = {12 + k: sum(rough[max(0, k - 4) : k + 1]) for k in range(56)}
+    want = max(v for i, v in sums.items() if i < 35 or i > 51) * 10 // (200 // 4)
+    df = frame(spark, [(x,), ([1] * 100,)], "x array<long>")
+    assert [r.n for r in df.select(A.muscle_noise(F.col("x"), 40).alias("n")).collect()] == [want, 0]
