@@ -3,6 +3,8 @@ elimination, clustering and single-feature regressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml.clustering import KMeans
@@ -10,12 +12,20 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import MinMaxScaler, Normalizer, PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.estimators import Boosted, FourierFeatures
+from pulsegrid.operators.evaluation import stratified_split
+
+
+#: Names of the classifiers.
+ESTIMATORS = ("logistic_regression", "random_forest", "gradient_boosting", "adaboost", "svc_linear", "svc_poly", "svc_rbf", "mlp1", "mlp2")
+
 
-def estimator(name: str, label: str) -> tuple[list[Estimator], list[dict]]:
-    """Stages and parameter grid of a named classifier over the column `scaled`."""
+def estimator(name: str, label: str, inputs: int = 0, classes: int = 3) -> tuple[list[Estimator], list[dict]]:
+    """Stages and parameter grid of a named classifier over the column `scaled`; the networks need
+    to know how many features and classes there are."""
     on = {"featuresCol": "scaled", "labelCol": label}
     grid = ParamGridBuilder()
     if name == "logistic_regression":
@@ -32,7 +42,15 @@ def estimator(name: str, label: str) -> tuple[list[Estimator], list[dict]]:
         wide = PolynomialExpansion(degree=2, inputCol="scaled", outputCol="wide")
         at = {"featuresCol": "wide", "labelCol": label}
         return [wide, C.OneVsRest(classifier=C.LinearSVC(**at), **at)], grid.build()
-    raise ValueError(f"no estimator {name}")
+    if name == "svc_rbf":
+        at = {"featuresCol": "waves", "labelCol": label}
+        return [FourierFeatures("scaled", "waves", gamma=1 / max(1, inputs)), C.OneVsRest(classifier=C.LinearSVC(**at, maxIter=30), **at)], grid.build()
+    if name == "adaboost":
+        return [Boosted("scaled", label)], grid.build()
+    if name in ("mlp1", "mlp2"):
+        hidden = [max(4, inputs // 2)] * int(name[-1])
+        return [C.MultilayerPerceptronClassifier(**on, layers=[inputs, *hidden, classes], maxIter=50, seed=1)], grid.build()
+    raise ValueError(f"no estimator {name}; there are {ESTIMATORS}")
 
 
 def pipeline(features: list[str], stages: list[Estimator]) -> Pipeline:
@@ -42,7 +60,8 @@ def pipeline(features: list[str], stages: list[Estimator]) -> Pipeline:
 
 def train(df: DataFrame, features: list[str], label: str, name: str, folds: int = 5, metric: str = "f1") -> PipelineModel:
     """The best of the grid by cross-validation, over folds that a hash of the row gives."""
-    stages, grid = estimator(name, label)
+    classes = int(df.agg(F.max(label)).first()[0] or 0) + 1 if name.startswith("mlp") else 0
+    stages, grid = estimator(name, label, len(features), classes)
     if len(grid) < 2:
         return pipeline(features, stages).fit(df)
     folded = df.withColumn("_fold", F.pmod(F.xxhash64(*features), F.lit(folds)).cast("int"))
@@ -67,6 +86,38 @@ def eliminate(df: DataFrame, features: list[str], label: str, keep: int) -> Data
     return df.sparkSession.createDataFrame(places, "feature string, place int")
 
 
+def elimination_order(df: DataFrame, features: list[str], label: str) -> list[str]:
+    """Features by when a linear machine gives them up: the last to go first. Each round fits to
+    those that are left and drops the one of least squared weight over all classes."""
+    left, gone = list(features), []
+    while len(left) > 1:
+        on = {"featuresCol": "scaled", "labelCol": label}
+        model = pipeline(left, [C.OneVsRest(classifier=C.LinearSVC(**on, maxIter=20), **on)]).fit(df).stages[-1]
+        weights = sum(m.coefficients.toArray() ** 2 for m in model.models)
+        gone.append(left.pop(int(weights.argmin())))
+    return [*left, *reversed(gone)]
+
+
+def experiment(df: DataFrame, features: list[str], label: str, name: str, times: int, key: Callable[[int], Column], share: float = 0.3, keep: int | None = None) -> DataFrame:
+    """(iteration, n, accuracy, f1, best) of `times` hold-outs, and a last row (iteration null) of
+    their means. A hold-out is a stratified split by key(iteration), a fit of the named
+    estimator and the scores of its test rows; with `keep`, on the features that a linear machine
+    keeps longest on its training rows. The best is the first whose f1 no earlier one reaches."""
+    rows, best, chosen = [], None, None
+    for k in range(times):
+        split = stratified_split(df, label, key(k), share)
+        fit, test = split.where("is_test = 0"), split.where("is_test = 1")
+        own = features if keep is None else elimination_order(fit, features, label)[:keep]
+        told = predict(train(fit, own, label, name, folds=3), test, label).withColumns({c: F.col(c).cast("double") for c in ("truth", "predicted")})
+        score = lambda metric: MulticlassClassificationEvaluator(labelCol="truth", predictionCol="predicted", metricName=metric).evaluate(told)
+        rows.append((k, told.count(), score("accuracy"), score("f1")))
+        if best is None or rows[-1][3] > best:
+            best, chosen = rows[-1][3], k
+    mean = [sum(r[c] for r in rows) / len(rows) for c in (2, 3)]
+    out = [(k, n, a, f, k == chosen) for k, n, a, f in rows] + [(None, sum(r[1] for r in rows), *mean, None)]
+    return df.sparkSession.createDataFrame(out, "iteration int, n long, accuracy double, f1 double, best boolean")
+
+
 def clusters(df: DataFrame, features: list[str], k: int) -> DataFrame:
     stages = [
         VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="even"),

@@ -60,3 +60,10 @@ def pca_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rows(spark, sf_dir)
     white = M.whitened(df, features(df), 3)
     return white.agg(*(F.round(f(F.get("white", F.lit(k))), 6).alias(f"{n}{k}") for k in range(3) for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
+
+
+@query()
+def experiment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hold-outs of boosted trees, the best of them, and their means."""
+    df = rows(spark, sf_dir).drop("is_test")
+    return M.experiment(df, features(df), "y", "adaboost", 3, lambda k: (F.col("vec_id") % 1000003 * F.lit(2654435761) + k * 40503) % 1000003)
