@@ -29,7 +29,8 @@ GRAMS = (3, 4, 5)
 EPOCHS = 4
 RATE = 0.8
 #: Most labelled rows that the fit reads, in the order of a hash of their id, and the most
-#: bytes of their texts: the sample ends with the last row that is wholly within both.
+#: bytes of their texts: the sample ends with the last row that is wholly within both. Texts
+#: that alone have more bytes are passed over.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 64 << 20
 THRESHOLD = 0.3
 TABLE_ENTRIES = 150_000
@@ -101,6 +102,8 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_c
 
     Labels other than 0 and 1 and null ids are left out; of an id labelled twice the smaller
     label counts. At most `rows` whole texts of SAMPLE_BYTES together reach the driver.
+    ValueError if there are labelled documents and all of them are longer than that; without
+    any, the model finds label 1 as likely as not.
     """
     named = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     named = named.groupBy(id_col).agg(F.min(label).alias("_label"))
@@ -109,10 +112,12 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_c
     sample = written(named.orderBy(order, id_col).limit(rows), "label_sample")
     texts = documents.select(id_col, F.col(text).alias("_text")).join(F.broadcast(sample), id_col)  # `rows` ids
     by = [order, F.col(id_col), F.xxhash64("_text")]
-    sizes = texts.select(id_col, F.octet_length("_text").alias("size"), "_text", "_label").orderBy(*by).limit(rows)
+    sizes = texts.select(id_col, F.octet_length("_text").alias("size"), "_text", "_label").where(F.coalesce("size", F.lit(0)) <= SAMPLE_BYTES).orderBy(*by).limit(rows)
     # One task, but over the sample's rows alone.
     sizes = sizes.withColumn("sum", F.sum(F.coalesce("size", F.lit(0))).over(W.partitionBy(F.lit(0)).orderBy(*by)))
     found = sizes.where(F.col("sum") <= SAMPLE_BYTES).orderBy(*by).select("_text", "_label").toPandas()
+    if found.empty and sample.head(1):
+        raise ValueError(f"every labelled text is longer than {SAMPLE_BYTES} bytes")
     return fit([t or "" for t in found["_text"]], [int(y) for y in found["_label"]])
 
 

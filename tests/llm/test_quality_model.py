@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from pulsegrid.llm import quality_model as q
 
@@ -62,3 +63,33 @@ def test_bound_on_rows(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
     a, b = (q.train(docs.repartition(n), labels, rows=20) for n in (1, 5))
     assert np.array_equal(a[0], b[0]) and a[1] == b[1]
+
+
+def test_sample_by_hand(spark, monkeypatch):
+    """The fit reads what sorting, the fold and the bounds leave, and no text over the bound."""
+    rows = [(i, t * (40 if i % 9 == 0 else 1), y) for i, t, y in corpus(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(500, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(500, 0), (7, 0), (600, 1)], "doc_id long, quality int")
+    bound = 9000
+    monkeypatch.setattr(q, "SAMPLE_BYTES", bound)
+    seen = {}
+    monkeypatch.setattr(q, "fit", lambda texts, ys: seen.update(texts=texts, ys=ys))
+    q.train(docs, labels, rows=50)
+    order = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64('fit', doc_id) AS h").collect()}
+    truth = {i: y for i, _, y in rows} | {500: 0}
+    truth[7] = min(truth[7], 0)
+    texts = {i: t for i, t, _ in rows} | {500: ""}
+    named = sorted((i for i in truth if zlib.crc32(str(i).encode()) % 5), key=lambda i: (order[i], i))[:50]
+    total, kept = 0, []
+    for i in named:
+        size = len(texts[i].encode())
+        if size <= bound:
+            total += size
+            if total > bound:
+                break
+            kept.append(i)
+    assert [t for t in seen["texts"]] == [texts[i] for i in kept] and seen["ys"] == [truth[i] for i in kept] and 5 < len(kept) < 50
+    assert any(len(texts[i]) > bound for i in named)
+    monkeypatch.setattr(q, "SAMPLE_BYTES", 3)
+    with pytest.raises(ValueError):
+        q.train(docs.where("doc_id <> 500"), labels)
