@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.scan import written
+
 
 def reduce(df: DataFrame, keep: list[str], value: str, along: str, ddof: int = 0) -> DataFrame:
     """The reductions of value along one dimension; NaN and null are left out."""
@@ -29,10 +31,11 @@ def binned(dim: Column, edges: list[tuple[float, float, str]]) -> Column:
 def numbered(df: DataFrame, dim: str, name: str = "place") -> DataFrame:
     """(dim, place, total): the distinct coordinates of a dimension in order, numbered from 0.
 
-    Coordinates are dealt out by range and numbered within each part; the parts' sizes, of
-    which there are as many as partitions, give where each part starts."""
+    Coordinates are dealt out by range, numbered within each part and written, so that all that
+    follows is of one numbering; the parts' sizes, of which there are as many as partitions,
+    give where each part starts."""
     names = df.select(dim).distinct().repartitionByRange(dim).sortWithinPartitions(dim)
-    local = names.select(dim, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    local = written(names.select(dim, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")), "numbered")
     sizes = local.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("_part", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(W.partitionBy()).alias("total"))
