@@ -42,3 +42,12 @@ def beats_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     samples = recordings(spark, sf_dir).select(F.col("user_id").alias("record"), "t", "value")
     return beats.detect(samples, fs=8)
+
+
+@query()
+def beats_batch_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector's variant that goes by means, over the same samples."""
+    from pulsegrid.plans.signal import recordings
+
+    samples = recordings(spark, sf_dir).select(F.col("user_id").alias("record"), "t", "value")
+    return beats.detect(samples, fs=8, how=beats.BY_MEAN)
