@@ -184,3 +184,28 @@ def venue_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with what a dimension says of them, each once."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", HOST, 1).alias("venue"))
     return pages.join(pages.groupBy("venue").agg(F.count("*").alias("freq")), "venue").select("page_id", "venue", "freq").distinct()
+
+
+@query("""WITH t AS (SELECT l_partkey AS sample, l_linenumber AS line, min(l_returnflag) AS p FROM lineitem GROUP BY ALL)
+SELECT sample, """ + ", ".join(f"coalesce(max(p) FILTER (line = {k}), 'N/A') AS line{k}" for k in range(1, 8)) + " FROM t GROUP BY sample")
+def error_log_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of what was predicted for each sample in each run (here: line number), a column for
+    each, written as text and read again."""
+    from pulsegrid.sources import reports
+    from pulsegrid.sources.shared import shared_dir
+
+    log = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("sample"), F.concat(F.lit("line"), F.col("l_linenumber")).alias("run")).agg(F.min("l_returnflag").alias("p"))
+    path = shared_dir(spark, "log")
+    wide = reports.wide(log, ["sample"], "run", "p", [f"line{k}" for k in range(1, 8)])
+    reports.write(wide, path, sep=",")
+    return reports.read(spark, path, wide.schema, sep=",")
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS kind, count(*) AS n, avg(o_totalprice) AS price FROM orders GROUP BY ALL)
+SELECT kind, n::DOUBLE AS n, round(price, 4) AS price FROM r UNION ALL SELECT 'average', avg(n), round(avg(price), 4) FROM r""")
+def report_with_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report and the row of its means."""
+    from pulsegrid.sources import reports
+
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").cast("double").alias("n"), F.avg("o_totalprice").alias("price"))
+    return reports.with_average(rows, "kind", ["n", "price"]).select("kind", "n", F.round("price", 4).alias("price"))

@@ -152,3 +152,14 @@ def test_muscle_noise_by_hand(spark):
     want = max(v for i, v in sums.items() if i < 35 or i > 51) * 10 // (200 // 4)
     df = frame(spark, [(x,), ([1] * 100,)], "x array<long>")
     assert [r.n for r in df.select(A.muscle_noise(F.col("x"), 40).alias("n")).collect()] == [want, 0]
+
+
+def test_wide_logs_and_average_rows(spark):
+    from pulsegrid.sources import reports
+
+    log = frame(spark, [(1, "a", 0), (1, "b", 2), (2, "b", None)], "sample long, run string, p int")
+    wide = reports.wide(log, ["sample"], "run", "p", ["a", "b", "c"])
+    assert sorted(map(tuple, wide.collect())) == [(1, "0", "2", "N/A"), (2, "N/A", "N/A", "N/A")]
+    rows = frame(spark, [(1, 2.0, "x"), (2, 4.0, "y")], "k long, v double, note string")
+    assert sorted(map(tuple, reports.with_average(rows, "k", ["v"]).collect())) == [("1", 2.0, "x"), ("2", 4.0, "y"), ("average", 3.0, None)]
+    assert [tuple(r) for r in reports.with_average(rows.limit(0), "k", ["v"]).collect()] == [("average", None, None)]
