@@ -38,7 +38,7 @@ LAYOUT = "record string, fs double, path string, channels array<int>, layout str
 
 def frames(dtype: str, n: int, signals: list[dict], head: int = 0) -> dict:
     """Samples of n signals in turn. dtype: a numpy type, `u1` for offset bytes or `212` for two
-    samples of 12 bits in three bytes; signals: (channel, at, zero, scale) each."""
+    samples of 12 bits in three bytes; signals: (channel, at, zero, and scale or gain) each."""
     return {"dtype": dtype, "n": n, "per": 1, "signals": signals, "head": head}
 
 
@@ -118,7 +118,9 @@ def cut(layout: dict, total: int, first: int, count: int, read) -> Iterator[tupl
         raw = raw[: len(raw) // n * n].reshape(-1, n)
         for s in layout["signals"]:
             own = raw[:, s["at"] : s["at"] + per].reshape(-1)[start - low * per : stop - low * per]
-            yield s["channel"], chunk, (own - s["zero"]) * s["scale"] + s.get("base", 0.0)
+            # Divided by a gain, not multiplied by its inverse, which would be rounded twice.
+            units = (own - s["zero"]) / s["gain"] if "gain" in s else (own - s["zero"]) * s["scale"]
+            yield s["channel"], chunk, units + s.get("base", 0.0)
 
 
 def read(ranges: DataFrame, channel: int | None = None, begin: float | None = None, end: float | None = None) -> DataFrame:

@@ -112,7 +112,7 @@ def plan_wfdb(spark: SparkSession, folder: str) -> DataFrame:
         form = here[0][1]["format"]
         if form not in WFDB_TYPES:
             raise ValueError(f"signal format {form} is not read")
-        own = [{"channel": k, "at": at, "zero": s["zero"], "scale": 1 / s["gain"]} for at, (k, s) in enumerate(here)]
+        own = [{"channel": k, "at": at, "zero": s["zero"], "gain": s["gain"]} for at, (k, s) in enumerate(here)]
         first = next(x for x in row["text"].splitlines() if x.strip() and not x.startswith("#")).split()
         # Two samples of 12 bits share bytes, so the file alone may seem to hold one more.
         yield record_name(row["head"]), fs, frames(WFDB_TYPES[form], len(own), own) | {"limit": int(first[3]) if len(first) > 3 else 0}

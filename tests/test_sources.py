@@ -80,3 +80,12 @@ def test_corrections_and_catalog(spark, tmp_path):
     assert R.read_corrections(spark, str(tmp_path / "out")).count() == 3
     (tmp_path / "list.txt").write_text("b\n a \n\n")
     assert [r.record for r in R.read_catalog(spark, str(tmp_path / "list.txt")).collect()] == ["a", "b"]
+
+
+def test_samples_are_divided_by_the_gain(spark, tmp_path):
+    """5905 at a gain of 50 is 118.1, not one bit above it."""
+    from pulsegrid.sources import writing
+
+    rows = spark.createDataFrame([("a", 0, [5905]), ("a", 1, [-5987])], "record string, t long, values array<int>")
+    writing.write_wfdb(rows, f"{tmp_path}/gain", 1.0, [50.0]).count()
+    assert R.read_wfdb(spark, f"{tmp_path}/gain").first().samples == [118.1, -119.74]
