@@ -82,17 +82,55 @@ def resample(x: np.ndarray, n: int) -> np.ndarray:
     return np.fft.irfft(kept, n, axis=1) * (n / old)
 
 
+def earlier_neighbours(keys: np.ndarray) -> tuple[list[int], list[int]]:
+    """For every place, the places before it whose suffixes come next to its own in order, below
+    and above (-1: none). keys: the 64 bits from each place on, zeros behind the last. Suffixes
+    are sorted by the bits that ranks tell, twice as many in every round."""
+    n, h = len(keys), 64
+    values, rank = np.unique(np.r_[keys, np.uint64(0)], return_inverse=True)  # one more place, of zeros
+    told = len(values)
+    while told <= n and h < n:
+        both = rank * (n + 1)
+        both[: n + 1 - h] += rank[h:]
+        values, rank = np.unique(both, return_inverse=True)
+        told, h = len(values), 2 * h
+    order = np.argsort(rank[:n], kind="stable").tolist()
+    below, above, stack = [-1] * n, [-1] * n, []
+    for i in order:
+        while stack and stack[-1] > i:
+            above[stack.pop()] = i
+        if stack:
+            below[i] = stack[-1]
+        stack.append(i)
+    return below, above
+
+
 def lempel_ziv(bits: np.ndarray) -> float:
     """Number of new words met from left to right, over n / log2 n. A word that the end cuts
-    short is not one."""
-    text = np.asarray(bits, np.uint8).tobytes()
-    n, words, start = len(text), 0, 0
+    short is not one. The longest stretch that was met before begins at a neighbour among the
+    sorted suffixes."""
+    keys = (np.asarray(bits) != 0).astype(np.uint64)
+    n = len(keys)
+    if n < 2:
+        return 0.0
+    for k in (1, 2, 4, 8, 16, 32):
+        keys = keys << np.uint64(k) | np.r_[keys[k:], np.zeros(min(k, n), np.uint64)]
+    below, above = earlier_neighbours(keys)
+    held, words, start = keys.tolist(), 0, 0
     while start < n:
-        length, at = 1, 0  # a longer word is not met before where its beginning is first met
-        while start + length <= n and (at := text.find(text[start : start + length], at, start + length - 1)) >= 0:
-            length += 1
-        words, start = words + (start + length <= n), start + length
-    return words * math.log2(n) / n if n > 1 else 0.0
+        longest = 0
+        for at in (below[start], above[start]):
+            same = 0
+            while at >= 0 and start + same < n:
+                apart = held[start + same] ^ held[at + same]
+                if apart:
+                    same += 64 - apart.bit_length()
+                    break
+                same += 64
+            longest = max(longest, min(same, n - start))
+        start += longest + 1
+        words += start <= n
+    return words * math.log2(n) / n
 
 
 def binarised(x: np.ndarray) -> np.ndarray:
@@ -109,13 +147,10 @@ def binarised(x: np.ndarray) -> np.ndarray:
 def sample_entropy(x: np.ndarray, m: int = 2, share: float = 0.2) -> float:
     """Log ratio of template matches of m and m + 1 samples, within share of the deviation."""
     r, n = share * x.std(), len(x)
-    far = np.zeros((n - m + 1, n - m + 1))
-    for k in range(m):
-        part = x[k : n - m + 1 + k]
-        far = np.maximum(far, np.abs(part[:, None] - part))
-    near = far <= r
+    close, size = np.abs(x[:, None] - x) <= r, n - m + 1
+    near = np.logical_and.reduce([close[k : size + k, k : size + k] for k in range(m)])
     np.fill_diagonal(near, False)
-    longer = near[:-1, :-1] & (np.abs(x[m:, None] - x[m:]) <= r)
+    longer = near[:-1, :-1] & close[m:, m:]
     return float(np.log((near.sum() + 1e-100) / (longer.sum() + 1e-100)))
 
 
@@ -142,7 +177,9 @@ def lifted_exponential(x: np.ndarray, fs: int, tau: float = 0.2) -> float:
     """Lifts a second of a decaying curve that starts anew at the next local maximum each
     time the signal rises through it."""
     reach = max(1, round(0.05 * fs))
-    tops = [t for t in range(1, len(x) - 1) if x[t] > np.delete(x[max(0, t - reach) : t + reach + 1], min(t, reach)).max()]
+    ends = np.full(reach, -np.inf)
+    most = np.lib.stride_tricks.sliding_window_view(np.r_[ends, x, ends], reach).max(axis=1)  # of the samples before each, and from each on
+    tops = (np.flatnonzero(x[1:-1] > np.maximum(most[1 : len(x) - 1], most[reach + 2 : reach + len(x)])) + 1).tolist()
     lifts, k = 0, 0
     while k < len(tops):
         t0 = tops[k]

@@ -39,8 +39,9 @@ def job_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
     place = F.struct((F.col("vec_id") % CHUNKS).alias("place"), F.col("embedding").cast("array<double>").alias("x"), "label")
     held = rows.groupBy(F.floor(F.col("vec_id") / CHUNKS).alias("segment")).agg(F.sort_array(F.collect_list(place)).alias("parts"))  # eight
-    # Features cost far more than their few bytes say: a fixed number of tasks, not coalesced.
-    held = held.where(F.size("parts") == CHUNKS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "segment")
+    # Features cost far more than their few bytes say: a fixed number of tasks, not coalesced. By a
+    # hash of its own, as a second dealing by the same column would be left out of the plan.
+    held = held.where(F.size("parts") == CHUNKS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("segment"))
     return held.select("segment", F.col("parts")[0]["label"].alias("label"), F.flatten(F.transform("parts", lambda p: p["x"])).alias("x"))
 
 

@@ -1,7 +1,9 @@
 import math
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.functions import kernels as K
 
@@ -181,3 +183,19 @@ def test_ensemble_modes_average_the_noise_away():
     found = modes.ensemble(x, times=30, noise=0.1)
     assert found.shape == (6, len(x)) and np.abs(found.sum(0) - x).max() < 0.12 * x.std()
     assert np.array_equal(found, modes.ensemble(x, times=30, noise=0.1))
+
+
+def test_complexity_of_long_signals_is_counted_in_good_time():
+    """A quadratic search takes minutes here."""
+    rng = np.random.default_rng(3)
+    start = time.monotonic()
+    assert K.lempel_ziv(rng.integers(0, 2, 400_000)) == pytest.approx(1, abs=0.1)
+    assert K.lempel_ziv(np.zeros(400_000)) < 0.001
+    assert time.monotonic() - start < 15
+
+
+def test_job_segments_are_dealt_over_all_tasks(spark):
+    from pulsegrid.plans import kernels as P
+
+    rows = P.job_segments(spark, "/root/testdata/sf0.001")
+    assert rows.select(F.spark_partition_id()).distinct().count() == 4
