@@ -147,8 +147,9 @@ SELECT user_id, sec, count_if(value >= 0.5 * top)::BIGINT AS count1, count_if(va
 FROM d GROUP BY user_id, sec""")
 def per_second_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples a second over half the second's largest, over its mean, and near its mean."""
-    w = W.partitionBy("user_id", "sec")
-    rows = recordings(spark, sf_dir).select("user_id", F.floor(F.col("t") / 8).alias("sec"), "value")
+    # Sums in the order of samples: what lies right at a bound depends on the last bit of the mean.
+    w = W.partitionBy("user_id", "sec").orderBy("t").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = recordings(spark, sf_dir).select("user_id", F.floor(F.col("t") / 8).alias("sec"), "t", "value")
     rows = rows.select("*", F.max("value").over(w).alias("top"), F.avg("value").over(w).alias("mid"))
     rows = rows.withColumn("dev", F.avg(F.abs(F.col("value") - F.col("mid"))).over(w))
     v = F.col("value")

@@ -163,3 +163,24 @@ def test_wide_logs_and_average_rows(spark):
     rows = frame(spark, [(1, 2.0, "x"), (2, 4.0, "y")], "k long, v double, note string")
     assert sorted(map(tuple, reports.with_average(rows, "k", ["v"]).collect())) == [("1", 2.0, "x"), ("2", 4.0, "y"), ("average", 3.0, None)]
     assert [tuple(r) for r in reports.with_average(rows.limit(0), "k", ["v"]).collect()] == [("average", None, None)]
+
+
+def test_seconds_are_summed_in_the_order_of_samples(spark, tmp_path):
+    """The mean less the deviation is 7.18 to the last bit only if summed in order."""
+    from pulsegrid.plans import signal
+
+    values = [52.96, 27.32, 7.18, 15.31, 11.43, 102.06, 48.12, 102.43]
+    rows = [(k, 1, k, v) for k, v in reversed(list(enumerate(values)))]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, at long, value double").selectExpr("event_id", "user_id", "timestamp_seconds(at) AS ts", "value")
+    plan = signal.per_second_counts
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    total = mid = dev = 0.0
+    for v in values:
+        total += v
+    mid = total / 8
+    for v in values:
+        dev += abs(v - mid)
+    dev /= 8
+    found = plan(spark, str(tmp_path)).first()
+    assert found.count3 == sum(mid - dev <= v <= mid + dev for v in values) and found.count2 == 4
+    assert "t#" in plan(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString().split("AS mid")[0].split("avg(")[-1]
