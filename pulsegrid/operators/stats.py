@@ -74,11 +74,31 @@ def enhanced(df: DataFrame, order: str, steps: list[float], *by: str, e: float =
     return on.withColumn("_s", score).groupBy(*by, order).agg(F.sum("_s").alias("tfce"))
 
 
+#: Rows, of all shuffles, that a task sorts at once, and rows of a group whose shuffles are dealt
+#: out one by one.
+TASK_ROWS, GROUP_ROWS = 2_000_000, 100_000
+
+
 def permuted(df: DataFrame, key: Column, times: int, *by: str) -> DataFrame:
     """Each row in every one of `times` shuffles: perm, and place, its rank in the group by a
-    hashed key of the shuffle and the row."""
-    at = df.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    return at.withColumn("place", F.row_number().over(W.partitionBy("perm", *by).orderBy(key)))
+    hashed key of the shuffle and the row. Rows are dealt by their group and only then
+    copied, within tasks of TASK_ROWS, so no copy moves or is spilled; of groups over GROUP_ROWS the
+    copies are dealt out."""
+
+    def copied(rows: DataFrame) -> DataFrame:
+        at = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+        return at.withColumn("place", F.row_number().over(W.partitionBy("perm", *by).orderBy(key)))
+
+    if not by:
+        return copied(df)
+    sizes = df.groupBy(*by).count()
+    total, most = sizes.agg(F.sum("count"), F.max("count")).first()
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((total or 0) * times / TASK_ROWS))
+    if (most or 0) <= GROUP_ROWS:
+        return copied(df.repartition(parts, *by))
+    large = sizes.where(F.col("count") > GROUP_ROWS).select(*by)
+    small = df.join(large, [*by], "left_anti").select(*df.columns)
+    return copied(small.repartition(parts, *by)).unionByName(copied(df.join(large, [*by], "left_semi").select(*df.columns)))
 
 
 def unpaired_t(df: DataFrame, group: Column, value: str, *by: str) -> DataFrame:

@@ -184,3 +184,19 @@ def test_seconds_are_summed_in_the_order_of_samples(spark, tmp_path):
     found = plan(spark, str(tmp_path)).first()
     assert found.count3 == sum(mid - dev <= v <= mid + dev for v in values) and found.count2 == 4
     assert "t#" in plan(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString().split("AS mid")[0].split("avg(")[-1]
+
+
+def test_copies_of_shuffles_do_not_move(spark, monkeypatch):
+    """Rows are dealt once, by group, before they are copied; groups over the bound give the same."""
+    df = spark.createDataFrame([(i % 7 if i % 3 else 9, i) for i in range(300)], "g long, v long")
+    key = F.struct((F.col("v") * (2 * F.col("perm") + 1)) % 101, "v")
+    plain = stats.permuted(df, key, 5, "g")
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "perm#" not in plan[plan.index("Exchange") :]
+    monkeypatch.setattr(stats, "GROUP_ROWS", 60)
+    places = lambda d: sorted(map(tuple, d.select("g", "v", "perm", "place").collect()))
+    assert places(plain) == places(stats.permuted(df, key, 5, "g"))
+    groups = {}
+    for g, v, perm, place in places(plain):
+        groups.setdefault((g, perm), []).append((place, (v * (2 * perm + 1)) % 101, v))
+    assert all([p for p, *_ in sorted(x)] == list(range(1, len(x) + 1)) and sorted(x) == sorted(x, key=lambda r: r[1:]) for x in groups.values())
