@@ -37,6 +37,7 @@ _BITS = (np.arange(64)[:, None] >> np.arange(6)) & 1 == 1
 #: The first four set bits of a mask, as weights over its six places; whether it has four.
 _FOUR = _BITS & (np.cumsum(_BITS, axis=1) <= 4)
 _HAS_FOUR = _FOUR.sum(axis=1) == 4
+_FIRST = _BITS.argmax(axis=1)
 
 
 def alike(a, b):
@@ -53,6 +54,8 @@ def early(now: np.ndarray, before: np.ndarray, normal: np.ndarray) -> np.ndarray
     """Whether an interval is an eighth short of an even rhythm: of the six before it, the first
     four normal ones make the mean, from which no normal one is off by over a sixteenth.
     now: (chunks, 1); before: (chunks, 6); normal: masks (chunks, states)."""
+    if normal.shape[1] > NORMALS:  # by mask, not by state
+        return np.take_along_axis(early(now, before, np.tile(np.arange(NORMALS), (len(before), 1))), normal, axis=1)
     mean = np.einsum("cp,csp->cs", before, _FOUR[normal].astype(np.int64)) >> 2
     off = np.abs(mean[:, :, None] - before[:, None, :]) > (mean >> 4)[:, :, None]
     return _HAS_FOUR[normal] & ~(off & _BITS[normal]).any(axis=2) & (now < mean - (mean >> 3))
@@ -72,7 +75,7 @@ def advance(state: np.ndarray, w: np.ndarray, learning: np.ndarray, brady: int):
     longer = v[0] > v[1]
     # After two premature ones, a normal interval is the last one known or the mean of the latest two kinds.
     rows = np.arange(len(w))[:, None]
-    first_normal = np.where(normal > 0, _BITS[normal].argmax(axis=2), 0)
+    first_normal = _FIRST[normal]
     usual = np.where(normal > 0, w[rows, 2 + first_normal], 0)
     is_usual = (normal > 0) & alike(v[0], usual)
     quick = np.where(place < PLACES - 1, w[rows, np.minimum(2 + place, BACK - 1)], 0)
@@ -145,14 +148,18 @@ def _batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _chunks(intervals: DataFrame, size: int) -> DataFrame:
-    """(record, chunk, start, rr): each chunk's intervals, up to seven of the one before ahead."""
-    i = F.col("i")
-    home = F.floor(i / size)
-    both = F.when(i % size >= size - (BACK - 1), F.array(home, home + 1)).otherwise(F.array(home))
+    """(record, chunk, start, rr): each chunk's intervals, up to seven of the one before ahead. A
+    record's first chunk, whose entry state is known, has SIZE intervals or more."""
+    head = -(-SIZE // size) * size
+    of = lambda i: F.when(i < head, F.lit(0).cast("long")).otherwise(F.floor((i - head) / size) + 1)
+    start = F.when(F.col("chunk") == 0, F.lit(0).cast("long")).otherwise(head + (F.col("chunk") - 1) * size)
+    home, later = of(F.col("i")), of(F.col("i") + BACK - 1)
+    both = F.array_distinct(F.array(home, later))
+    parts = int(intervals.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # steps take time, not bytes: not coalesced
     dealt = intervals.where("record is not null").select("record", "i", "rr", F.explode(both).alias("chunk"))
     rows = dealt.groupBy("record", "chunk").agg(F.sort_array(F.collect_list(F.struct("i", "rr"))).alias("rows"), F.max("i").alias("last"))
-    rows = rows.where(F.floor(F.col("last") / size) == F.col("chunk"))  # not a halo alone
-    return rows.select("record", "chunk", (F.col("chunk") * size).alias("start"), F.transform("rows", lambda r: r["rr"]).alias("rr"))
+    rows = rows.where(of(F.col("last")) == F.col("chunk")).repartition(parts, F.xxhash64("record", "chunk"))  # not a halo alone
+    return rows.select("record", "chunk", start.alias("start"), F.transform("rows", lambda r: r["rr"]).alias("rr"))
 
 
 def rhythm_states(intervals: DataFrame, brady: int, size: int = SIZE) -> DataFrame:
@@ -177,20 +184,28 @@ def rhythm_states(intervals: DataFrame, brady: int, size: int = SIZE) -> DataFra
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * STATES, pa.int32()), pa.array(found.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("record"), part.column("chunk"), lists], names=["record", "chunk", "map"])
 
-    entered = entries(written(chunks.mapInArrow(summed, f"record {kind}, chunk long, map array<int>"), "interval_maps"), FRESH)
+    # A record of one chunk is entered in the state of a fresh start; maps are for those of more.
+    longer = chunks.where("chunk > 0").select("record").distinct()
+    maps_of = chunks.join(longer, "record", "left_semi").select(*chunks.columns)
+    entered = entries(written(maps_of.mapInArrow(summed, f"record {kind}, chunk long, map array<int>"), "interval_maps"), FRESH)
+    first = chunks.where("chunk = 0").withColumn("entry", F.lit(FRESH))
+    ready = first.unionByName(chunks.where("chunk > 0").join(entered, ["record", "chunk"]).select(*first.columns))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rr, sizes, starts = _batch(part)
+                longest = np.argsort(-sizes, kind="stable")  # of which fewer and fewer go on
+                part, rr, sizes, starts = part.take(pa.array(longest)), rr[longest], sizes[longest], starts[longest]
                 state = part.column("entry").to_numpy().astype(np.int64)[:, None]
                 steps = int(sizes.max(initial=0))
                 out = np.empty((3, len(rr), steps), np.int64)
                 for t in range(steps):
-                    *found, state = advance(state, windows(rr, t), starts[:, None] + t < LEARNING, brady)
+                    n = int((sizes > t).sum())
+                    *found, state = advance(state[:n], windows(rr[:n], t), starts[:n, None] + t < LEARNING, brady)
                     for k, x in enumerate(found):
-                        out[k, :, t] = x[:, 0]
+                        out[k, :n, t] = x[:, 0]
                 live = np.arange(steps) < sizes[:, None]
                 of, t = np.nonzero(live)
                 kinds, groups, flags = (x[live] for x in out)
@@ -200,4 +215,4 @@ def rhythm_states(intervals: DataFrame, brady: int, size: int = SIZE) -> DataFra
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=["record", "i", "rr", "kind", "class", "bigeminy"])
 
-    return chunks.join(entered, ["record", "chunk"]).mapInArrow(read, f"record {kind}, i long, rr long, kind string, class string, bigeminy boolean")
+    return ready.mapInArrow(read, f"record {kind}, i long, rr long, kind string, class string, bigeminy boolean")

@@ -143,3 +143,16 @@ def test_places_count_within_groups(spark):
     rows = [(k, i * 3 % 50) for k in ("a", "b", None) for i in range(50)]
     found = scan.placed(spark.createDataFrame(rows, "g string, t int").repartition(7), "g", "t").collect()
     assert sorted((str(r["g"]), r["t"], r["i"]) for r in found) == sorted((str(k), t, t) for k, t in rows)
+
+
+def test_short_records_need_no_map(spark, monkeypatch):
+    """The entry state of a record's first chunk is known, so only longer records have maps."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(r, i, rng.choice([100, 200, 300])) for r in range(5) for i in range(50)]
+    table = spark.createDataFrame(rows, "record int, i long, rr long")
+    assert R._chunks(table, 16).where("chunk > 0").count() == 0
+    seen = []
+    monkeypatch.setattr(R, "entries", lambda maps, first: seen.append(maps.count()) or maps.select("record", "chunk", F.lit(first).alias("entry")))
+    assert R.rhythm_states(table, 300, size=16).count() == 250 and seen == [0]
