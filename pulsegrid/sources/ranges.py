@@ -128,7 +128,12 @@ def read(ranges: DataFrame, channel: int | None = None, begin: float | None = No
     channel, and of chunks that meet the seconds [begin, end), if they are given."""
     ship(ranges.sparkSession)
 
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*held), kinds)], names=SIGNAL.names)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # short chunks go on together
         for batch in batches:
             for row in batch.to_pylist():
                 layout = json.loads(row["layout"])
@@ -138,9 +143,14 @@ def read(ranges: DataFrame, channel: int | None = None, begin: float | None = No
                 last = last if end is None else min(last, -(-int(np.ceil(end * row["fs"])) // CHUNK))
                 with opened(row["path"]) as file:
                     for of, chunk, samples in cut(layout, row["samples"], first, last - first, lambda at, n: file.read_at(n, at)):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([row["record"]]), pa.array([of], pa.int32()), pa.array([chunk], pa.int64()), pa.array([row["fs"]], pa.float64()), pa.array([samples.astype(float)], pa.list_(pa.float64()))],
-                            names=SIGNAL.names,
-                        )
-
-    return pruned(ranges, None, channel, begin, end).repartition("path", "first").mapInArrow(work, SIGNAL)
+                        held.append((row["record"], of, chunk, row["fs"], samples.astype(float)))
+                        size += len(samples)
+                        if size >= CHUNK:
+                            yield made(held)
+                            held, size = [], 0
+        if held:
+            yield made(held)
+
+    # A fixed number of tasks: a plan has few bytes, however many its files have, and would be coalesced.
+    parts = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pruned(ranges, None, channel, begin, end).repartition(parts, "path", "first").mapInArrow(work, SIGNAL)

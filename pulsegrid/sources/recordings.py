@@ -49,13 +49,16 @@ def decoded(df: DataFrame, schema: T.StructType, decode: Callable[[dict], Iterat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        form = to_arrow_schema(schema)
+        form, held = to_arrow_schema(schema), []
         for batch in batches:
             for row in batch.to_pylist():
-                held = list(decode(row))
-                for start in range(0, len(held), 1000):
-                    columns = zip(*held[start : start + 1000])
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, form)], schema=form)
+                for found in decode(row):
+                    held.append(found)
+                    if len(held) == 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*held), form)], schema=form)
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*held), form)], schema=form)
 
     return df.mapInArrow(run, schema)
 

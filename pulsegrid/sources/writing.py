@@ -33,7 +33,8 @@ def by_record(df: DataFrame, order: list[str], folder: str, suffix: str, encode:
     A task holds one batch at a time. A file gets its name once it is whole, so a task that
     is lost or runs twice leaves no half of one. head(record, rows) is the text of a .hea file beside it."""
     ship(df.sparkSession)
-    rows = df.where("record is not null").withColumn("record", F.col("record").cast("string")).repartition("record").sortWithinPartitions("record", *order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # files take time, not bytes: not coalesced
+    rows = df.where("record is not null").withColumn("record", F.col("record").cast("string")).repartition(parts, "record").sortWithinPartitions("record", *order)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid

@@ -102,3 +102,12 @@ def test_written_recordings_come_back(spark, tmp_path):
     writing.write_annotations(spark.createDataFrame([*marks, ("p1", 5, "no code", 0, "")], ddl), str(tmp_path)).count()
     assert sorted(map(tuple, R.read_annotations(spark, str(tmp_path)).collect())) == sorted(marks)
     assert not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
+
+
+def test_ranges_of_many_small_files_are_dealt_over_all_tasks(spark, tmp_path):
+    """A plan of few bytes would be coalesced into one task."""
+    rows = spark.createDataFrame([(f"r{k}", 0, [k]) for k in range(40)], "record string, t long, values array<int>")
+    writing.write_wfdb(rows, f"{tmp_path}/many", 1.0, [1.0]).count()
+    found = R.read_wfdb(spark, f"{tmp_path}/many").select("record", "samples", F.spark_partition_id().alias("part")).collect()
+    assert len({r.part for r in found}) == 4
+    assert {(r.record, *r.samples) for r in found} == {(f"r{k}", float(k)) for k in range(40)}
