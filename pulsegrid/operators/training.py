@@ -9,7 +9,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import MinMaxScaler, Normalizer, PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, Normalizer, PolynomialExpansion, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.estimators import Boosted, FourierFeatures
 from pulsegrid.operators.evaluation import stratified_split
+from pulsegrid.operators.scan import written
 
 
 #: Names of the classifiers.
@@ -58,6 +59,14 @@ def pipeline(features: list[str], stages: list[Estimator]) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), MinMaxScaler(min=-1, max=1, inputCol="features", outputCol="scaled"), *stages])
 
 
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """df written once, for fits that read it many times: in a part for every task that runs at
+    the same time, whatever few tasks made it (a split ranks the rows of a class in one)."""
+    session = df.sparkSession
+    key = F.xxhash64(*(c for c in df.columns))
+    return written(df.repartition(max(2, session.sparkContext.defaultParallelism), key), name)
+
+
 def train(df: DataFrame, features: list[str], label: str, name: str, folds: int = 5, metric: str = "f1") -> PipelineModel:
     """The best of the grid by cross-validation, over folds that a hash of the row gives."""
     classes = int(df.agg(F.max(label)).first()[0] or 0) + 1 if name.startswith("mlp") else 0
@@ -78,8 +87,12 @@ def eliminate(df: DataFrame, features: list[str], label: str, keep: int) -> Data
     """(feature, place): features dropped one by one by least squared weight; those left
     have place 1, the last to go 2."""
     left, gone = list(features), []
+    # Features are scaled one by one, so once for all rounds.
+    rows = df.select(*features, label)
+    rows = spread(pipeline(features, []).fit(rows).transform(rows).select("scaled", label), "elimination")
     while len(left) > keep:
-        model = pipeline(left, [C.LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=25)]).fit(df).stages[-1]
+        slicer = VectorSlicer(inputCol="scaled", outputCol="left", indices=[features.index(f) for f in left])
+        model = C.LogisticRegression(featuresCol="left", labelCol=label, maxIter=25).fit(slicer.transform(rows))
         weights = (model.coefficientMatrix.toArray() ** 2).sum(axis=0)
         gone.append(left.pop(int(weights.argmin())))
     places = [(f, 1) for f in left] + [(f, len(gone) + 1 - i) for i, f in enumerate(gone)]
@@ -105,10 +118,11 @@ def experiment(df: DataFrame, features: list[str], label: str, name: str, times:
     keeps longest on its training rows. The best is the first whose f1 no earlier one reaches."""
     rows, best, chosen = [], None, None
     for k in range(times):
-        split = stratified_split(df, label, key(k), share)
+        split = spread(stratified_split(df, label, key(k), share).select(*features, label, "is_test"), "holdout")
         fit, test = split.where("is_test = 0"), split.where("is_test = 1")
         own = features if keep is None else elimination_order(fit, features, label)[:keep]
         told = predict(train(fit, own, label, name, folds=3), test, label).withColumns({c: F.col(c).cast("double") for c in ("truth", "predicted")})
+        told = written(told, "predictions")
         score = lambda metric: MulticlassClassificationEvaluator(labelCol="truth", predictionCol="predicted", metricName=metric).evaluate(told)
         rows.append((k, told.count(), score("accuracy"), score("f1")))
         if best is None or rows[-1][3] > best:
@@ -128,7 +142,7 @@ def clusters(df: DataFrame, features: list[str], k: int) -> DataFrame:
 
 def univariate(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, r2) of a forest over each feature alone, on rows with is_test."""
-    scores = []
+    scores, df = [], spread(df.select(*features, label, "is_test"), "univariate")  # of which each fit reads one feature
     for f in features:
         made = VectorAssembler(inputCols=[f], outputCol="one").transform(df)
         model = RandomForestRegressor(featuresCol="one", labelCol=label, numTrees=10, maxDepth=4, seed=1).fit(made.where("is_test = 0"))

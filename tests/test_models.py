@@ -54,3 +54,16 @@ def test_univariate_and_trained_scores(spark, tmp_path):
     scores = {r.feature: r.r2 for r in q["univariate_r2"](spark, str(tmp_path)).collect()}
     assert len(scores) == 4 and max(scores, key=scores.get) == "f0" and scores["f0"] > 0.8
     assert q["train_and_score"](spark, str(tmp_path)).count() > 0
+
+
+def test_fits_read_rows_that_are_written_once(spark, tmp_path, monkeypatch):
+    """Elimination scales once and reads what it has written; its rounds drop what fits to those left would."""
+    rng = np.random.default_rng(6)
+    rows = [(*x, float(x[2] > 0)) for x in rng.standard_normal((150, 4)).tolist()]
+    df = spark.createDataFrame(rows, "f0 double, f1 double, f2 double, f3 double, y double")
+    seen, kept = [], training.written
+    monkeypatch.setattr(training, "written", lambda df, name: seen.append(name) or kept(df, name))
+    places = {r.feature: r.place for r in training.eliminate(df, ["f0", "f1", "f2", "f3"], "y", keep=1).collect()}
+    assert seen == ["elimination"] and places["f2"] == 1 and sorted(places.values()) == [1, 2, 3, 4]
+    held = df.withColumn("is_test", (training.F.rand(3) < 0.3).cast("int"))
+    assert len(training.univariate(held, ["f0", "f2"], "y").collect()) == 2 and seen[1:] == ["univariate"]
