@@ -86,3 +86,11 @@ def test_empty_tables_and_small_chunks(spark):
     with pytest.raises(ValueError):
         B.with_dominant(none, 100)
     assert scan.with_halo(spark.range(10).select(F.col("id").alias("i")), 2, 1, 4).where("not own").count() == 4 + 3
+
+
+def test_features_take_the_beats_before_by_windows(spark):
+    """No join by place: one sort in a task."""
+    from pulsegrid.plans import beats as P
+
+    plan = P.features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" in plan
