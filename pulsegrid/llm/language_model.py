@@ -15,7 +15,6 @@ network, so nothing else crosses the cluster.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -37,8 +36,10 @@ FOLDS, HELD_FOLD = 7, 2
 ROUNDS = 3
 #: Words whose counts every task holds: the commonest, by powers of 2 ** (1 / STEPS).
 HOT_WORDS, HOT_WORD_BYTES, STEPS = 150_000, 64, 8
-#: Entries of a task's table of words before it is sent on, and bytes of text read together.
-TABLE_ENTRIES, READ_BYTES = 200_000, 6 << 20
+#: Bytes of text read together, whose words are counted before they are sent on.
+READ_BYTES = 6 << 20
+#: Texts over so many bytes are scored together: one that runs on alone costs a step for each word.
+LONG_BYTES = 12 << 10
 #: Parameters of a block that is averaged by itself.
 BLOCK = 1 << 13
 #: Groups of tasks whose parameters are averaged first.
@@ -60,23 +61,11 @@ def count_words(df: DataFrame, text: str = "text") -> DataFrame:
     ship(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
-
-        def sent() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "c"])
-            held.clear()
-            return batch
-
         for batch in batches:
-            for part in slices(batch, text):
-                words, _ = lower_words(part.column(text))
-                counts = words.value_counts()
-                for word, n in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist()):
-                    held[word] += n
-                held[END] += part.num_rows
-                if len(held) > TABLE_ENTRIES:
-                    yield sent()
-        yield sent()
+            for part in slices(batch, text, READ_BYTES):
+                counts = lower_words(part.column(text))[0].value_counts()
+                yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["word", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([part.num_rows], pa.int64())], names=["word", "c"])
 
     return df.select(text).mapInArrow(work, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -209,6 +198,24 @@ def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int
     return Model(words, counts, parameters)
 
 
+def by_length(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of READ_BYTES; those of long texts are held back, READ_BYTES and one
+    batch's at most, and come in slices of their own."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0)
+        long = pc.greater(sizes, LONG_BYTES)
+        yield from slices(batch.filter(pc.invert(long)), text, READ_BYTES)
+        if more := pc.sum(sizes.filter(long)).as_py():
+            held.append(batch.filter(long))
+            size += more
+        if size > READ_BYTES:
+            yield from slices(pa.concat_batches(held), text, READ_BYTES)
+            held, size = [], 0
+    if held:
+        yield from slices(pa.concat_batches(held), text, READ_BYTES)
+
+
 SCORES = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
@@ -235,27 +242,26 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
         known, flat = shared.value
         hot_logs = np.log10(known.counts + 1.0)
         end_log = np.log10(known.ends + 1.0)
-        for batch in batches:
-            for part in slices(batch, "_text", READ_BYTES):
-                inputs, lengths, places, words, rare, offsets = known.read(part.column("_text"))
-                texts = np.repeat(np.arange(len(lengths)), lengths - 1)
-                by_text = lambda values: np.bincount(texts, weights=values, minlength=len(lengths))
-                hot = ~rare
-                n_known = by_text(hot).astype(np.int64) + (known.ends > 0)
-                if len(known.counts):
-                    base, shares = by_text(np.where(rare, 0, hot_logs[places])), by_text(np.where(rare, 0, known.shares[places]))
-                else:
-                    base = shares = np.zeros(len(lengths))
-                shares -= np.log(known.rare_total) * by_text(rare)
-                logs = recurrent.text_logs(flat, inputs, lengths) + shares
-                # Rare words by text, each once with its number there.
-                coded = words.filter(pa.array(rare)).dictionary_encode()
-                pairs, n = np.unique(texts[rare] * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_counts=True)
-                text_of, word_of = np.divmod(pairs, max(1, len(coded.dictionary)))
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(lengths)))])
-                items = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(word_of)), pa.array(n, pa.int64())], fields=list(rare_arrow))
-                arrays = [pa.array(lengths), pa.array(n_known), pa.array(base + end_log), pa.array(logs / np.log(10)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), items)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *arrays], names=[*carried, *(n for n, _ in new)])
+        for part in by_length(batches, "_text"):
+            inputs, lengths, places, words, rare, offsets = known.read(part.column("_text"))
+            texts = np.repeat(np.arange(len(lengths)), lengths - 1)
+            by_text = lambda values: np.bincount(texts, weights=values, minlength=len(lengths))
+            hot = ~rare
+            n_known = by_text(hot).astype(np.int64) + (known.ends > 0)
+            if len(known.counts):
+                base, shares = by_text(np.where(rare, 0, hot_logs[places])), by_text(np.where(rare, 0, known.shares[places]))
+            else:
+                base = shares = np.zeros(len(lengths))
+            shares -= np.log(known.rare_total) * by_text(rare)
+            logs = recurrent.text_logs(flat, inputs, lengths) + shares
+            # Rare words by text, each once with its number there.
+            coded = words.filter(pa.array(rare)).dictionary_encode()
+            pairs, n = np.unique(texts[rare] * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_counts=True)
+            text_of, word_of = np.divmod(pairs, max(1, len(coded.dictionary)))
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(lengths)))])
+            items = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(word_of)), pa.array(n, pa.int64())], fields=list(rare_arrow))
+            arrays = [pa.array(lengths), pa.array(n_known), pa.array(base + end_log), pa.array(logs / np.log(10)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), items)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *arrays], names=[*carried, *(n for n, _ in new)])
 
     # The number of a row is fixed by writing it.
     first = written(df.mapInArrow(work, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")

@@ -27,7 +27,7 @@ NOTHING, MOST_LOGIT, LEAST_SHARE = 1e-20, 60.0, 1e-30
 LANES, WINDOW = 128, 16
 RATE = 0.08
 #: States whose outputs are worked out together when scoring.
-OUTPUT_ROWS = 1 << 14
+OUTPUT_ROWS = 1 << 12
 
 SHAPES = {
     "inputs": (INPUTS, 3 * HIDDEN), "states": (HIDDEN, 3 * HIDDEN), "classes": (HIDDEN + 1, CLASSES + BANDS + 1),
@@ -67,28 +67,53 @@ def class_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < HEAD, ids // CLASS_WORDS, ids - HEAD + CLASSES)
 
 
-def step(p: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray):
-    """(next state, what the gradient needs) after the tokens `ids`."""
-    given = np.take(p["inputs"], ids, axis=0, mode="clip")
-    from_state = h @ p["states"]
-    gates = given[:, : 2 * HIDDEN] + from_state[:, : 2 * HIDDEN]
-    gates *= 0.5
-    np.tanh(gates, out=gates)
+def gate_weights(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, states) by gate, as (3, rows, HIDDEN): keep, reset, new. The first two come with
+    the sign changed and the last doubled, as a gate is 1 / (1 + exp(-x)) and a new state
+    1 - 2 / (1 + exp(2x))."""
+    out = []
+    for name in ("inputs", "states"):
+        by_gate = np.ascontiguousarray(p[name].reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+        by_gate *= np.array([-1, -1, 2], by_gate.dtype)[:, None, None]
+        out.append(by_gate)
+    return out[0], out[1]
+
+
+def advance(given: np.ndarray, weights: np.ndarray, h: np.ndarray, from_state, gates, new, after) -> np.ndarray:
+    """The next state, written to `after`. given: the tokens' rows of gate_weights(); the arrays
+    between h and `after` take what the gradient needs, of the last part of from_state the double.
+    An exponential that overflows gives the right gate, 0, or state, 1: callers mute it."""
+    np.matmul(h, weights, out=from_state)
+    np.add(given[:2], from_state[:2], out=gates)
+    np.exp(gates, out=gates)
     gates += 1
-    gates *= 0.5
-    keep, reset, bare = gates[:, :HIDDEN], gates[:, HIDDEN:], from_state[:, 2 * HIDDEN :]
-    new = reset * bare
-    new += given[:, 2 * HIDDEN :]
-    np.tanh(new, out=new)
-    after = h - new
-    after *= keep
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[1], from_state[2], out=new)
+    new += given[2]
+    np.exp(new, out=new)
+    new += 1
+    np.divide(-2, new, out=new)
+    new += 1
+    np.subtract(h, new, out=after)
+    after *= gates[0]
     after += new
-    return after, (keep, reset, bare, new)
+    return after
+
+
+def step(p: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray):
+    """(next state, (keep, reset, bare, new)) after the tokens `ids`."""
+    inputs, weights = gate_weights(p)
+    from_state, gates = (np.empty((k, *h.shape), h.dtype) for k in (3, 2))
+    new = np.empty_like(h)
+    with np.errstate(over="ignore"):
+        after = advance(inputs[:, ids], weights, h, from_state, gates, new, np.empty_like(h))
+    return after, (gates[0], gates[1], from_state[2] / 2, new)
 
 
 def odds_of(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(exponentials, their sums by row)."""
-    odds = np.exp(np.minimum(logits, MOST_LOGIT, out=logits))
+    odds = np.minimum(logits, MOST_LOGIT, out=logits)
+    np.exp(odds, out=odds)
     return odds, odds @ np.ones(odds.shape[1], odds.dtype)
 
 
@@ -96,78 +121,96 @@ def log_shares(states: np.ndarray, ids: np.ndarray, p: dict[str, np.ndarray], le
     """Natural log of each token's probability, for bands and the rare that of the class alone;
     with `learn` also the gradients of minus their sum by output and by state."""
     kind = class_of(ids)
-    odds, total = odds_of(states @ p["classes"][:-1] + p["classes"][-1])
-    rows = np.arange(len(ids))
-    logs = np.log(odds[rows, kind] / total + LEAST_SHARE)
+    # With a column of ones the offsets, the last rows of the outputs, are weights like others.
+    given = np.empty((len(ids), HIDDEN + 1), states.dtype)
+    given[:, :-1], given[:, -1] = states, 1
+    odds, total = odds_of(given @ p["classes"])
+    own = np.arange(len(ids)) * odds.shape[1] + kind  # of each row, in the flat array
+    logs = np.log(odds.ravel()[own] / total + LEAST_SHARE)
     grads = {}
     if learn:
-        odds /= total[:, None]
-        odds[rows, kind] -= 1
-        grads["classes"] = np.concatenate([states.T @ odds, np.ones((1, len(ids)), odds.dtype) @ odds])
+        odds *= np.reciprocal(total)[:, None]
+        odds.ravel()[own] -= 1
+        grads["classes"] = given.T @ odds
         grads["words"] = np.zeros_like(p["words"])
     # Head words in the order of their classes.
-    order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    order = np.argsort(kind.astype(np.uint8), kind="stable")  # narrow numbers are sorted by radix
+    ends = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
     order = order[: ends[-1]]
-    head, word = np.take(states, order, axis=0), ids[order] % CLASS_WORDS
-    in_class, back_head = np.empty(len(order), states.dtype), np.empty_like(head)
-    for k in range(CLASSES):
-        span = slice(ends[k], ends[k + 1])
-        h, w = head[span], word[span]
-        if not len(h):
-            continue
-        out = p["words"][k]
-        shares, sums = odds_of(h @ out[:-1] + out[-1])
-        at = rows[: len(h)]
-        in_class[span] = np.log(shares[at, w] / sums + LEAST_SHARE)
-        if learn:
-            shares /= sums[:, None]
-            shares[at, w] -= 1
-            grads["words"][k, :-1] = h.T @ shares
-            grads["words"][k, -1] = np.ones(len(h), shares.dtype) @ shares
-            back_head[span] = shares @ out[:-1].T
-    logs[order] += in_class
+    head = np.take(given, order, axis=0)
+    own = np.arange(len(order)) * CLASS_WORDS + np.take(ids, order) % CLASS_WORDS
+    shares, back_head = np.empty((len(order), CLASS_WORDS), states.dtype), np.empty((len(order), HIDDEN), states.dtype)
+    spans = [(k, slice(ends[k], ends[k + 1])) for k in range(CLASSES) if ends[k] < ends[k + 1]]
+    for k, span in spans:
+        np.matmul(head[span], p["words"][k], out=shares[span])
+    shares, total = odds_of(shares)
+    logs[order] += np.log(shares.ravel()[own] / total + LEAST_SHARE)
     if not learn:
         return logs
+    shares *= np.reciprocal(total)[:, None]
+    shares.ravel()[own] -= 1
+    for k, span in spans:
+        np.matmul(head[span].T, shares[span], out=grads["words"][k])
+        np.matmul(shares[span], p["words"][k, :-1].T, out=back_head[span])
     back = odds @ p["classes"][:-1].T
     back[order] += back_head
     return logs, grads, back
 
 
+@np.errstate(over="ignore")
 def window_gradient(p: dict[str, np.ndarray], ids: np.ndarray, alive: np.ndarray, h: np.ndarray):
     """(minus the log-likelihood, gradients by name, state behind) of a window of tokens
     (steps x lanes); alive is 0 where a text ends, behind which the state begins anew."""
     steps, lanes = ids.shape
-    states, keep, reset, bare, new = np.empty((5, steps, lanes, HIDDEN), h.dtype)
-    alive = alive[:, :, None]
+    inputs, weights = gate_weights(p)
+    given = np.take(inputs, ids, axis=1, mode="clip")
+    states, new = np.empty((2, steps, lanes, HIDDEN), h.dtype)
+    from_state, gates = (np.empty((k, steps, lanes, HIDDEN), h.dtype) for k in (3, 2))
+    whole, alive = alive.all(axis=1), alive[:, :, None]
+    states[0] = h
     for t in range(steps):
-        states[t] = h
-        h, (keep[t], reset[t], bare[t], new[t]) = step(p, ids[t], h)
-        h *= alive[t]
+        after = states[t + 1] if t + 1 < steps else np.empty_like(h)
+        h = advance(given[:, t], weights, states[t], from_state[:, t], gates[:, t], new[t], after)
+        if not whole[t]:
+            h *= alive[t]
     flat = states.reshape(-1, HIDDEN)
     logs, grads, from_output = log_shares(flat, ids.ravel(), p, learn=True)
     from_output = from_output.reshape(steps, lanes, HIDDEN)
     # How far the gradient of a new state reaches its parts, for all steps at once.
-    by_new, by_keep = (1 - keep) * (1 - new * new), (states - new) * keep * (1 - keep)
-    by_reset = bare * reset * (1 - reset)
-    to_states, to_new = np.empty((steps, lanes, 3 * HIDDEN), h.dtype), np.empty_like(new)
-    dh, back = np.zeros_like(h), np.ascontiguousarray(p["states"].T)
+    keep, reset = gates
+    less = 1 - keep
+    by_new = np.multiply(new, new)
+    np.subtract(1, by_new, out=by_new)
+    by_new *= less
+    by_gate = np.empty_like(from_state)
+    np.subtract(states, new, out=by_gate[0])
+    by_gate[0] *= keep
+    by_gate[0] *= less
+    np.multiply(by_new, reset, out=by_gate[2])
+    np.subtract(1, reset, out=less)
+    np.multiply(by_gate[2], from_state[2], out=by_gate[1])
+    less *= 0.5
+    by_gate[1] *= less
+    to_states, to_after = np.empty((steps, lanes, 3 * HIDDEN), h.dtype), np.empty_like(new)
+    back = np.ascontiguousarray(p["states"].T)
+    to_after[-1], moved = 0, np.empty((lanes, HIDDEN), h.dtype)
     for t in reversed(range(steps)):
-        dh *= alive[t]
-        d_new = np.multiply(dh, by_new[t], out=to_new[t])
-        s = to_states[t]
-        np.multiply(dh, by_keep[t], out=s[:, :HIDDEN])
-        np.multiply(d_new, by_reset[t], out=s[:, HIDDEN : 2 * HIDDEN])
-        np.multiply(d_new, reset[t], out=s[:, 2 * HIDDEN :])
-        dh *= keep[t]
-        dh += s @ back
-        dh += from_output[t]
+        np.multiply(to_after[t], by_gate[:, t], out=to_states[t].reshape(lanes, 3, HIDDEN).transpose(1, 0, 2))
+        if t:
+            dh = np.multiply(to_after[t], keep[t], out=to_after[t - 1])
+            dh += np.matmul(to_states[t], back, out=moved)
+            dh += from_output[t]
+            if not whole[t - 1]:
+                dh *= alive[t - 1]
     grads["states"] = flat.T @ to_states.reshape(-1, 3 * HIDDEN)
-    to_states[:, :, 2 * HIDDEN :] = to_new  # the inputs reach the gates as the states do, and the new state bare
-    order = np.argsort(ids.ravel(), kind="stable")
-    names, first = np.unique(ids.ravel()[order], return_index=True)
+    # The inputs reach the gates as the states do, and the new state bare.
+    np.multiply(to_after, by_new, out=to_states[:, :, 2 * HIDDEN :])
+    names = ids.ravel().astype(np.uint16)
+    order = np.argsort(names, kind="stable")
+    names = names[order]
+    first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
     grads["inputs"] = np.zeros_like(p["inputs"])
-    grads["inputs"][names] = np.add.reduceat(np.take(to_states.reshape(-1, 3 * HIDDEN), order, axis=0), first, axis=0)
+    grads["inputs"][names[first]] = np.add.reduceat(np.take(to_states.reshape(-1, 3 * HIDDEN), order, axis=0), first, axis=0)
     return -float(logs.sum()), grads, h
 
 
@@ -195,11 +238,16 @@ class Learner:
             for name, value in grads.items():
                 self.g[name][:] = value
             self.gradient /= dealt[t : t + WINDOW].size
-            self.seen += self.gradient * self.gradient
-            self.flat -= RATE * self.gradient / np.sqrt(self.seen)
+            change = self.gradient * self.gradient
+            self.seen += change
+            np.sqrt(self.seen, out=change)
+            np.divide(self.gradient, change, out=change)
+            change *= RATE
+            self.flat -= change
         self.tokens += len(ids)
 
 
+@np.errstate(over="ignore")
 def text_logs(flat: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each text (of its classes, for bands and the rare):
     ids of all texts in a row, of these lengths, each one or more. All texts are read side by
@@ -216,15 +264,23 @@ def text_logs(flat: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndar
     texts = np.repeat(np.arange(len(lengths)), lengths)
     at = offsets[place] + rank[texts]
     packed[at], owner[at] = ids, texts
-    h = np.zeros((len(lengths), HIDDEN), flat.dtype)
-    sums, states, begin = np.zeros(len(lengths)), [], 0
-    for t in range(len(active)):
-        h = h[: active[t]]
-        states.append(h)
-        h, _ = step(p, packed[offsets[t] : offsets[t + 1]], h)
-        if offsets[t + 1] - begin >= OUTPUT_ROWS or t + 1 == len(active):
-            span = slice(begin, offsets[t + 1])
-            logs = log_shares(np.concatenate(states), packed[span], p)
-            sums += np.bincount(owner[span], weights=logs, minlength=len(lengths))
-            states, begin = [], offsets[t + 1]
+    inputs, weights = gate_weights(p)
+    many = len(lengths)
+    h, sums = np.zeros((many, HIDDEN), flat.dtype), np.zeros(many)
+    from_state, gates = (np.empty((k, many, HIDDEN), flat.dtype) for k in (3, 2))
+    new, active, first = np.empty_like(h), np.append(active, 0), 0
+    while first + 1 < len(active):
+        # Steps of OUTPUT_ROWS tokens or a little more.
+        last = min(int(np.searchsorted(offsets, offsets[first] + OUTPUT_ROWS)), len(active) - 1)
+        span = slice(offsets[first], offsets[last])
+        given = np.take(inputs, packed[span], axis=1, mode="clip")
+        states = np.empty(given.shape[1:], flat.dtype)
+        states[: active[first]] = h
+        for t in range(first, last):
+            at, n = offsets[t] - span.start, active[t + 1]  # texts that end are not carried on
+            behind = states[at + active[t] :][:n] if t + 1 < last else np.empty((n, HIDDEN), flat.dtype)
+            h = advance(given[:, at : at + n], weights, states[at : at + n], from_state[:, :n], gates[:, :n], new[:n], behind)
+        logs = log_shares(states, packed[span], p)
+        sums += np.bincount(owner[span], weights=logs, minlength=many)
+        first = last
     return sums

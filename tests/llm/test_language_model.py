@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,66 @@ def test_query(spark, tmp_path):
     counts = Counter(t for i, text, _ in rows if not held(i) for t in tokens(text))
     got = found.collect()
     assert sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"]) for r in got) == sorted((i or -1, len(tokens(t)), sum(x in counts for x in tokens(t))) for i, t, _ in rows)
+
+
+def test_words_are_counted_by_batches_of_text(spark, monkeypatch):
+    """A task sends on the counts of each batch as they are, by Arrow alone; they add up."""
+    monkeypatch.setattr(language_model, "READ_BYTES", 200)
+    rows = corpus(40, seed=2)
+    found = language_model.count_words(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
+    assert {r["word"]: r["c"] for r in found} == Counter(t for _, text, _ in rows for t in tokens(text))
+
+
+def test_gates_and_states_at_their_ends():
+    flat = recurrent.initial(np.ones(recurrent.HEAD), np.ones(recurrent.CLASSES + recurrent.BANDS + 1))
+    p = recurrent.parts(flat)
+    p["inputs"][:] = np.random.default_rng(5).choice([-500.0, 500.0], p["inputs"].shape)
+    h = np.full((4, recurrent.HIDDEN), 0.5, np.float32)
+    with np.errstate(all="raise", under="ignore"):
+        found, _ = recurrent.step(p, np.arange(4), h)
+    given = p["inputs"][:4] + h @ p["states"]
+    keep, new = (np.sign(given[:, k * recurrent.HIDDEN : (k + 1) * recurrent.HIDDEN]) for k in (0, 2))
+    np.testing.assert_allclose(found, np.where(keep > 0, h, new), atol=1e-6)
+
+
+def test_text_logs_equal_steps_of_every_text(monkeypatch):
+    """Steps are taken in spans of OUTPUT_ROWS, and no text is carried on behind its end."""
+    rng = np.random.default_rng(7)
+    flat = recurrent.initial(rng.uniform(1, 99, recurrent.HEAD), rng.uniform(1, 99, recurrent.CLASSES + recurrent.BANDS + 1))
+    flat += rng.normal(0, 0.1, flat.shape).astype(np.float32)
+    p = recurrent.parts(flat)
+    lengths = np.array([1, 7, 300, 1, 40, 299, 2])
+    ids = rng.integers(0, recurrent.INPUTS, lengths.sum())
+    expected = []
+    for begin, n in zip(np.cumsum(lengths) - lengths, lengths):
+        h, total = np.zeros((1, recurrent.HIDDEN), np.float32), 0.0
+        for token in ids[begin : begin + n]:
+            total += float(recurrent.log_shares(h, np.array([token]), p)[0])
+            h = recurrent.step(p, np.array([token]), h)[0]
+        expected.append(total)
+    stepped, advance = [], recurrent.advance
+    monkeypatch.setattr(recurrent, "advance", lambda given, *rest: stepped.append(given.shape[1]) or advance(given, *rest))
+    for rows in (1, 64, 1 << 14):
+        monkeypatch.setattr(recurrent, "OUTPUT_ROWS", rows)
+        stepped.clear()
+        assert recurrent.text_logs(flat, ids, lengths) == pytest.approx(expected, rel=1e-4)
+        assert sum(stepped) == lengths.sum() - len(lengths)
+
+
+def test_long_texts_are_scored_together(spark, learned, monkeypatch):
+    """A long text in every batch costs its steps once, not once a batch; scores stay the same."""
+    monkeypatch.setattr(language_model, "LONG_BYTES", 100)
+    monkeypatch.setattr(language_model, "READ_BYTES", 2000)
+    rng = random.Random(3)
+    texts = [None if i % 9 == 0 else "the cat " * rng.choice([0, 1, 3, 30, 400]) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(language_model.by_length(iter([batch.slice(i, 10) for i in range(0, 60, 10)]), "text"))
+    assert sorted((r["doc_id"], r["text"]) for p in parts for r in p.to_pylist()) == list(enumerate(texts))
+    sizes = [[len(t or "") for t in p.column("text").to_pylist()] for p in parts]
+    assert all(max(s) <= 100 or min(s) > 100 for s in sizes) and all(sum(s) <= 2000 or len(s) == 1 for s in sizes)
+    assert len([s for s in sizes if max(s) <= 100]) == 6
+    assert list(language_model.by_length(iter([batch.slice(0, 0)]), "text")) == []
+    _, model, found = learned
+    docs = spark.createDataFrame(learned[0], SCHEMA).repartition(3)
+    again = language_model.score(docs, model, keep=["doc_id"]).collect()
+    assert sorted(r["score"] for r in again) == pytest.approx(sorted(r["score"] for r in found), rel=1e-5)
