@@ -106,8 +106,8 @@ def opened(path: str):
 
 
 def cut(layout: dict, total: int, first: int, count: int, read) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(channel, chunk, samples in units) of a range; read(offset, bytes) gives its bytes. Memory:
-    one chunk of all channels that lie together."""
+    """(channel, chunk, samples in units) of a range; read(offset, bytes) gives its bytes. What the
+    layout has as void is None. Memory: one chunk of all channels that lie together."""
     size, per, n = width(layout["dtype"]), layout["per"], layout["n"]
     for chunk in range(first, first + count):
         start, stop = chunk * CHUNK, min((chunk + 1) * CHUNK, total)
@@ -118,9 +118,13 @@ def cut(layout: dict, total: int, first: int, count: int, read) -> Iterator[tupl
         raw = raw[: len(raw) // n * n].reshape(-1, n)
         for s in layout["signals"]:
             own = raw[:, s["at"] : s["at"] + per].reshape(-1)[start - low * per : stop - low * per]
+            own = own.astype(np.int64) if own.dtype.kind == "i" else own  # a zero taken off must not wrap
             # Divided by a gain, not multiplied by its inverse, which would be rounded twice.
             units = (own - s["zero"]) / s["gain"] if "gain" in s else (own - s["zero"]) * s["scale"]
-            yield s["channel"], chunk, units + s.get("base", 0.0)
+            units = units + s.get("base", 0.0)
+            if "void" in layout and (none := own == layout["void"]).any():
+                units = np.where(none, None, units)  # nulls, not numbers
+            yield s["channel"], chunk, units
 
 
 def read(ranges: DataFrame, channel: int | None = None, begin: float | None = None, end: float | None = None) -> DataFrame:
@@ -143,7 +147,7 @@ def read(ranges: DataFrame, channel: int | None = None, begin: float | None = No
                 last = last if end is None else min(last, -(-int(np.ceil(end * row["fs"])) // CHUNK))
                 with opened(row["path"]) as file:
                     for of, chunk, samples in cut(layout, row["samples"], first, last - first, lambda at, n: file.read_at(n, at)):
-                        held.append((row["record"], of, chunk, row["fs"], samples.astype(float)))
+                        held.append((row["record"], of, chunk, row["fs"], samples if samples.dtype == object else samples.astype(float)))
                         size += len(samples)
                         if size >= CHUNK:
                             yield made(held)

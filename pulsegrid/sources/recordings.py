@@ -101,7 +101,9 @@ def layouts(df: DataFrame, parse: Callable[[dict], Iterator[tuple]]) -> DataFram
 
 
 #: Formats of WFDB signal files that are read, and their samples.
-WFDB_TYPES = {16: "<i2", 80: "u1", 212: "212"}
+WFDB_TYPES = {16: "<i2", 32: "<i4", 80: "u1", 212: "212"}
+#: Stands for no sample in 32 bits.
+VOID = -(1 << 31)
 
 
 def plan_wfdb(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,7 +120,7 @@ def plan_wfdb(spark: SparkSession, folder: str) -> DataFrame:
         own = [{"channel": k, "at": at, "zero": s["zero"], "gain": s["gain"]} for at, (k, s) in enumerate(here)]
         first = next(x for x in row["text"].splitlines() if x.strip() and not x.startswith("#")).split()
         # Two samples of 12 bits share bytes, so the file alone may seem to hold one more.
-        yield record_name(row["head"]), fs, frames(WFDB_TYPES[form], len(own), own) | {"limit": int(first[3]) if len(first) > 3 else 0}
+        yield record_name(row["head"]), fs, frames(WFDB_TYPES[form], len(own), own) | {"limit": int(first[3]) if len(first) > 3 else 0} | ({"void": VOID} if form == 32 else {})
 
     return ranges.plan(layouts(both, parse))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.sources.recordings import CODES, encode_annotations
+from pulsegrid.sources.recordings import CODES, VOID, encode_annotations
 from pulsegrid.sources.shared import ship
 
 #: Takes the rows of one record in a batch and what the last call left; gives bytes and what to leave.
@@ -73,16 +73,24 @@ def by_record(df: DataFrame, order: list[str], folder: str, suffix: str, encode:
     return rows.mapInArrow(work, "record string, n long")
 
 
-def write_wfdb(samples: DataFrame, folder: str, fs: float, gains: list[float]) -> DataFrame:
-    """Write samples (record, t, values: a whole number for each channel) as WFDB records of 16
-    bits; (record, n) of what was written. Rows have every t from 0 on; numbers are cut to 16 bits."""
+def write_wfdb(samples: DataFrame, folder: str, fs: float, gains: list[float], bits: int = 16) -> DataFrame:
+    """Write samples (record, t, values: a whole number for each channel) as WFDB records of 16 or
+    32 bits; (record, n) of what was written. Rows have every t from 0 on. Numbers are cut to 16
+    bits; in 32 bits one that does not fit is an error, and a null is the format's mark of no sample."""
+    if bits not in (16, 32):
+        raise ValueError(f"samples of {bits} bits are not written")
 
     def encode(batch: pa.RecordBatch, left: object) -> tuple[bytes, object]:
-        values = batch.column("values").flatten().to_numpy(zero_copy_only=False)
-        return np.clip(values, -32768, 32767).astype("<i2").tobytes(), None
+        values = batch.column("values").flatten()
+        if bits == 16:
+            return np.clip(values.to_numpy(zero_copy_only=False), -32768, 32767).astype("<i2").tobytes(), None
+        values = values.cast(pa.int64()).fill_null(VOID).to_numpy()
+        if len(values) and (values.min() < VOID or values.max() >= -VOID):
+            raise ValueError("a number does not fit 32 bits")
+        return values.astype("<i4").tobytes(), None
 
     def head(name: str, n: int) -> str:
-        return f"{name} {len(gains)} {fs:g} {n}\n" + "".join(f"{name}.dat 16 {g:g}(0)/mV 16 0 0 0 0 {k}\n" for k, g in enumerate(gains))
+        return f"{name} {len(gains)} {fs:g} {n}\n" + "".join(f"{name}.dat {bits} {g:g}(0)/mV {bits} 0 0 0 0 {k}\n" for k, g in enumerate(gains))
 
     return by_record(samples.select("record", "t", "values"), ["t"], folder, ".dat", encode, head)
 

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -89,3 +91,19 @@ def test_samples_are_divided_by_the_gain(spark, tmp_path):
     rows = spark.createDataFrame([("a", 0, [5905]), ("a", 1, [-5987])], "record string, t long, values array<int>")
     writing.write_wfdb(rows, f"{tmp_path}/gain", 1.0, [50.0]).count()
     assert R.read_wfdb(spark, f"{tmp_path}/gain").first().samples == [118.1, -119.74]
+
+
+def test_samples_beyond_16_bits_are_not_cut(spark, tmp_path):
+    """Values of 655.36 and more do not fit 16 bits at a gain of 50; a null is no sample."""
+    from pulsegrid.plans import files
+    from pulsegrid.sources import writing
+
+    values = [655.34, 655.36, 923.09, -1200.5, None, 40_000_000.0]
+    rows = [(k, 3, k, "view", v, f'{{"k": {k}}}') for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, at long, event_type string, value double, props string")
+    df.selectExpr("event_id", "user_id", "timestamp_seconds(at) AS ts", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.channel: (r.record, r.n, r.total, r.highest) for r in files.recording_samples(spark, str(tmp_path)).collect()}
+    assert found == {0: (3, 6, round(sum(math.floor(v * 50 + 0.5) / 50 for v in values if v is not None), 4), 40_000_000.0), 1: (3, 6, 3.0, 1.0)}
+    large = spark.createDataFrame([("a", 0, [1 << 31])], "record string, t long, values array<long>")
+    with pytest.raises(Exception, match="does not fit 32 bits"):
+        writing.write_wfdb(large, f"{tmp_path}/large", 1.0, [1.0], bits=32).count()
