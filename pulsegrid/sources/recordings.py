@@ -106,29 +106,58 @@ WFDB_TYPES = {16: "<i2", 32: "<i4", 80: "u1", 212: "212"}
 VOID = -(1 << 31)
 
 
-def plan_wfdb(spark: SparkSession, folder: str) -> DataFrame:
-    """Ranges of the WFDB records under a folder; signals of one file lie together."""
-    named = heads(spark, folder, "*.hea").withColumn("file", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?m)^(\S+\.dat)\s"), F.lit(1)))))
-    both = sized(spark, folder, "*.dat").join(named, ["dir", "file"])
+def parse_wfdb(row: dict) -> Iterator[tuple]:
+    """The layout of a signal file (file) by its header (head, text)."""
+    fs, signals = parse_header(row["text"])
+    here = [(k, s) for k, s in enumerate(signals) if s["file"] == row["file"]]
+    form = here[0][1]["format"]
+    if form not in WFDB_TYPES:
+        raise ValueError(f"signal format {form} is not read")
+    own = [{"channel": k, "at": at, "zero": s["zero"], "gain": s["gain"]} for at, (k, s) in enumerate(here)]
+    first = next(x for x in row["text"].splitlines() if x.strip() and not x.startswith("#")).split()
+    # Two samples of 12 bits share bytes, so the file alone may seem to hold one more.
+    limit = {"limit": int(first[3]) if len(first) > 3 else 0} | ({"void": VOID} if form == 32 else {})
+    yield record_name(row["head"]), fs, frames(WFDB_TYPES[form], len(own), own) | limit
+
+
+def opened_wfdb(folder: str, row: dict) -> Iterator[tuple]:
+    """The layouts of a record's signal files, which go into the row one after another."""
+    row["head"] = f"{folder}/{row['record']}.hea"
+    with ranges.opened(row["head"]) as file:
+        row["text"] = file.read().decode()
+    for name in dict.fromkeys(re.findall(r"(?m)^(\S+\.dat)\s", row["text"])):
+        row |= {"file": name, "path": f"{folder}/{name}"}
+        with ranges.opened(row["path"]) as file:
+            row["size"] = file.size()
+        yield from parse_wfdb(row)
 
-    def parse(row: dict) -> Iterator[tuple]:
-        fs, signals = parse_header(row["text"])
-        here = [(k, s) for k, s in enumerate(signals) if s["file"] == row["file"]]
-        form = here[0][1]["format"]
-        if form not in WFDB_TYPES:
-            raise ValueError(f"signal format {form} is not read")
-        own = [{"channel": k, "at": at, "zero": s["zero"], "gain": s["gain"]} for at, (k, s) in enumerate(here)]
-        first = next(x for x in row["text"].splitlines() if x.strip() and not x.startswith("#")).split()
-        # Two samples of 12 bits share bytes, so the file alone may seem to hold one more.
-        yield record_name(row["head"]), fs, frames(WFDB_TYPES[form], len(own), own) | {"limit": int(first[3]) if len(first) > 3 else 0} | ({"void": VOID} if form == 32 else {})
 
-    return ranges.plan(layouts(both, parse))
+def dealt(named: DataFrame) -> DataFrame:
+    """Names of records over a fixed number of tasks: they have few bytes, their files may have many."""
+    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return named.select(F.col("record").cast("string").alias("record")).repartition(parts, "record")
+
 
+def plan_wfdb(spark: SparkSession, folder: str, named: DataFrame | None = None) -> DataFrame:
+    """Ranges of the WFDB records under a folder; signals of one file lie together. Of `named`
+    (record), as writing gives it, the tasks open the headers that lie in the folder itself. Without
+    it Spark lists the folder, and the driver holds every file of the list."""
+    if named is not None:
+        return ranges.plan(layouts(dealt(named), lambda row: opened_wfdb(folder, row)))
+    listed = heads(spark, folder, "*.hea").withColumn("file", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?m)^(\S+\.dat)\s"), F.lit(1)))))
+    both = sized(spark, folder, "*.dat").join(listed, ["dir", "file"])
+    return ranges.plan(layouts(both, parse_wfdb))
 
-def read_wfdb(spark: SparkSession, folder: str, channel: int | None = None, records: list[str] | None = None, begin: float | None = None, end: float | None = None) -> DataFrame:
+
+def read_wfdb(
+    spark: SparkSession, folder: str, channel: int | None = None, records: list[str] | None = None, begin: float | None = None, end: float | None = None,
+    named: DataFrame | None = None,
+) -> DataFrame:
     """Signals of the WFDB records under a folder, each channel by its own gain and zero; only
-    one channel, some records, or chunks that meet the seconds [begin, end)."""
-    return ranges.read(ranges.pruned(plan_wfdb(spark, folder), records), channel, begin, end)
+    one channel, some records, or chunks that meet the seconds [begin, end). `named` as in plan_wfdb."""
+    if named is not None and records is not None:
+        named = named.where(F.col("record").isin(*records))
+    return ranges.read(ranges.pruned(plan_wfdb(spark, folder, named), records), channel, begin, end)
 
 
 def parse_annotations(data: bytes) -> Iterator[tuple[int, str, int, str]]:
@@ -157,8 +186,18 @@ def parse_annotations(data: bytes) -> Iterator[tuple[int, str, int, str]]:
         yield tuple(held)
 
 
-def read_annotations(spark: SparkSession, folder: str, kind: str = "atr") -> DataFrame:
-    return decoded(files(spark, folder, f"*.{kind}"), ANNOTATION, lambda row: ((record_name(row["path"]), *a) for a in parse_annotations(row["content"])))
+def read_annotations(spark: SparkSession, folder: str, kind: str = "atr", named: DataFrame | None = None) -> DataFrame:
+    """Annotations of the files under a folder, or of the records `named` without listing it. A
+    join does not broadcast them: Spark does not know how many a file or name stands for."""
+    if named is None:
+        return decoded(files(spark, folder, f"*.{kind}"), ANNOTATION, lambda row: ((record_name(row["path"]), *a) for a in parse_annotations(row["content"]))).hint("merge")
+    ship(spark)
+
+    def opened(row: dict) -> Iterator[tuple]:
+        with ranges.opened(f"{folder}/{row['record']}.{kind}") as file:
+            yield from ((row["record"], *a) for a in parse_annotations(file.read()))
+
+    return decoded(dealt(named), ANNOTATION, opened).hint("merge")
 
 
 def encode_annotations(rows: list[tuple[int, str, int, str]]) -> bytes:

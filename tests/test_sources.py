@@ -107,3 +107,33 @@ def test_samples_beyond_16_bits_are_not_cut(spark, tmp_path):
     large = spark.createDataFrame([("a", 0, [1 << 31])], "record string, t long, values array<long>")
     with pytest.raises(Exception, match="does not fit 32 bits"):
         writing.write_wfdb(large, f"{tmp_path}/large", 1.0, [1.0], bits=32).count()
+
+
+def test_files_of_queries_are_not_listed_by_the_driver(spark, tmp_path):
+    """Names come from what was written: no plan has a list of files of the folder in it."""
+    from pulsegrid.plans import files
+
+    rows = [(k, k % 40, k, ("view", "signup", "error")[k % 3], float(k), f'{{"k": {k}}}') for k in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, at long, event_type string, value double, props string")
+    df.selectExpr("event_id", "user_id", "timestamp_seconds(at) AS ts", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    for found in (files.recording_samples(spark, str(tmp_path)), files.files_to_labels(spark, str(tmp_path))):
+        plan = found._jdf.queryExecution().analyzed().toString()
+        assert "parquet" in plan and "binaryFile" not in plan
+        assert not [f for f in found.inputFiles() if f.endswith((".dat", ".hea", ".atr"))]
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    found = files.recording_samples(spark, str(tmp_path)).collect()
+    assert {(r.record, r.channel, r.n, r.total) for r in found if r.channel == 0} == {(u, 0, 23 if u < 20 else 22, float(sum(range(u, 900, 40)))) for u in range(40)}
+
+
+def test_named_records_are_read_as_listed_ones(spark, tmp_path):
+    from pulsegrid.sources import writing
+
+    rows = spark.createDataFrame([(f"r{k}", t, [k * t, -t]) for k in range(9) for t in range(k + 1)], "record string, t long, values array<int>")
+    names = spark.createDataFrame(writing.write_wfdb(rows, f"file://{tmp_path}", 2.0, [4.0, 1.0]).collect())
+    plain = lambda df: sorted((r.record, r.channel, r.chunk, r.fs, tuple(r.samples)) for r in df.collect())
+    listed = plain(R.read_wfdb(spark, str(tmp_path)))
+    assert len(listed) == 18 and plain(R.read_wfdb(spark, f"file://{tmp_path}", named=names)) == listed
+    assert plain(R.read_wfdb(spark, str(tmp_path), channel=1, records=["r3"], named=names)) == [r for r in listed if r[:2] == ("r3", 1)]
+    marks = spark.createDataFrame([("r1", 3, "N", 0, ""), ("r5", 4, "+", 1, "(VT")], "record string, t long, code string, sub_type int, aux string")
+    marked = spark.createDataFrame(writing.write_annotations(marks, str(tmp_path)).collect())
+    assert sorted(map(tuple, R.read_annotations(spark, str(tmp_path), named=marked).collect())) == sorted(map(tuple, marks.collect()))
