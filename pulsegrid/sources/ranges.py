@@ -157,4 +157,5 @@ def read(ranges: DataFrame, channel: int | None = None, begin: float | None = No
 
     # A fixed number of tasks: a plan has few bytes, however many its files have, and would be coalesced.
     parts = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pruned(ranges, None, channel, begin, end).repartition(parts, "path", "first").mapInArrow(work, SIGNAL)
+    # Spark takes samples to be as small as the plan they come from, and would broadcast them in a join.
+    return pruned(ranges, None, channel, begin, end).repartition(parts, "path", "first").mapInArrow(work, SIGNAL).hint("merge")
